@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import ship
 from .common import table
 from .minhash import near_duplicates
+from .packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +19,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
 def queries() -> dict[str, Query]:
-    own = [op5_minhash]
+    own = [op5_minhash, op10_best_fit_packing]
     return {f.__name__: _shipped(f) for f in own}
 
 
