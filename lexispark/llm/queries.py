@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import ship
+from . import embeddings, warc
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack
@@ -15,6 +16,14 @@ from .packing import pack
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -24,7 +33,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op5_minhash, op10_best_fit_packing]
+    own = [op1_warc, op4_embedding_neardup, op5_minhash, op10_best_fit_packing]
     return {f.__name__: _shipped(f) for f in own}
 
 
@@ -53,5 +62,31 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_i
 """
 
 
+#: The response of a payload is its largest page_id; base32 by groups of 40 bits.
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hexed FROM pages),
+m AS (SELECT hexed, max(page_id) AS last FROM p GROUP BY hexed)
+SELECT p.page_id, strlen(body) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(p.hexed, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8)))::BIGINT & 31)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN p.page_id = m.last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id = m.last THEN NULL ELSE m.last END AS refers_to, url
+FROM p JOIN m ON p.hexed = m.hexed
+"""
+
+#: All pairs of equal label, and reachability over those at or above the threshold.
+OP4_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.e) = len(q.e)
+  WHERE p.norm > 0 AND q.norm > 0 AND list_inner_product(p.e, q.e) / (p.norm * q.norm) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT x.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.component_id = x.vec_id AS kept
+FROM embeddings x JOIN c ON c.a = x.vec_id LEFT JOIN n ON n.a = x.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash": OP5_SQL}
+    return {"op1_warc": OP1_SQL, "op4_embedding_neardup": OP4_SQL, "op5_minhash": OP5_SQL}
