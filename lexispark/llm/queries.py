@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import ship
-from . import embeddings, warc
+from . import embeddings, langid, licenses, lines, sharding, tokenfiles, warc
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack
@@ -20,6 +21,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen arrivals, compacted and read back."""
+    docs = table(spark, sf_dir, "documents")
+    out = sharding.shard_round_trip(docs, F.pmod(F.col("doc_id"), F.lit(16)))
+    return out.select("doc_id", "arrival", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -28,12 +36,34 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokenfiles.document_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), eod=49407)
+    return counts.select("doc_id", "n_tokens")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, usable=~langid.held_out())
+    out = langid.identify(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model, keep=["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "dropped", F.md5("text").alias("text_md5"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_warc, op4_embedding_neardup, op5_minhash, op10_best_fit_packing]
+    own = [op1_warc, op3_sharding, op4_embedding_neardup, op5_minhash, op6_token_counts, op7_language_id, op8_line_dedup, op9_license_scan, op10_best_fit_packing]
     return {f.__name__: _shipped(f) for f in own}
 
 
@@ -88,5 +118,29 @@ FROM embeddings x JOIN c ON c.a = x.vec_id LEFT JOIN n ON n.a = x.vec_id
 """
 
 
+#: What compaction must keep: every row once.
+OP3_SQL = "SELECT doc_id, doc_id % 16 AS arrival, n_chars, md5(text) AS text_md5 FROM documents"
+
+#: Templates by number of tokens, three leading tokens and up to eight runs; one generalising template for each leaf.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+x AS (SELECT doc_id, unnest(range(0, len(parts))) AS pos, parts FROM d WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+t AS (SELECT doc_id, pos, list_transform(regexp_split_to_array(trim(translate(parts[pos + 1], chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), ' +'),
+  lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM x),
+s AS (SELECT doc_id, pos, len(w) AS n, array_to_string(w[1:3], ' ') AS lead, array_to_string(w, ' ') AS tmpl, w, len(w) - 3 AS rest, least(len(w) - 3, 8) AS k FROM t WHERE len(w) >= 4),
+r AS (SELECT doc_id, pos, n, lead, tmpl, list_transform(range(0, k), lambda i: array_to_string(w[(4 + (i * rest) // k):(3 + ((i + 1) * rest) // k)], ' ')) AS runs FROM s),
+f AS (SELECT n, lead, tmpl, count(DISTINCT doc_id) AS docs, min({'d': doc_id, 'p': pos}) AS first, any_value(runs) AS runs FROM r GROUP BY n, lead, tmpl),
+o AS (SELECT *, row_number() OVER (PARTITION BY n, lead ORDER BY docs DESC, first.d, first.p) AS rn FROM f),
+m AS (SELECT a.n, a.lead, a.tmpl, c.tmpl AS into_tmpl FROM o a JOIN o c ON a.n = c.n AND a.lead = c.lead AND c.rn = 1 AND a.rn > 1
+  WHERE len(list_filter(range(1, len(a.runs) + 1), lambda i: a.runs[i] = c.runs[i])) >= 0.7 * len(a.runs)),
+g AS (SELECT r.doc_id, r.pos, r.n, r.lead, coalesce(m.into_tmpl, r.tmpl) AS tmpl FROM r LEFT JOIN m ON m.n = r.n AND m.lead = r.lead AND m.tmpl = r.tmpl),
+c AS (SELECT n, lead, tmpl, min(doc_id) AS first FROM g GROUP BY n, lead, tmpl HAVING count(DISTINCT doc_id) >= 2),
+z AS (SELECT g.doc_id, list_sort(list(DISTINCT g.pos)) AS dropped FROM g JOIN c ON g.n = c.n AND g.lead = c.lead AND g.tmpl = c.tmpl WHERE g.doc_id <> c.first GROUP BY g.doc_id)
+SELECT d.doc_id, len(d.parts) AS n_lines, coalesce(z.dropped, []) AS dropped,
+  md5(array_to_string(list_transform(list_filter(range(1, len(d.parts) + 1), lambda i: NOT list_contains(coalesce(z.dropped, []), i - 1)), lambda i: d.parts[i]), chr(10))) AS text_md5
+FROM d LEFT JOIN z ON z.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_embedding_neardup": OP4_SQL, "op5_minhash": OP5_SQL}
+    return {"op3_sharding": OP3_SQL, "op8_line_dedup": OP8_SQL, "op1_warc": OP1_SQL, "op4_embedding_neardup": OP4_SQL, "op5_minhash": OP5_SQL}
