@@ -37,6 +37,11 @@ def _tokens(line: Column) -> Column:
     return F.split(masked, " +")
 
 
+def holds_lines(text: Column, min_tokens: int = 4) -> Column:
+    """Whether any line has enough tokens to be looked at."""
+    return F.exists(F.split(text, "\n"), lambda line: F.size(_tokens(line)) >= max(min_tokens, LEAD))
+
+
 def template_lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
     """(doc, key, pos, leaf, tmpl, runs) of each line that may be dropped; key tells apart texts of one id."""
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import embeddings, langid, licenses, lines, sharding, tokenfiles, warc
+from . import decontaminate, embeddings, langid, licenses, lines, sharding, tokenfiles, warc
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack
@@ -21,6 +21,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a benchmark item contaminates, a row for each such item."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_words", "matched", "coverage", F.size("tiles").cast("long").alias("n_tiles"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen arrivals, compacted and read back."""
     docs = table(spark, sf_dir, "documents")
@@ -63,7 +69,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_warc, op3_sharding, op4_embedding_neardup, op5_minhash, op6_token_counts, op7_language_id, op8_line_dedup, op9_license_scan, op10_best_fit_packing]
+    own = [op1_warc, op2_decontamination, op3_sharding, op4_embedding_neardup, op5_minhash, op6_token_counts, op7_language_id, op8_line_dedup, op9_license_scan, op10_best_fit_packing]
     return {f.__name__: _shipped(f) for f in own}
 
 
