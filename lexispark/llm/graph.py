@@ -2,16 +2,45 @@
 
 Alternates the two star operations of Kiveris et al. (2014): the large star hangs a node's larger
 neighbours on its smallest one, the small star its smaller ones. Neighbourhood minima are aggregated map-side
-and joined back, so a hub's edges can be split over tasks; no neighbourhood is ever gathered.
+and joined back, so a hub's edges can be split over tasks; no neighbourhood is ever gathered. An edge list that was counted
+to be small (LOCAL edges, 4 MB) is united in one executor task instead, which saves dozens of small shuffles; the
+result is the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: Distinct edges up to which one task unites them.
+LOCAL = 250_000
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find by smaller root over all edges."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = np.fromiter(parent, np.int64, len(parent))
+    roots = np.fromiter((root(x) for x in nodes.tolist()), np.int64, len(parent))
+    for at in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + 100_000]), pa.array(roots[at : at + 100_000])], names=["node", "component_id"])
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u > v). One star operation, again with u > v and no edge twice."""
@@ -31,7 +60,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, local: int = LOCAL) -> DataFrame:
     """(node, component_id): component_id is the smallest node reachable. Only nodes with an edge appear.
 
     edges: columns u, v (any order; loops, nulls and repeats are ignored).
@@ -41,6 +70,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     last = sign(edges)
+    if last[0] <= local:
+        return edges.coalesce(1).mapInArrow(_unite, "node long, component_id long")
     for _ in range(max_rounds):
         if not last[0]:
             break

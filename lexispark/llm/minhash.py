@@ -5,9 +5,9 @@ with a probability equal to the Jaccard similarity, so half the hash evaluations
 a lower variance than two independent minima (Ji et al., 2013). The signature is cut into bands; texts that share a
 band are candidates, and a candidate pair becomes a link only when the full shingle sets are similar enough.
 
-Work is proportional to the texts: texts with equal sets are collapsed first (map-side), a band's texts are compared
-with one representative per round, and only bands that still hold unconnected texts go to the exact all-against-all
-step, which deals blocks of a band over tasks and passes only spanning edges on.
+Work is proportional to the texts: texts with equal sets are collapsed first (map-side); a band's texts are compared
+with one representative per round, unless their sizes alone keep them apart; only bands that still hold unconnected
+texts go to the exact step, which deals blocks of them over tasks and passes only spanning edges on.
 
 Defined cases: null, empty and separator-only texts have an empty set and link with nothing; a text of 1 to k-1 words
 has one shingle, the whole sequence; equal texts link; rows that share an id are one document, linked
@@ -30,7 +30,7 @@ from .kernels import U, common, mix, text_sets
 #: 32 bands of 4 values: a pair at similarity 0.8 is missed with probability (1 - 0.8 ** 4) ** 32 < 5e-8.
 BANDS, ROWS = 32, 4
 #: Texts of a band that meet in one task of the exact step.
-BLOCK = 256
+BLOCK = 1024
 _SEEDS = mix(np.arange(1, BANDS * ROWS // 2 + 1, dtype=U)) | U(1)
 _ADD = mix(np.arange(1001, BANDS * ROWS // 2 + 1001, dtype=U))
 
@@ -106,17 +106,17 @@ def _verify(k: int, percent: int):
 
 
 def _meet(k: int, percent: int):
-    """All texts of a block of unconnected ones against a block of all: one edge for each text and component it reaches."""
+    """Two blocks: texts outside the leading component against all of the other: one edge for each text and component it reaches."""
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, comps = (rows.column(c).to_numpy() for c in ("cls", "comp"))
+        ids, comps, block = (rows.column(c).to_numpy() for c in ("cls", "comp", "own"))
+        within = block.min() == block.max()
         lone = rows.column("lone").to_numpy(zero_copy_only=False)
         sets: list[np.ndarray] = []
         for _, flat, offsets in text_sets(rows.column("text"), k):
             sets += [flat[offsets[i] : offsets[i + 1]] for i in range(len(offsets) - 1)]
         sizes = np.array([len(s) for s in sets], np.int64)
-        rest = np.flatnonzero(~lone)
-        flat, owner = np.concatenate([sets[i] for i in rest] or [np.zeros(0, U)]), np.repeat(rest, sizes[rest])
+        flat, owner = np.concatenate(sets or [np.zeros(0, U)]), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         us, vs = [], []
@@ -125,7 +125,7 @@ def _meet(k: int, percent: int):
             n = hi - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else n
             inter = np.bincount(owner[at], minlength=len(sets))
-            linked = np.flatnonzero((inter > 0) & _alike(inter, sizes[i], sizes, percent) & (comps != comps[i]))
+            linked = np.flatnonzero((inter > 0) & _alike(inter, sizes[i], sizes, percent) & (comps != comps[i]) & (within | (block != block[i])))
             reached = linked[np.unique(comps[linked], return_index=True)[1]]
             us += [ids[i]] * len(reached)
             vs += ids[reached].tolist()
@@ -151,24 +151,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = signed.filter("n_shingles > 0 and id is not null")
 
     # Texts with equal sets become one class, named by its smallest id.
-    classes = sets.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("cls"), F.max("id").alias("most"), F.first("bands").alias("bands"))
+    classes = checkpoint(sets.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("cls"), F.max("id").alias("most"), F.first("bands").alias("bands")))
     copies = sets.select("id", "f1", "f2", "n_shingles").join(classes.filter("most > cls").select("f1", "f2", "n_shingles", "cls"), ["f1", "f2", "n_shingles"])
     links = checkpoint(copies.filter("id <> cls").select(F.col("id").alias("u"), F.col("cls").alias("v")))
 
-    banded = classes.select("cls", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("cls").alias("a"), F.max("cls").alias("z"), F.count("*").alias("n")).filter("a < z")
-    members = checkpoint(banded.join(shared, "band"))
+    banded = classes.select("cls", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min(F.struct("cls", "size")).alias("a"), F.max(F.struct("cls", "size")).alias("z")).filter("a.cls < z.cls")
+    members = checkpoint(banded.join(shared, "band").select("band", "cls", "size", "a", "z"))
+    near = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
     wanted = members.select(F.col("cls").alias("id")).distinct()
     texts = join_checked(plain, wanted, ["id"], "left_semi", 16)
 
-    # First against the smallest text of each band; then, where a band still falls apart, against its largest.
-    found = _text_pairs(members.filter("a <> cls").select("a", F.col("cls").alias("b")).distinct(), texts, k, percent)
-    links = links.unionByName(found)
+    # Alike sets differ in size by 100 / percent at most. First against the smallest text of each band; then, where a band still falls apart, against its largest.
+    first = members.filter((F.col("a.cls") != F.col("cls")) & near(F.col("a.size"), F.col("size"))).select(F.col("a.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    links = links.unionByName(_text_pairs(first, texts, k, percent))
     labelled, is_open = _labelled(members, links)
     if is_open:
-        ends = labelled.groupBy("band").agg(F.max_by("comp", "cls").alias("z_comp"))
-        tried = labelled.join(ends, "band").filter("z_comp <> comp").select(F.col("z").alias("a"), F.col("cls").alias("b")).distinct()
-        tried = tried.join(members.select(F.col("a").alias("b"), F.col("cls").alias("a")).distinct(), ["a", "b"], "left_anti")
+        heads = labelled.groupBy("band").agg(F.max_by("comp", "cls").alias("z_comp"))
+        tried = labelled.join(heads, "band").filter((F.col("z_comp") != F.col("comp")) & near(F.col("z.size"), F.col("size"))).select(F.col("z.cls").alias("a"), F.col("cls").alias("b")).distinct()
+        tried = tried.join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         links = links.unionByName(_text_pairs(tried, texts, k, percent))
         labelled, is_open = _labelled(members, links)
     if is_open:
@@ -191,14 +192,17 @@ def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _exact(labelled: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components that share a band, each text outside the band's leading component against all."""
-    sizes = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sign"))
-    bands = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("lead"), F.sum("n").alias("n"), F.sum("sign").alias("sign"), F.max("n").alias("most"))
-    one = bands.groupBy("sign", "n").agg(F.min("band").alias("band"))  # bands with the same texts are looked at once
-    bands = bands.join(one.select("band"), "band").select("band", "lead", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("lone_blocks"))
-    rows = labelled.select("band", "cls", "comp").join(bands, "band").join(texts.withColumnRenamed("id", "cls"), "cls")
-    block = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
-    lone = rows.filter("comp <> lead").select("*", F.lit(True).alias("lone"), block(F.col("lone_blocks")).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rows.select("*", F.lit(False).alias("lone"), block(F.col("blocks")).alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lone_blocks") - 1)))
-    met = lone.unionByName(rest).select("band", "i", "j", "cls", "comp", "lone", "text")
-    return checkpoint(met.groupBy("band", "i", "j").applyInArrow(_meet(k, percent), "u long, v long").distinct())
+    """Links between components that share a band.
+
+    Bands with the same leading (largest) component are looked at together: every text outside of it against all,
+    in blocks, so that a large component is sent once for each block of such texts and not once for each band.
+    """
+    sizes = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    leads = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("lead_comp"))
+    rows = checkpoint(labelled.join(leads, "band").select(F.col("lead_comp").alias("lead"), "cls", "comp").distinct())
+    counts = rows.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(counts, "lead").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp", (F.col("comp") != F.col("lead")).alias("lone"))
+    met = dealt.join(texts.withColumnRenamed("id", "cls"), "cls")
+    return checkpoint(met.groupBy("lead", "i", "j").applyInArrow(_meet(k, percent), "u long, v long").distinct())
