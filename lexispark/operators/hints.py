@@ -139,7 +139,7 @@ def fuzzy_matches(found: DataFrame, hints: DataFrame) -> DataFrame:
     mine = []
     for shift in (-1, 0, 1):  # the hint's length less the word's
         n_hint = F.char_length("w") + shift
-        first, _ = half(F.col("w"), n_hint)
+        first = F.substring(F.col("w"), F.lit(1), F.floor(n_hint / 2).cast("int"))
         mine.append(F.struct(F.lit(shift).alias("s"), F.lit("a").alias("side"), n_hint.alias("n"), first.alias("part")))
         length = F.greatest(n_hint - F.floor(n_hint / 2) - 1, F.lit(0)).cast("int")
         last = F.when(length > 0, F.right(F.col("w"), length)).otherwise("")

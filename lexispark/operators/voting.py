@@ -104,8 +104,8 @@ def custom_vote(vote: Callable[[list[dict]], dict[str, float]]) -> Strategy:
 
     def run(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            scores = vote(pdf.to_dict("records"))
-            return pd.DataFrame({"id": [pdf["id"].iloc[0]] * len(scores), "lang": list(scores), "score": [float(x) for x in scores.values()]})
+            scores = vote([dict(zip(pdf.columns, r, strict=True)) for r in pdf.itertuples(index=False)])
+            return pd.DataFrame({"id": pd.Series([pdf["id"].iloc[0]] * len(scores), dtype="int64"), "lang": pd.Series(list(scores), dtype=object), "score": pd.Series(list(scores.values()), dtype="float64")})
 
         return results.groupBy("id").applyInPandas(one, "id long, lang string, score double")
 

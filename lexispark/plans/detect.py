@@ -38,13 +38,17 @@ def detect(texts: DataFrame, config: Config | None = None, hints: DataFrame | No
     hints: (word, lang). boosts: (id, lang, boost) of a conversation's context.
     """
     config = config or Config()
+    # Unions of branches with different partitionings are zipped wrongly when Spark 4.1 keeps their partitioning.
+    texts.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     if config.once_per_text and boosts is None:
         return fusion.once_per_text(texts, lambda t: _detect(t, config, hints, None, top_k)).select(*RESULT)
     return _detect(texts, config, hints, boosts, top_k)
 
 
 def _detect(texts: DataFrame, config: Config, hints: DataFrame | None, boosts: DataFrame | None, top_k: int) -> DataFrame:
-    rows = prepared(texts, config)
+    # What is known before the backends is used by many branches; it is kept once, in memory and beyond that on disk,
+    # since Spark would put the expressions into each branch. clearCache() frees it.
+    rows = prepared(texts, config).persist()
     empty = F.lit(None).cast("array<struct<lang:string,confidence:double,backend_votes:map<string,double>>>")
     name = config.backends[0] if len(config.backends) == 1 and isinstance(config.backends[0], str) else "ensemble"
     gated = rows.filter("reason is not null").select("id", F.lit(config.unknown_label).alias("lang"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("raw_score"), F.lit(False).alias("reliable"), F.lit(None).cast("string").alias("script"), F.lit(None).cast("string").alias("backend"), "reason", empty.alias("candidates"))

@@ -1,0 +1,274 @@
+"""Queries on whole detection, hints, confusion, code switching, evaluation, sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import backends as B
+from ..operators import codeswitch as CS
+from ..operators import confusion as C
+from ..operators import evaluate as E
+from ..operators import hints as H
+from ..plans.config import Config
+from ..plans.detect import detect
+from ..sources import files
+from . import query, quoted, table, values
+from .scalars import W, _gate_sql, normal_sql
+from .votes import _HINTS, HINTS, LEX, _SOFT, VOTES, _rounded, votes
+from ..operators import voting as V
+
+PLAIN = Config(backends=("lexicon",), filter_proper_nouns=False)
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+#: Detection with the lexicon alone: normalise, gate, share of function words, threshold after normalising by the greatest.
+_DETECT = rf"""WITH t AS (SELECT doc_id AS id, lang AS expected, source, {normal_sql('text')} AS p FROM documents), n AS (SELECT *, length(regexp_replace(p, '\P{{L}}', '', 'g')) AS n FROM t),
+g AS (SELECT id, expected, source, p, {_gate_sql('default')} AS reason FROM n),
+tok AS (SELECT id, unnest(regexp_extract_all(lower(p), '[{W}]+')) AS word FROM g WHERE reason IS NULL),
+hit AS (SELECT id, language, count(*) AS n FROM tok JOIN {LEX} ON lex.word = tok.word GROUP BY ALL),
+top AS (SELECT id, language, n / sum(n) OVER (PARTITION BY id) AS raw FROM hit QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, language) = 1),
+det AS (SELECT g.id, g.expected, g.source, CASE WHEN top.id IS NULL THEN 'und' ELSE top.language END AS lang, CASE WHEN top.id IS NULL THEN 0 ELSE 1 END::DOUBLE AS confidence, top.id IS NOT NULL AS reliable,
+  CASE WHEN g.reason IS NOT NULL THEN g.reason WHEN top.id IS NULL THEN 'low_confidence' END AS reason FROM g LEFT JOIN top ON top.id = g.id)"""
+
+
+@query(_DETECT + " SELECT id, lang, confidence, reliable, reason FROM det")
+def src01_detect(spark, sf_dir):
+    """The whole plan with the lexicon as its one backend."""
+    return detect(_docs(spark, sf_dir), PLAIN).select("id", "lang", "confidence", "reliable", "reason")
+
+
+@query()
+def src05_ensemble(spark, sf_dir):
+    """The whole plan with defaults: nouns filtered, several backends, weighted vote, three candidates."""
+    out = detect(_docs(spark, sf_dir), Config(backends=("lexicon", "script")), hints=spark.createDataFrame(HINTS, "word string, lang string"), top_k=3)
+    return out.select("id", "lang", "confidence", "reliable", "script", "backend", "reason", F.size("candidates").alias("n_candidates"))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("expected"), "source")
+    return detect(_docs(spark, sf_dir), PLAIN).select("id", "lang").join(docs, "id")
+
+
+_RIGHT = "count(*) FILTER (lang = expected AND lang <> 'und')"
+
+
+@query(_DETECT + f" SELECT count(*) AS samples, count(*) FILTER (lang <> 'und') AS evaluated, count(*) FILTER (lang = 'und') AS unknown_count, {_RIGHT} AS correct, round({_RIGHT} / count(*) FILTER (lang <> 'und') * 100, 4) AS accuracy FROM det")
+def evl02_accuracy(spark, sf_dir):
+    return E.accuracy(_evaluated(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 4))
+
+
+@query(_DETECT + f" SELECT expected, count(*) AS total, {_RIGHT} AS correct, round({_RIGHT} / count(*) * 100, 4) AS accuracy FROM det GROUP BY expected HAVING count(*) >= 5 ORDER BY accuracy DESC, expected LIMIT 10")
+def evl03_per_language(spark, sf_dir):
+    return E.per_language(_evaluated(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 4))
+
+
+@query(_DETECT + f" SELECT source, count(*) AS samples, count(*) FILTER (lang <> 'und') AS evaluated, count(*) FILTER (lang = 'und') AS unknown_count, {_RIGHT} AS correct, round(coalesce({_RIGHT} / nullif(count(*) FILTER (lang <> 'und'), 0) * 100, 0), 4) AS accuracy FROM det GROUP BY source")
+def evl05_by_category(spark, sf_dir):
+    return E.accuracy(_evaluated(spark, sf_dir), "source").withColumn("accuracy", F.round("accuracy", 4))
+
+
+@query(_DETECT + " SELECT source, lang, count(*) AS n FROM det GROUP BY ROLLUP (source, lang)")
+def evl07_histogram(spark, sf_dir):
+    return E.histogram(_evaluated(spark, sf_dir), "source")
+
+
+@query(_DETECT + " SELECT expected, lang, count(*) AS n FROM det GROUP BY ALL")
+def evl_confusion_matrix(spark, sf_dir):
+    return E.confusion_matrix(_evaluated(spark, sf_dir))
+
+
+@query(_DETECT + " SELECT det.lang, l.quality, l.toxic, count(*) AS n FROM det JOIN labels l ON l.doc_id = det.id GROUP BY ALL")
+def evl_quality_by_language(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
+    return detect(_docs(spark, sf_dir), PLAIN).select("id", "lang").join(labels, "id").groupBy("lang", "quality", "toxic").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IN ('fr', 'de') ORDER BY doc_id LIMIT 20")
+def evl04_sample(spark, sf_dir):
+    """A sample of allowed labels; its limit is the feature."""
+    return table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "de")).select("doc_id", "lang").orderBy("doc_id").limit(20)
+
+
+_TOKENS = rf"ht AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[{W}]+')) AS token FROM documents)"
+
+
+@query(f"WITH {_TOKENS} SELECT lower(token) AS word, count(*) AS n, count(DISTINCT id) AS docs FROM ht GROUP BY lower(token)")
+def hnt03_tokens(spark, sf_dir):
+    return H.tokens(_docs(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
+
+
+_HITS = f"WITH {_TOKENS}, hh AS (SELECT id, lang, count(*) AS n FROM ht JOIN {_HINTS} ON h.word = lower(token) GROUP BY ALL)"
+
+
+@query(_HITS + " SELECT id, lang, round(n / sum(n) OVER (PARTITION BY id) * 0.8, 6) AS score FROM hh")
+def hnt04_lookup_all(spark, sf_dir):
+    return _rounded(H.lookup_all(_docs(spark, sf_dir), spark.createDataFrame(HINTS, "word string, lang string")))
+
+
+#: The SQL function counts bytes; accented letters of the corpus become single ones first.
+_SINGLE = "translate(%s, 'áéíóúüñçàèìòùâêîôûäößëïœæ', 'ABCDEFGHIJKLMNOPQRSTUVWXY')"
+
+
+@query(_HITS + f""", ex AS (SELECT id, lang, n FROM hh QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, lang) = 1),
+ws AS (SELECT DISTINCT lower(token) AS word FROM ht WHERE id NOT IN (SELECT id FROM ex) AND length(token) >= 3),
+fz AS (SELECT ws.word, arg_min(h.lang, h.word) AS lang FROM ws, {_HINTS} WHERE length(h.word) >= 3 AND levenshtein({_SINGLE % 'ws.word'}, {_SINGLE % 'h.word'}) <= 1 GROUP BY ws.word),
+fc AS (SELECT id, lang, count(*) AS n FROM ht JOIN fz ON fz.word = lower(token) WHERE id NOT IN (SELECT id FROM ex) GROUP BY ALL)
+SELECT id, lang, round(least(0.8 + least(n * 0.05, 0.15), 1), 6)::DOUBLE AS confidence, 'exact' AS kind FROM ex
+UNION ALL SELECT id, lang, round(0.8 * 0.7, 6)::DOUBLE, 'fuzzy' FROM fc QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, lang) = 1""")
+def hnt05_08_lookup(spark, sf_dir):
+    out = H.lookup(_docs(spark, sf_dir), spark.createDataFrame(HINTS, "word string, lang string"))
+    return out.select("id", "lang", F.round("confidence", 6).alias("confidence"), "kind")
+
+
+_MORE = [("the", "xx"), ("neu", "de")]
+
+
+@query(f"WITH a AS (SELECT * FROM {_HINTS}), b AS (SELECT * FROM {values(_MORE, 'm(word, lang)')}) SELECT word, lang FROM b UNION ALL SELECT word, lang FROM a WHERE word NOT IN (SELECT word FROM b)")
+def hnt09_merge(spark, sf_dir):
+    return H.merge_tables(spark.createDataFrame(HINTS, "word string, lang string"), spark.createDataFrame(_MORE, "word string, lang string")).select("word", "lang")
+
+
+@query(f"SELECT lang, count(*) AS n, string_agg(word, ' ' ORDER BY word) AS words FROM {_HINTS} GROUP BY lang")
+def hnt10_items(spark, sf_dir):
+    hints = H.Hints(dict(HINTS)).dataframe(spark)
+    return hints.groupBy("lang").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words"))
+
+
+_PAIRS = sorted({lang for own in C.FAMILIES.values() for lang in own.split()} | {"hu", "en"})
+_FAM = values([(i, f, lang) for i, (f, own) in enumerate(C.FAMILIES.items()) for lang in own.split()], "f(ord, family, lang)")
+_LANGS = values([(x,) for x in _PAIRS], "l(lang)")
+_GROUP = values([(i, lang) for i, g in enumerate(C.GROUPS) for lang in g], "g(group_id, lang)")
+
+
+@query(f"SELECT l.lang, arg_min(f.family, f.ord) AS family FROM {_LANGS} LEFT JOIN {_FAM} ON f.lang = l.lang GROUP BY l.lang")
+def cnf04_family(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in _PAIRS], "lang string").select("lang", C.family(F.col("lang")).alias("family"))
+
+
+@query(f"SELECT DISTINCT a.lang, b.lang AS related FROM {_FAM.replace('f(', 'a(')} JOIN {_FAM.replace('f(', 'b(')} ON a.family = b.family AND a.lang <> b.lang WHERE a.lang IN (SELECT lang FROM {_LANGS})")
+def cnf06_related(spark, sf_dir):
+    return C.related_languages(spark.createDataFrame([(x,) for x in _PAIRS], "lang string"))
+
+
+@query(f"""WITH p AS (SELECT a.lang AS a, b.lang AS b FROM {_LANGS.replace('l(', 'a(')}, {_LANGS.replace('l(', 'b(')}),
+r AS (SELECT DISTINCT x.lang AS a, y.lang AS b FROM {_FAM.replace('f(', 'x(')} JOIN {_FAM.replace('f(', 'y(')} ON x.family = y.family),
+k AS (SELECT x.lang AS a, y.lang AS b FROM {_GROUP.replace('g(', 'x(')} JOIN {_GROUP.replace('g(', 'y(')} ON x.group_id = y.group_id AND x.lang <> y.lang WHERE x.group_id IN (SELECT group_id FROM {_GROUP} GROUP BY group_id HAVING count(*) = 2))
+SELECT p.a, p.b, r.a IS NOT NULL AS related, (CASE WHEN p.a = p.b THEN 1.0 WHEN k.a IS NOT NULL THEN 0.9 WHEN r.a IS NOT NULL THEN 0.6 ELSE 0.0 END)::DOUBLE AS similarity
+FROM p LEFT JOIN r ON r.a = p.a AND r.b = p.b LEFT JOIN k ON k.a = p.a AND k.b = p.b""")
+def cnf05_07_similarity(spark, sf_dir):
+    a = spark.createDataFrame([(x,) for x in _PAIRS], "a string")
+    pairs = a.crossJoin(a.withColumnRenamed("a", "b"))  # of a fixed list of languages
+    return pairs.select("a", "b", C.are_related(F.col("a"), F.col("b")).alias("related"), C.similarity(F.col("a"), F.col("b")).alias("similarity"))
+
+
+@query(f"SELECT group_id, lang, count(*) AS features, sum(w)::BIGINT AS listed FROM (SELECT group_id, lang, feature, count(*) AS w FROM {values([(i, lang, f) for i, g in enumerate(C.GROUPS) for lang, own in g.items() for f in own.split(',')], 'x(group_id, lang, feature)')} GROUP BY ALL) GROUP BY group_id, lang")
+def cnf01_03_features(spark, sf_dir):
+    return C.features(spark).groupBy("group_id", "lang").agg(F.count("*").alias("features"), F.sum("weight").alias("listed"))
+
+
+_FEATURES = values([(lang, f) for lang, own in C.GROUPS[0].items() for f in own.split(",")], "x(lang, feature)")
+#: Scores of Spanish and Portuguese that are close together for two thirds of the documents.
+_CLOSE = "cs AS (SELECT doc_id AS id, 'es' AS lang, 0.45 AS score FROM documents UNION ALL SELECT doc_id, 'pt', 0.45 - (doc_id % 3) * 0.1 FROM documents)"
+
+
+@query(f"""WITH {_CLOSE}, ok AS (SELECT id FROM cs GROUP BY id HAVING round(max(score) - min(score), 9) <= 0.15),
+hi AS (SELECT d.doc_id AS id, x.lang, count(*) AS n FROM documents d JOIN ok ON ok.id = d.doc_id, {_FEATURES} WHERE contains(lower(d.text), x.feature) GROUP BY ALL),
+bo AS (SELECT id, lang, n / sum(n) OVER (PARTITION BY id) * 0.2 AS b FROM hi)
+SELECT cs.id, cs.lang, round(least(cs.score + coalesce(bo.b, 0), 1), 6)::DOUBLE AS score FROM cs LEFT JOIN bo ON bo.id = cs.id AND bo.lang = cs.lang""")
+def cnf02_resolve(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    scores = docs.select("id", F.explode(F.array(F.struct(F.lit("es").alias("lang"), F.lit(0.45).alias("score")), F.struct(F.lit("pt").alias("lang"), (F.lit(0.45) - (F.col("id") % 3) * 0.1).alias("score")))).alias("x")).select("id", "x.*")
+    return _rounded(C.resolve(scores, docs))
+
+
+_SPANS = rf"""sp AS (SELECT conv_id * 1000 + turn AS id, text, regexp_extract_all(text, '[{W}]+|[^{W}]+') AS parts FROM conversations),
+un AS (SELECT id, unnest(parts) AS text, unnest(range(0, len(parts))) AS i FROM sp),
+pl AS (SELECT id, i, text, coalesce(sum(length(text)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM un),
+ws AS (SELECT id, i, text, start::INT AS start, (start + length(text))::INT AS stop FROM pl WHERE regexp_matches(text, '^[{W}]') AND length(text) >= 3)"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+
+
+@query(f"WITH {_SPANS} SELECT id, text, start, stop AS \"end\" FROM ws")
+def csw01_word_spans(spark, sf_dir):
+    return CS.word_spans(_turns(spark, sf_dir)).select("id", "text", "start", "end")
+
+
+_SEGMENTED = rf"""sg AS (SELECT conv_id * 1000 + turn AS id, string_split(regexp_replace(text, '({CS.SEGMENTS})', chr(1) || '\1' || chr(1), 'g'), chr(1)) AS parts FROM conversations),
+un AS (SELECT id, unnest(parts) AS raw, unnest(range(0, len(parts))) AS i FROM sg),
+pl AS (SELECT id, i, raw, coalesce(sum(length(raw)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM un),
+ws AS (SELECT id, i, regexp_replace(raw, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS text, (place + length(raw) - length(regexp_replace(raw, '^[\s\p{{Z}}]+', '')))::INT AS start FROM pl WHERE i % 2 = 0)"""
+
+
+@query(f"WITH {_SEGMENTED} SELECT id, text, start, (start + length(text))::INT AS \"end\" FROM ws WHERE length(text) >= 3")
+def csw02_segments(spark, sf_dir):
+    return CS.segments(_turns(spark, sf_dir)).select("id", "text", "start", "end")
+
+
+_SUMMED = rf"""dt AS (SELECT DISTINCT text FROM ws WHERE length(text) >= 3), tk AS (SELECT text, unnest(regexp_extract_all(lower(text), '[{W}]+')) AS word FROM dt),
+hi AS (SELECT text, language, count(*) AS n FROM tk JOIN {LEX} ON lex.word = tk.word GROUP BY ALL),
+de AS (SELECT text, language, n / sum(n) OVER (PARTITION BY text) AS c FROM hi QUALIFY row_number() OVER (PARTITION BY text ORDER BY n DESC, language) = 1),
+fo AS (SELECT ws.id, ws.text, de.language, de.c FROM ws JOIN de ON de.text = ws.text WHERE c >= 0.6),
+co AS (SELECT id, language, {{size}} AS n, sum(c) AS c, count(*) AS k FROM fo GROUP BY ALL),
+sh AS (SELECT *, n / sum(n) OVER (PARTITION BY id) AS share, row_number() OVER (PARTITION BY id ORDER BY n DESC, language) AS rn FROM co),
+su AS (SELECT id, bool_or(rn = 2 AND share >= 0.15) AS is_mixed, max(language) FILTER (rn = 1) AS p, string_agg(language, ' ' ORDER BY rn) FILTER (rn > 1) AS s, sum(c) / sum(k) AS c FROM sh GROUP BY id)
+SELECT conv_id * 1000 + turn AS id, coalesce(is_mixed, false) AS is_mixed, coalesce(p, 'und') AS primary_language, coalesce(s, '') AS secondary, round(coalesce(su.c, 0), 6) AS confidence
+FROM conversations LEFT JOIN su ON su.id = conv_id * 1000 + turn"""
+
+
+def _summary(out: DataFrame) -> DataFrame:
+    return out.select("id", "is_mixed", "primary_language", F.array_join("secondary_languages", " ").alias("secondary"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {_SPANS}, " + _SUMMED.replace("{size}", "count(*)"))
+def csw03_05_words(spark, sf_dir):
+    return _summary(CS.detect(_turns(spark, sf_dir), B.lexicon))
+
+
+@query(f"WITH {_SEGMENTED}, " + _SUMMED.replace("{size}", "sum(length(text))"))
+def csw04_segments(spark, sf_dir):
+    return _summary(CS.detect(_turns(spark, sf_dir), B.lexicon, level="segment"))
+
+
+_MIXED = [(-1, "this is so loco today"), (-2, "c'est very nice"), (-3, "das ist so nice"), (-4, "I tengo hunger"), (-5, "tu kal will come"), (-6, "plain text"), (-7, "SEHR COOL man"), (-8, "la casa is big")]
+_PATTERN = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), {quoted(CS.pattern(own))}) THEN '{a}-{b}'" for a, b, own in CS.PATTERNS) + " END"
+
+
+@query(f"SELECT id, {_PATTERN} AS pair FROM (SELECT conv_id * 1000 + turn AS id, text FROM conversations UNION ALL SELECT id, text FROM {values(_MIXED, 'm(id, text)')})")
+def csw07_patterns(spark, sf_dir):
+    texts = _turns(spark, sf_dir).unionByName(spark.createDataFrame(_MIXED, "id long, text string"))
+    pair = CS.switching_pattern(F.col("text"))
+    return texts.select("id", F.when(pair.isNotNull(), F.concat_ws("-", pair["a"], pair["b"])).alias("pair"))
+
+
+@query(_DETECT + """ SELECT id, '{"text":' || to_json(substr(d.text, 1, 50)) || ',"lang":"' || det.lang || '","confidence":' || CASE WHEN confidence = 1 THEN '1.0' ELSE '0.0' END || coalesce(',"reason":"' || reason || '"', '') || '}' AS value FROM det JOIN documents d ON d.doc_id = det.id""")
+def snk03_jsonl(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return files.jsonl(docs, detect(docs, PLAIN))
+
+
+@query(_DETECT + """ SELECT id, '{"lang":"' || lang || '","confidence":' || CASE WHEN confidence = 1 THEN '1.0' ELSE '0.0' END || ',"reliable":' || reliable || coalesce(',"reason":"' || reason || '"', '') || '}' AS value FROM det""")
+def snk01_to_dict(spark, sf_dir):
+    out = detect(_docs(spark, sf_dir), PLAIN).withColumns({"script": F.lit(None).cast("string"), "backend": F.lit(None).cast("string")})
+    return out.select("id", files.result_json(out).alias("value"))
+
+
+@query(VOTES + f", {_SOFT} SELECT d.lang AS expected, sc.lang, count(*) AS n, round(sum(score), 4) AS mass FROM sc JOIN documents d ON d.doc_id = sc.id GROUP BY ALL")
+def evl_soft_mass(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("expected"))
+    return V.soft_vote(votes(spark, sf_dir)).join(docs, "id").groupBy("expected", "lang").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("mass"))
+
+
+@query(_DETECT.replace("FROM documents)", "FROM pages)", 1).replace("doc_id AS id, lang AS expected, source, ", "page_id AS id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS expected, '' AS source, ").replace(normal_sql("text"), normal_sql("regexp_replace(html, '<[^>]*>', ' ', 'g')")) + " SELECT id, expected, lang, reason FROM det")
+def nrm_page_language(spark, sf_dir):
+    """Pages without their markup, against the language that they declare."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_replace("html", "<[^>]*>", " ").alias("text"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("expected"))
+    return detect(pages, PLAIN).select("id", "lang", "reason").join(pages.select("id", "expected"), "id")
+
+

@@ -1,0 +1,259 @@
+"""Queries on backends, voting, tie-breaking and fusion.
+
+The votes are cast by three backends of one kind: function words among every third token, each from another start.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import backends as B
+from ..operators import fusion
+from ..operators import voting as V
+from . import query, table, values
+from .scalars import W
+
+NAMES = ["fasttext", "lingua", "langdetect"]
+_LEX = sorted({(w, lang) for lang, own in B.LEXICON.items() for w in own.split()})
+LEX = values(_LEX, "lex(word, language)")
+REL = values(sorted(B.RELIABILITY.items()), "rel(backend_name, r)")
+
+#: Common tables of the SQL forms: br has a row per document and backend, pr a row per language with a probability.
+VOTES = rf"""WITH tk AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[{W}]+') AS ws FROM documents),
+tok AS (SELECT id, unnest(ws) AS word, unnest(range(0, len(ws))) % 3 AS k FROM tk),
+hit AS (SELECT id, k, language, count(*) AS n FROM tok JOIN {LEX} ON lex.word = tok.word GROUP BY ALL),
+pr AS (SELECT id, k, language AS lang, n / sum(n) OVER (PARTITION BY id, k) AS p, row_number() OVER (PARTITION BY id, k ORDER BY n DESC, language) AS rn FROM hit),
+br AS (SELECT d.doc_id AS id, b.k, b.backend_name, coalesce(pr.lang, 'unknown') AS language, coalesce(pr.p, 0) AS confidence, coalesce(pr.p, 0) > 0.5 AS is_reliable
+  FROM documents d CROSS JOIN (VALUES (0, 'fasttext'), (1, 'lingua'), (2, 'langdetect')) AS b(k, backend_name) LEFT JOIN pr ON pr.id = d.doc_id AND pr.k = b.k AND pr.rn = 1)"""
+
+
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    lexicon = spark.createDataFrame(_LEX, "word string, language string")
+    tokens = docs.select("id", F.posexplode(B.words(F.col("text"))).alias("pos", "word"))
+    hits = tokens.join(F.broadcast(lexicon), "word").groupBy("id", (F.col("pos") % 3).alias("k"), "language").agg(F.count("*").alias("n"))
+    probs = hits.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("id", "k")))
+    best = probs.groupBy("id", "k").agg(F.max_by("language", F.struct("p", B._descending("language"))).alias("language"), F.max("p").alias("confidence"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "p")))).alias("probs"))
+    each = docs.select("id", F.posexplode(F.array(*map(F.lit, NAMES))).alias("k", "backend_name"))
+    out = each.join(best, ["id", "k"], "left")
+    confidence = F.coalesce("confidence", F.lit(0.0))
+    return out.select("id", "backend_name", F.coalesce("language", F.lit("unknown")).alias("language"), confidence.alias("confidence"), F.coalesce("probs", F.create_map().cast("map<string,double>")).alias("all_probabilities"), (confidence > 0.5).alias("is_reliable"))
+
+
+def _rounded(scores: DataFrame) -> DataFrame:
+    return scores.select("id", "lang", F.round("score", 6).alias("score"))
+
+
+@query(VOTES + " SELECT id, backend_name, language, round(confidence, 6) AS confidence, is_reliable FROM br")
+def bkd13_run_all(spark, sf_dir):
+    return votes(spark, sf_dir).select("id", "backend_name", "language", F.round("confidence", 6).alias("confidence"), "is_reliable")
+
+
+@query(VOTES.replace("% 3 AS k", "* 0 AS k") + " SELECT d.doc_id AS id, 'lexicon' AS backend_name, coalesce(pr.lang, 'unknown') AS language, round(coalesce(pr.p, 0), 6) AS confidence, coalesce(pr.p, 0) > 0.5 AS is_reliable FROM documents d LEFT JOIN pr ON pr.id = d.doc_id AND pr.rn = 1")
+def bkd_lexicon(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return B.lexicon(docs).select("id", "backend_name", "language", F.round("confidence", 6).alias("confidence"), "is_reliable")
+
+
+#: Trigrams of the first 500 code points, which is the backends' parameter HEAD; a fifth of the texts is kept out by a hash of the text.
+_GRAMS = rf"""WITH d AS (SELECT doc_id AS id, lang, ' ' || trim(regexp_replace(lower(substr(text, 1, {B.HEAD})), '\P{{L}}+', ' ', 'g')) || ' ' AS p, ('0x' || substr(md5(text), 1, 6))::BIGINT % 5 AS fold FROM documents),
+g AS (SELECT id, lang, fold, unnest(list_transform(range(1, greatest(length(p) - 2, 1) + 1), lambda i: substr(p, i, 3))) AS gram FROM d),
+c AS (SELECT lang AS language, gram, count(*) AS n FROM g WHERE fold <> 0 GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY n DESC, gram) AS rank FROM c QUALIFY rank <= 2000),
+tot AS (SELECT language, sum(n) AS total FROM m GROUP BY language), voc AS (SELECT DISTINCT gram FROM m)"""
+
+
+def _folded(spark: SparkSession, sf_dir: str):
+    docs = table(spark, sf_dir, "documents")
+    fold = F.conv(F.substring(F.md5("text"), 1, 6), 16, 10).cast("long") % 5
+    texts = docs.select(F.col("doc_id").alias("id"), "text", "lang", fold.alias("fold"))
+    return texts, B.train_ngrams(texts.filter("fold <> 0"))
+
+
+@query(_GRAMS + """, t AS (SELECT voc.gram, tot.language, ln((coalesce(m.n, 0) + 1) / (tot.total + (SELECT count(*) FROM voc))) AS lp FROM voc CROSS JOIN tot LEFT JOIN m ON m.gram = voc.gram AND m.language = tot.language),
+s AS (SELECT id, language, sum(lp) AS s FROM g JOIN t ON t.gram = g.gram GROUP BY ALL),
+e AS (SELECT id, language, exp(s - max(s) OVER (PARTITION BY id)) AS e, s FROM s),
+r AS (SELECT id, language, e / sum(e) OVER (PARTITION BY id) AS p, row_number() OVER (PARTITION BY id ORDER BY s DESC, language) AS rn FROM e)
+SELECT doc_id AS id, coalesce(r.language, 'unknown') AS language, round(coalesce(r.p, 0), 4) AS confidence FROM documents d LEFT JOIN r ON r.id = d.doc_id AND r.rn = 1""")
+def bkd_ngram_nb(spark, sf_dir):
+    texts, model = _folded(spark, sf_dir)
+    return B.ngram_nb(texts, model).select("id", "language", F.round("confidence", 4).alias("confidence"))
+
+
+@query(_GRAMS + """, k AS (SELECT id, gram, count(*) AS c FROM g GROUP BY ALL), o AS (SELECT id, gram, row_number() OVER (PARTITION BY id ORDER BY c DESC, gram) AS place FROM k QUALIFY place <= 300),
+z AS (SELECT id, count(*) AS kinds FROM o GROUP BY id),
+n AS (SELECT o.id, m.language, sum(300 - least(abs(o.place - m.rank), 300)) AS near FROM o JOIN m ON m.gram = o.gram AND m.rank <= 300 GROUP BY ALL),
+r AS (SELECT n.id, language, near / (kinds * 300) AS p, row_number() OVER (PARTITION BY n.id ORDER BY near DESC, language) AS rn FROM n JOIN z ON z.id = n.id)
+SELECT doc_id AS id, coalesce(r.language, 'unknown') AS language, round(coalesce(r.p, 0), 6) AS confidence FROM documents d LEFT JOIN r ON r.id = d.doc_id AND r.rn = 1""")
+def bkd_ngram_rank(spark, sf_dir):
+    texts, model = _folded(spark, sf_dir)
+    return B.ngram_rank(texts, model).select("id", "language", F.round("confidence", 6).alias("confidence"))
+
+
+@query(VOTES + f" SELECT br.id, br.backend_name, rel.r AS reliability FROM br JOIN {REL} ON rel.backend_name = br.backend_name WHERE br.language <> 'unknown'")
+def bkd12_reliability(spark, sf_dir):
+    rows = votes(spark, sf_dir).filter("language <> 'unknown'")
+    return rows.join(F.broadcast(B.backend_dimension(spark)), "backend_name").select("id", "backend_name", "reliability")
+
+
+_RAW = [(1, "x", "EN", 0.9, None), (2, "x", "", 0.1, None), (3, "x", None, 0.2, "fr"), (4, "x", "De ", 0.7, "de")]
+
+
+@query("SELECT id, language, own::DOUBLE AS own FROM (VALUES (1, 'en', 0.9), (2, 'unknown', NULL), (3, 'unknown', NULL), (4, 'de', 0.25)) AS t(id, language, own)")
+def bkd02_normalized(spark, sf_dir):
+    rows = spark.createDataFrame(_RAW, "id int, backend_name string, language string, confidence double, other string")
+    probs = F.when(F.col("other").isNotNull(), F.create_map(F.col("other"), F.lit(0.25)))
+    out = B.normalized(rows.withColumn("all_probabilities", probs).drop("other"))
+    return out.select("id", "language", F.try_element_at("all_probabilities", F.col("language")).alias("own"))
+
+
+def _hard(weight: str) -> str:
+    return VOTES + f""", a AS (SELECT *, {weight} AS w, bool_or(is_reliable) OVER (PARTITION BY id) AS sure FROM br),
+s AS (SELECT id, language AS lang, sum(w) AS w FROM a WHERE (is_reliable OR NOT sure) AND language <> 'unknown' GROUP BY ALL)
+SELECT id, lang, round(w / sum(w) OVER (PARTITION BY id), 6) AS score FROM s"""
+
+
+@query(_hard("1.0"))
+def vot01_hard(spark, sf_dir):
+    return _rounded(V.hard_vote(votes(spark, sf_dir)))
+
+
+_WEIGHTS = {"fasttext": 3.0, "lingua": 1.0}
+_W = "CASE backend_name WHEN 'fasttext' THEN 3.0 WHEN 'lingua' THEN 1.0 ELSE 1.0 END"
+
+
+@query(_hard(_W))
+def vot02_hard_weighted(spark, sf_dir):
+    return _rounded(V.hard_vote(votes(spark, sf_dir), _WEIGHTS))
+
+
+@query(VOTES + " SELECT id, lang, round(sum(p) / 3, 6) AS score FROM pr GROUP BY id, lang")
+def vot03_soft(spark, sf_dir):
+    return _rounded(V.soft_vote(votes(spark, sf_dir)))
+
+
+@query(VOTES + " SELECT id, lang, round(sum(p * CASE k WHEN 0 THEN 3.0 ELSE 1.0 END) / 5, 6) AS score FROM pr GROUP BY id, lang")
+def vot04_soft_weighted(spark, sf_dir):
+    return _rounded(V.soft_vote(votes(spark, sf_dir), _WEIGHTS))
+
+
+def _weighted(weight: str) -> str:
+    return VOTES + f""", a AS (SELECT br.*, {weight} AS w FROM br JOIN {REL} ON rel.backend_name = br.backend_name), b AS (SELECT *, w / sum(w) OVER (PARTITION BY id) AS share FROM a)
+SELECT id, language AS lang, round(sum(share * confidence), 6) AS score FROM b WHERE language <> 'unknown' GROUP BY ALL"""
+
+
+@query(_weighted("r * r"))
+def vot05_weighted(spark, sf_dir):
+    return _rounded(V.weighted_vote(votes(spark, sf_dir)))
+
+
+@query(_weighted("r * 1.0"))
+def vot06_weighted_linear(spark, sf_dir):
+    return _rounded(V.weighted_vote(votes(spark, sf_dir), square=False))
+
+
+@query(VOTES + """, s AS (SELECT id, language AS lang, count(*) AS n FROM br WHERE language <> 'unknown' GROUP BY ALL HAVING count(*) >= 3)
+SELECT id, lang, round(n / 3, 6) AS score FROM s UNION ALL SELECT id, lang, round(sum(p) / 3, 6) FROM pr WHERE id NOT IN (SELECT id FROM s) GROUP BY id, lang""")
+def vot07_08_consensus(spark, sf_dir):
+    return _rounded(V.consensus_vote(votes(spark, sf_dir), min_agreement=3))
+
+
+_TIE = f"""SELECT id, language AS lang, count(*) / 3 * 0.3 + avg(confidence) * 0.25 + count(*) FILTER (is_reliable) / count(*) * 0.2 + max(r) / 5 * 0.15 AS s
+  FROM br JOIN {REL} ON rel.backend_name = br.backend_name WHERE language <> 'unknown' GROUP BY id, language"""
+
+
+@query(VOTES + f", t AS ({_TIE}) SELECT id, lang, round(least(CASE WHEN lang IN ('en', 'fr') THEN s ELSE s * 0.1 END, 1), 6) AS score FROM t")
+def vot09_tie_break(spark, sf_dir):
+    return _rounded(V.tie_break(votes(spark, sf_dir), allowed=["en", "fr"]))
+
+
+_SOFT = "sc AS (SELECT id, lang, sum(p) / 3 AS score FROM pr GROUP BY id, lang)"
+
+
+@query(VOTES + f", {_SOFT}, o AS (SELECT id, round(score - lead(score) OVER (PARTITION BY id ORDER BY score DESC, lang), 9) AS gap, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS rn FROM sc) SELECT id FROM o WHERE rn = 1 AND gap < 0.01")
+def vot10_needs_tie_break(spark, sf_dir):
+    return V.tied(V.soft_vote(votes(spark, sf_dir)))
+
+
+@query(VOTES + f", {_SOFT}, o AS (SELECT id, round(score - lead(score) OVER (PARTITION BY id ORDER BY score DESC, lang), 9) AS gap, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS rn FROM sc), x AS (SELECT id FROM o WHERE rn = 1 AND gap < 0.01), t AS ({_TIE}) SELECT id, lang, round(score, 6) AS score FROM sc WHERE id NOT IN (SELECT id FROM x) UNION ALL SELECT id, lang, round(least(s, 1), 6) FROM t WHERE id IN (SELECT id FROM x)")
+def fus01_break_ties(spark, sf_dir):
+    rows = votes(spark, sf_dir)
+    return _rounded(V.break_ties(V.soft_vote(rows), rows))
+
+
+@query()
+def vot12_custom(spark, sf_dir):
+    """A strategy of one's own: the most confident backend decides. Row-wise Python, tested against a plain model."""
+
+    def boldest(rows: list[dict]) -> dict[str, float]:
+        known = [r for r in rows if r["language"] != "unknown"]
+        top = max(known, key=lambda r: (r["confidence"], r["backend_name"]), default=None)
+        return {top["language"]: top["confidence"]} if top else {}
+
+    return _rounded(V.custom_vote(boldest)(votes(spark, sf_dir)))
+
+
+#: Hints of the queries: words of the corpus' languages that stand for something.
+HINTS = [("the", "en"), ("that", "en"), ("les", "fr"), ("dans", "fr"), ("und", "de"), ("nicht", "de"), ("para", "es"), ("una", "es"), ("hola", "es"), ("merci", "fr")]
+_HINTS = values(HINTS, "h(word, lang)")
+_FOUND = rf"""ht AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[{W}]+')) AS token FROM documents),
+hh AS (SELECT id, lang, count(*) AS n FROM ht JOIN {_HINTS} ON h.word = lower(token) GROUP BY ALL), ha AS (SELECT id, lang, n / sum(n) OVER (PARTITION BY id) * 0.8 AS score FROM hh)"""
+
+
+@query(VOTES + f", {_SOFT}, {_FOUND} SELECT coalesce(sc.id, ha.id) AS id, coalesce(sc.lang, ha.lang) AS lang, round(coalesce(sc.score, 0) + coalesce(ha.score, 0) * CASE WHEN length(trim(d.text)) <= 5 THEN 2.0 ELSE 0.45 END, 6) AS score FROM sc FULL JOIN ha ON ha.id = sc.id AND ha.lang = sc.lang JOIN documents d ON d.doc_id = coalesce(sc.id, ha.id)")
+def fus02_hint_boost(spark, sf_dir):
+    from ..operators import hints as H
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = H.lookup_all(docs, spark.createDataFrame(HINTS, "word string, lang string"))
+    return _rounded(fusion.boost_hints(V.soft_vote(votes(spark, sf_dir)), found, docs, mode="short"))
+
+
+@query(VOTES + f", {_SOFT} SELECT sc.id, sc.lang, round(score + CASE WHEN d.lang = sc.lang THEN 0.3 ELSE 0 END * 0.2, 6) AS score FROM sc JOIN documents d ON d.doc_id = sc.id")
+def fus03_context_boost(spark, sf_dir):
+    boosts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.lit(0.3).alias("boost"))
+    return _rounded(fusion.boost_context(V.soft_vote(votes(spark, sf_dir)), boosts))
+
+
+_RANKED = VOTES + f", {_SOFT}, al AS (SELECT * FROM sc WHERE lang IN ('en', 'fr', 'de')), no AS (SELECT id, lang, score AS raw, CASE WHEN max(score) OVER (PARTITION BY id) > 0 THEN least(score / max(score) OVER (PARTITION BY id), 1) ELSE score END AS score FROM al), rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, lang) AS rn, lead(score) OVER (PARTITION BY id ORDER BY round(score, 9) DESC, lang) AS nxt FROM no)"
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = fusion.normalize(fusion.allow(V.soft_vote(votes(spark, sf_dir)), ["en", "fr", "de"]))
+    return fusion.rank(scores.withColumn("score", F.round("score", 9)))
+
+
+@query(_RANKED + " SELECT id, lang, round(round(score, 9), 6) AS score, round(raw, 6) AS raw_score, rn FROM rk")
+def fus04_06_rank(spark, sf_dir):
+    return _ranked(spark, sf_dir).select("id", "lang", F.round("score", 6).alias("score"), F.round("raw_score", 6).alias("raw_score"), "rn")
+
+
+@query(_RANKED + """, v AS (SELECT id, language AS lang, string_agg(backend_name || '=' || printf('%.4f', round(confidence, 4)), ',' ORDER BY backend_name) AS votes FROM br GROUP BY ALL)
+SELECT rk.id, string_agg(rk.lang || ':' || printf('%.4f', round(score, 4)) || ':' || coalesce(votes, ''), ';' ORDER BY rn) AS candidates FROM rk LEFT JOIN v ON v.id = rk.id AND v.lang = rk.lang WHERE rn <= 2 GROUP BY rk.id""")
+def fus07_08_candidates(spark, sf_dir):
+    found = fusion.candidates(_ranked(spark, sf_dir), votes(spark, sf_dir), top_k=2)
+    voted = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"]))), ",")
+    shown = F.transform("candidates", lambda c: F.concat(c["lang"], F.lit(":"), F.format_string("%.4f", c["confidence"]), F.lit(":"), voted(c["backend_votes"])))
+    return found.select("id", F.array_join(shown, ";").alias("candidates"))
+
+
+def _decide_sql(limit: float, allow: str = "true") -> str:
+    return f""", de AS (SELECT id, lang, score, raw, CASE WHEN nxt IS NOT NULL AND score - nxt < 0.1 AND score < {limit} THEN 'disagreement' WHEN score < {limit} AND {allow} THEN 'low_confidence' END AS reason FROM rk WHERE rn = 1)
+SELECT d.doc_id AS id, CASE WHEN de.id IS NULL OR reason IS NOT NULL THEN 'und' ELSE de.lang END AS lang, coalesce(round(score, 4), 0) AS confidence, coalesce(reason IS NULL AND score >= {limit}, false) AS reliable,
+  CASE WHEN de.id IS NULL THEN 'low_confidence' ELSE reason END AS reason FROM documents d LEFT JOIN de ON de.id = d.doc_id"""
+
+
+@query(_RANKED + _decide_sql(0.5))
+def fus09_12_decide(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    out = fusion.with_missing(docs, fusion.decide(_ranked(spark, sf_dir), 0.5))
+    return out.select("id", "lang", "confidence", "reliable", "reason")
+
+
+@query(_RANKED.replace("least(score / max(score) OVER (PARTITION BY id), 1)", "least(score / sum(score) OVER (PARTITION BY id), 1)") + _decide_sql(0.6))
+def fus05_sum_normalized(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    scores = fusion.normalize(fusion.allow(V.soft_vote(votes(spark, sf_dir)), ["en", "fr", "de"]), how="sum")
+    out = fusion.with_missing(docs, fusion.decide(fusion.rank(scores.withColumn("score", F.round("score", 9))), 0.6))
+    return out.select("id", "lang", "confidence", "reliable", "reason")
