@@ -83,5 +83,6 @@ def with_missing(texts: DataFrame, decided: DataFrame, label: str = "und") -> Da
 def once_per_text(texts: DataFrame, detect, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Detects each distinct text once and joins the results back to all rows with it (what a result cache saves)."""
     distinct = texts.groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("id"))
-    found = detect(distinct.select("id", "text")).join(distinct, "id").drop("id")
-    return texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(found, "text").drop("text")
+    found = detect(distinct.select("id", "text")).join(distinct.withColumnRenamed("text", "_text"), "id").drop("id")
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.join(found, F.col("text").eqNullSafe(F.col("_text"))).drop("text", "_text")

@@ -1,7 +1,8 @@
 """Conversation context over a stream: one state of at most ``max_turns`` turns per session, with time to live.
 
 Each key has a single writer, so that concurrent updates of a session cannot overwrite each other. Turns of a session
-within a micro-batch are taken in the order of their numbers.
+within a micro-batch are taken in the order of their numbers. A run to the end of the data (availableNow) needs
+spark.sql.streaming.noDataMicroBatches.enabled off, since timeouts by processing time ask for empty batches forever.
 """
 
 from __future__ import annotations
