@@ -97,7 +97,7 @@ def _compare(threshold: float):
         take = rows.take(pa.array(order)).combine_chunks()
         ids, copies, also = (take.column(c).to_numpy() for c in ("cls", "copies", "also"))
         n, n_left = len(ids), int(np.count_nonzero(side == 0))
-        same = n_left == n  # a block with itself
+        same = take.column("i")[0].as_py() == take.column("j")[0].as_py()  # a block with itself; else either may be empty
         dim = int(take.column("dim")[0].as_py())
         units = np.frombuffer(b"".join(take.column("unit").to_pylist()), np.float64).reshape(n, dim)
         _, window, least = calibrated(threshold, dim)
