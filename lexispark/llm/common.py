@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
+#: Rows that go to Python at once. Texts are long; the default of 10,000 would hold tens of MB on both sides.
+ARROW_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,4 +59,5 @@ def hadoop_fs(spark: SparkSession, path: str):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

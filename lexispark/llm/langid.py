@@ -34,7 +34,7 @@ PER_LANGUAGE, CALIBRATION = 1000, 0.25
 #: Share of calibration texts that must be accepted, and the margin on the deviation found for it.
 ACCEPT, MARGIN = 0.999, 1.5
 #: Characters worked on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 UNKNOWN = "und"
 _BASE = 0x9E3779B97F4A7C15
 
@@ -232,6 +232,8 @@ class Model:
         best = ce.argmin(axis=1)
         least = ce[np.arange(len(ce)), best]
         score = 1 / np.exp(-(ce - least[:, None]) * np.minimum(sizes, 64)[:, None]).sum(axis=1)
+        if not len(self.mean):  # not calibrated: only texts without letters are rejected
+            return [self.langs[b] if g else UNKNOWN for b, g in zip(best.tolist(), good.tolist(), strict=True)], np.where(good, score, 0.0), np.where(good, least, np.nan), ~good
         away = (least - self.mean[best]) / np.hypot(self.spread[best, 0], self.spread[best, 1] / np.sqrt(np.maximum(sizes, 1)))
         rejected = ~good | (np.nan_to_num(away, nan=0.0) > self.limit)
         return [self.langs[b] if g else UNKNOWN for b, g in zip(best.tolist(), good.tolist(), strict=True)], np.where(good, score, 0.0), np.where(good, least, np.nan), rejected
