@@ -11,15 +11,14 @@ from __future__ import annotations
 import json
 import os
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
 
 #: The split pattern for which the shortcut holds; compared with the tokenizer's file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: White-space-delimited pieces, and words in them, kept by a worker; beyond that a cache starts anew.
-CACHE = 600_000
+#: White-space-delimited pieces, and words in them, kept by a worker (some 200 bytes each); beyond that the cache starts anew.
+CACHE = 400_000
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -46,7 +45,6 @@ class Encoder:
         self.plain = re.compile("[\x00-\x1b\x20-\x7f\u00a1-\u012f\u0132-\u017f\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
         self.words = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall  # PATTERN, on such characters
         self.held: dict[str, bytes] = {}
-        self.held_words: dict[str, bytes] = {}
 
     @staticmethod
     def _splits_alike(spec: dict) -> bool:
@@ -54,27 +52,43 @@ class Encoder:
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         return steps == ["NFC", "Replace", "Lowercase"] and len(pre) == 2 and pre[0].get("pattern") == {"Regex": PATTERN} and pre[0].get("invert") is True and pre[0].get("behavior") == "Removed" and spec.get("post_processor") is None
 
+    def _simple(self, text: str) -> bool:
+        if any(s in text for s in self.specials):
+            return False
+        return not any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else self.plain(text) is not None
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        split = [self.words(p) for p in pieces]
-        new = list(set().union(*split).difference(self.held_words))
-        if len(self.held_words) + len(new) > CACHE:
-            self.held_words.clear()
-            new = list(set().union(*split))
-        for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.held_words[word] = array("I", coded.ids).tobytes()
-        get = self.held_words.__getitem__
-        for piece, words in zip(pieces, split, strict=True):
-            self.held[piece] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
+        """Puts the pieces' ids into the cache; pieces that aren't words only are put together from the words in them."""
+        mixed = [(p, self.words(p)) for p in pieces if not p.isalpha()]
+        new = {p for p in pieces if p.isalpha()}.union(*(w for _, w in mixed)).difference(self.held)
+        alphabetic = [w for w in new if w.isalpha()]
+        for at in range(0, len(alphabetic), 20_000):
+            self._learn_words(alphabetic[at : at + 20_000])
+        others = [w for w in new if not w.isalpha()]
+        for word, coded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.held[word] = np.array(coded.ids, "<u4").tobytes()
+        get = self.held.__getitem__
+        self.held.update([(piece, b"".join(map(get, words))) for piece, words in mixed])
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters alone are one piece each of the tokenizer's split, so that many are encoded as one text."""
+        coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        of = np.array(coded.word_ids, np.int64)
+        ends = np.flatnonzero(np.append(of[1:] != of[:-1], True)) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer splits words of letters")
+        data, ends = np.array(coded.ids, "<u4").tobytes(), (4 * ends).tolist()
+        self.held.update([(word, data[start:end]) for word, start, end in zip(words, [0, *ends[:-1]], ends, strict=True)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         pieces: list[list[str] | None] = []
         for text in texts:
             if not text:
                 pieces.append([])
-            elif self.by_piece and self.plain(text) and not any(s in text for s in self.specials):
+            elif self.by_piece and self._simple(text):
                 pieces.append(text.lower().split())
             else:
                 pieces.append(None)
@@ -86,7 +100,7 @@ class Encoder:
         get = self.held.__getitem__
         return [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces, strict=True)]
 
-    def batches(self, column: pa.Array, most: int = 4 << 20):
+    def batches(self, column: pa.Array, most: int = 1 << 20):
         """(first row, ids as bytes of each text) in runs of about ``most`` characters."""
         texts, row, size, start = column.to_pylist() if len(column) <= 256 else None, 0, 0, 0
         if texts is None:
