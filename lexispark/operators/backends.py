@@ -85,7 +85,9 @@ HEAD = 500
 def ngrams(text: Column, n: int = 3, head: int = HEAD) -> Column:
     """Letter n-grams of the first ``head`` code points, lower-cased, runs of other characters as one blank."""
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.substring(text, 1, head)), r"\P{L}+", " ")), F.lit(" "))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(plain) - (n - 1), F.lit(1))), lambda i: F.substring(plain, i, n))
+    # The inner array holds the text once; an expression in the lambda would be evaluated for each n-gram.
+    cut = lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(p) - (n - 1), F.lit(1))), lambda i: F.substring(p, i, n))
+    return F.get(F.transform(F.array(plain), cut), F.lit(0))
 
 
 def train_ngrams(texts: DataFrame, n: int = 3, head: int = HEAD, top: int = 2000) -> DataFrame:
