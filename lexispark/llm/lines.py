@@ -30,55 +30,84 @@ FIELD = "<*>"
 _BLANKS = "\t\r\f\x0b"
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens with the variable fields masked. The look-behind keeps the pattern linear in long tokens."""
-    plain = F.trim(F.translate(line, _BLANKS, " " * len(_BLANKS)))
-    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(plain)
-    return F.split(masked, " +")
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is evaluated once; inside a lambda, an expression would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _masked(text: Column) -> Column:
+    """The lines' tokens with one blank between them, variable fields masked; texts that have neither need no regex.
+
+    The look-behind keeps the pattern linear in long tokens.
+    """
+    spaced = F.regexp_replace(text, f"[ {_BLANKS}]+", " ")
+    fields = F.regexp_replace(spaced, "(?<![^ \n])[^ 0-9\n]*+[0-9][^ \n]*+", FIELD)
+    out = F.when(text.rlike(f"[{_BLANKS}0-9]|  "), fields).otherwise(text)
+    return F.transform(F.split(out, "\n"), lambda line: F.trim(line))
+
+
+def _n_tokens(masked: Column) -> Column:
+    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
 
 
 def holds_lines(text: Column, min_tokens: int = 4) -> Column:
     """Whether any line has enough tokens to be looked at."""
-    return F.exists(F.split(text, "\n"), lambda line: F.size(_tokens(line)) >= max(min_tokens, LEAD))
+    return F.exists(_masked(text), lambda line: _n_tokens(line) >= max(min_tokens, LEAD))
+
+
+RUNS = [f"r{i}" for i in range(SEGMENTS)]
 
 
 def template_lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """(doc, key, pos, leaf, tmpl, runs) of each line that may be dropped; key tells apart texts of one id."""
-    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    rows = rows.withColumn("tokens", _tokens(F.col("line"))).withColumn("n", F.size("tokens")).filter(F.col("n") >= min_tokens)
-    lead, rest = F.array_join(F.slice("tokens", 1, LEAD), " "), F.col("n") - LEAD
-    cuts = F.sequence(F.lit(0), F.least(rest, F.lit(SEGMENTS)) - 1)
-    edge = lambda s: F.floor(s * rest / F.least(rest, F.lit(SEGMENTS))).cast("int")
-    runs = F.transform(cuts, lambda s: F.hash(F.array_join(F.slice(F.col("tokens"), edge(s) + (LEAD + 1), edge(s + 1) - edge(s)), " ")))
-    runs = F.when(rest > 0, runs).otherwise(F.array().cast("array<int>"))
-    return rows.select("doc", "key", "pos", F.xxhash64("n", lead).alias("leaf"), F.xxhash64(F.array_join("tokens", " "), F.lit(1)).alias("tmpl"), runs.alias("runs"))
-
-
-def recurring(lines: DataFrame, min_docs: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(lines with the template they generalise to, recurring templates with their first document)."""
-    found = checkpoint(lines.groupBy("leaf", "tmpl").agg(F.countDistinct("doc").alias("docs"), F.min(F.struct("doc", "pos")).alias("first"), F.first("runs").alias("runs")))
-    rank = F.struct("docs", (-F.col("first.doc")).alias("d"), (-F.col("first.pos")).alias("p"))
-    leads = found.groupBy("leaf").agg(F.count("*").alias("n"), F.max_by(F.struct("tmpl", "runs"), rank).alias("lead")).filter("n > 1").drop("n")
-    alike = F.aggregate(F.zip_with(F.col("runs"), F.col("lead.runs"), lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    merged = found.select("leaf", "tmpl", "runs").join(checkpoint(leads), "leaf").filter(F.col("tmpl") != F.col("lead.tmpl")).filter(alike >= similarity * F.size("runs"))
-    merged = checkpoint(merged.filter(F.size("runs") > 0).select("leaf", "tmpl", F.col("lead.tmpl").alias("into")))
-    named = join_checked(lines.drop("runs"), merged, ["leaf", "tmpl"], "left", 40).withColumn("tmpl", F.coalesce("into", "tmpl")).drop("into")
-    groups = named.groupBy("leaf", "tmpl").agg(F.countDistinct("doc").alias("docs"), F.min("doc").alias("first")).filter(F.col("docs") >= max(2, min_docs))
-    return named, checkpoint(groups)
+    """(doc, key, pos, leaf, tmpl, r0 ..) of each line that may be dropped; key tells apart texts of one id.
+
+    The runs' hashes are columns of their own, null beyond the last, so that aggregates have buffers of fixed width.
+    """
+    rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.posexplode(_masked(F.col(text_col))).alias("pos", "masked"))
+    rows = rows.withColumn("n", _n_tokens(F.col("masked"))).filter(F.col("n") >= min_tokens)
+    lead = F.substring_index("masked", " ", LEAD)
+    rows = rows.withColumn("lead", lead).withColumn("tokens", F.split(F.expr("substring(masked, length(lead) + 2)"), " "))
+    rest = F.col("n") - LEAD
+    edge = lambda s: F.floor(F.lit(s) * rest / F.least(rest, F.lit(SEGMENTS))).cast("int")
+    runs = [F.when(rest > s, F.hash(F.slice("tokens", edge(s) + 1, edge(s + 1) - edge(s)))).alias(RUNS[s]) for s in range(SEGMENTS)]
+    return rows.select("doc", "key", "pos", F.xxhash64("n", "lead").alias("leaf"), F.xxhash64("masked", F.lit(1)).alias("tmpl"), *runs)
+
+
+def recurring(lines: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+    """(leaf, tmpl, first): templates that recur, as themselves or by what they generalise to, with the first document."""
+    per_doc = lines.groupBy("leaf", "tmpl", "doc").agg(F.min("pos").alias("pos"), *(F.first(r).alias(r) for r in RUNS))
+    found = checkpoint(per_doc.groupBy("leaf", "tmpl").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.min_by("pos", "doc").alias("pos"), *(F.first(r).alias(r) for r in RUNS)))
+
+    # Leaves with several templates, the leading one of each, and those that are like it.
+    mixed = found.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
+    held = found.join(mixed, "leaf")
+    rank = F.struct("docs", (-F.col("first")).alias("d"), (-F.col("pos")).alias("p"))
+    leads = held.groupBy("leaf").agg(F.max_by(F.struct("tmpl", *RUNS), rank).alias("lead"))
+    size = sum((F.col(r).isNotNull().cast("int") for r in RUNS), F.lit(0))
+    alike = sum((F.coalesce((F.col(r) == F.col(f"lead.{r}")).cast("int"), F.lit(0)) for r in RUNS), F.lit(0))
+    merged = held.join(leads, "leaf").filter((F.col("tmpl") != F.col("lead.tmpl")) & (size > 0) & (alike >= similarity * size))
+    merged = checkpoint(merged.select("leaf", "tmpl", F.col("lead.tmpl").alias("into")))
+    moved = merged.unionByName(merged.select("leaf", F.col("into").alias("tmpl"), "into").distinct())
+
+    least = max(2, min_docs)
+    alone = join_checked(found.filter(F.col("docs") >= least).select("leaf", "tmpl", "first"), moved.select("leaf", "tmpl"), ["leaf", "tmpl"], "left_anti", 32)
+    united = join_checked(lines.select("leaf", "tmpl", "doc"), moved, ["leaf", "tmpl"], "inner", 40).groupBy("leaf", "into").agg(F.countDistinct("doc").alias("docs"), F.min("doc").alias("first"))
+    united = moved.join(united.filter(F.col("docs") >= least), ["leaf", "into"]).select("leaf", "tmpl", "first")
+    return checkpoint(alone.unionByName(united))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 4, min_docs: int = 2, similarity: float = 0.7) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text_col``, n_lines long and dropped array<int> (their positions)."""
     lines = checkpoint(template_lines(docs, id_col, text_col, max(min_tokens, LEAD)))
-    named, groups = recurring(lines, min_docs, similarity)
-    hit = join_checked(named, groups.select("leaf", "tmpl", "first"), ["leaf", "tmpl"], "inner", 40).filter("doc <> first")
+    again = recurring(lines, min_docs, similarity)
+    hit = join_checked(lines.select("doc", "key", "pos", "leaf", "tmpl"), again, ["leaf", "tmpl"], "inner", 40).filter("doc <> first")
     gone = hit.groupBy("doc", "key").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     keep = [c for c in docs.columns if c not in ("n_lines", "dropped")]
     rows = docs.select(*keep, F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_key"))
     gone = gone.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "dropped")
-    out = rows.join(gone, ["_doc", "_key"], "left")
-    parts = F.split(text_col, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
-    text = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    out = rows.join(gone.hint("shuffle_hash"), ["_doc", "_key"], "left")
+    left = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
+    kept = _let(F.split(text_col, "\n"), lambda parts: F.array_join(F.transform(left(parts), lambda i: F.get(parts, i)), "\n"))
+    text = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(kept)
     none = F.array().cast("array<int>")
-    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in keep), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce("dropped", none).alias("dropped"))
+    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in keep), F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("dropped", none).alias("dropped"))
