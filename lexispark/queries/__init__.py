@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -30,7 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     from . import context, core, scalars, votes  # noqa: F401 - they register on import
 
-    return dict(_queries)
+    return {name: _shipped(function) for name, function in _queries.items()}
+
+
+def _shipped(function: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return function(spark, sf_dir)
+
+    run.__name__ = function.__name__
+    return run
 
 
 def all_sql() -> dict[str, str]:
