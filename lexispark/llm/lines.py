@@ -1,13 +1,14 @@
 """Line dedup by a log-template tree, with DataFrame operations only.
 
 A line's tokens with a digit are variable fields. The tree has a fixed depth: the number of tokens, then the first LEAD
-tokens. In a leaf the template seen in most documents generalises: the rest of a line is cut into at most SEGMENTS
-runs of tokens (single tokens on short lines), and templates of the leaf that agree with it in at least ``similarity``
-of them become the same template, the other runs being variable. Templates that recur across documents are dropped:
+tokens. In a leaf the template seen in most documents generalises: templates of the leaf that agree with it in at least
+``similarity`` of the tokens after the first LEAD become the same template, the other tokens being variable. Templates that recur across documents are dropped:
 each line of theirs goes from every document but the one with the smallest id, so that nothing is lost altogether.
 
-The lines' texts are never shuffled: only hashes of leaf, template and runs are. The text itself moves once, when a
-document meets the list of its dropped lines. Counts are aggregated map-side; a template that a third of all documents
+The lines' texts are not shuffled: only hashes of leaf and template are. Tokens are fetched for the few templates that
+share their leaf with others, once for each template, from the first document that holds it. The text itself moves when
+a document meets the list of its dropped lines, and once more where the list of lines to fetch is too large to
+broadcast. Counts are aggregated map-side; a template that a third of all documents
 hold meets its lines in a join of two shuffled or one counted-and-broadcast side, which can be split.
 
 Defined cases: a null or empty text and a row with a null id pass through unchanged; lines of fewer than
@@ -22,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_checked
+from .common import checkpoint, join_checked, small
 
-LEAD, SEGMENTS = 3, 8
+LEAD = 3
 FIELD = "<*>"
 #: White space within a line, all read as a blank.
 _BLANKS = "\t\r\f\x0b"
@@ -55,37 +56,56 @@ def holds_lines(text: Column, min_tokens: int = 4) -> Column:
     return F.exists(_masked(text), lambda line: _n_tokens(line) >= max(min_tokens, LEAD))
 
 
-RUNS = [f"r{i}" for i in range(SEGMENTS)]
+def _coded(rows: DataFrame) -> DataFrame:
+    """``rows`` with leaf and tmpl, the hashes of ``masked`` of ``n`` tokens."""
+    rows = rows.withColumn("lead", F.substring_index("masked", " ", LEAD))
+    return rows.withColumns({"leaf": F.xxhash64("n", "lead"), "tmpl": F.xxhash64("masked", F.lit(1))})
 
 
 def template_lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """(doc, key, pos, leaf, tmpl, r0 ..) of each line that may be dropped; key tells apart texts of one id.
-
-    The runs' hashes are columns of their own, null beyond the last, so that aggregates have buffers of fixed width.
-    """
+    """(doc, key, pos, leaf, tmpl) of each line that may be dropped; key tells apart texts of one id."""
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.posexplode(_masked(F.col(text_col))).alias("pos", "masked"))
     rows = rows.withColumn("n", _n_tokens(F.col("masked"))).filter(F.col("n") >= min_tokens)
-    lead = F.substring_index("masked", " ", LEAD)
-    rows = rows.withColumn("lead", lead).withColumn("tokens", F.split(F.expr("substring(masked, length(lead) + 2)"), " "))
-    rest = F.col("n") - LEAD
-    edge = lambda s: F.floor(F.lit(s) * rest / F.least(rest, F.lit(SEGMENTS))).cast("int")
-    runs = [F.when(rest > s, F.hash(F.slice("tokens", edge(s) + 1, edge(s + 1) - edge(s)))).alias(RUNS[s]) for s in range(SEGMENTS)]
-    return rows.select("doc", "key", "pos", F.xxhash64("n", "lead").alias("leaf"), F.xxhash64("masked", F.lit(1)).alias("tmpl"), *runs)
+    return _coded(rows).select("doc", "key", "pos", "leaf", "tmpl")
+
+
+def template_tokens(docs: DataFrame, held: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``held`` (leaf, tmpl, first, pos) with the hashes of the tokens after the first LEAD, read at its first line.
+
+    Texts of one id are told apart by what stands at the position.
+    """
+    wanted = held.groupBy(F.col("first").alias("doc")).agg(F.collect_set("pos").alias("wanted"))
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = rows.join(F.broadcast(wanted) if small(held, 32) else wanted, "doc")
+    taken = lambda parts: F.transform("wanted", lambda i: F.get(parts, i))
+    rows = rows.select(F.explode(_let(F.split("text", "\n"), taken)).alias("line")).select(F.get(_masked(F.col("line")), F.lit(0)).alias("masked"))
+    rows = _coded(rows.withColumn("n", _n_tokens(F.col("masked"))))
+    rest = F.split(F.expr("substring(masked, length(lead) + 2)"), " ")
+    rows = rows.select("leaf", "tmpl", F.transform(rest, lambda t: F.hash(t)).alias("tokens")).dropDuplicates(["leaf", "tmpl"])
+    return held.join(rows, ["leaf", "tmpl"])
+
+
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """Whether at least ``similarity`` of the tokens are the same."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return same >= _needed(a, similarity)
+
+
+def _needed(tokens: str, similarity: float) -> Column:
+    return F.ceil(F.lit(similarity) * F.size(tokens) - 1e-9).cast("int")
 
 
-def recurring(lines: DataFrame, min_docs: int, similarity: float) -> DataFrame:
+def recurring(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_docs: int, similarity: float) -> DataFrame:
     """(leaf, tmpl, first): templates that recur, as themselves or by what they generalise to, with the first document."""
-    per_doc = lines.groupBy("leaf", "tmpl", "doc").agg(F.min("pos").alias("pos"), *(F.first(r).alias(r) for r in RUNS))
-    found = checkpoint(per_doc.groupBy("leaf", "tmpl").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.min_by("pos", "doc").alias("pos"), *(F.first(r).alias(r) for r in RUNS)))
+    per_doc = lines.groupBy("leaf", "tmpl", "doc").agg(F.min("pos").alias("pos"))
+    found = checkpoint(per_doc.groupBy("leaf", "tmpl").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.min_by("pos", "doc").alias("pos")))
 
     # Leaves with several templates, the leading one of each, and those that are like it.
     mixed = found.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-    held = found.join(mixed, "leaf")
+    held = checkpoint(template_tokens(docs, checkpoint(found.join(mixed, "leaf")), id_col, text_col))
     rank = F.struct("docs", (-F.col("first")).alias("d"), (-F.col("pos")).alias("p"))
-    leads = held.groupBy("leaf").agg(F.max_by(F.struct("tmpl", *RUNS), rank).alias("lead"))
-    size = sum((F.col(r).isNotNull().cast("int") for r in RUNS), F.lit(0))
-    alike = sum((F.coalesce((F.col(r) == F.col(f"lead.{r}")).cast("int"), F.lit(0)) for r in RUNS), F.lit(0))
-    merged = held.join(leads, "leaf").filter((F.col("tmpl") != F.col("lead.tmpl")) & (size > 0) & (alike >= similarity * size))
+    leads = held.groupBy("leaf").agg(F.max_by(F.struct("tmpl", "tokens"), rank).alias("lead"))
+    merged = held.join(leads, "leaf").filter(F.col("tmpl") != F.col("lead.tmpl")).filter(_alike("tokens", "lead.tokens", similarity))
     merged = checkpoint(merged.select("leaf", "tmpl", F.col("lead.tmpl").alias("into")))
     moved = merged.unionByName(merged.select("leaf", F.col("into").alias("tmpl"), "into").distinct())
 
@@ -99,7 +119,7 @@ def recurring(lines: DataFrame, min_docs: int, similarity: float) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 4, min_docs: int = 2, similarity: float = 0.7) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text_col``, n_lines long and dropped array<int> (their positions)."""
     lines = checkpoint(template_lines(docs, id_col, text_col, max(min_tokens, LEAD)))
-    again = recurring(lines, min_docs, similarity)
+    again = recurring(docs, lines, id_col, text_col, min_docs, similarity)
     hit = join_checked(lines.select("doc", "key", "pos", "leaf", "tmpl"), again, ["leaf", "tmpl"], "inner", 40).filter("doc <> first")
     gone = hit.groupBy("doc", "key").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     keep = [c for c in docs.columns if c not in ("n_lines", "dropped")]

@@ -196,6 +196,15 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(huge).filter("size(dropped) > 0").count() == 0
 
 
+def test_line_dedup_compares_tokens(spark):
+    words = [f"w{'abcdefghijklmnopqrst'[i]}" for i in range(20)]
+    change = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(words))
+    docs = [(1, " ".join(words)), (2, change(4, 10, 16)), (3, change(4, 7, 10, 13, 16)), (4, change(4, 7, 10, 13, 16, 18))]
+    out = {r["doc_id"]: r["dropped"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    # 14 and 12 of 17 tokens are enough for 0.7, 11 are not.
+    assert out == {1: [], 2: [0], 3: [0], 4: []}
+
+
 def test_licenses(spark):
     model = licenses.Classifier([])
     assert all(any(s in t.lower() for s in licenses.STEMS) for own in licenses.TEMPLATES.values() for t in own)
