@@ -2,7 +2,8 @@
 
 A line's tokens with a digit are variable fields. The tree has a fixed depth: the number of tokens, then the first LEAD
 tokens. In a leaf the template seen in most documents generalises: templates of the leaf that agree with it in at least
-``similarity`` of the tokens after the first LEAD become the same template, the other tokens being variable. Templates that recur across documents are dropped:
+``similarity`` of the tokens after the first LEAD become the same template, the other tokens being variable. Of the
+others the one seen in most documents generalises next, and so on until no two are alike. Templates that recur across documents are dropped:
 each line of theirs goes from every document but the one with the smallest id, so that nothing is lost altogether.
 
 The lines' texts are not shuffled: only hashes of leaf and template are. Tokens are fetched for the few templates that
@@ -14,13 +15,16 @@ hold meets its lines in a join of two shuffled or one counted-and-broadcast side
 Defined cases: a null or empty text and a row with a null id pass through unchanged; lines of fewer than
 ``min_tokens`` tokens are never dropped; lines that recur within one document only stay; rows with equal id and text are
 one document; a document that loses all its lines keeps an empty text; ties between a leaf's templates go to the one
-whose first line (id, position) is smallest; extra columns pass through, and columns named like the added ones are
+whose first line (id, position) is smallest; a template like several leading ones joins the first of those found in the
+same round; extra columns pass through, and columns named like the added ones are
 replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, join_checked, small
@@ -95,18 +99,50 @@ def _needed(tokens: str, similarity: float) -> Column:
     return F.ceil(F.lit(similarity) * F.size(tokens) - 1e-9).cast("int")
 
 
+def _blocks(similarity: float) -> Column:
+    """Hashes of runs of tokens, one run more than tokens may differ: templates that are alike agree in one at least."""
+    size, needed = F.size("tokens"), _needed("tokens", similarity)
+    n = size - needed + 1
+    edge = lambda i: F.floor(i * size / n).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.hash(F.slice("tokens", edge(i) + 1, edge(i + 1) - edge(i))))
+    return F.when(needed > 0, runs).otherwise(F.array(F.lit(0)))
+
+
+def generalised(spark: SparkSession, held: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, tmpl, into): each template that is like a leading one of its leaf, with that.
+
+    By falling rank, a template leads unless it is like a leading one before it. As those that are alike share a block,
+    one that comes first in all its blocks leads; each round takes all of these, and those like them, out of the blocks.
+    Pairs are made with leading templates only, so that no round has more rows than templates have blocks.
+    """
+    held = held.withColumn("rank", F.struct("docs", (-F.col("first")).alias("d"), (-F.col("pos")).alias("p"), "tmpl"))
+    blocks = checkpoint(held.select("leaf", "tmpl", "rank", F.posexplode(_blocks(similarity)).alias("b", "h")))
+    rounds = [spark.createDataFrame([], "leaf long, tmpl long, into long")]
+    while True:
+        tops = blocks.groupBy("leaf", "b", "h").agg(F.max("rank").alias("top"), F.count("*").alias("n")).filter("n > 1")
+        seen = checkpoint(blocks.join(tops, ["leaf", "b", "h"]).groupBy("leaf", "tmpl").agg(F.collect_set("top.tmpl").alias("tops")))
+        if seen.isEmpty():
+            return reduce(DataFrame.unionByName, rounds)
+        leads = seen.filter((F.size("tops") == 1) & (F.col("tops")[0] == F.col("tmpl"))).select("leaf", "tmpl")
+        pairs = seen.select("leaf", "tmpl", F.explode("tops").alias("into")).filter("tmpl <> into")
+        own = held.select("leaf", "tmpl", "tokens")
+        into = held.join(leads, ["leaf", "tmpl"]).select("leaf", F.col("tmpl").alias("into"), F.col("tokens").alias("others"), "rank")
+        pairs = pairs.join(into, ["leaf", "into"]).join(own, ["leaf", "tmpl"]).filter(_alike("tokens", "others", similarity))
+        merged = checkpoint(pairs.groupBy("leaf", "tmpl").agg(F.max_by("into", "rank").alias("into")))
+        rounds.append(merged)
+        left = seen.select("leaf", "tmpl").join(leads.unionByName(merged.select("leaf", "tmpl")), ["leaf", "tmpl"], "left_anti")
+        blocks = checkpoint(blocks.join(left, ["leaf", "tmpl"], "left_semi"))
+
+
 def recurring(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_docs: int, similarity: float) -> DataFrame:
     """(leaf, tmpl, first): templates that recur, as themselves or by what they generalise to, with the first document."""
     per_doc = lines.groupBy("leaf", "tmpl", "doc").agg(F.min("pos").alias("pos"))
     found = checkpoint(per_doc.groupBy("leaf", "tmpl").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.min_by("pos", "doc").alias("pos")))
 
-    # Leaves with several templates, the leading one of each, and those that are like it.
+    # Leaves with several templates, the leading ones of each, and those that are like them.
     mixed = found.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
     held = checkpoint(template_tokens(docs, checkpoint(found.join(mixed, "leaf")), id_col, text_col))
-    rank = F.struct("docs", (-F.col("first")).alias("d"), (-F.col("pos")).alias("p"))
-    leads = held.groupBy("leaf").agg(F.max_by(F.struct("tmpl", "tokens"), rank).alias("lead"))
-    merged = held.join(leads, "leaf").filter(F.col("tmpl") != F.col("lead.tmpl")).filter(_alike("tokens", "lead.tokens", similarity))
-    merged = checkpoint(merged.select("leaf", "tmpl", F.col("lead.tmpl").alias("into")))
+    merged = generalised(docs.sparkSession, held, similarity)
     moved = merged.unionByName(merged.select("leaf", F.col("into").alias("tmpl"), "into").distinct())
 
     least = max(2, min_docs)

@@ -205,6 +205,30 @@ def test_line_dedup_compares_tokens(spark):
     assert out == {1: [], 2: [0], 3: [0], 4: []}
 
 
+def test_line_dedup_keeps_several_groups_of_a_leaf(spark):
+    rng, head = random.Random(3), "one two three "
+    bases = [[rng.choice("abcdefgh") for _ in range(10)] for _ in range(12)]
+    texts = [head + " ".join("z" if rng.random() < 0.15 else w for w in rng.choice(bases)) for _ in range(150)]
+    out = {r["doc_id"]: r["dropped"] for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    docs: dict = {}
+    for i, t in enumerate(texts):
+        docs.setdefault(t, []).append(i)
+    # Brute force: by falling number of documents, a template leads or belongs to leading ones that it is like.
+    leads: dict = {}
+    for t in sorted(docs, key=lambda t: (-len(docs[t]), docs[t][0])):
+        like = [x for x in leads if sum(a == b for a, b in zip(t.split()[3:], x.split()[3:], strict=True)) >= 7]
+        leads[t] = [] if not like else None
+        if like:
+            del leads[t]
+            leads[like[0]].append(t)
+    assert len(leads) > 12
+    want = {i: [] for i in range(len(texts))}
+    for lead, own in leads.items():
+        held = sorted(i for t in [lead, *own] for i in docs[t])
+        want |= {i: [0] for i in held[1:]}
+    assert out == want
+
+
 def test_licenses(spark):
     model = licenses.Classifier([])
     assert all(any(s in t.lower() for s in licenses.STEMS) for own in licenses.TEMPLATES.values() for t in own)
