@@ -18,9 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from all documents but the first; so do documents of which only short lines are left."""
+    """Recurring lines go from all documents but the first; so do documents of which only white space is left."""
     out = lines.dedup_lines(docs)
-    out = out.filter((F.size("dropped") == 0) | lines.holds_lines(F.col("text")))
+    out = out.filter((F.size("dropped") == 0) | F.col("text").rlike(r"(?U)\S"))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

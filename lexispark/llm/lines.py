@@ -55,11 +55,6 @@ def _n_tokens(masked: Column) -> Column:
     return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
 
 
-def holds_lines(text: Column, min_tokens: int = 4) -> Column:
-    """Whether any line has enough tokens to be looked at."""
-    return F.exists(_masked(text), lambda line: _n_tokens(line) >= max(min_tokens, LEAD))
-
-
 def _coded(rows: DataFrame) -> DataFrame:
     """``rows`` with leaf and tmpl, the hashes of ``masked`` of ``n`` tokens."""
     rows = rows.withColumn("lead", F.substring_index("masked", " ", LEAD))

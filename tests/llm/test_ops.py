@@ -229,6 +229,16 @@ def test_line_dedup_keeps_several_groups_of_a_leaf(spark):
     assert out == want
 
 
+def test_pipeline_keeps_documents_of_short_lines(spark):
+    import corpus_pipeline
+
+    shared = "this line is shared by all"
+    docs = [(1, shared), (2, f"{shared}\nshort verse"), (3, f"{shared}\n \u00a0\n"), (4, f"\u4e2d\u6587\n{shared}"), (5, "short"), (6, "")]
+    table = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, table, "").collect()}
+    assert out == {1: shared, 2: "short verse", 4: "\u4e2d\u6587", 5: "short", 6: ""}
+
+
 def test_licenses(spark):
     model = licenses.Classifier([])
     assert all(any(s in t.lower() for s in licenses.STEMS) for own in licenses.TEMPLATES.values() for t in own)
