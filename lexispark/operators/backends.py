@@ -78,19 +78,21 @@ def lexicon(texts: DataFrame, model: dict[str, str] | None = None, name: str = "
     return from_scores(texts, scores, name)
 
 
-#: Code points of a text that n-gram backends look at.
+#: The prefix, in code points, that the n-gram queries' SQL looks at; the operators take whole texts.
 HEAD = 500
 
 
-def ngrams(text: Column, n: int = 3, head: int = HEAD) -> Column:
-    """Letter n-grams of the first ``head`` code points, lower-cased, runs of other characters as one blank."""
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.substring(text, 1, head)), r"\P{L}+", " ")), F.lit(" "))
-    # The inner array holds the text once; an expression in the lambda would be evaluated for each n-gram.
-    cut = lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(p) - (n - 1), F.lit(1))), lambda i: F.substring(p, i, n))
-    return F.get(F.transform(F.array(plain), cut), F.lit(0))
+def ngrams(text: Column, n: int = 3, head: int | None = None) -> Column:
+    """Letter n-grams of a text (or its first ``head`` code points), lower-cased, runs of other characters as one blank."""
+    looked_at = text if head is None else F.substring(text, 1, head)
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(looked_at), r"\P{L}+", " ")), F.lit(" "))
+    # The inner array holds the characters once; an expression in the lambda would be evaluated for each n-gram, and
+    # substring would count characters from the text's start each time.
+    cut = lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(p, i, n), ""))
+    return F.get(F.transform(F.array(F.split(plain, "")), cut), F.lit(0))
 
 
-def train_ngrams(texts: DataFrame, n: int = 3, head: int = HEAD, top: int = 2000) -> DataFrame:
+def train_ngrams(texts: DataFrame, n: int = 3, head: int | None = None, top: int = 2000) -> DataFrame:
     """A model (language, gram, n, rank, total, kinds): the ``top`` n-grams of each language of ``texts`` (text, lang)."""
     grams = texts.select(F.col("lang").alias("language"), F.explode(ngrams(F.col("text"), n, head)).alias("gram"))
     counts = grams.groupBy("language", "gram").agg(F.count("*").alias("n"))
@@ -100,7 +102,7 @@ def train_ngrams(texts: DataFrame, n: int = 3, head: int = HEAD, top: int = 2000
     return ranked.select("language", "gram", "n", "rank", F.sum("n").over(whole).alias("total"), F.count("*").over(whole).alias("kinds"))
 
 
-def ngram_nb(texts: DataFrame, model: DataFrame, n: int = 3, head: int = HEAD, name: str = "ngram_nb") -> DataFrame:
+def ngram_nb(texts: DataFrame, model: DataFrame, n: int = 3, head: int | None = None, name: str = "ngram_nb") -> DataFrame:
     """Multinomial naive Bayes over n-grams that the model knows, smoothed by one; posterior of each language."""
     vocabulary = model.select("gram").distinct()
     langs = model.groupBy("language").agg(F.first("total").alias("total"))
@@ -116,7 +118,7 @@ def ngram_nb(texts: DataFrame, model: DataFrame, n: int = 3, head: int = HEAD, n
     return from_scores(texts, scores.select("id", "language", "p"), name)
 
 
-def ngram_rank(texts: DataFrame, model: DataFrame, n: int = 3, head: int = HEAD, profile: int = 300, name: str = "ngram_rank") -> DataFrame:
+def ngram_rank(texts: DataFrame, model: DataFrame, n: int = 3, head: int | None = None, profile: int = 300, name: str = "ngram_rank") -> DataFrame:
     """Out-of-place distance between a text's n-gram ranks and each language's profile; confidence 1 - distance."""
     counts = texts.select("id", F.explode(ngrams(F.col("text"), n, head)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("c"))
     ranks = counts.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "gram"))).filter(F.col("place") <= profile)

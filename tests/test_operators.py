@@ -159,3 +159,16 @@ def test_codeswitch(spark):
     assert abs(sum(out[1]["language_distribution"].values()) - 1) < 1e-9
     pairs = {r["t"]: r["p"] for r in spark.createDataFrame([("MUY COOL",), ("nothing",)], "t string").select("t", codeswitch.switching_pattern(F.col("t")).alias("p")).collect()}
     assert tuple(pairs["MUY COOL"]) == ("en", "es") and pairs["nothing"] is None
+
+
+def test_ngram_backends_take_whole_texts(spark):
+    german = "der hund und die katze sind nicht auf dem tisch " * 3
+    train = spark.createDataFrame([(german, "de"), ("1 " * 400 + "the dog and the cat are not on that table " * 3, "en")], "text string, lang string")
+    model = B.train_ngrams(train)
+    texts = spark.createDataFrame([(1, "7 " * 300 + "the cat and the dog"), (2, "<b> " + "0" * 600 + " die katze und der hund")], "id long, text string")
+    for scorer in (B.ngram_nb, B.ngram_rank):
+        assert {r["id"]: r["language"] for r in scorer(texts, model).collect()} == {1: "en", 2: "de"}
+    long = "Ab\U00010400c 9é, " * 200
+    plain = " " + " ".join("".join(c if c.isalpha() else " " for c in long.lower()).split()) + " "
+    out = spark.createDataFrame([(long,), ("",)], "text string").select(B.ngrams(F.col("text")).alias("g")).collect()
+    assert out[0]["g"] == [plain[i : i + 3] for i in range(len(plain) - 2)] and out[1]["g"] == ["  "]
