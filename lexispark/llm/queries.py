@@ -16,6 +16,9 @@ from .packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The separator of token files: no id of the vocabulary, whose last, 49407, a text that quotes <|endoftext|> holds.
+EOD = 65535
+
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -43,7 +46,7 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokenfiles.document_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), eod=49407)
+    counts = tokenfiles.document_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), eod=EOD)
     return counts.select("doc_id", "n_tokens")
 
 

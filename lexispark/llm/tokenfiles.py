@@ -31,7 +31,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, eod: int, id_col: s
     """Writes one token file per partition; receipts (file, ordinal, doc_id) of what was written, in order.
 
     A file gets its name, which its partition decides, once it is complete; a task that runs again replaces it by an
-    equal one. A null text has no tokens.
+    equal one. A null text has no tokens. ``eod`` must be an id that no text has, best one outside the vocabulary; a text
+    that has it raises an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,6 +50,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, eod: int, id_col: s
                     ids = np.frombuffer(b"".join(x + end for x in coded), "<u4")
                     if len(ids) and int(ids.max()) >= 1 << (8 * width):
                         raise ValueError(f"token id {ids.max()} does not fit {width} bytes")
+                    if int((ids == eod).sum()) != len(coded):
+                        raise ValueError(f"a text's own tokens hold the separator {eod}; take an id outside the vocabulary")
                     out.write(ids.astype(f"<u{width}").tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(coded)), pa.array(range(ordinal, ordinal + len(coded)), pa.int64()), batch.column(0).slice(row, len(coded))], names=["file", "ordinal", "doc_id"])
                     ordinal += len(coded)

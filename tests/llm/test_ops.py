@@ -239,6 +239,19 @@ def test_pipeline_keeps_documents_of_short_lines(spark):
     assert out == {1: shared, 2: "short verse", 4: "\u4e2d\u6587", 5: "short", 6: ""}
 
 
+def test_token_counts_of_texts_that_quote_the_end_token(spark, tmp_path):
+    from lexispark.llm.queries import op6_token_counts
+
+    docs = [(1, "a b"), (2, "the <|endoftext|> token"), (3, "<|endoftext|>"), (4, None), (5, "last one")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    out = [(r["doc_id"], r["n_tokens"]) for r in op6_token_counts(spark, str(tmp_path)).collect()]
+    coded = encoder(TOKENIZER).encode([t or "" for _, t in docs])
+    assert sorted(out) == [(i, len(c) // 4) for (i, _), c in zip(docs, coded, strict=True)]
+    with pytest.raises(Exception, match="hold the separator 49407"):
+        tokenfiles.document_token_counts(table, TOKENIZER, 49407, str(tmp_path / "t"))
+
+
 def test_licenses(spark):
     model = licenses.Classifier([])
     assert all(any(s in t.lower() for s in licenses.STEMS) for own in licenses.TEMPLATES.values() for t in own)
