@@ -12,20 +12,23 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
+#: Rows of a join's key up to which it is left whole, and the most keys that are split.
+SPLIT, HOT_KEYS = 1000, 50_000
+
 #: Rows that go to Python at once. Texts are long; the default of 10,000 would hold tens of MB on both sides.
 ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), a local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session that is all in
+    one process (tests) gets a local one; a cluster gets an error, as its executors would not see that."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lexispark-shared-")
-        spark.sparkContext.setCheckpointDir(path)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -52,6 +55,33 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, row
     return left.join(F.broadcast(right) if small(right, row_bytes) else right, on, how)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores put behind it until no column of ``frames`` has it (names ignore case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """Shuffled join in which a key that many rows of ``left`` share is dealt over several tasks.
+
+    Keys with more than SPLIT rows (or a 50,000th of all rows, so that there are at most 50,000 of them to broadcast) get
+    a salt by the columns ``by``; the right side's rows of these keys are repeated once for each salt. ``counts``
+    (on, n): the rows of ``left`` by key, where they are known already.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("n")) if counts is None else counts.select(*on, "n")
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    split = max(SPLIT, (total or 0) // HOT_KEYS)
+    if (most or 0) <= split:
+        return left.join(right, on, how)
+    n, salt = fresh("_salts", left, right), fresh("_salt", left, right)
+    hot = F.broadcast(counts.filter(F.col("n") > split).select(*on, F.ceil(F.col("n") / split).cast("int").alias(n)))
+    salted = left.join(hot, on, "left").withColumn(salt, F.when(F.col(n).isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col(n)).cast("int"))).drop(n)
+    repeated = right.join(hot, on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))).drop(n)
+    return salted.join(repeated, [*on, salt], how).drop(salt)
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     """Hadoop's file system and Path for ``path``."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

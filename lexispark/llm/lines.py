@@ -1,35 +1,42 @@
 """Line dedup by a log-template tree, with DataFrame operations only.
 
-A line's tokens with a digit are variable fields. The tree has a fixed depth: the number of tokens, then the first LEAD
-tokens. In a leaf the template seen in most documents generalises: templates of the leaf that agree with it in at least
-``similarity`` of the tokens after the first LEAD become the same template, the other tokens being variable. Of the
-others the one seen in most documents generalises next, and so on until no two are alike. Templates that recur across documents are dropped:
-each line of theirs goes from every document but the one with the smallest id, so that nothing is lost altogether.
+A line's tokens with a digit are variable fields, unless more than half of its tokens have one: such lines (rows of
+numbers, listings, hashes) are told apart by their content and kept unmasked. The tree has a fixed depth: the number of
+tokens, then the first LEAD tokens. In a leaf the template seen in most documents generalises: templates of the leaf
+that agree with it in at least ``similarity`` of the tokens after the first LEAD become the same template, the other
+tokens being variable. Of the others the one seen in most documents generalises next, and so on until no two are alike;
+a template that is like several of them belongs to the first. Templates that recur across documents are dropped: each
+line of theirs goes from every document but the one with the smallest id, so that nothing is lost altogether.
 
 The lines' texts are not shuffled: only hashes of leaf and template are. Tokens are fetched for the few templates that
 share their leaf with others, once for each template, from the first document that holds it. The text itself moves when
 a document meets the list of its dropped lines, and once more where the list of lines to fetch is too large to
-broadcast. Counts are aggregated map-side; a template that a third of all documents
-hold meets its lines in a join of two shuffled or one counted-and-broadcast side, which can be split.
+broadcast. Counts are aggregated map-side, lines are never gathered by template, and keys that many rows share are
+salted. Within a leaf 64-bit hashes stand for templates.
+
+With ``copies``, a document is left whole if it is a near-copy (by the Jaccard similarity of its sets of five-word
+shingles) of the document that keeps most of its lines, so that a near-duplicate stage that follows sees it as it
+is; only documents that share COPIED of their tokens in lines are compared.
 
 Defined cases: a null or empty text and a row with a null id pass through unchanged; lines of fewer than
-``min_tokens`` tokens are never dropped; lines that recur within one document only stay; rows with equal id and text are
-one document; a document that loses all its lines keeps an empty text; ties between a leaf's templates go to the one
-whose first line (id, position) is smallest; a template like several leading ones joins the first of those found in the
-same round; extra columns pass through, and columns named like the added ones are
-replaced.
+``min_tokens`` tokens (a parameter, 1 at least) are never dropped; lines that recur within one document only stay; rows
+with equal id and text are one document; a document that loses all its lines keeps an empty text; ties between a leaf's
+templates go to the one whose first line (id, position) is smallest; extra columns pass through whatever their names, and columns
+named like the added ones are replaced.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_checked, small
+from .common import checkpoint, fresh, hot_join, join_checked, small
 
 LEAD = 3
+#: Words of the shingles by which near-copies are told, and the share of tokens that these share in lines at least.
+SHINGLE, COPIED = 5, 0.2
 FIELD = "<*>"
 #: White space within a line, all read as a blank.
 _BLANKS = "\t\r\f\x0b"
@@ -45,14 +52,20 @@ def _masked(text: Column) -> Column:
 
     The look-behind keeps the pattern linear in long tokens.
     """
-    spaced = F.regexp_replace(text, f"[ {_BLANKS}]+", " ")
+    spaced = F.when(text.rlike(f"[{_BLANKS}]|  "), F.regexp_replace(text, f"[ {_BLANKS}]+", " ")).otherwise(text)
     fields = F.regexp_replace(spaced, "(?<![^ \n])[^ 0-9\n]*+[0-9][^ \n]*+", FIELD)
-    out = F.when(text.rlike(f"[{_BLANKS}0-9]|  "), fields).otherwise(text)
-    return F.transform(F.split(out, "\n"), lambda line: F.trim(line))
+    parts = lambda lines: F.transform(F.split(lines, "\n"), lambda line: F.trim(line))
+    # Half of the tokens are constant at least, or the line stays as it is.
+    told = F.zip_with(parts(fields), parts(spaced), lambda f, plain: F.when(2 * _n_fields(f) <= _n_tokens(f), f).otherwise(plain))
+    return F.when(text.rlike("[0-9]"), told).otherwise(parts(spaced))
+
+
+def _n_fields(masked: Column) -> Column:
+    return (F.length(masked) - F.length(F.replace(masked, F.lit(FIELD), F.lit("")))) / len(FIELD)
 
 
 def _n_tokens(masked: Column) -> Column:
-    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+    return F.when(masked == "", 0).otherwise(F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1)
 
 
 def _coded(rows: DataFrame) -> DataFrame:
@@ -62,10 +75,10 @@ def _coded(rows: DataFrame) -> DataFrame:
 
 
 def template_lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """(doc, key, pos, leaf, tmpl) of each line that may be dropped; key tells apart texts of one id."""
+    """(doc, key, pos, n, leaf, tmpl) of each line that may be dropped; n is its tokens, key tells apart texts of one id."""
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.posexplode(_masked(F.col(text_col))).alias("pos", "masked"))
     rows = rows.withColumn("n", _n_tokens(F.col("masked"))).filter(F.col("n") >= min_tokens)
-    return _coded(rows).select("doc", "key", "pos", "leaf", "tmpl")
+    return _coded(rows).select("doc", "key", "pos", F.col("n").cast("int"), "leaf", "tmpl")
 
 
 def template_tokens(docs: DataFrame, held: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,7 +93,7 @@ def template_tokens(docs: DataFrame, held: DataFrame, id_col: str, text_col: str
     rows = rows.select(F.explode(_let(F.split("text", "\n"), taken)).alias("line")).select(F.get(_masked(F.col("line")), F.lit(0)).alias("masked"))
     rows = _coded(rows.withColumn("n", _n_tokens(F.col("masked"))))
     rest = F.split(F.expr("substring(masked, length(lead) + 2)"), " ")
-    rows = rows.select("leaf", "tmpl", F.transform(rest, lambda t: F.hash(t)).alias("tokens")).dropDuplicates(["leaf", "tmpl"])
+    rows = rows.select("leaf", "tmpl", F.transform(rest, lambda t: F.xxhash64(t)).alias("tokens")).dropDuplicates(["leaf", "tmpl"])
     return held.join(rows, ["leaf", "tmpl"])
 
 
@@ -99,64 +112,114 @@ def _blocks(similarity: float) -> Column:
     size, needed = F.size("tokens"), _needed("tokens", similarity)
     n = size - needed + 1
     edge = lambda i: F.floor(i * size / n).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.hash(F.slice("tokens", edge(i) + 1, edge(i + 1) - edge(i))))
-    return F.when(needed > 0, runs).otherwise(F.array(F.lit(0)))
+    runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.slice("tokens", edge(i) + 1, edge(i + 1) - edge(i))))
+    return F.when(needed > 0, runs).otherwise(F.array(F.lit(0).cast("long")))
 
 
-def generalised(spark: SparkSession, held: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, tmpl, into): each template that is like a leading one of its leaf, with that.
+def generalised(held: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, tmpl, into): each template that is like a leading one of its leaf, with the first of those.
 
     By falling rank, a template leads unless it is like a leading one before it. As those that are alike share a block,
-    one that comes first in all its blocks leads; each round takes all of these, and those like them, out of the blocks.
-    Pairs are made with leading templates only, so that no round has more rows than templates have blocks.
+    one that comes first in all its blocks leads; each round compares all of these with the templates in their blocks and
+    takes them out. A template that is like one no longer comes first anywhere; it stays in those blocks where one
+    before its best so far may still lead. Pairs are made with leading templates only, so that no round has more
+    rows than templates have blocks.
     """
     held = held.withColumn("rank", F.struct("docs", (-F.col("first")).alias("d"), (-F.col("pos")).alias("p"), "tmpl"))
-    blocks = checkpoint(held.select("leaf", "tmpl", "rank", F.posexplode(_blocks(similarity)).alias("b", "h")))
-    rounds = [spark.createDataFrame([], "leaf long, tmpl long, into long")]
+    none = F.lit(None).cast(held.schema["rank"].dataType)
+    blocks = checkpoint(held.select("leaf", "tmpl", "rank", none.alias("best"), F.posexplode(_blocks(similarity)).alias("b", "h")))
+    own = held.select("leaf", "tmpl", "tokens")
+    rounds = [held.select("leaf", "tmpl", none.alias("found")).filter("false")]
     while True:
-        tops = blocks.groupBy("leaf", "b", "h").agg(F.max("rank").alias("top"), F.count("*").alias("n")).filter("n > 1")
-        seen = checkpoint(blocks.join(tops, ["leaf", "b", "h"]).groupBy("leaf", "tmpl").agg(F.collect_set("top.tmpl").alias("tops")))
-        if seen.isEmpty():
-            return reduce(DataFrame.unionByName, rounds)
-        leads = seen.filter((F.size("tops") == 1) & (F.col("tops")[0] == F.col("tmpl"))).select("leaf", "tmpl")
-        pairs = seen.select("leaf", "tmpl", F.explode("tops").alias("into")).filter("tmpl <> into")
-        own = held.select("leaf", "tmpl", "tokens")
+        tops = blocks.groupBy("leaf", "b", "h").agg(F.max(F.when(F.col("best").isNull(), F.col("rank"))).alias("top"), F.count("*").alias("n")).filter("top is not null and n > 1")
+        met = hot_join(blocks, tops.drop("n"), ["leaf", "b", "h"], ["tmpl"], counts=tops)
+        met = checkpoint(met.filter("best is null or top > best"))
+        if met.isEmpty():
+            return reduce(DataFrame.unionByName, rounds).groupBy("leaf", "tmpl").agg(F.max("found")["tmpl"].alias("into"))
+        seen = met.filter("best is null").groupBy("leaf", "tmpl").agg(F.bool_and(F.col("top.tmpl") == F.col("tmpl")).alias("leads"))
+        leads = seen.filter("leads").select("leaf", "tmpl")
+        pairs = met.filter("top.tmpl <> tmpl").select("leaf", "tmpl", F.col("top.tmpl").alias("into"))
+        shared = pairs.groupBy("leaf", "into").agg(F.count("*").alias("n"))
         into = held.join(leads, ["leaf", "tmpl"]).select("leaf", F.col("tmpl").alias("into"), F.col("tokens").alias("others"), "rank")
-        pairs = pairs.join(into, ["leaf", "into"]).join(own, ["leaf", "tmpl"]).filter(_alike("tokens", "others", similarity))
-        merged = checkpoint(pairs.groupBy("leaf", "tmpl").agg(F.max_by("into", "rank").alias("into")))
-        rounds.append(merged)
-        left = seen.select("leaf", "tmpl").join(leads.unionByName(merged.select("leaf", "tmpl")), ["leaf", "tmpl"], "left_anti")
-        blocks = checkpoint(blocks.join(left, ["leaf", "tmpl"], "left_semi"))
+        pairs = hot_join(pairs.distinct(), into, ["leaf", "into"], ["tmpl"], counts=shared).join(own, ["leaf", "tmpl"]).filter(_alike("tokens", "others", similarity))
+        found = checkpoint(pairs.groupBy("leaf", "tmpl").agg(F.max("rank").alias("found")))
+        rounds.append(found)
+        left = met.join(leads, ["leaf", "tmpl"], "left_anti").join(found, ["leaf", "tmpl"], "left")
+        best = F.greatest("best", "found")
+        blocks = checkpoint(left.select("leaf", "tmpl", "rank", best.alias("best"), "b", "h", "top").filter("best is null or top > best").drop("top"))
 
 
 def recurring(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_docs: int, similarity: float) -> DataFrame:
-    """(leaf, tmpl, first): templates that recur, as themselves or by what they generalise to, with the first document."""
+    """(leaf, tmpl, first, n): templates that recur, as themselves or by what they generalise to, with the first document
+    and the number of documents that hold the template itself."""
     per_doc = lines.groupBy("leaf", "tmpl", "doc").agg(F.min("pos").alias("pos"))
-    found = checkpoint(per_doc.groupBy("leaf", "tmpl").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.min_by("pos", "doc").alias("pos")))
+    found = checkpoint(per_doc.groupBy("leaf", "tmpl").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("pos")))
 
     # Leaves with several templates, the leading ones of each, and those that are like them.
-    mixed = found.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-    held = checkpoint(template_tokens(docs, checkpoint(found.join(mixed, "leaf")), id_col, text_col))
-    merged = generalised(docs.sparkSession, held, similarity)
-    moved = merged.unionByName(merged.select("leaf", F.col("into").alias("tmpl"), "into").distinct())
+    mixed = found.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
+    several = hot_join(found, mixed.select("leaf"), ["leaf"], ["tmpl"], counts=mixed)
+    held = checkpoint(template_tokens(docs, checkpoint(several), id_col, text_col))
+    merged = checkpoint(generalised(held, similarity))
+    members = merged.unionByName(merged.select("leaf", F.col("into").alias("tmpl"), "into").distinct())
 
     least = max(2, min_docs)
-    alone = join_checked(found.filter(F.col("docs") >= least).select("leaf", "tmpl", "first"), moved.select("leaf", "tmpl"), ["leaf", "tmpl"], "left_anti", 32)
-    united = join_checked(lines.select("leaf", "tmpl", "doc"), moved, ["leaf", "tmpl"], "inner", 40).groupBy("leaf", "into").agg(F.countDistinct("doc").alias("docs"), F.min("doc").alias("first"))
-    united = moved.join(united.filter(F.col("docs") >= least), ["leaf", "into"]).select("leaf", "tmpl", "first")
-    return checkpoint(alone.unionByName(united))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 4, min_docs: int = 2, similarity: float = 0.7) -> DataFrame:
-    """``docs`` with the recurring lines taken out of ``text_col``, n_lines long and dropped array<int> (their positions)."""
-    lines = checkpoint(template_lines(docs, id_col, text_col, max(min_tokens, LEAD)))
+    alone = join_checked(found.filter(F.col("docs") >= least).select("leaf", "tmpl", "first", F.col("docs").alias("n")), members.select("leaf", "tmpl"), ["leaf", "tmpl"], "left_anti", 32)
+    groups = found.join(members, ["leaf", "tmpl"]).groupBy("leaf", "into").agg(F.max("docs").alias("most"), F.min("first").alias("first"), F.max("last").alias("last"))
+    sure = groups.filter((F.col("most") >= least) | (F.lit(least == 2) & (F.col("first") < F.col("last"))))
+    if least > 2:  # of templates that all have fewer documents the different ones are counted
+        rare = members.join(groups.filter(F.col("most") < least).select("leaf", "into"), ["leaf", "into"])
+        counted = lines.select("leaf", "tmpl", "doc").join(rare, ["leaf", "tmpl"]).groupBy("leaf", "into").agg(F.countDistinct("doc").alias("docs"), F.min("doc").alias("first"))
+        sure = sure.select("leaf", "into", "first").unionByName(counted.filter(F.col("docs") >= least).select("leaf", "into", "first"))
+    united = members.join(sure.select("leaf", "into", "first"), ["leaf", "into"]).join(found.select("leaf", "tmpl", F.col("docs").alias("n")), ["leaf", "tmpl"])
+    return checkpoint(alone.unionByName(united.select("leaf", "tmpl", "first", "n")))
+
+
+def _shingles(text: Column) -> Column:
+    """Hashes of the different runs of SHINGLE words; a text of fewer words has one, all of it."""
+
+    def cut(hashes: Column) -> Column:
+        n = F.size(hashes)
+        run = lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(SHINGLE)))
+        return F.when(n < SHINGLE, F.array(F.xxhash64(hashes))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), run))
+
+    words = F.filter(F.split(F.lower(text), r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
+    return F.array_distinct(_let(F.transform(words, lambda w: F.xxhash64(w)), cut))
+
+
+def _near_copies(docs: DataFrame, lines: DataFrame, hit: DataFrame, id_col: str, text_col: str, copies: float) -> DataFrame:
+    """(doc, key) of documents like the one that keeps most of their lines, by the shingles of whole texts."""
+    shared = hit.groupBy("doc", "key", "first").agg(F.sum("n").alias("s")).groupBy("doc", "key").agg(F.max_by("first", "s").alias("first"), F.max("s").alias("s"))
+    tokens = lines.groupBy("doc", "key").agg(F.sum("n").alias("tokens"))
+    pairs = checkpoint(shared.join(tokens, ["doc", "key"]).filter(F.col("s") >= COPIED * F.col("tokens")))
+    others = tokens.select(F.col("doc").alias("first"), F.col("key").alias("other"), F.col("tokens").alias("theirs"))
+    pairs = checkpoint(hot_join(pairs, others, ["first"], ["doc", "key"]).filter(F.col("s") >= COPIED * F.col("theirs")).select("doc", "key", "first", "other"))
+    wanted = pairs.select("doc", "key").unionByName(pairs.select(F.col("first").alias("doc"), F.col("other").alias("key"))).distinct()
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = join_checked(texts, wanted, ["doc", "key"], "left_semi", 32).dropDuplicates(["doc", "key"])
+    sets = checkpoint(texts.select("doc", "key", _shingles(F.col("text")).alias("a")))
+    both = pairs.join(sets, ["doc", "key"])
+    both = hot_join(both, sets.select(F.col("doc").alias("first"), F.col("key").alias("other"), F.col("a").alias("b")), ["first", "other"], ["doc", "key"], counts=pairs.groupBy("first", "other").agg(F.count("*").alias("n")))
+    both = both.withColumn("same", F.size(F.array_intersect("a", "b")))
+    return both.filter(F.col("same") >= F.lit(copies) * (F.size("a") + F.size("b") - F.col("same")) - 1e-9).select("doc", "key").distinct()
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 4, min_docs: int = 2, similarity: float = 0.7, copies: float | None = None) -> DataFrame:
+    """``docs`` with the recurring lines taken out of ``text_col``, n_lines long and dropped array<int> (their positions).
+
+    copies: documents at least so similar to the one that keeps their lines are left whole (None: all are deduplicated).
+    """
+    lines = checkpoint(template_lines(docs, id_col, text_col, max(1, min_tokens)))
     again = recurring(docs, lines, id_col, text_col, min_docs, similarity)
-    hit = join_checked(lines.select("doc", "key", "pos", "leaf", "tmpl"), again, ["leaf", "tmpl"], "inner", 40).filter("doc <> first")
+    held = F.broadcast(again.drop("n")) if small(again, 40) else None
+    hit = lines.join(held, ["leaf", "tmpl"]) if held is not None else hot_join(lines, again.drop("n"), ["leaf", "tmpl"], ["doc", "pos"], counts=again)
+    hit = hit.filter("doc <> first")
     gone = hit.groupBy("doc", "key").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
-    keep = [c for c in docs.columns if c not in ("n_lines", "dropped")]
-    rows = docs.select(*keep, F.col(id_col).cast("long").alias("_doc"), F.xxhash64(text_col).alias("_key"))
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "dropped")
-    out = rows.join(gone.hint("shuffle_hash"), ["_doc", "_key"], "left")
+    if copies is not None:
+        gone = gone.join(_near_copies(docs, lines, hit, id_col, text_col, copies), ["doc", "key"], "left_anti")
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "dropped")]
+    doc, key = fresh("_doc", docs), fresh("_key", docs)
+    rows = docs.select(*keep, F.col(id_col).cast("long").alias(doc), F.xxhash64(text_col).alias(key))
+    out = rows.join(gone.select(F.col("doc").alias(doc), F.col("key").alias(key), "dropped"), [doc, key], "left")
     left = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
     kept = _let(F.split(text_col, "\n"), lambda parts: F.array_join(F.transform(left(parts), lambda i: F.get(parts, i)), "\n"))
     text = F.when(F.col("dropped").isNull(), F.col(text_col)).otherwise(kept)

@@ -130,19 +130,25 @@ FROM embeddings x JOIN c ON c.a = x.vec_id LEFT JOIN n ON n.a = x.vec_id
 #: What compaction must keep: every row once.
 OP3_SQL = "SELECT doc_id, doc_id % 16 AS arrival, n_chars, md5(text) AS text_md5 FROM documents"
 
-#: Templates by number of tokens, three leading tokens and up to eight runs; one generalising template for each leaf.
+#: Templates by number of tokens and three leading tokens. In each leaf they are taken by falling number of documents: one
+#: that is like an earlier leading one joins the first such, any other leads.
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 x AS (SELECT doc_id, unnest(range(0, len(parts))) AS pos, parts FROM d WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-t AS (SELECT doc_id, pos, list_transform(regexp_split_to_array(trim(translate(parts[pos + 1], chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), ' +'),
-  lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM x),
-s AS (SELECT doc_id, pos, len(w) AS n, array_to_string(w[1:3], ' ') AS lead, array_to_string(w, ' ') AS tmpl, w, len(w) - 3 AS rest, least(len(w) - 3, 8) AS k FROM t WHERE len(w) >= 4),
-r AS (SELECT doc_id, pos, n, lead, tmpl, list_transform(range(0, k), lambda i: array_to_string(w[(4 + (i * rest) // k):(3 + ((i + 1) * rest) // k)], ' ')) AS runs FROM s),
-f AS (SELECT n, lead, tmpl, count(DISTINCT doc_id) AS docs, min({'d': doc_id, 'p': pos}) AS first, any_value(runs) AS runs FROM r GROUP BY n, lead, tmpl),
-o AS (SELECT *, row_number() OVER (PARTITION BY n, lead ORDER BY docs DESC, first.d, first.p) AS rn FROM f),
-m AS (SELECT a.n, a.lead, a.tmpl, c.tmpl AS into_tmpl FROM o a JOIN o c ON a.n = c.n AND a.lead = c.lead AND c.rn = 1 AND a.rn > 1
-  WHERE len(list_filter(range(1, len(a.runs) + 1), lambda i: a.runs[i] = c.runs[i])) >= 0.7 * len(a.runs)),
-g AS (SELECT r.doc_id, r.pos, r.n, r.lead, coalesce(m.into_tmpl, r.tmpl) AS tmpl FROM r LEFT JOIN m ON m.n = r.n AND m.lead = r.lead AND m.tmpl = r.tmpl),
+u AS (SELECT doc_id, pos, regexp_split_to_array(trim(translate(parts[pos + 1], chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), ' +') AS plain FROM x),
+v AS (SELECT doc_id, pos, plain, list_transform(plain, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS masked FROM u),
+t AS (SELECT doc_id, pos, CASE WHEN 2 * len(list_filter(masked, lambda w: w = '<*>')) <= len(masked) THEN masked ELSE plain END AS w FROM v),
+s AS (SELECT doc_id, pos, len(w) AS n, array_to_string(w[1:3], ' ') AS lead, array_to_string(w, ' ') AS tmpl, w[4:] AS rest FROM t WHERE len(w) >= 4),
+f AS (SELECT n, lead, tmpl, count(DISTINCT doc_id) AS docs, min({'d': doc_id, 'p': pos}) AS first, any_value(rest) AS rest FROM s GROUP BY n, lead, tmpl),
+o AS (SELECT *, row_number() OVER (PARTITION BY n, lead ORDER BY docs DESC, first.d, first.p) AS rn, count(*) OVER (PARTITION BY n, lead) AS of FROM f),
+e AS (SELECT n, lead, 1::BIGINT AS rn, [{'t': tmpl, 'r': rest}] AS leads, tmpl, NULL::VARCHAR AS into_tmpl FROM o WHERE rn = 1 AND of > 1
+  UNION ALL
+  SELECT n, lead, rn, CASE WHEN len(alike) = 0 THEN list_append(leads, {'t': tmpl, 'r': rest}) ELSE leads END, tmpl, CASE WHEN len(alike) > 0 THEN alike[1].t END
+  FROM (SELECT o.n, o.lead, o.rn, o.tmpl, o.rest, e.leads,
+      list_filter(e.leads, lambda l: len(list_filter(range(1, len(l.r) + 1), lambda i: l.r[i] = o.rest[i])) >= ceil(0.7 * len(l.r) - 1e-9)) AS alike
+    FROM e JOIN o ON o.n = e.n AND o.lead = e.lead AND o.rn = e.rn + 1)),
+m AS (SELECT n, lead, tmpl, into_tmpl FROM e WHERE into_tmpl IS NOT NULL),
+g AS (SELECT s.doc_id, s.pos, s.n, s.lead, coalesce(m.into_tmpl, s.tmpl) AS tmpl FROM s LEFT JOIN m ON m.n = s.n AND m.lead = s.lead AND m.tmpl = s.tmpl),
 c AS (SELECT n, lead, tmpl, min(doc_id) AS first FROM g GROUP BY n, lead, tmpl HAVING count(DISTINCT doc_id) >= 2),
 z AS (SELECT g.doc_id, list_sort(list(DISTINCT g.pos)) AS dropped FROM g JOIN c ON g.n = c.n AND g.lead = c.lead AND g.tmpl = c.tmpl WHERE g.doc_id <> c.first GROUP BY g.doc_id)
 SELECT d.doc_id, len(d.parts) AS n_lines, coalesce(z.dropped, []) AS dropped,

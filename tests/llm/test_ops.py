@@ -229,6 +229,77 @@ def test_line_dedup_keeps_several_groups_of_a_leaf(spark):
     assert out == want
 
 
+def test_line_dedup_lines_of_numbers_are_told_apart(spark):
+    """A line is masked only if at least half of its tokens are constant."""
+    rng = random.Random(8)
+    rows = [(i, "\n".join(" ".join(f"word{rng.randrange(1000)}" for _ in range(12)) for _ in range(3))) for i in range(60)]
+    rows += [(100, rows[0][1].split("\n")[1]), (101, "a 1 2 3 4"), (102, "a 5 6 7 8"), (103, "a b 1 2 c"), (104, "a b 3 4 c"), (105, "1 2 3 4 5"), (106, "1 2 3 4 5")]
+    out = {r["doc_id"]: r["dropped"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, d in out.items() if d} == {100, 104, 106}
+
+
+def test_line_dedup_clashing_columns_ties_and_short_lines(spark):
+    line = "one and the same line here"
+    docs = [(1, line, "keep", 1, "a"), (2, line, "keep", 2, "b"), (2, line, "keep", 2, "b"), (3, "x\n\ny\n\nx", "keep", 3, "c"), (4, "x\n\nz", "keep", 4, "d")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, _doc string, _KEY long, leaf string")
+    out = lines.dedup_lines(table)
+    assert out.columns == [*table.columns, "n_lines", "dropped"]
+    assert sorted(tuple(r)[:6] for r in out.collect()) == sorted([(1, line, "keep", 1, "a", 1), (2, "", "keep", 2, "b", 1), (2, "", "keep", 2, "b", 1), (3, docs[3][1], "keep", 3, "c", 5), (4, docs[4][1], "keep", 4, "d", 3)])
+    short = {r["doc_id"]: r["dropped"] for r in lines.dedup_lines(table, min_tokens=1).collect()}
+    assert short == {1: [], 2: [0], 3: [], 4: [0]}  # empty lines always stay
+    many = spark.createDataFrame([(i, f"{line} {'abcdef'[i]}") for i in range(6)], "doc_id long, text string")
+    assert [r["dropped"] for r in lines.dedup_lines(many, min_docs=7).orderBy("doc_id").collect()] == [[]] * 6
+    assert [r["dropped"] for r in lines.dedup_lines(many, min_docs=6, similarity=0.5).orderBy("doc_id").collect()] == [[]] + [[0]] * 5
+
+
+def test_line_dedup_of_a_template_that_is_like_several(spark):
+    """It belongs to the first of them, whenever that is found to lead."""
+    head = "x y z "
+    texts = [head + t for t in ["a a a a a a a a a a", "a a a a a a a b b b", "a a a a b b b b b b", "a a a a a b b b b b", "c c c c c c c b b b"] for _ in range(1)]
+    for seed in range(4):
+        rng = random.Random(seed)
+        pool = [head + " ".join(rng.choice("ab") if rng.random() < 0.5 else "a" for _ in range(10)) for _ in range(40)] + texts
+        docs: dict = {}
+        rows = [(i, rng.choice(pool)) for i in range(120)]
+        for i, t in rows:
+            docs.setdefault(t, []).append(i)
+        leads: dict = {}
+        for t in sorted(docs, key=lambda t: (-len(docs[t]), docs[t][0])):
+            like = [x for x in leads if sum(a == b for a, b in zip(t.split()[3:], x.split()[3:], strict=True)) >= 7]
+            leads.setdefault(like[0] if like else t, []).append(t)
+        want = {i: [] for i, _ in rows}
+        for own in leads.values():
+            want |= {i: [0] for i in sorted(i for t in own for i in docs[t])[1:]}
+        out = {r["doc_id"]: r["dropped"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert out == want
+
+
+def test_line_dedup_leaves_near_copies_whole(spark):
+    rng = random.Random(9)
+    line = lambda: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(10))
+    rows, shared = [], line()
+    for i in range(40):
+        own = [line() for _ in range(20)]
+        rows.append((i, "\n".join([*own, shared])))
+        own[rng.randrange(20)] = line()
+        rows.append((100 + i, "\n".join([*own, shared] if i % 2 else own)))
+    rows.append((300, "\n".join([rows[0][1].split("\n")[3], *(line() for _ in range(9))])))
+    out = {r["doc_id"]: r["dropped"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), copies=0.8).collect()}
+    assert all(out[100 + i] == [] for i in range(40)) and out[300] == [0]
+    assert all(out[i] == ([20] if i else []) for i in range(40))
+    plain = {r["doc_id"]: r["dropped"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(len(plain[100 + i]) >= 19 for i in range(40))
+
+
+@pytest.mark.parametrize("name", ["op3_sharding", "op8_line_dedup", "op1_warc", "op4_embedding_neardup", "op5_minhash"])
+def test_queries_match_their_sql(spark, sf_dir, name):
+    from compare import assert_same
+
+    from lexispark.llm import queries
+
+    assert_same(spark, sf_dir, queries.queries()[name], queries.oracle_sql()[name])
+
+
 def test_pipeline_keeps_documents_of_short_lines(spark):
     import corpus_pipeline
 
