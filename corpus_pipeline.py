@@ -10,6 +10,9 @@ from lexispark import ship
 from lexispark.llm import decontaminate, langid, lines, minhash, packing
 from lexispark.llm.common import checkpoint, join_checked, shared_path, table
 
+#: Similarity of near-duplicates in percent, by five-word shingles.
+SIMILAR = 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models reject go."""
@@ -18,15 +21,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from all documents but the first; so do documents of which only white space is left."""
-    out = lines.dedup_lines(docs)
+    """Recurring lines go from all documents but the first; so do documents of which only white space is left.
+
+    A near-copy of the document that keeps its lines stays whole: the next stage decides on it, which it could not do by
+    the few lines that would be left.
+    """
+    out = lines.dedup_lines(docs, copies=SIMILAR / 100)
     out = out.filter((F.size("dropped") == 0) | F.col("text").rlike(r"(?U)\S"))
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, the one with the smallest id."""
-    gone = checkpoint(minhash.near_duplicates(docs, k=5, percent=80).filter("not kept").select("doc_id"))
+    gone = checkpoint(minhash.near_duplicates(docs, k=5, percent=SIMILAR).filter("not kept").select("doc_id"))
     return join_checked(docs, gone, ["doc_id"], "left_anti", 16).select(*docs.columns)
 
 
