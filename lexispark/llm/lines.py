@@ -37,6 +37,8 @@ from .common import checkpoint, fresh, hot_join, join_checked, small
 LEAD = 3
 #: Words of the shingles by which near-copies are told, and the share of tokens that these share in lines at least.
 SHINGLE, COPIED = 5, 0.2
+#: Comparisons of tokens (templates squared, by tokens) up to which a leaf's templates are compared as one array.
+WORK = 2_000_000
 FIELD = "<*>"
 #: White space within a line, all read as a blank.
 _BLANKS = "\t\r\f\x0b"
@@ -97,13 +99,13 @@ def template_tokens(docs: DataFrame, held: DataFrame, id_col: str, text_col: str
     return held.join(rows, ["leaf", "tmpl"])
 
 
-def _alike(a: str, b: str, similarity: float) -> Column:
+def _alike(a: Column | str, b: Column | str, similarity: float) -> Column:
     """Whether at least ``similarity`` of the tokens are the same."""
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
     return same >= _needed(a, similarity)
 
 
-def _needed(tokens: str, similarity: float) -> Column:
+def _needed(tokens: Column | str, similarity: float) -> Column:
     return F.ceil(F.lit(similarity) * F.size(tokens) - 1e-9).cast("int")
 
 
@@ -119,13 +121,39 @@ def _blocks(similarity: float) -> Column:
 def generalised(held: DataFrame, similarity: float) -> DataFrame:
     """(leaf, tmpl, into): each template that is like a leading one of its leaf, with the first of those.
 
-    By falling rank, a template leads unless it is like a leading one before it. As those that are alike share a block,
-    one that comes first in all its blocks leads; each round compares all of these with the templates in their blocks and
-    takes them out. A template that is like one no longer comes first anywhere; it stays in those blocks where one
+    held: (leaf, of, tmpl, docs, first, pos, tokens); of is the number of the leaf's templates. By falling rank, a template
+    leads unless it is like a leading one before it. Leaves of bounded size are worked on as one array, larger ones by
+    rounds over all of them; both give the same.
+    """
+    held = held.withColumn("rank", F.struct("docs", (-F.col("first")).alias("d"), (-F.col("pos")).alias("p"), "tmpl"))
+    few = F.col("of") * F.col("of") * F.size("tokens") <= WORK
+    return _within_arrays(held.filter(few), similarity).unionByName(_by_rounds(held.filter(~few), similarity))
+
+
+def _within_arrays(held: DataFrame, similarity: float) -> DataFrame:
+    own = held.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "tokens")), asc=False).alias("own"))
+    start = F.struct(F.array().cast("array<struct<tmpl:bigint,tokens:array<bigint>>>").alias("leads"), F.array().cast("array<struct<tmpl:bigint,into:bigint>>").alias("out"))
+
+    def step(held: Column, x: Column) -> Column:
+        tmpl = x["rank"]["tmpl"]
+
+        def placed(alike: Column) -> Column:
+            new = F.size(alike) == 0
+            leads = F.when(new, F.concat(held["leads"], F.array(F.struct(tmpl.alias("tmpl"), x["tokens"].alias("tokens"))))).otherwise(held["leads"])
+            out = F.when(new, held["out"]).otherwise(F.concat(held["out"], F.array(F.struct(tmpl.alias("tmpl"), F.get(alike, F.lit(0))["tmpl"].alias("into")))))
+            return F.struct(leads.alias("leads"), out.alias("out"))
+
+        return _let(F.filter(held["leads"], lambda lead: _alike(lead["tokens"], x["tokens"], similarity)), placed)
+
+    return own.select("leaf", F.explode(F.aggregate("own", start, step)["out"]).alias("x")).select("leaf", "x.tmpl", "x.into")
+
+
+def _by_rounds(held: DataFrame, similarity: float) -> DataFrame:
+    """As those that are alike share a block, a template that comes first in all its blocks leads; each round compares all
+    of these with the templates in their blocks and takes them out. A template that is like one no longer comes first anywhere; it stays in those blocks where one
     before its best so far may still lead. Pairs are made with leading templates only, so that no round has more
     rows than templates have blocks.
     """
-    held = held.withColumn("rank", F.struct("docs", (-F.col("first")).alias("d"), (-F.col("pos")).alias("p"), "tmpl"))
     none = F.lit(None).cast(held.schema["rank"].dataType)
     blocks = checkpoint(held.select("leaf", "tmpl", "rank", none.alias("best"), F.posexplode(_blocks(similarity)).alias("b", "h")))
     own = held.select("leaf", "tmpl", "tokens")
@@ -157,7 +185,7 @@ def recurring(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min
 
     # Leaves with several templates, the leading ones of each, and those that are like them.
     mixed = found.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
-    several = hot_join(found, mixed.select("leaf"), ["leaf"], ["tmpl"], counts=mixed)
+    several = hot_join(found, mixed.select("leaf", F.col("n").alias("of")), ["leaf"], ["tmpl"], counts=mixed)
     held = checkpoint(template_tokens(docs, checkpoint(several), id_col, text_col))
     merged = checkpoint(generalised(held, similarity))
     members = merged.unionByName(merged.select("leaf", F.col("into").alias("tmpl"), "into").distinct())

@@ -205,7 +205,9 @@ def test_line_dedup_compares_tokens(spark):
     assert out == {1: [], 2: [0], 3: [0], 4: []}
 
 
-def test_line_dedup_keeps_several_groups_of_a_leaf(spark):
+@pytest.mark.parametrize("work", [0, lines.WORK])
+def test_line_dedup_keeps_several_groups_of_a_leaf(spark, monkeypatch, work):
+    monkeypatch.setattr(lines, "WORK", work)
     rng, head = random.Random(3), "one two three "
     bases = [[rng.choice("abcdefgh") for _ in range(10)] for _ in range(12)]
     texts = [head + " ".join("z" if rng.random() < 0.15 else w for w in rng.choice(bases)) for _ in range(150)]
@@ -252,8 +254,10 @@ def test_line_dedup_clashing_columns_ties_and_short_lines(spark):
     assert [r["dropped"] for r in lines.dedup_lines(many, min_docs=6, similarity=0.5).orderBy("doc_id").collect()] == [[]] + [[0]] * 5
 
 
-def test_line_dedup_of_a_template_that_is_like_several(spark):
+@pytest.mark.parametrize("work", [0, lines.WORK])
+def test_line_dedup_of_a_template_that_is_like_several(spark, monkeypatch, work):
     """It belongs to the first of them, whenever that is found to lead."""
+    monkeypatch.setattr(lines, "WORK", work)
     head = "x y z "
     texts = [head + t for t in ["a a a a a a a a a a", "a a a a a a a b b b", "a a a a b b b b b b", "a a a a a b b b b b", "c c c c c c c b b b"] for _ in range(1)]
     for seed in range(4):
