@@ -15,8 +15,8 @@ BROADCAST_BYTES = 8 << 20
 #: Rows of a join's key up to which it is left whole, and the most keys that are split.
 SPLIT, HOT_KEYS = 1000, 50_000
 
-#: Rows that go to Python at once. Texts are long; the default of 10,000 would hold tens of MB on both sides.
-ARROW_ROWS = 1000
+#: Rows and bytes that go to Python at once. Texts are long; the defaults of 10,000 and 64 MB would hold tens of MB on both sides.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,4 +90,5 @@ def hadoop_fs(spark: SparkSession, path: str):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,16 +1,18 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
-Every vector is normalised and projected on many fixed random directions. Two vectors collide in a projection when
-one lies in the window centred on the other; a pair that collides often enough is verified with the exact cosine in
-double precision. Window and count are calibrated, for the dimension at hand, so that a pair exactly at the threshold
-is kept with a probability of at least 1 - MISS: its difference along a direction is close to normal with a known
-variance.
-
-Groups (label values) are of any size: equal vectors are collapsed first; a group is then cut along its projections,
-one after another, at the median, each side also taking the vectors within half a window of the cut, so that a pair
-that collides there shares a side. How deep a group is cut follows from its own size. A cell that is still large
-(a dense cluster) is dealt over tasks as pairs of blocks. A pair that several cells share is counted in the first.
-Tasks return degrees and spanning edges only, never pairs.
+Every vector is normalised and projected on many fixed random directions. Projections are sorted, and two vectors
+collide in one when one lies in the window centred on the other; a pair that collides often enough is verified with the
+exact cosine in double precision. Window and count are calibrated, for the dimension at hand, so that a pair exactly at the
+threshold is kept with a probability of at least 1 - MISS: its difference along a direction is close to normal with a
+known variance. A pair that collides often enough collides in one of the first few projections, so that only the
+windows of those are enumerated; the pairs found are counted on, and given up as soon as they have missed too often.
+
+Groups (label values) are of any size: equal vectors are collapsed first; a group is then cut at the medians of its
+projections, those that spread widest first, each side also taking the vectors within half a window of the cut, so that
+a pair that collides there shares a side. A group is cut as far as its size asks for and only where a cut lessens the
+pairs (two sides of share s have 2 s^2 of them): a dense cluster, which no cut divides, stays whole. What is left is
+dealt over tasks as pairs of blocks; a dense cluster of n vectors is sent n / BLOCK times. A pair that several
+cells share is counted in the first. Tasks return degrees and spanning edges only, never pairs.
 
 Defined cases: null or zero vectors, vectors with null or non-finite components, and vectors without a label link with
 nothing; vectors of different lengths never link; rows that share an id are one vector, linked by any of its rows; a
@@ -27,17 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, hot_join
 from .graph import components
 
-#: Projections that are counted, and how many of the first may cut a group.
-PROJECTIONS, CUTS = 24, 24
-#: Vectors of a cell before it is cut again, and of a block within a cell.
-CELL, BLOCK = 4096, 1024
+#: Projections that are counted; each of them may cut a group.
+PROJECTIONS = 24
+#: Vectors of a cell up to which it isn't cut again; vectors and bytes of a block within a cell.
+CELL, BLOCK, BLOCK_BYTES = 4096, 1024, 8 << 20
 #: Probability of losing a pair at the threshold by the count; each cut adds one of 4e-5.
 MISS = 1e-6
 #: Half-width of the windows in standard deviations of such a pair's difference, for counting and for cuts.
-WINDOW, CUT_WINDOW = 1.5, 4.1
+WINDOW, CUT_WINDOW = 3.0, 4.1
+#: Share of a group's vectors within half a window of a cut up to which cutting lessens the pairs: 2 * (0.5 + x / 2) ** 2 < 1.
+STRADDLE = 0.4
 
 
 def directions(dim: int, n: int = PROJECTIONS) -> np.ndarray:
@@ -59,35 +63,68 @@ def calibrated(threshold: float, dim: int) -> tuple[float, float, int]:
     return sigma, WINDOW * sigma, count
 
 
-def _project(dims: dict[int, np.ndarray]):
+def _project():
     schema = pa.schema([("id", pa.int64()), ("label", pa.string()), ("dim", pa.int32()), ("unit", pa.binary()), ("proj", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            lists, units, projected, good = batch.column(2), [], [], []
-            for start in range(0, len(lists), 1024):
-                for vector in lists.slice(start, 1024).to_pylist():
-                    ok = bool(vector) and None not in vector
-                    row = np.array(vector, np.float64) if ok else None
-                    if ok:
-                        scale = np.abs(row).max()
-                        ok = np.isfinite(scale) and scale > 0
-                    good.append(ok)
-                    if ok:
-                        row = row / scale
-                        row /= math.sqrt(float(row @ row))
-                        if len(row) not in held:
-                            held[len(row)] = directions(len(row))
-                        units.append(row.tobytes())
-                        projected.append((held[len(row)] @ row).tolist())
-            keep = pa.array(good, pa.bool_())
-            arrays = [batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array([len(u) // 8 for u in units], pa.int32()), pa.array(units, pa.binary()), pa.array(projected, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            lists = batch.column(2)
+            lists = pa.array(lists) if isinstance(lists, pa.ChunkedArray) else lists
+            offsets, flat = lists.offsets.to_numpy(), lists.values
+            values = flat.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become nan
+            sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+            for dim in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero(sizes == dim)
+                for at in range(0, len(rows), 1024):
+                    own = rows[at : at + 1024]
+                    matrix = values[offsets[own][:, None] + np.arange(dim)]
+                    scale = np.abs(matrix).max(axis=1)
+                    good = np.isfinite(scale) & (scale > 0)
+                    own, matrix = own[good], matrix[good] / scale[good][:, None]
+                    if not len(own):
+                        continue
+                    # The same sum whatever the batch, so that equal vectors have equal units.
+                    matrix = matrix / np.sqrt(np.cumsum(matrix * matrix, axis=1)[:, -1])[:, None]
+                    if dim not in held:
+                        held[dim] = directions(dim)
+                    places = pa.array(own)
+                    projected = matrix @ held[dim].T
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * PROJECTIONS), pa.array(projected.ravel()))
+                    units = pa.array([row.tobytes() for row in matrix], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(places), batch.column(1).take(places), pa.array(np.full(len(own), dim, np.int32)), units, listed], schema=schema)
 
     return run
 
 
+def colliding(left: np.ndarray, right: np.ndarray, window: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of the columns of two arrays of projections that collide in at least ``least`` of them.
+
+    Such a pair collides in one of the first ``misses + 1`` projections: their sorted windows are enumerated one after
+    another, pairs that an earlier one had are left out, and the rest are counted on through the other projections.
+    """
+    misses = len(left) - least
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for p in range(misses + 1):
+        by = np.argsort(right[p], kind="stable")
+        ordered = right[p][by]
+        low, high = np.searchsorted(ordered, left[p] - window, "left"), np.searchsorted(ordered, left[p] + window, "right")
+        n = high - low
+        i = np.repeat(np.arange(left.shape[1]), n)
+        j = by[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        for q in range(p):  # collided before: found there
+            new = np.abs(left[q][i] - right[q][j]) > window
+            i, j = i[new], j[new]
+        missed = np.full(len(i), p, np.uint8)
+        for q in range(p + 1, len(left)):
+            missed += np.abs(left[q][i] - right[q][j]) > window
+            if missed.any():
+                going = missed <= misses
+                i, j, missed = i[going], j[going], missed[going]
+        found.append((i, j))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
 def _compare(threshold: float):
     """One pair of blocks (i <= j) of a cell: for each vector the copies it links with, and one edge for each linked component."""
 
@@ -101,16 +138,8 @@ def _compare(threshold: float):
         dim = int(take.column("dim")[0].as_py())
         units = np.frombuffer(b"".join(take.column("unit").to_pylist()), np.float64).reshape(n, dim)
         _, window, least = calibrated(threshold, dim)
-        places, low, high = (np.empty((PROJECTIONS, n), np.int32) for _ in range(3))
-        projected = units @ directions(dim).T
-        for p in range(PROJECTIONS):  # windows centred on each vector, as ranges of places in the sorted projection
-            values = projected[:, p]
-            by = np.argsort(values, kind="stable")
-            places[p, by] = np.arange(n)
-            ordered = values[by]
-            low[p] = np.searchsorted(ordered, values - window, "left")
-            high[p] = np.searchsorted(ordered, values + window, "right")
-        right = np.arange(n) if same else np.arange(n_left, n)
+        projected = np.ascontiguousarray((units @ directions(dim).T).T)
+        first = 0 if same else n_left  # of the right side
         degree, parent, edges = np.zeros(n, np.int64), list(range(n)), []
 
         def root(x: int) -> int:
@@ -119,17 +148,13 @@ def _compare(threshold: float):
             return x
 
         for start in range(0, n if same else n_left, 256):
-            left = np.arange(start, min(start + 256, n if same else n_left))
-            hits = np.zeros((len(left), len(right)), np.uint8)
-            for p in range(PROJECTIONS):
-                from_low = (places[p][right][None, :] - low[p][left][:, None]).view(np.uint32)
-                hits += from_low < (high[p][left] - low[p][left]).astype(np.uint32)[:, None]
-            a, b = np.nonzero(hits >= least)
-            a, b = left[a], right[b]
+            end = min(start + 256, n if same else n_left)
+            a, b = colliding(projected[:, start:end], projected[:, first:], window, least)
+            a, b = a + start, b + first
             keep = (a < b if same else ids[a] != ids[b]) & ((also[a] & also[b]) == 0)
             a, b = a[keep], b[keep]
-            for at in range(0, len(a), 1 << 16):
-                x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            for at in range(0, len(a), 1 << 14):
+                x, y = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
                 linked = np.einsum("ij,ij->i", units[x], units[y]) >= threshold
                 x, y = x[linked], y[linked]
                 np.add.at(degree, x, copies[y])
@@ -152,22 +177,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     usable = rows.filter("id is not null and label is not null and v is not null")
-    signed = checkpoint(usable.mapInArrow(_project({}), "id long, label string, dim int, unit binary, proj array<double>"))
+    signed = checkpoint(usable.mapInArrow(_project(), "id long, label string, dim int, unit binary, proj array<double>"))
 
     # Equal directions are one class, named by its smallest id; a class of n vectors gives each n - 1 links.
     key = ["label", "dim", "unit"]
     classes = signed.groupBy(*key).agg(F.min("id").alias("cls"), F.countDistinct("id").alias("copies"), F.first("proj").alias("proj"))
     classes = checkpoint(classes)
-    cells = _cells(classes, threshold)
-    per_cell = cells.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocked = cells.join(per_cell, ["label", "dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    cells = checkpoint(_cells(classes, threshold))
+    per_cell = cells.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("n") * F.col("dim") * 8 / BLOCK_BYTES)).cast("int")
+    blocked = hot_join(cells, per_cell.select("label", "dim", "cell", blocks.alias("blocks")), ["label", "dim", "cell"], ["cls"], counts=per_cell)
+    blocked = blocked.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", "dim", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "copies", "unit", "also")
     met = checkpoint(dealt.groupBy("label", "dim", "cell", "i", "j").applyInArrow(_compare(threshold), "u long, v long, n long"))
 
-    copied = signed.join(classes.select(*key, "cls", "copies"), key).select("id", "cls", "copies").distinct()
+    copied = hot_join(signed.drop("proj"), classes.select(*key, "cls", "copies"), key, ["id"], counts=classes.withColumnRenamed("copies", "n")).select("id", "cls", "copies").distinct()
     degrees = met.filter("v is null").groupBy("u").agg(F.sum("n").alias("n"))
-    degrees = copied.join(degrees.withColumnRenamed("u", "cls"), "cls", "left").groupBy("id").agg(F.sum(F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    named = degrees.select(F.col("u").alias("cls"), "n")
+    degrees = hot_join(copied, named, ["cls"], ["id"], "left", counts=classes.select("cls", F.col("copies").alias("n"))).groupBy("id").agg(F.sum(F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     edges = met.filter("v is not null").select("u", "v").unionByName(copied.filter("id <> cls").select(F.col("id").alias("u"), F.col("cls").alias("v")))
     found = components(edges).withColumnRenamed("node", "id")
     out = rows.filter("id is not null").select("id").distinct().join(degrees, "id", "left").join(found, "id", "left")
@@ -178,20 +206,29 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def _cells(classes: DataFrame, threshold: float) -> DataFrame:
     """Each class with the cells it falls in, and the cuts (bits) at which it also stands on the side that comes first."""
-    medians = [F.percentile_approx(F.col("proj")[c], 0.5, 200).alias(f"m{c}") for c in range(CUTS)]
-    groups = classes.groupBy("label", "dim").agg(F.count("*").alias("n"), *medians)
-    depth = F.least(F.lit(CUTS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / CELL)))).cast("int")
-    groups = groups.select("label", "dim", depth.alias("depth"), F.array(*(f"m{c}" for c in range(CUTS))).alias("cuts"))
+    own = ["label", "dim"]
     half = F.sqrt(F.lit(2 - 2 * threshold)) / F.sqrt(F.col("dim")) * F.lit(CUT_WINDOW / 2)
-    start = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("also")))
-
-    def cut(cells, c):
-        below, above = F.col("proj")[c] < F.col("cuts")[c] + F.col("half"), F.col("proj")[c] >= F.col("cuts")[c] - F.col("half")
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), c)
-        first = F.when(below, F.transform(cells, lambda x: F.struct(x["cell"].alias("cell"), x["also"].alias("also")))).otherwise(F.expr("array()").cast("array<struct<cell:bigint,also:bigint>>"))
-        second = F.when(above, F.transform(cells, lambda x: F.struct((x["cell"] + bit).alias("cell"), (x["also"] + F.when(below, bit).otherwise(F.lit(0).cast("long"))).alias("also")))).otherwise(F.expr("array()").cast("array<struct<cell:bigint,also:bigint>>"))
-        return F.concat(first, second)
-
-    rows = classes.join(groups, ["label", "dim"]).withColumn("half", half)
-    placed = F.when(F.col("depth") == 0, start).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("depth") - 1), start, cut))
-    return rows.withColumn("at", F.explode(placed)).select("label", "dim", "cls", "copies", "unit", F.col("at.cell").alias("cell"), F.col("at.also").alias("also"))
+    groups = classes.groupBy(*own).agg(F.count("*").alias("n"), F.array(*(F.percentile_approx(F.col("proj")[c], 0.5, 200) for c in range(PROJECTIONS))).alias("medians"))
+    groups = checkpoint(groups)
+    near = [F.avg((F.abs(F.col("proj")[c] - F.col("medians")[c]) <= half).cast("double")) for c in range(PROJECTIONS)]
+    large = groups.filter(F.col("n") > CELL)
+    spread = hot_join(classes.select(*own, "cls", "proj"), large.drop("n"), own, ["cls"], counts=large).groupBy(*own).agg(F.array(*near).alias("near"))
+    # The cuts of a group: those that fewest vectors straddle first, while cells are large and cutting lessens the pairs.
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(PROJECTIONS - 1)), lambda c: F.struct(F.get("near", c).alias("near"), c.alias("c"), F.get("medians", c).alias("at"))))
+    ranked = F.filter(ranked, lambda x: x["near"] <= STRADDLE)
+    start = F.struct(F.col("n").cast("double").alias("n"), F.array().cast("array<struct<c:int,at:double>>").alias("cuts"))
+    chosen = F.aggregate(ranked, start, lambda a, x: F.when(a["n"] <= CELL, a).otherwise(F.struct((a["n"] * (x["near"] + 1) / 2).alias("n"), F.concat(a["cuts"], F.array(F.struct(x["c"].alias("c"), x["at"].alias("at")))).alias("cuts"))))["cuts"]
+    cuts = groups.join(spread, own, "left").select(*own, "n", F.when(F.col("near").isNull(), F.array().cast("array<struct<c:int,at:double>>")).otherwise(chosen).alias("cuts"))
+
+    none = F.array().cast("array<struct<cell:bigint,also:bigint>>")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("also")))
+
+    def cut(cells, x):
+        value, at = F.get("proj", x["c"]), x["at"]
+        below, above = value < at + F.col("half"), value >= at - F.col("half")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), x["c"])
+        second = F.transform(cells, lambda y: F.struct((y["cell"] + bit).alias("cell"), (y["also"] + F.when(below, bit).otherwise(F.lit(0).cast("long"))).alias("also")))
+        return F.concat(F.when(below, cells).otherwise(none), F.when(above, second).otherwise(none))
+
+    rows = hot_join(classes, cuts.drop("n"), own, ["cls"], counts=cuts).withColumn("half", half)
+    return rows.withColumn("at", F.explode(F.aggregate("cuts", whole, cut))).select(*own, "cls", "copies", "unit", F.col("at.cell").alias("cell"), F.col("at.also").alias("also"))

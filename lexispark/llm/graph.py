@@ -2,7 +2,7 @@
 
 Alternates the two star operations of Kiveris et al. (2014): the large star hangs a node's larger
 neighbours on its smallest one, the small star its smaller ones. Neighbourhood minima are aggregated map-side
-and joined back, so a hub's edges can be split over tasks; no neighbourhood is ever gathered. An edge list that was counted
+and joined back, a hub's edges dealt over several tasks; no neighbourhood is ever gathered. An edge list that was counted
 to be small (LOCAL edges, 4 MB) is united in one executor task instead, which saves dozens of small shuffles; the
 result is the same.
 """
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, hot_join
 
 #: Distinct edges up to which one task unites them.
 LOCAL = 250_000
@@ -48,8 +48,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = near.join(least, "u")
+    counted = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+    least = counted.drop("n")
+    joined = hot_join(near, least, ["u"], ["v"], counts=counted)
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # A node that is its own minimum keeps its edges; for others the edge to the minimum stays.

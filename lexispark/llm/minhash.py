@@ -7,7 +7,9 @@ band are candidates, and a candidate pair becomes a link only when the full shin
 
 Work is proportional to the texts: texts with equal sets are collapsed first (map-side); a band's texts are compared
 with one representative per round, unless their sizes alone keep them apart; only bands that still hold unconnected
-texts go to the exact step, which deals blocks of them over tasks and passes only spanning edges on.
+texts go to the exact step. There only the unconnected texts travel: each meets those texts of its bands that are of a
+size that may be alike, in blocks of bounded rows and shingles, so that what is sent is linear in a large group. Only
+spanning edges are passed on. Keys that many rows share (a band, a representative) are salted.
 
 Defined cases: null, empty and separator-only texts have an empty set and link with nothing; a text of 1 to k-1 words
 has one shingle, the whole sequence; equal texts link; rows that share an id are one document, linked
@@ -16,6 +18,7 @@ by any of its texts; a null id is never linked and yields its own row; extra col
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_checked
+from .common import checkpoint, hot_join, join_checked
 from .graph import components
 from .kernels import U, common, mix, text_sets
 
 #: 32 bands of 4 values: a pair at similarity 0.8 is missed with probability (1 - 0.8 ** 4) ** 32 < 5e-8.
 BANDS, ROWS = 32, 4
-#: Texts of a band that meet in one task of the exact step.
-BLOCK = 1024
+#: Texts and shingles of either side that meet in one task of the exact step (one longer text makes a block).
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 _SEEDS = mix(np.arange(1, BANDS * ROWS // 2 + 1, dtype=U)) | U(1)
 _ADD = mix(np.arange(1001, BANDS * ROWS // 2 + 1001, dtype=U))
 
@@ -106,26 +109,27 @@ def _verify(k: int, percent: int):
 
 
 def _meet(k: int, percent: int):
-    """Two blocks: texts outside the leading component against all of the other: one edge for each text and component it reaches."""
+    """Two blocks: each lone text (side 0) against the texts of side 1: an edge for each other component that it reaches."""
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, comps, block = (rows.column(c).to_numpy() for c in ("cls", "comp", "own"))
-        within = block.min() == block.max()
-        lone = rows.column("lone").to_numpy(zero_copy_only=False)
+        ids, comps, side = (rows.column(c).to_numpy() for c in ("cls", "comp", "side"))
+        if side.min() == side.max():
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         sets: list[np.ndarray] = []
         for _, flat, offsets in text_sets(rows.column("text"), k):
             sets += [flat[offsets[i] : offsets[i + 1]] for i in range(len(offsets) - 1)]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        flat, owner = np.concatenate(sets or [np.zeros(0, U)]), np.repeat(np.arange(len(sets)), sizes)
+        right = np.flatnonzero(side == 1)
+        sizes = np.array([len(sets[i]) for i in right], np.int64)
+        flat, owner = np.concatenate([sets[i] for i in right]), np.repeat(np.arange(len(right)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         us, vs = [], []
-        for i in np.flatnonzero(lone):
+        for i in np.flatnonzero(side == 0):
             lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
             n = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else n
-            inter = np.bincount(owner[at], minlength=len(sets))
-            linked = np.flatnonzero((inter > 0) & _alike(inter, sizes[i], sizes, percent) & (comps != comps[i]) & (within | (block != block[i])))
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            inter = np.bincount(owner[at], minlength=len(right))
+            linked = right[(inter > 0) & _alike(inter, len(sets[i]), sizes, percent) & (comps[right] != comps[i])]
             reached = linked[np.unique(comps[linked], return_index=True)[1]]
             us += [ids[i]] * len(reached)
             vs += ids[reached].tolist()
@@ -135,9 +139,11 @@ def _meet(k: int, percent: int):
 
 
 def _text_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified pairs. The text of the hub side meets its pairs last, so it is not sent once for each pair."""
+    """Verified pairs (a, b). The text of the hub side a meets its pairs last, once for each salt of a large hub."""
+    pairs = checkpoint(pairs)
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a")
+    hubs = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    both = hot_join(both, texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), ["a"], ["b"], counts=hubs)
     return checkpoint(both.select("a", "b", "a_text", "b_text").mapInArrow(_verify(k, percent), "u long, v long"))
 
 
@@ -156,8 +162,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = checkpoint(copies.filter("id <> cls").select(F.col("id").alias("u"), F.col("cls").alias("v")))
 
     banded = classes.select("cls", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min(F.struct("cls", "size")).alias("a"), F.max(F.struct("cls", "size")).alias("z")).filter("a.cls < z.cls")
-    members = checkpoint(banded.join(shared, "band").select("band", "cls", "size", "a", "z"))
+    shared = banded.groupBy("band").agg(F.min(F.struct("cls", "size")).alias("a"), F.max(F.struct("cls", "size")).alias("z"), F.count("*").alias("n")).filter("a.cls < z.cls")
+    members = checkpoint(hot_join(banded, shared.drop("n"), ["band"], ["cls"], counts=shared).select("band", "cls", "size", "a", "z"))
     near = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
     wanted = members.select(F.col("cls").alias("id")).distinct()
     texts = join_checked(plain, wanted, ["id"], "left_semi", 16)
@@ -167,8 +173,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(_text_pairs(first, texts, k, percent))
     labelled, is_open = _labelled(members, links)
     if is_open:
-        heads = labelled.groupBy("band").agg(F.max_by("comp", "cls").alias("z_comp"))
-        tried = labelled.join(heads, "band").filter((F.col("z_comp") != F.col("comp")) & near(F.col("z.size"), F.col("size"))).select(F.col("z.cls").alias("a"), F.col("cls").alias("b")).distinct()
+        heads = labelled.groupBy("band").agg(F.max_by("comp", "cls").alias("z_comp"), F.count("*").alias("n"))
+        tried = hot_join(labelled, heads.drop("n"), ["band"], ["cls"], counts=heads).filter((F.col("z_comp") != F.col("comp")) & near(F.col("z.size"), F.col("size"))).select(F.col("z.cls").alias("a"), F.col("cls").alias("b")).distinct()
         tried = tried.join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         links = links.unionByName(_text_pairs(tried, texts, k, percent))
         labelled, is_open = _labelled(members, links)
@@ -185,24 +191,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
     """The rows of bands that hold more than one component so far, with their component; whether there are any."""
     comps = components(links).select(F.col("node").alias("cls"), F.col("component_id").alias("comp"))
-    named = members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    apart = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    out = checkpoint(named.join(apart, "band"))
+    named = checkpoint(members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    apart = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    out = checkpoint(hot_join(named, apart.select("band"), ["band"], ["cls"], counts=apart))
     return out, not out.isEmpty()
 
 
-def _exact(labelled: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components that share a band.
+def _dealt(labelled: DataFrame, percent: int) -> DataFrame:
+    """(lead, bucket, i, j, side, cls, comp): the pairs of blocks of the exact step.
 
-    Bands with the same leading (largest) component are looked at together: every text outside of it against all,
-    in blocks, so that a large component is sent once for each block of such texts and not once for each band.
+    Bands with the same leading (largest) component are looked at together: every text outside of it (side 0) against all
+    of them (side 1). Sizes fall in buckets so wide that alike texts differ by one bucket at most; a lone text visits
+    the buckets on either side, others stay in their own. Lone texts go to all blocks of a bucket's texts, and these
+    to all blocks of its visitors.
     """
     sizes = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    leads = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("lead_comp"))
-    rows = checkpoint(labelled.join(leads, "band").select(F.col("lead_comp").alias("lead"), "cls", "comp").distinct())
-    counts = rows.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(counts, "lead").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rows.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp", (F.col("comp") != F.col("lead")).alias("lone"))
-    met = dealt.join(texts.withColumnRenamed("id", "cls"), "cls")
-    return checkpoint(met.groupBy("lead", "i", "j").applyInArrow(_meet(k, percent), "u long, v long").distinct())
+    leads = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("lead"), F.sum("n").alias("n"))
+    rows = hot_join(labelled, leads.drop("n"), ["band"], ["cls"], counts=leads).select("lead", "cls", "comp", "size").distinct()
+    rows = checkpoint(rows.withColumn("at", F.floor(F.log("size") / (math.log(max(100 / percent, 1.01)) * 1.000001)).cast("int")))
+    lone = rows.filter(F.col("comp") != F.col("lead")).withColumn("bucket", F.explode(F.array(*(F.col("at") + i for i in (-1, 0, 1)))))
+    both = lone.withColumn("side", F.lit(0)).unionByName(rows.withColumn("bucket", F.col("at")).withColumn("side", F.lit(1)))
+    blocks = lambda side: F.ceil(F.greatest(F.count_if(F.col("side") == side) / BLOCK, F.sum(F.when(F.col("side") == side, F.col("size"))) / BLOCK_SHINGLES)).cast("int")
+    cells = checkpoint(both.groupBy("lead", "bucket").agg(blocks(0).alias("left"), blocks(1).alias("right"), F.count("*").alias("n")).filter("left > 0 and right > 0"))
+    both = hot_join(both, cells.drop("n"), ["lead", "bucket"], ["cls", "side"], counts=cells)
+    own = F.pmod(F.xxhash64("cls"), F.when(F.col("side") == 0, F.col("left")).otherwise(F.col("right"))).cast("int")
+    all_of = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("right")).otherwise(F.col("left")) - 1))
+    both = both.withColumn("own", own).withColumn("other", all_of)
+    first = F.col("side") == 0
+    return both.select("lead", "bucket", F.when(first, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("j"), "side", "cls", "comp")
+
+
+def _exact(labelled: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components that share a band."""
+    met = _dealt(labelled, percent).join(texts.withColumnRenamed("id", "cls"), "cls")
+    return checkpoint(met.groupBy("lead", "bucket", "i", "j").applyInArrow(_meet(k, percent), "u long, v long").distinct())

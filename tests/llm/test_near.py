@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.llm import embeddings, minhash
+from lexispark.llm import common, embeddings, minhash
 from lexispark.llm.graph import components
 
 
@@ -83,6 +83,28 @@ def test_exact_step_alone(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in out} == union(pairs, sets)
 
 
+def test_exact_step_sends_a_large_group_once(spark, monkeypatch):
+    """One lone text beside a component of 400: what is sent is linear in the component."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rows = [(7, i, 100, 0) for i in range(400)] + [(7, 1000, 100, 1000)]
+    labelled = spark.createDataFrame(rows, "band long, cls long, size long, comp long")
+    dealt = minhash._dealt(labelled, 80).collect()
+    assert len(dealt) <= 400 + 60 and len({(r["bucket"], r["i"], r["j"]) for r in dealt}) <= 60
+    assert {r["cls"] for r in dealt if r["side"] == 1} == {*range(400), 1000}
+    far = spark.createDataFrame([(7, i, 100, 0) for i in range(400)] + [(7, 1000, 1000, 1000)], labelled.schema)
+    assert {r["cls"] for r in minhash._dealt(far, 80).collect()} == {1000}  # no other text is of a size that may be alike
+
+
+def test_hot_join(spark, monkeypatch):
+    """A salted join gives what a plain one gives."""
+    monkeypatch.setattr(common, "SPLIT", 5)
+    left = spark.createDataFrame([(i % 3 if i < 60 else i, i, None) for i in range(80)] + [(None, 900, None)], "k long, x long, _salt long")
+    right = spark.createDataFrame([(i, i * 10, i) for i in range(70)], "k long, y long, _salts long")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got, want = common.hot_join(left, right, ["k"], ["x"], how), left.join(right, ["k"], how)
+        assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
 def test_minhash_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).count() == 0
@@ -130,5 +152,39 @@ def test_embeddings_recall_is_calibrated():
     assert missed <= 2
 
 
+def test_colliding_pairs_equal_counting_all():
+    rng = np.random.default_rng(6)
+    left, right = rng.normal(size=(24, 70)), rng.normal(size=(24, 90))
+    right[:, :70] = left + rng.normal(size=(24, 70)) * rng.choice([0.1, 0.3, 0.6], 70)
+    for window, least in ((0.5, 20), (1.0, 24), (0.7, 12)):
+        i, j = embeddings.colliding(left, right, window, least)
+        want = np.argwhere((np.abs(left[:, :, None] - right[:, None, :]) <= window).sum(axis=0) >= least)
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want.tolist())) and len(want)
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_cuts_stop_where_they_do_not_divide(spark, monkeypatch, dense):
+    """A dense cluster isn't multiplied by cuts; spread vectors are dealt to smaller cells. Links are exact either way."""
+    monkeypatch.setattr(embeddings, "CELL", 64)
+    monkeypatch.setattr(embeddings, "BLOCK", 128)
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=16) + rng.normal(size=(700, 16)) * (0.08 if dense else 1.0)
+    if not dense:
+        vectors[350:] = vectors[:350] + rng.normal(size=(350, 16)) * 0.12
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    seen = []
+    monkeypatch.setattr(embeddings, "_cells", lambda *a, real=embeddings._cells: seen.append(real(*a)) or seen[0])
+    out = {r["vec_id"]: r for r in embeddings.near_duplicates(table).collect()}
+    sizes = [r["n"] for r in seen[0].groupBy("cell").agg(F.count("*").alias("n")).collect()]
+    assert sizes == [700] if dense else max(sizes) < 500 and sum(sizes) < 700 * 12
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    assert np.abs(cosine - 0.98).min() > 1e-9
+    links = (cosine >= 0.98) & ~np.eye(700, dtype=bool)
+    assert links.sum() > 300 and [out[i]["n_links"] for i in range(700)] == links.sum(axis=1).tolist()
+    want = union(np.argwhere(np.triu(links)).tolist(), range(700))
+    assert {i: r["component_id"] for i, r in out.items()} == want
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
