@@ -109,22 +109,22 @@ def _verify(k: int, percent: int):
 
 
 def _meet(k: int, percent: int):
-    """Two blocks: each lone text (side 0) against the texts of side 1: an edge for each other component that it reaches."""
+    """Two blocks: each lone text (side 0) against the texts of side 1: an edge for each other component that it reaches. Side 2 is both."""
 
     def run(rows: pa.Table) -> pa.Table:
         ids, comps, side = (rows.column(c).to_numpy() for c in ("cls", "comp", "side"))
-        if side.min() == side.max():
+        right = np.flatnonzero(side != 0)
+        if len(right) == 0 or (side == 1).all():
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         sets: list[np.ndarray] = []
         for _, flat, offsets in text_sets(rows.column("text"), k):
             sets += [flat[offsets[i] : offsets[i + 1]] for i in range(len(offsets) - 1)]
-        right = np.flatnonzero(side == 1)
         sizes = np.array([len(sets[i]) for i in right], np.int64)
         flat, owner = np.concatenate([sets[i] for i in right]), np.repeat(np.arange(len(right)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         us, vs = [], []
-        for i in np.flatnonzero(side == 0):
+        for i in np.flatnonzero(side != 1):
             lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
             n = hi - lo
             at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
@@ -203,13 +203,19 @@ def _dealt(labelled: DataFrame, percent: int) -> DataFrame:
     Bands with the same leading (largest) component are looked at together: every text outside of it (side 0) against all
     of them (side 1). Sizes fall in buckets so wide that alike texts differ by one bucket at most; a lone text visits
     the buckets on either side, others stay in their own. Lone texts go to all blocks of a bucket's texts, and these
-    to all blocks of its visitors.
+    to all blocks of its visitors. Bands that make one block in all are one, and each of its texts is sent once.
     """
     sizes = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"))
     leads = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("lead"), F.sum("n").alias("n"))
     rows = hot_join(labelled, leads.drop("n"), ["band"], ["cls"], counts=leads).select("lead", "cls", "comp", "size").distinct()
+    rows = checkpoint(rows)
+    groups = rows.groupBy("lead").agg(F.count("*").alias("n"), ((F.count("*") <= BLOCK) & (F.sum("size") <= BLOCK_SHINGLES)).alias("whole"))
+    rows = hot_join(rows, groups.drop("n"), ["lead"], ["cls"], counts=groups).withColumn("lone", F.col("comp") != F.col("lead"))
     rows = checkpoint(rows.withColumn("at", F.floor(F.log("size") / (math.log(max(100 / percent, 1.01)) * 1.000001)).cast("int")))
-    lone = rows.filter(F.col("comp") != F.col("lead")).withColumn("bucket", F.explode(F.array(*(F.col("at") + i for i in (-1, 0, 1)))))
+    zero = F.lit(0)
+    small = rows.filter("whole").select("lead", zero.alias("bucket"), zero.alias("i"), zero.alias("j"), F.when(F.col("lone"), 2).otherwise(1).alias("side"), "cls", "comp")
+    rows = rows.filter("not whole")
+    lone = rows.filter("lone").withColumn("bucket", F.explode(F.array(*(F.col("at") + i for i in (-1, 0, 1)))))
     both = lone.withColumn("side", F.lit(0)).unionByName(rows.withColumn("bucket", F.col("at")).withColumn("side", F.lit(1)))
     blocks = lambda side: F.ceil(F.greatest(F.count_if(F.col("side") == side) / BLOCK, F.sum(F.when(F.col("side") == side, F.col("size"))) / BLOCK_SHINGLES)).cast("int")
     cells = checkpoint(both.groupBy("lead", "bucket").agg(blocks(0).alias("left"), blocks(1).alias("right"), F.count("*").alias("n")).filter("left > 0 and right > 0"))
@@ -218,7 +224,7 @@ def _dealt(labelled: DataFrame, percent: int) -> DataFrame:
     all_of = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("right")).otherwise(F.col("left")) - 1))
     both = both.withColumn("own", own).withColumn("other", all_of)
     first = F.col("side") == 0
-    return both.select("lead", "bucket", F.when(first, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("j"), "side", "cls", "comp")
+    return small.unionByName(both.select("lead", "bucket", F.when(first, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(first, F.col("other")).otherwise(F.col("own")).alias("j"), "side", "cls", "comp"))
 
 
 def _exact(labelled: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
