@@ -1,6 +1,6 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are read as words (lower-cased, punctuation ignored). A document and a benchmark item that share a seed, a run of
+Texts are read as words (lower-cased, punctuation ignored, typographic and full-width marks and unusual blanks as well). A document and a benchmark item that share a seed, a run of
 ``least`` words, are a candidate pair. Such a pair is tiled: the longest matches between words not yet marked are
 marked on both sides, again and again, down to matches of ``least`` words; Karp-Rabin hashes of all windows of the
 current length find the matches (Wise's running Karp-Rabin greedy string tiling). Tiles are one-to-one and may stand in
@@ -12,11 +12,13 @@ no shuffle; those of a larger one are joined with the documents' seeds. Both way
 
 Defined cases: null or empty texts and items of fewer than ``least`` words match nothing; rows that repeat give a
 finding each; a null id is reported as null; ties between equally long matches go to the earlier place in the item,
-then in the document; extra columns are ignored.
+then in the document; extra columns are ignored, and pass through ``drop_contaminated`` whatever their names; an empty
+table of documents or items gives no finding.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_checked
-from .kernels import PUNCTUATION, U, mix, runs, word_hashes
+from .common import checkpoint, fresh, join_checked
+from .kernels import PUNCTUATION, U, blanked, mix, runs, word_hashes
 from .kernels import _power_table as powers
 from .langid import Hashes
 
@@ -34,6 +36,10 @@ from .langid import Hashes
 BENCHMARK_BYTES = 16 << 20
 LEAST, COVERAGE = 5, 0.5
 FOUND = "doc_id long, key long, item_id long, item_words long, matched long, coverage double, tiles array<struct<item_at:int,doc_at:int,words:int>>"
+#: Pairs of equal windows that are looked at together.
+PAIRS = 1 << 20
+#: Ways in which the join of a large benchmark with all documents is dealt for each key.
+SALTS = 16
 _TILES = pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("words", pa.int32())]))
 _FIELDS = [("doc_id", pa.int64()), ("key", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64()), ("tiles", _TILES)]
 
@@ -41,7 +47,7 @@ _FIELDS = [("doc_id", pa.int64()), ("key", pa.int64()), ("item_id", pa.int64()),
 def words_of(array: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, offsets) of lower-cased texts without punctuation."""
     for row, data, offsets in runs(pc.utf8_lower(array)):
-        yield row, *word_hashes(data, offsets, PUNCTUATION, fold=False)
+        yield row, *word_hashes(blanked(data), offsets, PUNCTUATION, fold=False)
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -64,17 +70,22 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
         if len(length) and length.max() > 2 * size:
             size = int(length.max())
             continue
-        for i in np.lexsort((at_doc, at_item, -length)):
-            p, t, n = int(at_item[i]), int(at_doc[i]), int(length[i])
-            if free_item[p : p + n].all() and free_doc[t : t + n].all():
-                free_item[p : p + n] = free_doc[t : t + n] = False
-                tiles.append((p, t, n))
-        if size == least:
-            # What was left of matches that overlapped may still hold some: on until nothing is found.
-            if not len(length) or not (free_item.any() and free_doc.any()):
-                return tiles
-        else:
-            size = max(least, size // 2)
+        queue = list(zip((-length).tolist(), at_item.tolist(), at_doc.tolist(), strict=True))
+        heapq.heapify(queue)
+        while queue:
+            n, p, t = heapq.heappop(queue)
+            free = free_item[p : p - n] & free_doc[t : t - n]
+            if free.all():
+                free_item[p : p - n] = free_doc[t : t - n] = False
+                tiles.append((p, t, -n))
+            elif free.any():  # what longer tiles left of the match waits for its turn
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+                for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                    if end - start >= size:
+                        heapq.heappush(queue, (start - end, p + start, t + start))
+        if size == least or not (free_item.any() and free_doc.any()):
+            return tiles
+        size = max(least, size // 2)
 
 
 def _matches(item, doc, free_item, free_doc, size) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,12 +102,20 @@ def _matches(item, doc, free_item, free_doc, size) -> tuple[np.ndarray, np.ndarr
     a, at_a = a[order], at_a[order]
     low, high = np.searchsorted(a, b, "left"), np.searchsorted(a, b, "right")
     n = high - low
-    p = at_a[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.any() else np.zeros(0, np.int64)
-    t = np.repeat(at_b, n)
-    # Only where the match doesn't go on to the left.
-    before = (p > 0) & (t > 0)
-    before[before] = (item[p[before] - 1] == doc[t[before] - 1]) & free_item[p[before] - 1] & free_doc[t[before] - 1]
-    p, t = p[~before], t[~before]
+    ends = np.cumsum(n)
+    starts, matched = [], 0
+    while matched < len(n):  # as many of the document's windows at a time as have PAIRS equal ones, or one
+        until = max(matched + 1, int(np.searchsorted(ends, (ends[matched - 1] if matched else 0) + PAIRS, "right")))
+        own = slice(matched, until)
+        m = n[own]
+        p = at_a[np.repeat(low[own] - (np.cumsum(m) - m), m) + np.arange(m.sum())] if m.any() else np.zeros(0, np.int64)
+        t = np.repeat(at_b[own], m)
+        # Only where the match doesn't go on to the left.
+        before = (p > 0) & (t > 0)
+        before[before] = (item[p[before] - 1] == doc[t[before] - 1]) & free_item[p[before] - 1] & free_doc[t[before] - 1]
+        starts.append((p[~before], t[~before]))
+        matched = until
+    p, t = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*starts, strict=True) if starts else ((), ())))
     length = np.full(len(p), size)
     going = np.arange(len(p))
     while len(going):
@@ -202,8 +221,10 @@ def _joined_way(plain: DataFrame, items: DataFrame, least: int, coverage: float)
     texts, item_texts = plain.select("key", "text").dropDuplicates(["key"]), items.select("item_key", "item_text").dropDuplicates(["item_key"])
     mine = texts.select("key", "text").mapInArrow(_seeds(least), "row long, seed long").withColumnRenamed("row", "key")
     theirs = item_texts.select("item_key", "item_text").mapInArrow(_seeds(least), "row long, seed long").withColumnRenamed("row", "item_key")
-    pairs = checkpoint(mine.join(theirs, "seed").select("key", "item_key").distinct())
-    both = pairs.join(item_texts, "item_key").join(texts, "key").select("key", "item_key", "text", "item_text")
+    # A passage or an item that a large share of the documents has is dealt over SALTS tasks; the benchmark's side is repeated.
+    salt, salts = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    pairs = checkpoint(mine.withColumn("salt", salt).join(theirs.withColumn("salt", salts), ["seed", "salt"]).select("key", "item_key").distinct())
+    both = pairs.withColumn("salt", salt).join(item_texts.withColumn("salt", salts), ["item_key", "salt"]).join(texts, "key").select("key", "item_key", "text", "item_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "item_key", "item_words", "matched", "coverage", "tiles"]
@@ -226,7 +247,7 @@ def _joined_way(plain: DataFrame, items: DataFrame, least: int, coverage: float)
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that an item contaminates."""
     bad = contaminated(docs, benchmark, id_col, text_col, **options)
-    none = F.lit(-(1 << 63))
-    bad = checkpoint(bad.select(F.coalesce("doc_id", none).alias("_doc"), F.col("key").alias("_key")).distinct())
-    rows = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), none), "_key": F.xxhash64(text_col)})
-    return join_checked(rows, bad, ["_doc", "_key"], "left_anti", 32).select(*docs.columns)
+    none, doc, key = F.lit(-(1 << 63)), fresh("_doc", docs), fresh("_key", docs)
+    bad = checkpoint(bad.select(F.coalesce("doc_id", none).alias(doc), F.col("key").alias(key)).distinct())
+    rows = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), none), key: F.xxhash64(text_col)})
+    return join_checked(rows, bad, [doc, key], "left_anti", 32).select(*docs.columns)

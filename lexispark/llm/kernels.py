@@ -22,6 +22,11 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
+#: Second bytes after 0xC2 of Latin-1 punctuation and blanks (U+0080 to U+00BF without letters and numbers).
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE]] = False
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -67,6 +72,29 @@ def runs(array: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, np.ndarray,
         row = end
 
 
+def blanked(data: np.ndarray) -> np.ndarray:
+    """UTF-8 with non-ASCII punctuation and blanks overwritten by ASCII blanks: Latin-1 marks, general punctuation
+    (U+2000 to U+206F), CJK marks (U+3000 to U+303F but for 3005 to 3007) and full-width ones (U+FF01 to U+FF0F, FF1A, FF1B, FF1F)."""
+    lead = np.flatnonzero(data >= 0xC2)
+    lead = lead[lead + 1 < len(data)]
+    if not len(lead):
+        return data
+    first, second = data[lead], data[lead + 1]
+    two = lead[(first == 0xC2) & _LATIN[second]]
+    wide = lead[lead + 2 < len(data)]
+    first, second, third = data[wide], data[wide + 1], data[wide + 2]
+    three = (first == 0xE2) & ((second == 0x80) | ((second == 0x81) & (third < 0xB0)))
+    three |= (first == 0xE3) & (second == 0x80) & ~((third >= 0x85) & (third <= 0x87))
+    three |= (first == 0xEF) & (second == 0xBC) & ((third >= 0x81) & (third <= 0x8F) | np.isin(third, (0x9A, 0x9B, 0x9F)))
+    three = wide[three]
+    if not len(two) + len(three):
+        return data
+    out = data.copy()
+    out[two] = out[two + 1] = 0x20
+    out[three] = out[three + 1] = out[three + 2] = 0x20
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words in order, and for each text the index of its first word (plus the end)."""
     n = len(data)

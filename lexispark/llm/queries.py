@@ -33,7 +33,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen arrivals, compacted and read back."""
     docs = table(spark, sf_dir, "documents")
-    out = sharding.shard_round_trip(docs, F.pmod(F.col("doc_id"), F.lit(16)))
+    out = sharding.shard_round_trip(docs.withColumn("arrival", F.pmod(F.col("doc_id"), F.lit(16))), "arrival")
     return out.select("doc_id", "arrival", "n_chars", F.md5("text").alias("text_md5"))
 
 

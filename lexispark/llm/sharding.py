@@ -10,7 +10,9 @@ deleted only when asked for.
 Only listings and sizes of files pass through the driver, never rows.
 
 Defined cases: an empty arrival commits no shard; repeated rows, nulls and any columns are kept as they are; reading a
-store without a manifest gives an error; compaction with nothing to do commits nothing.
+store without a manifest gives an error; compaction with nothing to do commits nothing, and one whose runs another
+compaction has taken starts again. The rename must be atomic where the store is kept (HDFS, local and most shared file
+systems; object stores need a file system layer that makes it so).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hadoop_fs, shared_path
+from .common import fresh, hadoop_fs, shared_path
 
 #: Bytes of a shard that compaction aims at, runs of a tier that start it, and the size ratio between tiers.
 TARGET, FAN_IN, RATIO = 128 << 20, 4, 4
@@ -107,10 +109,11 @@ class ShardStore:
         return self._retry(lambda runs: [*runs, run] if run else None)
 
     def append_batches(self, rows: DataFrame, batch_col: str) -> dict:
-        """Writes all arrivals (values of ``batch_col``) in one job; each becomes a run and a version of its own, in order."""
+        """Writes all arrivals (values of ``batch_col``; null is one of them) in one job; each becomes a run and a version of its own, in order."""
         name = uuid.uuid4().hex
         folder = f"{self.path}/data/{name}"
-        rows.withColumn("_batch", F.col(batch_col)).write.partitionBy("_batch").parquet(folder)
+        by = fresh("_batch", rows)
+        rows.withColumn(by, F.col(batch_col)).write.partitionBy(by).parquet(folder)
         fs, path = hadoop_fs(self.spark, folder)
         batches = sorted((s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()), key=lambda x: (len(x), x))
         made = self.manifest()
@@ -137,10 +140,13 @@ class ShardStore:
 
             def change(runs, merged=merged, gone=gone):
                 if not gone <= {r["name"] for r in runs}:
-                    raise Conflict("another compaction took these runs")
+                    return None  # another compaction took these runs
                 return [merged, *(r for r in runs if r["name"] not in gone)]
 
-            self._retry(change)
+            made = self._retry(change)
+            if merged["name"] not in {r["name"] for r in made["runs"]}:  # start again; nobody has seen the shards
+                fs, path = hadoop_fs(self.spark, f"{self.path}/data/{merged['name']}")
+                fs.delete(path, True)
 
     def _merge(self, runs: list[dict]) -> dict:
         name, total = uuid.uuid4().hex, sum(r["bytes"] for r in runs)
@@ -169,11 +175,11 @@ class ShardStore:
         return self.spark.read.parquet(*files)
 
 
-def shard_round_trip(docs: DataFrame, batch, target_bytes: int = TARGET) -> DataFrame:
-    """Appends ``docs`` as the arrivals ``batch`` (a Column), compacts, deletes what was replaced, and reads the store."""
+def shard_round_trip(docs: DataFrame, batch_col: str, target_bytes: int = TARGET) -> DataFrame:
+    """Appends ``docs`` as the arrivals that ``batch_col`` names, compacts, deletes what was replaced, and reads the store."""
     spark = docs.sparkSession
     store = ShardStore(spark, shared_path(spark, "shards"), target_bytes)
-    store.append_batches(docs.withColumn("arrival", batch), "arrival")
+    store.append_batches(docs, batch_col)
     store.compact()
     store.vacuum()
-    return store.read()
+    return store.read() if store.manifest()["runs"] else docs.limit(0)

@@ -2,7 +2,8 @@
 
 Reading: ``spark.read.format("warc")`` plans one partition per run of files, takes filters on the record type and
 other headers from Spark, parses a record's headers first, and passes over the payloads of records that are
-filtered out or of which only headers are wanted. Files may be plain or have one gzip member per record; members
+filtered out or of which only headers are wanted. Files may be plain, have one gzip member per record, or be compressed
+as a whole; members
 written here carry their compressed size in a gzip extra field, so that a skipped member is not even inflated
 beyond its headers. Writing: ``df.write.format("warc")`` makes one archive per task, under a temporary name until it is
 complete; the job's commit gives the files their names, so a lost executor leaves nothing half-written to be read.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .common import checkpoint, join_checked, shared_path
+from .common import checkpoint, hot_join, join_checked, shared_path
 
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, content_type string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 #: Columns on which a filter is decided from a record's headers alone, and their headers.
@@ -81,19 +82,38 @@ def web_record(record_id: str, uri: str | None, date: str, payload: bytes, diges
 
 
 class _Input:
-    """Bytes of one file: plain, or the inflated gzip members one after another; ``skip`` passes over what isn't wanted."""
+    """Bytes of one file: plain, or the inflated gzip members one after another; ``skip`` passes over what isn't wanted.
+
+    Members and records need not coincide: a member may hold many records (a file compressed as a whole), and a
+    record may go on in the next member.
+    """
 
     def __init__(self, stream, gzipped: bool):
         self.stream, self.gzipped, self.raw, self.out, self.inflate = stream, gzipped, b"", b"", None
-        self.start = self.jump = None  # of the member: its place in the file, and its compressed size if it tells
+        # Of the member: its place in the file, and its compressed and plain size if it tells.
+        self.start, self.jump, self.plain, self.taken = 0, None, 0, 0
+
+    def _member(self) -> bool:
+        """At the start of the next member; False at the end of the file."""
+        if not self.raw:
+            self.raw = self.stream.read(1 << 16)
+        if not self.raw:
+            return False
+        self.start, self.jump, self.taken = self.stream.tell() - len(self.raw), None, 0
+        while len(self.raw) < 24 and (data := self.stream.read(1 << 16)):
+            self.raw += data
+        if self.raw[3:4] == b"\x04" and self.raw[12:16] == b"sl\x08\0":
+            self.jump, self.plain = struct.unpack("<II", self.raw[16:24])
+        self.inflate = zlib.decompressobj(31)
+        return True
 
     def _more(self) -> bool:
-        """Adds to ``out``; False at the end of the record's member or of a plain file."""
+        """Adds to ``out``; False at the end of the file."""
         if not self.gzipped:
             data = self.stream.read(BLOCK)
             self.out += data
             return bool(data)
-        if self.inflate is None or self.inflate.eof:
+        if (self.inflate is None or self.inflate.eof) and not self._member():
             return False
         data = self.raw or self.stream.read(1 << 16)
         if not data:
@@ -104,34 +124,23 @@ class _Input:
 
     def begin(self) -> bool:
         """At the next record; False at the end of the file."""
-        if not self.gzipped:
-            while True:
-                self.out = self.out.lstrip(b"\r\n")
-                if self.out:
-                    return True
-                if not self._more():
-                    return False
-        while self.inflate is not None and not self.inflate.eof:  # the rest of the last member
-            self.out = b""
-            self._more()
-        self.out = b""
-        if not self.raw:
-            self.raw = self.stream.read(1 << 16)
-        if not self.raw:
-            return False
-        self.start, self.jump = self.stream.tell() - len(self.raw), None
-        while len(self.raw) < 24 and (data := self.stream.read(1 << 16)):
-            self.raw += data
-        if self.raw[3:4] == b"\x04" and self.raw[12:16] == b"sl\x08\0":
-            self.jump = struct.unpack("<I", self.raw[16:20])[0]
-        self.inflate = zlib.decompressobj(31)
-        return True
+        while True:
+            self._drop(len(self.out) - len(self.out.lstrip(b"\r\n")))
+            if self.out:
+                return True
+            if not self._more():
+                return False
+
+    def _drop(self, n: int) -> None:
+        self.out = self.out[n:]
+        self.taken += n
 
     def until(self, mark: bytes) -> bytes:
         while (at := self.out.find(mark)) < 0:
             if not self._more():
                 raise ValueError("a record's headers end too early")
-        data, self.out = self.out[:at], self.out[at + len(mark) :]
+        data = self.out[:at]
+        self._drop(at + len(mark))
         return data
 
     def take(self, n: int) -> bytes:
@@ -144,19 +153,23 @@ class _Input:
             have += len(self.out)
         data = b"".join(parts)
         self.out = data[n:]
+        self.taken += n
         return data[:n]
 
     def skip(self, n: int) -> None:
-        if self.gzipped:
-            if self.jump:  # straight to the next member
-                self.stream.seek(self.start + self.jump)
-                self.raw, self.inflate = b"", None
-            return  # else begin() runs through the rest
-        if n <= len(self.out):
-            self.out = self.out[n:]
-        else:
-            self.stream.seek(n - len(self.out), 1)
+        if self.gzipped and self.jump and self.taken + n + 4 == self.plain:  # the member's one record: straight to the next member
+            self.stream.seek(self.start + self.jump)
+            self.raw, self.out, self.inflate = b"", b"", None
+            return
+        while n > len(self.out):
+            n -= len(self.out)
             self.out = b""
+            if not self.gzipped:
+                self.stream.seek(n, 1)
+                return
+            if not self._more():
+                raise ValueError("a record's block ends too early")
+        self._drop(n)
 
 
 def read_records(stream, gzipped: bool, wanted, payload: str) -> Iterator[tuple]:
@@ -343,8 +356,8 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str |
     rows = pages.select(F.col(id_col).cast("long").alias("id"), uri.alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", base32_column(F.sha1("payload")))
     keys = rows.select("id", "payload_digest")
-    most = keys.groupBy("payload_digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = checkpoint(keys.join(most, "payload_digest").filter("not id <=> response").select("id", "payload_digest", "response").distinct())
+    most = keys.groupBy("payload_digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).filter("n > 1")
+    revisits = checkpoint(hot_join(keys, most.drop("n"), ["payload_digest"], ["id"], counts=most).filter("not id <=> response").select("id", "payload_digest", "response").distinct())
     rows = join_checked(rows.withColumn("k", F.coalesce("id", F.lit(-(1 << 63)))), revisits.select(F.coalesce("id", F.lit(-(1 << 63))).alias("k"), "payload_digest", "response"), ["k", "payload_digest"], "left", 96)
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
     out = rows.select(urn("id").alias("record_id"), "target_uri", "payload", "payload_digest", F.when(F.col("response").isNotNull(), urn("response")).alias("refers_to"))

@@ -40,8 +40,15 @@ def test_warc_foreign_files(spark, tmp_path, payload):
     records = [warc.record([("WARC-Type", "resource"), ("WARC-Record-ID", f"<urn:x:{i}>"), ("Content-Type", "text/plain")], b"WARC/1.1\r\n" * i) for i in range(4)]
     (tmp_path / "a.warc").write_bytes(b"".join(records))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    whole = b"".join(records)
+    (tmp_path / "d.warc.gz").write_bytes(b"".join(gzip.compress(whole[i : i + 50]) for i in range(0, len(whole), 50)))
+    (tmp_path / "e.warc.gz").write_bytes(warc.member(whole) + warc.member(records[0]) + gzip.compress(b"") + warc.member(records[3]))
+    (tmp_path / "f.warc.gz").write_bytes(b"")
     rows = warc.read_archive(spark, str(tmp_path), payload).collect()
-    assert sorted(r["record_id"] for r in rows) == sorted(f"urn:x:{i}" for i in range(4) for _ in range(2))
+    assert sorted(r["record_id"] for r in rows) == sorted([f"urn:x:{i}" for i in range(4) for _ in range(5)] + ["urn:x:0", "urn:x:3"])
+    one = warc.read_archive(spark, str(tmp_path), payload).filter(F.col("record_id") == "urn:x:3").collect()
+    assert len(one) == 6 and (payload == "none" or all(bytes(r["payload"]) == b"WARC/1.1\r\n" * 3 for r in one))
     if payload == "full":
         assert {r["payload_bytes"] for r in rows} == {0, 10, 20, 30}
 
@@ -100,6 +107,30 @@ def test_decontamination(spark, limit):
     assert decontaminate.contaminated(table, bench.limit(0), limit=limit).count() == 0
 
 
+def test_decontamination_of_typographic_copies_and_clashing_columns(spark):
+    item = "It's a test of copies that were set again with other marks and blanks by some editor"
+    again = item.replace("'", "\u2019").replace(" that", ",\u00a0that").replace(" with", "\u2014with").replace("marks", "\u00abmarks\u00bb").replace("editor", "editor\u2026\uff01\u3002") + " caf\u00e9\u2003x"
+    docs = [(1, again, "k", 1), (2, "na\u00efve caf\u00e9 \u4e2d\u3005\u6587 \u00b5\u00bd", "k", 2), (3, None, "k", 3)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, _doc string, _KEY long")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    for limit in (1 << 20, 0):
+        found = decontaminate.contaminated(table, bench, limit=limit).collect()
+        assert [(r["doc_id"], r["matched"]) for r in found] == [(1, 18)]
+        left = decontaminate.drop_contaminated(table, bench, limit=limit)
+        assert left.columns == table.columns and sorted(map(tuple, left.collect())) == docs[1:]
+        assert decontaminate.drop_contaminated(table.limit(0), bench, limit=limit).count() == 0
+
+
+def test_tiles_of_repeated_words_are_found_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        item, doc = rng.integers(0, 2, 30).astype(np.uint64), rng.integers(0, 2, 60).astype(np.uint64)
+        assert sum(n for *_, n in decontaminate.tile(item, doc, 3)) == sum(n for *_, n in plain_tiles(item.tolist(), doc.tolist(), 3))
+    same = np.zeros(3000, np.uint64)
+    assert decontaminate.tile(same[:300], same, 5) == [(0, 0, 300)]
+
+
 def test_sharding(spark, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=1 << 20)
     with pytest.raises(FileNotFoundError):
@@ -119,6 +150,38 @@ def test_sharding(spark, tmp_path):
     assert store.compact()["version"] == made["version"]
 
 
+def test_sharding_of_arrivals_in_one_job(spark, tmp_path):
+    rows = [(i, None if i == 7 else i % 3, "b", f"text {i}", i) for i in range(60)] + [(1, 1, "b", "text 1", 1)] * 2
+    table = spark.createDataFrame(rows, "doc_id long, _batch long, _BATCH_ string, text string, arrival long").repartition(3)
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), target_bytes=1 << 20, fan_in=2)
+    made = store.append_batches(table, "_batch")
+    assert made["version"] == 4 == len(made["runs"])
+    assert len(store.compact()["runs"]) == 1
+    assert store.read().columns == table.columns
+    assert store.read().exceptAll(table).count() == 0 and table.exceptAll(store.read()).count() == 0
+    out = sharding.shard_round_trip(table, "arrival")
+    assert out.columns == table.columns and out.exceptAll(table).count() == 0 and out.count() == 62
+    assert sharding.shard_round_trip(table.limit(0), "arrival").count() == 0
+
+
+def test_compaction_that_loses_a_race_starts_again(spark, tmp_path, monkeypatch):
+    store, other = (sharding.ShardStore(spark, str(tmp_path / "s"), fan_in=2) for _ in range(2))
+    for i in range(4):
+        store.append(spark.range(i, i + 1).coalesce(1))
+    merge, lost = store._merge, []
+
+    def slow(runs):
+        out = merge(runs)
+        if not lost:
+            lost.append(out["name"])
+            other.compact()
+        return out
+
+    monkeypatch.setattr(store, "_merge", slow)
+    assert len(store.compact()["runs"]) == 1 and sorted(r["id"] for r in store.read().collect()) == [0, 1, 2, 3]
+    assert not (tmp_path / "s" / "data" / lost[0]).exists()
+
+
 def test_token_files(spark, tmp_path):
     docs = [(0, "hello world"), (1, ""), (2, None), (3, "x " * 700), (4, "last")]
     table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
