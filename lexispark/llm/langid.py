@@ -298,5 +298,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """Whether a row is kept out of the fit: crc32 of its id as text is 2 modulo 4."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Whether a row is kept out of the fit: crc32 of its id as text is 2 modulo 4 (a row without an id is not)."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

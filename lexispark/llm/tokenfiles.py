@@ -6,16 +6,17 @@ A prefix scan over the blocks of a file (documents ended so far, and the last se
 documents that cross borders. Blocks are read by position, so a file of any size is scanned by many tasks.
 
 Defined cases: an empty file has no documents; two separators in a row enclose a document of no tokens; tokens after
-the last separator are a document that is marked unterminated.
+the last separator are a document that is marked unterminated. Documents: a null or empty text has no tokens; rows
+that repeat, and rows with a null id, are counted each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +31,10 @@ BLOCK = 4 << 20
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, eod: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
     """Writes one token file per partition; receipts (file, ordinal, doc_id) of what was written, in order.
 
-    A file gets its name, which its partition decides, once it is complete; a task that runs again replaces it by an
-    equal one. A null text has no tokens. ``eod`` must be an id that no text has, best one outside the vocabulary; a text
-    that has it raises an error.
+    Every attempt of a task writes a file of its own, under a temporary name until it is complete; its receipts name that
+    file. Files that no receipt names (of attempts that were lost or repeated) are deleted at the end. A null text
+    has no tokens. ``eod`` must be an id that no text has, best one outside the vocabulary; a text that has it raises an
+    error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,8 +43,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, eod: int, id_col: s
         fs, folder = open_fs(path)
         fs.create_dir(folder, recursive=True)
         context = TaskContext.get()
-        name = f"part-{context.partitionId():06d}.tokens"
-        temporary, coder, ordinal = f"{folder}/_{name}.{context.taskAttemptId()}", encoder(tokenizer), 0
+        name = f"part-{context.partitionId():06d}-{uuid.uuid4().hex}.tokens"
+        temporary, coder, ordinal = f"{folder}/_{name}.tmp", encoder(tokenizer), 0
         end = int(eod).to_bytes(4, "little")
         with fs.open_output_stream(temporary) as out:
             for batch in batches:
@@ -55,12 +57,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, eod: int, id_col: s
                     out.write(ids.astype(f"<u{width}").tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(coded)), pa.array(range(ordinal, ordinal + len(coded)), pa.int64()), batch.column(0).slice(row, len(coded))], names=["file", "ordinal", "doc_id"])
                     ordinal += len(coded)
-        if fs.get_file_info(f"{folder}/{name}").type != pafs.FileType.NotFound:
-            fs.delete_file(f"{folder}/{name}")
         fs.move(temporary, f"{folder}/{name}")
 
     plain = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return checkpoint(plain.mapInArrow(run, "file string, ordinal long, doc_id long"))
+    receipts = checkpoint(plain.mapInArrow(run, "file string, ordinal long, doc_id long"))
+    named = {r["file"] for r in receipts.select("file").distinct().collect()}  # one for each task
+    fs, folder = hadoop_fs(docs.sparkSession, path)
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        name = status.getPath().getName()
+        if name not in named and name.removesuffix(".tmp").removeprefix("_").startswith("part-") and name.endswith((".tokens", ".tmp")):
+            fs.delete(status.getPath(), False)
+    return receipts
 
 
 def separators(spark: SparkSession, path: str, eod: int, width: int = 2, block: int = BLOCK) -> DataFrame:

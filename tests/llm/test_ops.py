@@ -201,6 +201,86 @@ def test_token_files(spark, tmp_path):
         assert [r["ordinal"] for r in rows] == list(range(len(rows))) and rows[-1]["terminated"] == (tail == 0)
 
 
+def test_token_files_of_lost_attempts_and_odd_rows(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "part-000000-lost.tokens").write_bytes(b"\x01\x00\xff\xff")
+    (tmp_path / "t" / "_part-000001-lost.tokens.tmp").write_bytes(b"\x01")
+    docs = [(1, "a b"), (1, "a b"), (None, "c"), (None, None), (2, "x " * 30_000)]
+    table = spark.createDataFrame([(i, t, "f", 1) for i, t in docs], "doc_id long, text string, file string, ordinal int").repartition(2)
+    out = tokenfiles.document_token_counts(table, TOKENIZER, 65535, str(tmp_path / "t")).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in out), key=str) == sorted([(i, len(encoder(TOKENIZER).encode([t])[0]) // 4) for i, t in docs], key=str)
+    assert {p.name for p in (tmp_path / "t").iterdir() if not p.name.endswith(".crc")} == {r["file"] for r in out}
+    assert tokenfiles.document_token_counts(table.limit(0), TOKENIZER, 65535, str(tmp_path / "e")).count() == 0
+
+
+def plain_kneser_ney(texts, order):
+    """Interpolated Kneser-Ney by dictionaries: a function (context, symbol, vocabulary size) -> probability."""
+    from collections import Counter
+
+    def read(text):
+        out = []
+        for c in text.lower():
+            c = c if c.isalpha() else " "
+            if c != " " or (out and out[-1] != " "):
+                out.append(c)
+        return out + [" "] * (not out or out[-1] != " ") if out else []
+
+    raw = Counter()
+    for text in texts:
+        sym = read(text)
+        for i in range(len(sym)):
+            padded = [" "] * order + sym
+            raw[tuple(padded[i + 1 : i + 1 + order])] += 1
+    tables, counts = {}, raw
+    for n in range(order, 0, -1):
+        once, twice = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        totals, kinds = Counter(), Counter()
+        for gram, c in counts.items():
+            totals[gram[:-1]] += c
+            kinds[gram[:-1]] += 1
+        tables[n] = (counts, discount, totals, kinds)
+        counts = Counter(gram[1:] for gram in counts)
+
+    def p(context, symbol, vocabulary, n=order):
+        if n == 0:
+            return 1 / (vocabulary + 1)
+        counts, discount, totals, kinds = tables[n]
+        context = context[-(n - 1) :] if n > 1 else ()
+        below = p(context[1:], symbol, vocabulary, n - 1)
+        if not totals[context]:
+            return below
+        return max(counts[(*context, symbol)] - discount, 0) / totals[context] + discount * kinds[context] / totals[context] * below
+
+    return read, p
+
+
+def test_kneser_ney_equals_a_plain_model():
+    rng = random.Random(4)
+    made = lambda letters: ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(30)]
+    texts = {"a": made("abcde  ,"), "b": made("cdefgh .\n")}
+    model = langid.Model(texts)
+    tried = [*made("abcdefgh  "), "a", "  x1y", "zz", *texts["a"][:3]]
+    ce, sizes, good = model.scores(tried)
+    vocabulary = len({c for own in texts.values() for t in own for c in t.lower() if c.isalpha()}) + 1
+    for i, lang in enumerate(model.langs):
+        read, p = plain_kneser_ney(texts[lang], langid.ORDER)
+        for j, text in enumerate(tried):
+            sym = read(text)
+            assert sizes[j] == len(sym) and good[j] == any(c.isalpha() for c in text)
+            padded = [" "] * langid.ORDER + sym
+            want = -sum(np.log(p(tuple(padded[k + 1 : k + langid.ORDER]), padded[k + langid.ORDER], vocabulary)) for k in range(len(sym)))
+            assert not sym or abs(want / len(sym) - ce[j, i]) < 1e-4, (text, lang)
+
+
+def test_language_id_ties_repeats_and_long_texts(spark):
+    model = langid.Model({"b": ["same text here"], "a": ["same text here"]})
+    docs = [(1, "same text here", "x"), (1, "same text here", "x"), (2, "same text " * 200_000, "y"), (None, "text", "z")]
+    out = langid.identify(spark.createDataFrame(docs, "doc_id long, text string, lang_pred string").withColumn("out", langid.held_out()), model).collect()
+    assert [r["lang_pred"] for r in out] == ["a"] * 4 and len({r["score"] for r in out if r["doc_id"] == 1}) == 1
+    assert [r["out"] for r in out if r["doc_id"] is None] == [False]
+
+
 def test_language_models():
     model = langid.Model({"a": ["abc abd abe abc"], "b": ["xyz xyw"]})
     assert model.predict(["abc abd"])[0] == ["a"] and model.predict(["xyz"])[0] == ["b"]
