@@ -1,18 +1,21 @@
 """Licence scans: a trained paragraph classifier, with a confirmation against templates; scanning is DataFrame-only.
 
-Paragraphs (lines) become sparse features, the words and word pairs that also occur in the licence templates. A
-multinomial logistic regression over families and an unknown class is trained on the driver, on the templates, on
-partial and altered copies of them, and on a bounded sample of paragraphs and of sentences that use the words
-otherwise. The threshold of the unknown class is calibrated on held-out negatives. A predicted family counts only if
-some template of that family is alike: the share of the paragraph's word pairs that the template has, or of the
-template's that the paragraph has, reaches SIMILAR.
-
-Every template holds one of STEMS, and a paragraph that confirms shares word pairs with one; paragraphs without
-any of the stems are passed over before tokens are made. Scoring explodes the remaining paragraphs' features into a
-join with the weights, whose number is bounded by the templates.
-
-Defined cases: null or empty texts have no findings; equal rows have equal findings; a null id is scanned and reported
-with a null id; ties between families go to the first in alphabetical order; extra columns are ignored.
+A document is read as lines and, so that notices with hard line breaks are seen whole, as paragraphs of several lines
+between blank ones; longer units are cut into windows of WINDOW words that overlap by half. A unit becomes sparse
+features, the words and word pairs that also occur in the licence templates. A multinomial logistic regression over
+families and an unknown class is trained on the driver, on the templates, on partial and altered copies of them alone
+and amid other text, and on a bounded sample of the corpus's own units and of sentences that use the words otherwise.
+The threshold of the unknown class is calibrated on held-out units that would be scored but are unlike every template. A
+predicted family counts only if some template of that family is alike: the share of the unit's word pairs that the
+template has, or of the template's that the unit has, reaches SIMILAR, and one of these pairs holds a word that is
+not a function word.
+
+So every finding holds one of the templates' characteristic word pairs, and what has none is passed over before features are made.
+Scoring explodes the remaining units' features into a join with the weights, whose number is bounded by the templates.
+
+Defined cases: null or empty texts have no findings; rows of equal id and text are scanned once and have the same findings each; a
+null id is scanned and reported with a null id; a paragraph's finding is left out where a line of that document has the
+same family; ties between families go to the first in alphabetical order; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +24,16 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words of a paragraph that are looked at as one; longer lines are cut into windows of so many words.
+#: Words of a unit that are looked at as one; longer ones are cut into windows of so many words.
 WINDOW = 400
-#: Least likeness to a template; share of held-out negatives that must stay unknown.
-SIMILAR, REJECT = 0.6, 1.0
+#: Least likeness to a template; share of held-out negatives that must stay unknown, and the margin above them.
+SIMILAR, REJECT, MARGIN = 0.6, 0.999, 0.02
 UNKNOWN = "unknown"
-#: One of these stands in every template and in every paragraph that is scored.
-STEMS = ("licen", "copyright", "rights reserved", "permission", "warrant", "public domain", "redistribut", "spdx", "copyleft")
+#: Function words: a pair of two of them does not characterise a template.
+FUNCTION_WORDS = frozenset("a all an and any are as at be been but by can for from has have if in into is it its may must not of on or other shall that the their this these to was were which will with without you your".split())
 
 # Short public notices of each family, as text.
 TEMPLATES: dict[str, list[str]] = {
@@ -139,8 +142,25 @@ def words(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
 
+def pairs_of(tokens: list[str]) -> set[str]:
+    return {f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)}
+
+
 def features(tokens: list[str]) -> set[str]:
-    return {*tokens, *(f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False))}
+    return {*tokens, *pairs_of(tokens)}
+
+
+def characteristic() -> list[str]:
+    """The templates' word pairs but for those of function words alone; every template has some."""
+    found = set().union(*(pairs_of(words(t)) for own in TEMPLATES.values() for t in own))
+    return sorted(p for p in found if not FUNCTION_WORDS.issuperset(p.split()))
+
+
+def likeness(tokens: list[str]) -> float:
+    """The greatest similarity to any template."""
+    own = pairs_of(tokens)
+    made = [pairs_of(words(t)) for texts in TEMPLATES.values() for t in texts]
+    return max(len(own & t) / max(1, min(len(own), len(t))) for t in made)
 
 
 class Classifier:
@@ -150,35 +170,42 @@ class Classifier:
         rng = random.Random(seed)
         self.families = sorted(TEMPLATES)
         self.vocabulary = sorted(set().union(*(features(words(t)) for own in TEMPLATES.values() for t in own)))
-        place = {f: i for i, f in enumerate(self.vocabulary)}
+        self.place = {f: i for i, f in enumerate(self.vocabulary)}
+        marks = set(characteristic())
+        others = [tokens for t in [*OTHERWISE, *negatives] if (tokens := words(t)) and likeness(tokens) < SIMILAR]
+        rng.shuffle(others)
+        held, others = others[: len(others) // 3], others[len(others) // 3 :]
+        filler = sorted({w for tokens in others for w in tokens}) or ["the"]
         rows: list[tuple[set[str], int]] = []
-        filler = sorted({w for t in [*negatives[:500], *OTHERWISE] for w in words(t)}) or ["the"]
         for y, family in enumerate(self.families):
             for text in TEMPLATES[family]:
                 tokens = words(text)
                 rows.append((features(tokens), y))
-                for _ in range(24):  # partial and altered copies
+                for _ in range(32):  # partial and altered copies, alone and amid other text
                     own = [w if rng.random() > 0.08 else rng.choice(filler) for w in tokens]
-                    if len(own) > 8 and rng.random() < 0.5:
+                    if len(own) > 8 and rng.random() < 0.4:
                         at = rng.randrange(len(own) // 3)
                         own = own[at : at + max(6, len(own) * 2 // 3)]
-                    around = [rng.choice(filler) for _ in range(rng.randrange(6))]
-                    rows.append((features(around + own), y))
+                    around, most = [], rng.choice([0, 0, 6, 60, WINDOW - 60])
+                    while len(around) < most:
+                        around += rng.choice(others) if others else filler
+                    around = around[: rng.randrange(most + 1)]
+                    at = rng.randrange(len(around) + 1)
+                    rows.append((features(around[:at] + own + around[at:]), y))
         unknown = len(self.families)
-        others = [*OTHERWISE, *negatives]
-        rng.shuffle(others)
-        held, others = others[: len(others) // 3], others[len(others) // 3 :]
-        rows += [(features(words(t)), unknown) for t in others]
+        rows += [(features(tokens), unknown) for tokens in others]
         for _ in range(len(rows) // 2):  # the words in another order and company
             rows.append((features([rng.choice(filler) if rng.random() < 0.6 else rng.choice(self.vocabulary).split()[0] for _ in range(rng.randrange(3, 14))]), unknown))
         x = np.zeros((len(rows), len(self.vocabulary) + 1))
         for i, (own, _) in enumerate(rows):
-            x[i, [place[f] for f in own if f in place]] = 1
+            x[i, [self.place[f] for f in own if f in self.place]] = 1
         x[:, -1] = 1
         y = np.array([c for _, c in rows])
         self.weights = self._fit(x, y, unknown + 1)
-        top = [self._probabilities(t).max() for t in held if any(s in t.lower() for s in STEMS)] or [0.0]
-        self.threshold = min(0.9, max(0.4, float(np.quantile(top, REJECT)) + 0.02))
+        #: The best family's probability on each held-out negative that would be scored.
+        self.calibration = [self.probabilities(t).max() for t in held if marks & pairs_of(t)]
+        top = float(np.quantile(self.calibration, REJECT)) if self.calibration else 0.0
+        self.threshold = min(0.95, max(0.5, top + MARGIN))
 
     @staticmethod
     def _fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 300, ridge: float = 2e-5) -> np.ndarray:
@@ -193,52 +220,80 @@ class Classifier:
             weights = weights + speed
         return weights
 
-    def _probabilities(self, text: str) -> np.ndarray:
+    def probabilities(self, tokens: list[str]) -> np.ndarray:
         """Of the families (without unknown)."""
-        own = features(words(text))
-        z = self.weights[-1] + sum((self.weights[i] for i, f in enumerate(self.vocabulary) if f in own), np.zeros(self.weights.shape[1]))
+        z = self.weights[[self.place[f] for f in features(tokens) if f in self.place] + [-1]].sum(axis=0)
         p = np.exp(z - z.max())
         return (p / p.sum())[:-1]
 
 
 def train(docs: DataFrame | None = None, text_col: str = "text", sample: int = 2000) -> Classifier:
-    """Trains with at most ``sample`` lines of ``docs`` as negatives: lines without any of STEMS, of rows drawn by a hash of their text."""
+    """Trains with at most ``sample`` units (windows of words) of rows of ``docs`` drawn by a hash of their text: half of them
+    such as are scored, so that the rejection is calibrated on them."""
     negatives: list[str] = []
     if docs is not None:
         n = docs.count()
-        drawn = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(min(1.0, sample / 8 / max(1, n)) * (1 << 30)) + 1)
-        lines = drawn.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).filter(~_stemmed(F.col("line")) & (F.length("line") > 0))
-        negatives = [r["line"] for r in lines.select(F.substring("line", 1, 500).alias("line")).distinct().orderBy(F.xxhash64("line"), "line").limit(sample).collect()]
+        share = min(1.0, sample / max(1, n))
+        drawn = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+        made = _units(drawn.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), every=True)
+        # Longer words are in no template; a window of words without bound would be a text without bound.
+        made = made.select("marked", F.array_join(F.transform("w", lambda w: F.substring(w, 1, 40)), " ").alias("unit")).distinct()
+        for marked in (True, False):
+            rows = made.filter(F.col("marked") == marked).orderBy(F.xxhash64("unit"), "unit").limit(sample // 2)
+            negatives += [r["unit"] for r in rows.collect()]
     return Classifier(negatives)
 
 
-def _stemmed(line: Column) -> Column:
-    lowered, out = F.lower(line), F.lit(False)
-    for stem in STEMS:
-        out = out | lowered.contains(stem)
-    return out
+def _pairs(w: Column) -> Column:
+    both = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(w) > 1, both).otherwise(F.array().cast("array<string>"))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _marked(w: Column) -> Column:
+    """Whether a characteristic pair of a template is among the words, side by side."""
+    marks = characteristic()
+    return F.exists(_pairs(w), lambda p: p.isin(marks))
+
+
+def _units(docs: DataFrame, every: bool = False) -> DataFrame:
+    """(id, key, unit, paragraph, part, w, marked): windows of the words of each line and of each paragraph of several lines,
+    in documents that have a characteristic pair (or in all), and of those only the ones that have it themselves (or all)."""
+    rows = docs.filter(F.col("text").isNotNull())
+    rows = rows if every else rows.filter(_marked(_words(F.col("text"))))
+    rows = rows.select("id", F.xxhash64("text").alias("key"), "text")
+    lines = rows.select("id", "key", F.lit("line").alias("unit"), F.posexplode(F.split("text", "\n")).alias("paragraph", "own"))
+    blocks = rows.select("id", "key", F.lit("paragraph").alias("unit"), F.posexplode(F.split("text", r"\n[ \t\r]*\n")).alias("paragraph", "own"))
+    units = lines.unionByName(blocks.filter(F.col("own").rlike(r"\S[ \t\r]*\n\s*\S"))).select("id", "key", "unit", "paragraph", _words(F.col("own")).alias("all"))
+    half = WINDOW // 2
+    last = F.floor(F.greatest(F.size("all") - 1 - half, F.lit(0)) / half).cast("int")
+    units = units.filter(F.size("all") > 0).withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+    units = units.select("id", "key", "unit", "paragraph", "part", F.slice("all", F.col("part") * half + 1, WINDOW).alias("w"))
+    units = units.withColumn("marked", _marked(F.col("w")))
+    return units if every else units.filter("marked")
 
 
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Confirmed findings: (id_col, paragraph, part, family, probability, similarity, words)."""
+    """Confirmed findings: (id_col, unit, paragraph, part, family, probability, similarity, words); paragraph is the number of
+    the line, or of the paragraph, in its document."""
     spark = docs.sparkSession
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line")).filter(_stemmed(F.col("line")))
-    tokens = F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "")
-    lines = lines.withColumn("all", tokens).filter(F.size("all") > 0)
-    # Long lines are read in windows that overlap by half, so that a notice in them is seen whole in one.
-    lines = lines.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.size("all") - 1, F.lit(0)) / (WINDOW // 2)).cast("int"))))
-    lines = lines.withColumn("w", F.slice("all", F.col("part") * (WINDOW // 2) + 1, WINDOW)).select("id", "key", "paragraph", "part", "w", F.size("w").alias("words"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    lines = lines.withColumn("pairs", F.array_distinct(pairs)).withColumn("f", F.array_union(F.array_distinct("w"), F.col("pairs")))
-    group = ["id", "key", "paragraph", "part"]
-    made = lines.select(*group, "words", F.size("pairs").alias("n_pairs"), F.explode("f").alias("f")).join(F.broadcast(_weights(spark, model)), "f", "left")
+    group = ["id", "key", "unit", "paragraph", "part"]
+    units = _units(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    units = units.groupBy(*group).agg(F.first("w").alias("w"), F.count("*").alias("copies"))  # rows of equal id and text are one
+    pairs = F.array_distinct(_pairs(F.col("w")))
+    units = units.withColumn("words", F.size("w")).withColumn("pairs", pairs).withColumn("f", F.array_union(F.array_distinct("w"), F.col("pairs")))
+    made = units.select(*group, "copies", "words", F.size("pairs").alias("n_pairs"), F.explode("f").alias("f")).join(F.broadcast(_weights(spark, model)), "f", "left")
 
     names = [*model.families, UNKNOWN]
     bias = model.weights[-1]
     sums = [(F.coalesce(F.sum(F.get("v", F.lit(i))), F.lit(0.0)) + float(bias[i])).alias(f"z{i}") for i in range(len(names))]
     n_templates = sum(map(len, TEMPLATES.values()))
     hits = [F.coalesce(F.sum(F.get("has", F.lit(t))), F.lit(0)).alias(f"h{t}") for t in range(n_templates)]
-    scored = made.groupBy(*group).agg(F.first("words").alias("words"), F.first("n_pairs").alias("n_pairs"), *sums, *hits)
+    marks = [F.coalesce(F.sum(F.get("has", F.lit(t)) * F.col("mark")), F.lit(0)).alias(f"m{t}") for t in range(n_templates)]
+    scored = made.groupBy(*group).agg(F.first("copies").alias("copies"), F.first("words").alias("words"), F.first("n_pairs").alias("n_pairs"), *sums, *hits, *marks)
 
     logits = F.array(*(F.col(f"z{i}") for i in range(len(names))))
     top = F.array_max(logits)
@@ -248,18 +303,21 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     for family in model.families:
         own = []
         for text in TEMPLATES[family]:
-            size = len({f for f in features(words(text)) if " " in f})
-            own.append(F.col(f"h{t}") / F.greatest(F.lit(1), F.least(F.col("n_pairs"), F.lit(size))))
+            like = F.col(f"h{t}") / F.greatest(F.lit(1), F.least(F.col("n_pairs"), F.lit(len(pairs_of(words(text))))))
+            own.append(F.when(F.col(f"m{t}") > 0, like).otherwise(0.0))
             t += 1
         alike.append(F.greatest(*own))
     similarity = F.get(F.array(*alike), best.cast("int"))
-    out = scored.select("id", "paragraph", "part", "words", F.get(F.array(*map(F.lit, names)), best.cast("int")).alias("family"), probability.alias("probability"), similarity.alias("similarity"))
+    out = scored.select(*group, "copies", "words", F.get(F.array(*map(F.lit, names)), best.cast("int")).alias("family"), probability.alias("probability"), similarity.alias("similarity"))
     out = out.filter((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold) & (F.col("similarity") >= SIMILAR))
-    return out.select(F.col("id").alias(id_col), "paragraph", "part", "family", F.round("probability", 4).alias("probability"), F.round("similarity", 4).alias("similarity"), F.col("words").cast("long").alias("words"))
+    in_line = F.max(F.col("unit") == "line").over(Window.partitionBy("id", "key", "family"))
+    out = out.withColumn("in_line", in_line).filter((F.col("unit") == "line") | ~F.col("in_line")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(F.col("id").alias(id_col), "unit", "paragraph", "part", "family", F.round("probability", 4).alias("probability"), F.round("similarity", 4).alias("similarity"), F.col("words").cast("long").alias("words"))
 
 
 def _weights(spark: SparkSession, model: Classifier) -> DataFrame:
-    """(f, v: weights of the classes, has: for each template whether f is one of its word pairs); a row per feature of the templates."""
-    templates = [features(words(t)) for family in model.families for t in TEMPLATES[family]]
-    rows = [(f, [float(x) for x in model.weights[i]], [int(" " in f and f in own) for own in templates]) for i, f in enumerate(model.vocabulary)]
-    return spark.createDataFrame(rows, "f string, v array<double>, has array<int>")
+    """(f, v: weights of the classes, has: for each template whether f is one of its word pairs, mark: whether f is a
+    characteristic pair); a row per feature of the templates."""
+    templates, marks = [features(words(t)) for family in model.families for t in TEMPLATES[family]], set(characteristic())
+    rows = [(f, [float(x) for x in model.weights[i]], [int(" " in f and f in own) for own in templates], int(f in marks)) for i, f in enumerate(model.vocabulary)]
+    return spark.createDataFrame(rows, "f string, v array<double>, has array<int>, mark int")
