@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Words of a unit that are looked at as one; longer ones are cut into windows of so many words.
 WINDOW = 400
+#: Parts in which negatives are held out of the fit that they calibrate.
+FOLDS = 3
 #: Least likeness to a template; share of held-out negatives that must stay unknown, and the margin above them.
 SIMILAR, REJECT, MARGIN = 0.6, 0.999, 0.02
 UNKNOWN = "unknown"
@@ -174,14 +176,26 @@ class Classifier:
         marks = set(characteristic())
         others = [tokens for t in [*OTHERWISE, *negatives] if (tokens := words(t)) and likeness(tokens) < SIMILAR]
         rng.shuffle(others)
-        held, others = others[: len(others) // 3], others[len(others) // 3 :]
+        #: The best family's probability on each negative that would be scored, by models that have not seen it.
+        self.calibration: list[float] = []
+        for fold in range(FOLDS):
+            held = [t for t in others[fold::FOLDS] if marks & pairs_of(t)]
+            if held:
+                self.weights = self._trained([t for i, t in enumerate(others) if i % FOLDS != fold], rng)
+                self.calibration += [float(self.probabilities(t).max()) for t in held]
+        self.weights = self._trained(others, rng)
+        top = float(np.quantile(self.calibration, REJECT)) if self.calibration else 0.0
+        self.threshold = min(0.95, max(0.5, top + MARGIN))
+
+    def _trained(self, others: list[list[str]], rng: random.Random) -> np.ndarray:
+        """Weights by templates, altered copies of them, and the negatives ``others``."""
         filler = sorted({w for tokens in others for w in tokens}) or ["the"]
         rows: list[tuple[set[str], int]] = []
         for y, family in enumerate(self.families):
             for text in TEMPLATES[family]:
                 tokens = words(text)
                 rows.append((features(tokens), y))
-                for _ in range(32):  # partial and altered copies, alone and amid other text
+                for _ in range(24):  # partial and altered copies, alone and amid other text
                     own = [w if rng.random() > 0.08 else rng.choice(filler) for w in tokens]
                     if len(own) > 8 and rng.random() < 0.4:
                         at = rng.randrange(len(own) // 3)
@@ -196,29 +210,24 @@ class Classifier:
         rows += [(features(tokens), unknown) for tokens in others]
         for _ in range(len(rows) // 2):  # the words in another order and company
             rows.append((features([rng.choice(filler) if rng.random() < 0.6 else rng.choice(self.vocabulary).split()[0] for _ in range(rng.randrange(3, 14))]), unknown))
-        x = np.zeros((len(rows), len(self.vocabulary) + 1))
+        x = np.zeros((len(rows), len(self.vocabulary) + 1), np.float32)
         for i, (own, _) in enumerate(rows):
             x[i, [self.place[f] for f in own if f in self.place]] = 1
         x[:, -1] = 1
-        y = np.array([c for _, c in rows])
-        self.weights = self._fit(x, y, unknown + 1)
-        #: The best family's probability on each held-out negative that would be scored.
-        self.calibration = [self.probabilities(t).max() for t in held if marks & pairs_of(t)]
-        top = float(np.quantile(self.calibration, REJECT)) if self.calibration else 0.0
-        self.threshold = min(0.95, max(0.5, top + MARGIN))
+        return self._fit(x, np.array([c for _, c in rows]), unknown + 1)
 
     @staticmethod
-    def _fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 300, ridge: float = 2e-5) -> np.ndarray:
-        weights, speed = np.zeros((x.shape[1], classes)), np.zeros((x.shape[1], classes))
-        target = np.eye(classes)[y]
-        balance = (len(y) / (classes * np.maximum(1, np.bincount(y, minlength=classes))))[y][:, None]
+    def _fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 200, ridge: float = 2e-5) -> np.ndarray:
+        weights, speed = (np.zeros((x.shape[1], classes), np.float32) for _ in range(2))
+        target = np.eye(classes, dtype=np.float32)[y]
+        balance = (len(y) / (classes * np.maximum(1, np.bincount(y, minlength=classes))))[y][:, None].astype(np.float32)
         for _ in range(rounds):  # gradient descent with momentum
             z = x @ (weights + 0.9 * speed)
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             speed = 0.9 * speed - 2.0 * (x.T @ ((p - target) * balance) / len(y) + ridge * weights)
             weights = weights + speed
-        return weights
+        return weights.astype(np.float64)
 
     def probabilities(self, tokens: list[str]) -> np.ndarray:
         """Of the families (without unknown)."""
@@ -256,7 +265,12 @@ def _words(text: Column) -> Column:
 def _marked(w: Column) -> Column:
     """Whether a characteristic pair of a template is among the words, side by side."""
     marks = characteristic()
-    return F.exists(_pairs(w), lambda p: p.isin(marks))
+    return _let(w, lambda own: F.exists(_pairs(own), lambda p: p.isin(marks)))
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def _units(docs: DataFrame, every: bool = False) -> DataFrame:
