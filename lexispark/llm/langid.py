@@ -33,8 +33,8 @@ ORDER = 4
 PER_LANGUAGE, CALIBRATION = 1000, 0.25
 #: Share of calibration texts that must be accepted, and the margin on the deviation found for it.
 ACCEPT, MARGIN = 0.999, 1.5
-#: Characters worked on at a time.
-CHUNK = 1 << 19
+#: Characters of texts that are taken together, and symbols (of one text or many) worked on at a time.
+CHUNK, STEP = 1 << 19, 1 << 18
 UNKNOWN = "und"
 _BASE = 0x9E3779B97F4A7C15
 
@@ -68,10 +68,9 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[np.concatenate([starts, [len(out)]])]
 
 
-def grams(sym: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """For each order 0 .. ORDER the hash of the n-gram that ends at each symbol; before a text's start stand borders."""
+def grams(sym: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """For each order 0 .. ORDER the hash of the n-gram that ends at each symbol; place is the symbol's in its text, before whose start stand borders."""
     n = len(sym)
-    place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
     keys, power = [np.zeros(n, U)], 1
     for j in range(ORDER):
         shifted = np.zeros(n, U)
@@ -83,15 +82,23 @@ def grams(sym: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [mix(k + U(i)) for i, k in enumerate(keys)]
 
 
-def contexts(keys: np.ndarray, sym: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
+def contexts(keys: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
     """The hash of the ``order`` symbols before each symbol."""
-    out = np.empty(len(sym), U)
+    out = np.empty(len(keys), U)
     out[1:] = keys[:-1]
     start = np.uint64(sum(pow(_BASE, j, 1 << 64) for j in range(order)) % (1 << 64))
-    out[offsets[:-1][np.diff(offsets) > 0]] = mix(np.array([start], U) + U(order))[0]
+    out[place == 0] = mix(np.array([start], U) + U(order))[0]
     return out
 
 
+def slices(sym: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(start, end, back, symbols, places) of at most STEP symbols each, with the ``back`` symbols before them that they depend on."""
+    for start in range(0, len(sym), STEP):
+        end, first = min(start + STEP, len(sym)), max(0, start - ORDER)
+        index = np.arange(first, end)
+        yield start, end, start - first, sym[first:end], index - offsets[np.searchsorted(offsets, index, "right") - 1]
+
+
 class Hashes:
     """A sorted array of hashes with an index on their leading bits."""
 
@@ -121,20 +128,39 @@ class Hashes:
         return out
 
 
+def _counted(sym: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """The different n-grams of ORDER: key, count, suffix0 .. (hash of the last n symbols), ctx1 .. (of the n - 1 before the last)."""
+    parts: list[dict[str, np.ndarray]] = []
+    for _, _, back, own, place in slices(sym, offsets):
+        keys = grams(own, place)
+        found, at, counts = np.unique(keys[ORDER][back:], return_index=True, return_counts=True)
+        part = {"key": found, "count": counts}
+        for n in range(ORDER):
+            part[f"suffix{n}"] = keys[n][back:][at]
+            part[f"ctx{n + 1}"] = contexts(keys[n], place, n)[back:][at]
+        parts.append(part)
+    whole = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
+    if not whole:
+        return {"key": np.zeros(0, U), "count": np.zeros(0, np.int64)} | {f"{k}{n}": np.zeros(0, U) for n in range(ORDER + 1) for k in ("suffix", "ctx")}
+    found, at, inverse = np.unique(whole["key"], return_index=True, return_inverse=True)
+    counts = np.bincount(inverse, whole["count"]).astype(np.int64)
+    return {k: v[at] for k, v in whole.items()} | {"key": found, "count": counts}
+
+
 def _kneser_ney(sym: np.ndarray, offsets: np.ndarray) -> list[dict]:
     """For each order: keys, count-based part, and for each context its weight; for one language."""
-    keys = grams(sym, offsets)
-    found, at, counts = np.unique(keys[ORDER], return_index=True, return_counts=True)
+    grams_ = _counted(sym, offsets)
+    found, counts, at = grams_["key"], grams_["count"], np.arange(len(grams_["key"]))
     orders: list[dict] = [{} for _ in range(ORDER + 1)]
     for n in range(ORDER, 0, -1):
-        ctx = contexts(keys[n - 1], sym, offsets, n - 1)[at]
+        ctx, suffix = grams_[f"ctx{n}"][at], grams_[f"suffix{n - 1}"][at]
         once, twice = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
         discount = once / (once + 2 * twice) if once and twice else 0.5
         names, inverse, kinds = np.unique(ctx, return_inverse=True, return_counts=True)
         totals = np.bincount(inverse, counts)
-        orders[n] = {"keys": found, "at": at, "ctx": ctx, "suffix": keys[n - 1][at], "part": np.maximum(counts - discount, 0) / totals[inverse], "names": names, "weight": discount * kinds / totals}
+        orders[n] = {"keys": found, "ctx": ctx, "suffix": suffix, "part": np.maximum(counts - discount, 0) / totals[inverse], "names": names, "weight": discount * kinds / totals}
         # A lower order counts the different symbols that its n-grams were seen after.
-        found, first, counts = np.unique(keys[n - 1][at], return_index=True, return_counts=True)
+        found, first, counts = np.unique(suffix, return_index=True, return_counts=True)
         at = at[first]
     return orders
 
@@ -174,35 +200,37 @@ class Model:
         sym, offsets = symbols(texts)
         sizes = np.diff(offsets)
         total = np.zeros((len(texts), len(self.langs)))
-        if len(sym):
-            keys = grams(sym, offsets)
-            logs = np.zeros((len(sym), len(self.langs)), np.float32)
-            todo = np.arange(len(sym))
-            for n in range(ORDER, 0, -1):
-                table, values = self.tables[n - 1]
-                at = table.find(keys[n][todo])
-                hit = at >= 0
-                if len(todo) == len(sym):
-                    logs = values[np.maximum(at, 0)]
-                    logs[~hit] = 0
-                else:
-                    logs[todo[hit]] += values[at[hit]]
-                todo = todo[~hit]
-                if not len(todo):
-                    break
-                if n > 1:
-                    names, weights = self.weights[n - 1]
-                    at = names.find(contexts(keys[n - 1], sym, offsets, n - 1)[todo])
-                    known = at >= 0
-                    logs[todo[known]] += weights[at[known]]
-                else:
-                    logs[todo] += self.unseen
-            full = np.flatnonzero(sizes)
-            total[full] = np.add.reduceat(logs, offsets[:-1][full], axis=0, dtype=np.float64)
+        for start, end, back, own, place in slices(sym, offsets):
+            logs = self._logs(own, place)[back:]
+            first, last = np.searchsorted(offsets, [start, end - 1], "right") - 1  # the texts that the slice is of
+            full = first + np.flatnonzero(sizes[first : last + 1])
+            total[full] += np.add.reduceat(logs, np.maximum(offsets[full] - start, 0), axis=0, dtype=np.float64)
         letters = np.add.reduceat(np.append(sym != 0, False).astype(np.int64), np.minimum(offsets[:-1], len(sym))) if len(texts) else sizes
         letters[sizes == 0] = 0
         return -total / np.maximum(sizes, 1)[:, None], sizes, letters > 0
 
+    def _logs(self, sym: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(symbols, languages) log-probabilities, longest known n-grams first, by weights of missing contexts beyond."""
+        keys = grams(sym, place)
+        logs = np.zeros((len(sym), len(self.langs)), np.float32)
+        todo = np.arange(len(sym))
+        for n in range(ORDER, 0, -1):
+            table, values = self.tables[n - 1]
+            at = table.find(keys[n][todo])
+            hit = at >= 0
+            logs[todo[hit]] += values[at[hit]]
+            todo = todo[~hit]
+            if not len(todo):
+                break
+            if n > 1:
+                names, weights = self.weights[n - 1]
+                at = names.find(contexts(keys[n - 1], place, n - 1)[todo])
+                known = at >= 0
+                logs[todo[known]] += weights[at[known]]
+            else:
+                logs[todo] += self.unseen
+        return logs
+
     def calibrate(self, texts: dict[str, list[str]]) -> None:
         """Mean and spreads of each language's cross-entropy, and the deviation that ACCEPT of the texts keep below.
 
