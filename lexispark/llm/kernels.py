@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Texts are worked on in runs of at most so many bytes (or one text).
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 

@@ -203,12 +203,12 @@ def recurring(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min
 
 
 def _shingles(text: Column) -> Column:
-    """Hashes of the different runs of SHINGLE words; a text of fewer words has one, all of it."""
+    """32-bit hashes of the different runs of SHINGLE words; a text of fewer words has one, all of it."""
 
     def cut(hashes: Column) -> Column:
         n = F.size(hashes)
-        run = lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(SHINGLE)))
-        return F.when(n < SHINGLE, F.array(F.xxhash64(hashes))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), run))
+        run = lambda i: F.hash(*(F.get(hashes, i + j) for j in range(SHINGLE)))
+        return F.when(n < SHINGLE, F.array(F.hash(hashes))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), run))
 
     words = F.filter(F.split(F.lower(text), r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
     return F.array_distinct(_let(F.transform(words, lambda w: F.xxhash64(w)), cut))
@@ -223,7 +223,7 @@ def _near_copies(docs: DataFrame, lines: DataFrame, hit: DataFrame, id_col: str,
     pairs = checkpoint(hot_join(pairs, others, ["first"], ["doc", "key"]).filter(F.col("s") >= COPIED * F.col("theirs")).select("doc", "key", "first", "other"))
     wanted = pairs.select("doc", "key").unionByName(pairs.select(F.col("first").alias("doc"), F.col("other").alias("key"))).distinct()
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = join_checked(texts, wanted, ["doc", "key"], "left_semi", 32).dropDuplicates(["doc", "key"])
+    texts = join_checked(texts, wanted, ["doc", "key"], "left_semi", 32)
     sets = checkpoint(texts.select("doc", "key", _shingles(F.col("text")).alias("a")))
     both = pairs.join(sets, ["doc", "key"])
     both = hot_join(both, sets.select(F.col("doc").alias("first"), F.col("key").alias("other"), F.col("a").alias("b")), ["first", "other"], ["doc", "key"], counts=pairs.groupBy("first", "other").agg(F.count("*").alias("n")))
