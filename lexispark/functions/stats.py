@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from string import ascii_letters
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,20 +32,38 @@ def n_chars(text: Column) -> Column:
     return F.char_length(text)
 
 
+def _rest(text: Column, of: str) -> Column:
+    """``text`` without runs of a class: what is left is counted faster than single matches are."""
+    return F.regexp_replace(text, of + "+", "")
+
+
 def n_letters(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\p{L}"))
+    return (F.char_length(text) - F.char_length(_rest(text, r"\p{L}"))).cast("int")
 
 
 def letter_ratio(text: Column) -> Column:
-    return F.when(F.char_length(text) > 0, n_letters(text) / F.char_length(text)).otherwise(F.lit(0.0))
+    return _ratio(n_letters(text), F.char_length(text))
+
+
+def _ratio(letters: Column, chars: Column) -> Column:
+    return F.when(chars > 0, letters / chars).otherwise(F.lit(0.0))
 
 
 def unique_letters(text: Column) -> Column:
-    return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}"), F.lit(0))))
+    return _let(_rest(text, r"\P{L}"), _unique)
+
+
+def _unique(letters: Column) -> Column:
+    """Different letters: the plain ones are looked up one by one (most of them stand near the start), only others are taken apart."""
+    plain = reduce(lambda a, b: a + b, [F.contains(letters, F.lit(c)).cast("int") for c in ascii_letters])
+    others = _let(_rest(letters, "[A-Za-z]"), lambda rest: F.when(rest == "", 0).otherwise(F.size(F.array_distinct(F.split(rest, "")))))
+    return plain + others
 
 
 def is_mostly_ascii(text: Column) -> Column:
-    return F.when(F.char_length(text) > 0, F.regexp_count(text, F.lit(r"[\x00-\x7F]")) / F.char_length(text) > ASCII_SHARE).otherwise(True)
+    """Whether more than the share is ASCII; a text of as many bytes as characters is all ASCII."""
+    counted = F.char_length(_rest(text, r"[^\x00-\x7F]")) / F.char_length(text) > ASCII_SHARE
+    return F.when(F.char_length(text) == F.octet_length(text), True).when(F.char_length(text) > 0, counted).otherwise(True)
 
 
 def has_cjk(text: Column) -> Column:
@@ -51,25 +72,30 @@ def has_cjk(text: Column) -> Column:
 
 def dominant_script(text: Column) -> Column:
     """The script of most letters, ties to the one seen first; null without letters. A Latin majority settles it at once."""
+    return _let(_rest(text, r"\P{L}"), _dominant)
 
-    def judged(letters: Column) -> Column:
-        latin = F.regexp_count(letters, F.lit(r"\p{IsLatin}"))
-        counted = [
-            F.struct(
-                F.regexp_count(letters, F.lit(java_class(names))).alias("n"),
-                (-F.char_length(F.regexp_extract(letters, rf"(?s)^(.*?){java_class(names)}", 1))).alias("first"),
-                F.lit(script).alias("script"),
-            )
-            for script, names in SCRIPTS.items()
-        ]
-        best = _let(F.array_max(F.array(*counted)), lambda b: F.when(b["n"] > 0, b["script"]))
-        return F.when(letters == "", None).when(2 * latin > F.char_length(letters), "Latin").otherwise(best)
 
-    return _let(F.regexp_replace(text, r"\P{L}", ""), judged)
+def _dominant(letters: Column) -> Column:
+    counted = [
+        F.struct(
+            F.regexp_count(letters, F.lit(java_class(names))).alias("n"),
+            (-F.char_length(F.regexp_extract(letters, rf"(?s)^(.*?){java_class(names)}", 1))).alias("first"),
+            F.lit(script).alias("script"),
+        )
+        for script, names in SCRIPTS.items()
+    ]
+    best = _let(F.array_max(F.array(*counted)), lambda b: F.when(b["n"] > 0, b["script"]))
+    return F.when(letters == "", None).when(2 * F.char_length(_rest(letters, r"\p{IsLatin}")) < F.char_length(letters), "Latin").otherwise(best)
 
 
 def text_stats(text: Column) -> Column:
-    return F.struct(n_chars(text).alias("n_chars"), n_letters(text).alias("n_letters"), letter_ratio(text).alias("letter_ratio"), unique_letters(text).alias("unique_letters"), dominant_script(text).alias("script"), is_mostly_ascii(text).alias("is_mostly_ascii"), has_cjk(text).alias("has_cjk"))
+    """All statistics out of the text and its letters, which are made once."""
+
+    def counted(letters: Column) -> Column:
+        n, chars = F.char_length(letters), F.char_length(text)
+        return F.struct(chars.alias("n_chars"), n.alias("n_letters"), _ratio(n, chars).alias("letter_ratio"), _unique(letters).alias("unique_letters"), _dominant(letters).alias("script"), is_mostly_ascii(text).alias("is_mostly_ascii"), has_cjk(text).alias("has_cjk"))
+
+    return _let(_rest(text, r"\P{L}"), counted)
 
 
 def _by_mode(values: dict, mode: Column | str) -> Column:
@@ -84,10 +110,13 @@ def threshold(mode: Column | str) -> Column:
 
 def gate(text: Column, mode: Column | str = "default") -> Column:
     """Why a normalised text is not looked at further, or null."""
-    letters = n_letters(text)
-    short = (F.char_length(text) < _by_mode(MIN_CHARS, mode)) | (letters < _by_mode(MIN_LETTERS, mode))
-    bare = (letters == 0) | (letters / F.char_length(text) < MIN_RATIO)
-    return F.when(F.trim(text) == "", EMPTY).when(short, TOO_LITTLE).when(bare, NON_LINGUISTIC)
+
+    def judged(letters: Column) -> Column:
+        short = (F.char_length(text) < _by_mode(MIN_CHARS, mode)) | (letters < _by_mode(MIN_LETTERS, mode))
+        bare = (letters == 0) | (letters / F.char_length(text) < MIN_RATIO)
+        return F.when(F.trim(text) == "", EMPTY).when(short, TOO_LITTLE).when(bare, NON_LINGUISTIC)
+
+    return _let(n_letters(text), judged)
 
 
 # Languages by script, and the scripts' code point ranges, for the finer script filter.
@@ -114,7 +143,7 @@ def script_counts(text: Column) -> Column:
     def counted(letters: Column, rest: Column) -> Column:
         return F.array(*(F.struct((F.char_length(letters) - F.char_length(rest) if s == "Latin" else F.regexp_count(rest, F.lit(range_class(s)))).alias("n"), F.lit(s).alias("script")) for s in SCRIPT_LANGUAGES))
 
-    return _let(F.regexp_replace(text, r"\P{L}", ""), lambda letters: _let(F.regexp_replace(letters, range_class("Latin"), ""), lambda rest: counted(letters, rest)))
+    return _let(_rest(text, r"\P{L}"), lambda letters: _let(_rest(letters, range_class("Latin")), lambda rest: counted(letters, rest)))
 
 
 def _count(counts: Column, script: str) -> Column:

@@ -1,16 +1,12 @@
-"""Normalisation of text and language tags, as Column expressions (one Arrow function for NFC).
+"""Normalisation of text and language tags, as Column expressions.
 
 The classes are written out, since ``\\w``, ``\\s`` and ``\\b`` mean different things to different regex engines.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
@@ -18,13 +14,10 @@ SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 NOISE = [r"https?://[^ ]+", r"www\.[^ ]+", rf"[{WORD}][{WORD}.-]*@[{WORD}.-]+\.[{WORD}]+", rf"[@#][{WORD}]+"]
 
 
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
-
-
 def nfc(text: Column) -> Column:
-    """Canonical composition. Spark has no built-in; it runs in Arrow batches."""
-    return F.pandas_udf(_nfc, StringType())(text)
+    """Canonical composition, by the Unicode library that comes with Spark. Texts of code points below U+0300 alone are composed already."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike("[^\\x{0}-\\x{2FF}]"), composed).otherwise(text)
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -44,8 +37,8 @@ def strip_mentions(text: Column) -> Column:
     return F.regexp_replace(text, NOISE[3], " ")
 
 
-def normalize_text(text: Column, strip_noise: bool = True, compose: bool = False) -> Column:
-    """Spaces collapsed, noise removed, trimmed; null becomes empty. ``compose`` adds NFC first."""
+def normalize_text(text: Column, strip_noise: bool = True, compose: bool = True) -> Column:
+    """Composed (NFC), spaces collapsed, noise removed, trimmed; null becomes empty."""
     out = collapse_spaces(nfc(text) if compose else text)
     if strip_noise:
         out = collapse_spaces(strip_mentions(strip_emails(strip_urls(out))))
@@ -67,15 +60,28 @@ def normalize_tag(tag: Column) -> Column:
     return out.when(plain.startswith("zh"), "zh").when(F.char_length(plain) >= 2, F.substring(plain, 1, 2)).otherwise("und")
 
 
-# ISO 639-3 to 639-1 for widely used languages; others are given as a table (see label_codes).
-ISO3 = {"afr": "af", "amh": "am", "ara": "ar", "aze": "az", "bel": "be", "ben": "bn", "bos": "bs", "bul": "bg", "cat": "ca", "ces": "cs", "cym": "cy", "dan": "da", "deu": "de", "ell": "el", "eng": "en", "epo": "eo", "est": "et", "eus": "eu", "fas": "fa", "fin": "fi", "fra": "fr", "gle": "ga", "glg": "gl", "guj": "gu", "heb": "he", "hin": "hi", "hrv": "hr", "hun": "hu", "hye": "hy", "ind": "id", "isl": "is", "ita": "it", "jpn": "ja", "kan": "kn", "kat": "ka", "kaz": "kk", "kor": "ko", "lat": "la", "lav": "lv", "lit": "lt", "mal": "ml", "mar": "mr", "mkd": "mk", "msa": "ms", "nep": "ne", "nld": "nl", "nor": "no", "pan": "pa", "pol": "pl", "por": "pt", "ron": "ro", "rus": "ru", "slk": "sk", "slv": "sl", "som": "so", "spa": "es", "sqi": "sq", "srp": "sr", "swa": "sw", "swe": "sv", "tam": "ta", "tel": "te", "tgl": "tl", "tha": "th", "tur": "tr", "ukr": "uk", "urd": "ur", "vie": "vi", "zho": "zh"}
+# ISO 639-3 codes whose two-letter code isn't their first two letters, by that code.
+ISO3 = {
+    "an": "arg", "ar": "aao acm acw acx aeb ajp apc apd ayl", "bg": "bul", "bn": "ben", "bs": "bos", "cs": "ces", "cv": "chv", "dv": "div", "es": "spa", "et": "est", "fa": "glk pes prs", "fo": "fao", "fy": "fry",
+    "ga": "gle", "gd": "gla", "gv": "glv", "ht": "hat", "id": "ind", "ig": "ibo", "iu": "iku", "ja": "jpn", "jv": "jav", "ka": "lzz xmf", "kg": "kon", "kk": "kaz", "km": "khm", "kn": "kan", "ku": "ckb kmr sdh", "kv": "kpv", "kw": "cor",
+    "lb": "ltz", "lg": "lug", "ln": "lin", "lo": "lao", "lt": "lit", "lv": "lav", "ml": "mal", "mn": "bxr khk mon mvf", "mr": "mar", "ms": "zlm zsm", "mt": "mlt", "nv": "nav", "om": "orm", "pa": "pnb", "pl": "pol", "ps": "pus", "pt": "por",
+    "rm": "roh", "rn": "run", "rw": "kin", "sc": "srd", "se": "sme", "sk": "slk", "st": "sot", "sv": "swe", "tk": "tuk", "tl": "tgl", "tn": "tsn", "tr": "tur", "tt": "tat", "ug": "uig", "uk": "rue", "wa": "wln",
+    "zh": "cdo cjy cmn cpx csp czh gan hak hsn ltc lzh mnp nan och wuu yue",
+}
+# ISO 639-3 codes that are kept, since there is no two-letter code.
+ISO3_KEPT = "ace ale ang ast ban bar bcl bjn bug cbk ceb chp cho chr cjs ckt crh dgr dlm dsb als ems eml enm ess esu eve evn ext frm fro frp frr fur gag gcf gmh goh gor gsw gwi hil hsb hup ilo itl izh kca ket kjh koi krc krl ksh kum lad liv lld lmo mak mdf mhr min mns moh mrj mus mwl myv mzn nap nds neg nio nog non nrf nso oaa olo osx pag pap pcd pfl pms rgn rup sah sas scn sco sel sgs sma smj smn sms stq szl tyv udm ulc vec vep vot vro war wym xal yrk".split()
+
+
+def label_code(label: Column, mapping: dict[str, str] | None = None) -> Column:
+    """The code of an ISO 639-3 label or a variant's label: by the tables above (and ``mapping``), else the first two letters, lower-cased."""
+    known = {old: new for new, own in ISO3.items() for old in own.split()} | {c: c for c in ISO3_KEPT} | (mapping or {})
+    table = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair))
+    return F.coalesce(F.try_element_at(table, label), F.lower(F.substring(label, 1, 2)))
 
 
 def label_codes(labels, mapping: dict[str, str] | None = None, label_col: str = "label"):
-    """``labels`` with ``lang``: the two-letter code of an ISO 639-3 label, or its first two letters where none is known."""
-    rows = list((ISO3 | (mapping or {})).items())
-    codes = labels.sparkSession.createDataFrame(rows, f"{label_col} string, _code string")
-    return labels.join(F.broadcast(codes), label_col, "left").withColumn("lang", F.coalesce("_code", F.lower(F.substring(label_col, 1, 2)))).drop("_code")
+    """``labels`` with ``lang``, their codes."""
+    return labels.withColumn("lang", label_code(F.col(label_col), mapping))
 
 
 def truncated(text: Column, most: int, mark: str = "") -> Column:

@@ -55,7 +55,7 @@ class Config:
     unknown_label: str = "und"
     normalize: str = "max"
     resolve_confusion: bool = False
-    compose: bool = False
+    compose: bool = True
     once_per_text: bool = True
 
     def __post_init__(self):

@@ -23,7 +23,7 @@ LETTERS = r"regexp_replace(text, '\P{L}', '', 'g')"
 
 
 def normal_sql(column: str, noise: bool = True) -> str:
-    out = f"regexp_replace({column}, '{S}', ' ', 'g')"
+    out = f"regexp_replace(nfc_normalize({column}), '{S}', ' ', 'g')"
     if noise:
         for step in text.NOISE:
             out = f"regexp_replace({out}, '{step}', ' ', 'g')"
@@ -53,14 +53,16 @@ def nrm08_tags(spark, sf_dir):
     return spark.createDataFrame(_TAGS, "tag string").select("tag", text.normalize_tag(F.col("tag")).alias("lang"))
 
 
-_ISO = values(list(text.ISO3.items()), "c(label, code)")
+#: All labels of the tables, and some that go by their first letters.
+_LABELS = sorted({old: new for new, own in text.ISO3.items() for old in own.split()}.items()) + [(c, c) for c in text.ISO3_KEPT] + [("eng", "en"), ("fra", "fr"), ("deu", "de"), ("zh-min-nan", "zh"), ("pt-br", "pt"), ("sr-cyrl", "sr"), ("XYZ", "xy"), ("q", "q")]
+_ISO = values([(i, a, b) for i, (a, b) in enumerate(_LABELS)], "c(i, label, code)")
 
 
-@query(f"""WITH l AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' ELSE 'XYZ' END AS label FROM documents)
-SELECT doc_id, l.label, coalesce(c.code, lower(substr(l.label, 1, 2))) AS lang FROM l LEFT JOIN {_ISO} ON c.label = l.label""")
+@query(f"SELECT doc_id, label, code AS lang FROM documents JOIN {_ISO} ON i = doc_id % {len(_LABELS)}")
 def nrm09_iso_labels(spark, sf_dir):
-    lang = F.col("lang")
-    labels = table(spark, sf_dir, "documents").select("doc_id", F.when(lang == "en", "eng").when(lang == "fr", "fra").when(lang == "de", "deu").otherwise("XYZ").alias("label"))
+    """Each document gets one of all known labels."""
+    known = F.array(*(F.lit(a) for a, _ in _LABELS))
+    labels = table(spark, sf_dir, "documents").select("doc_id", F.get(known, (F.col("doc_id") % len(_LABELS)).cast("int")).alias("label"))
     return text.label_codes(labels).select("doc_id", "label", "lang")
 
 
