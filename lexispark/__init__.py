@@ -6,7 +6,17 @@ import os
 import tempfile
 import zipfile
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"
+_FRONT = ("detect", "detect_batch", "ensemble", "default_detector", "reset_default")
+
+
+def __getattr__(name: str):
+    """The front doors, imported when they are first used."""
+    if name in _FRONT:
+        from .plans import front
+
+        return getattr(front, name)
+    raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
 
 
 def ship(spark) -> None:

@@ -13,12 +13,22 @@ from .operators import evaluate
 from .operators.backends import RELIABILITY, list_backends
 from .plans.config import Config
 from .plans.detect import Detector
-from .sources.files import jsonl, read_lines, write_jsonl
+from .functions.text import truncated
+from .sources.files import json_array, jsonl, read_lines, write_jsonl
 
 # Sentences to try a setup on.
 GOLDEN = [("This is the house that we have seen and it was very old", "en"), ("Il est dans la maison avec les enfants et nous", "fr"), ("Das ist nicht die Frau von der wir auch noch sprechen", "de"), ("El perro que está en la casa no es de mi hermano pero sí de los otros", "es")]
 
 
+def shown(text: str, result: dict, form: str) -> str:
+    """A result as one line of JSON, as indented JSON, or as a table of its fields with the text cut at 100 characters."""
+    fields = {k: v for k, v in result.items() if v is not None and k != "id"}
+    if form == "table":
+        rows = {"text": text if len(text) <= 100 else text[:100] + "...", **fields}
+        return "\n".join(f"{name:<12} {value}" for name, value in rows.items())
+    return json.dumps(fields, ensure_ascii=False, indent=2 if form == "pretty" else None)
+
+
 def main(args: list[str] | None = None) -> int:
     args = list(sys.argv[1:] if args is None else args)
     if args and args[0] not in ("detect", "batch", "bench", "backends", "-h", "--help"):
@@ -32,6 +42,7 @@ def main(args: list[str] | None = None) -> int:
         sub.add_argument("--langs", nargs="*", default=[])
         sub.add_argument("--top-k", type=int, default=1)
         sub.add_argument("--out")
+        sub.add_argument("--format", default="json", choices=["json", "pretty", "table"] if name == "detect" else ["json", "array", "table"])
     commands.add_parser("bench")
     commands.add_parser("backends")
     asked = parser.parse_args(args)
@@ -46,11 +57,21 @@ def main(args: list[str] | None = None) -> int:
         return 0
     detector = Detector(spark, Config(mode=asked.mode, allowed=tuple(asked.langs)))
     if asked.command == "detect":
-        print(json.dumps(detector.detect(sys.stdin.read() if asked.input == "-" else asked.input, top_k=asked.top_k), ensure_ascii=False))
+        text = sys.stdin.read() if asked.input == "-" else asked.input
+        print(shown(text, detector.detect(text, top_k=asked.top_k), asked.format))
         return 0
     lines = spark.createDataFrame([(x.strip(),) for x in sys.stdin if x.strip()], "text string") if asked.input == "-" else read_lines(spark, asked.input)
     texts = lines.withColumn("id", F.monotonically_increasing_id()).select("id", "text")
-    records = jsonl(texts, detector.detect_table(texts, top_k=asked.top_k))
+    results = detector.detect_table(texts, top_k=asked.top_k)
+    if asked.format == "table":
+        columns = texts.join(results, "id").select("id", truncated(F.col("text"), 37, "...").alias("text"), "lang", F.round("confidence", 4).alias("confidence"))
+        for row in columns.orderBy("id").toLocalIterator():
+            print(f"{row['text']:<40} {row['lang']:<8} {row['confidence']:.4f}")
+        return 0
+    records = jsonl(texts, results, with_reason=asked.format == "json")
+    if asked.format == "array":
+        print(json_array(records).first()["value"])
+        return 0
     if asked.out:
         write_jsonl(records, asked.out)
     else:

@@ -1,8 +1,9 @@
 """Detector backends: each turns (id, text) into rows of backend results.
 
 A result row is (id, backend_name, language, confidence, all_probabilities map, is_reliable). The built-in ones are
-relational: tokens or n-grams are exploded, joined with a broadcast model of fixed size, and aggregated by id. Classes
-of one's own that detect row by row are run in Arrow batches.
+projections: texts are neither taken apart into rows nor shuffled. The lexicon and the script are Column expressions,
+the n-gram models score Arrow batches with a broadcast model whose size was counted. Classes of one's own that detect
+row by row are run in Arrow batches, as are adapters of other libraries where these are installed.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import detect_script, script_languages
 from ..functions.text import WORD
+from . import grams as G
 
 RESULT = "id long, backend_name string, language string, confidence double, all_probabilities map<string,double>, is_reliable boolean"
 RELIABLE = 0.5
@@ -50,15 +52,6 @@ def normalized(results: DataFrame) -> DataFrame:
     return out.withColumn("all_probabilities", F.when(add, F.map_concat("all_probabilities", F.map_from_arrays(F.array("language"), F.array("confidence")))).otherwise(F.col("all_probabilities")))
 
 
-def from_scores(texts: DataFrame, scores: DataFrame, name: str, reliable: Column | None = None) -> DataFrame:
-    """A row of ``name`` for every id of ``texts`` out of long scores (id, language, p); ``unknown`` where there are none."""
-    best = F.max_by("language", F.struct("p", _descending("language")))
-    top = scores.groupBy("id").agg(best.alias("language"), F.max("p").alias("confidence"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "p")))).alias("all_probabilities"))
-    out = texts.select("id").join(top, "id", "left")
-    confidence = F.coalesce("confidence", F.lit(0.0))
-    return out.select("id", F.lit(name).alias("backend_name"), F.coalesce("language", F.lit("unknown")).alias("language"), confidence.alias("confidence"), F.coalesce("all_probabilities", F.create_map().cast("map<string,double>")).alias("all_probabilities"), (reliable if reliable is not None else confidence > RELIABLE).alias("is_reliable"))
-
-
 def _descending(name: str) -> Column:
     """A key on which the greatest is the alphabetically first (language tags are ASCII)."""
     return F.translate(F.col(name), "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")
@@ -68,73 +61,110 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"[{WORD}]+"), F.lit(0))
 
 
+def lexicon_result(text: Column, model: dict[str, str] | None = None) -> Column:
+    """struct<language, confidence, all_probabilities>: the share of each language in the hits of a text's tokens among function words."""
+    listed = {lang: sorted(set(own.split())) for lang, own in sorted((model or LEXICON).items())}
+    every = sorted({w for own in listed.values() for w in own})
+
+    def judged(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0), lambda a, x: a + x["n"])
+        top = F.array_max(F.transform(counts, lambda x: x["n"]))
+        best = F.get(F.filter(counts, lambda x: x["n"] == top), F.lit(0))["language"]  # ties go to the first alphabetically
+        probs = F.map_from_entries(F.transform(F.filter(counts, lambda x: x["n"] > 0), lambda x: F.struct(x["language"], x["n"] / total)))
+        none = F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("confidence"), F.create_map().cast("map<string,double>").alias("all_probabilities"))
+        return F.when(total > 0, F.struct(best.alias("language"), (top / total).alias("confidence"), probs.alias("all_probabilities"))).otherwise(none)
+
+    def counted(hits: Column) -> Column:
+        of = lambda own: F.size(F.filter(hits, lambda w: w.isin(own)))
+        return F.array(*(F.struct(F.lit(lang).alias("language"), of(own).alias("n")) for lang, own in listed.items()))
+
+    return _let(F.filter(words(text), lambda w: w.isin(every)), lambda hits: _let(counted(hits), judged))
+
+
+def script_result(text: Column) -> Column:
+    """The same of the languages of the text's script, the script's share dealt among them."""
+
+    def judged(found: Column) -> Column:
+        langs = F.array_sort(script_languages(found["script"]))
+        share = found["proportion"] / F.size(langs)
+        some = F.struct(F.get(langs, F.lit(0)).alias("language"), share.alias("confidence"), F.map_from_arrays(langs, F.transform(langs, lambda _: share)).alias("all_probabilities"))
+        none = F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("confidence"), F.create_map().cast("map<string,double>").alias("all_probabilities"))
+        return F.when(F.size(langs) > 0, some).otherwise(none)
+
+    return _let(detect_script(text), judged)
+
+
+def _projected(texts: DataFrame, result: Column, name: str) -> DataFrame:
+    rows = texts.select("id", result.alias("r"))
+    return rows.select("id", F.lit(name).alias("backend_name"), "r.language", "r.confidence", "r.all_probabilities", (F.col("r.confidence") > RELIABLE).alias("is_reliable"))
+
+
 def lexicon(texts: DataFrame, model: dict[str, str] | None = None, name: str = "lexicon") -> DataFrame:
-    """Share of each language in the hits of a text's tokens among function words."""
-    rows = [(w, lang) for lang, own in (model or LEXICON).items() for w in own.split()]
-    listed = texts.sparkSession.createDataFrame(rows, "word string, language string").distinct()
-    tokens = texts.select("id", F.explode(words(F.col("text"))).alias("word"))
-    hits = tokens.join(F.broadcast(listed), "word").groupBy("id", "language").agg(F.count("*").alias("n"))
-    scores = hits.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("id")))
-    return from_scores(texts, scores, name)
+    return _projected(texts, lexicon_result(F.col("text"), model), name)
 
 
-#: The prefix, in code points, that the n-gram queries' SQL looks at; the operators take whole texts.
-HEAD = 500
+def script(texts: DataFrame, name: str = "script") -> DataFrame:
+    return _projected(texts, script_result(F.col("text")), name)
 
 
-def ngrams(text: Column, n: int = 3, head: int | None = None) -> Column:
-    """Letter n-grams of a text (or its first ``head`` code points), lower-cased, runs of other characters as one blank."""
-    looked_at = text if head is None else F.substring(text, 1, head)
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(looked_at), r"\P{L}+", " ")), F.lit(" "))
-    # The inner array holds the characters once; an expression in the lambda would be evaluated for each n-gram, and
-    # substring would count characters from the text's start each time.
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def ngrams(text: Column, n: int = G.N) -> Column:
+    """Letter n-grams of a text, lower-cased, runs of other characters as one blank; the Column form of what the models count."""
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"\P{L}+", " ")), F.lit(" "))
+    # The inner array holds the characters once; substring would count them from the text's start for each n-gram.
     cut = lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(p, i, n), ""))
-    return F.get(F.transform(F.array(F.split(plain, "")), cut), F.lit(0))
+    return _let(F.split(plain, ""), cut)
+
+
+#: Rows of an n-gram model that are broadcast at most (some 100 bytes each); a larger one is refused.
+MODEL_ROWS = 2_000_000
 
 
-def train_ngrams(texts: DataFrame, n: int = 3, head: int | None = None, top: int = 2000) -> DataFrame:
-    """A model (language, gram, n, rank, total, kinds): the ``top`` n-grams of each language of ``texts`` (text, lang)."""
-    grams = texts.select(F.col("lang").alias("language"), F.explode(ngrams(F.col("text"), n, head)).alias("gram"))
-    counts = grams.groupBy("language", "gram").agg(F.count("*").alias("n"))
+def train_ngrams(texts: DataFrame, top: int = 2000) -> DataFrame:
+    """A model (language, gram, n, rank): the ``top`` n-grams of each language of ``texts`` (text, lang), over whole texts."""
+    counted = texts.filter(F.col("lang").isNotNull()).select(F.col("lang").alias("language"), "text").mapInArrow(G.count, "language string, gram string, n long")
+    counts = counted.groupBy("language", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("language").orderBy(F.desc("n"), "gram")
-    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    whole = Window.partitionBy("language")
-    return ranked.select("language", "gram", "n", "rank", F.sum("n").over(whole).alias("total"), F.count("*").over(whole).alias("kinds"))
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+
+def word_model() -> G.Model:
+    """The built-in n-gram model: the n-grams of the lexicon's words."""
+    rows = []
+    for lang, own in LEXICON.items():
+        counts: dict[str, int] = {}
+        for w in own.split():
+            for i in range(len(w)):
+                gram = f" {w} "[i : i + G.N]
+                counts[gram] = counts.get(gram, 0) + 1
+        rows += [(lang, g, n, rank) for rank, (g, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])), 1)]
+    return G.Model(rows)
+
 
+def _held(texts: DataFrame, model: DataFrame | G.Model | None):
+    if isinstance(model, DataFrame):
+        rows = model.select("language", "gram", "n", "rank").limit(MODEL_ROWS + 1).collect()
+        if len(rows) > MODEL_ROWS:
+            raise ValueError(f"an n-gram model of more than {MODEL_ROWS} rows is not broadcast; train it with a smaller top")
+        model = G.Model([tuple(r) for r in rows])
+    model = model or word_model()
+    return texts.sparkSession.sparkContext.broadcast(model), model.languages
 
-def ngram_nb(texts: DataFrame, model: DataFrame, n: int = 3, head: int | None = None, name: str = "ngram_nb") -> DataFrame:
+
+def ngram_nb(texts: DataFrame, model: DataFrame | G.Model | None = None, name: str = "ngram_nb") -> DataFrame:
     """Multinomial naive Bayes over n-grams that the model knows, smoothed by one; posterior of each language."""
-    vocabulary = model.select("gram").distinct()
-    langs = model.groupBy("language").agg(F.first("total").alias("total"))
-    size = model.agg(F.countDistinct("gram").alias("v"))
-    table = vocabulary.crossJoin(langs).join(model.select("language", "gram", "n"), ["language", "gram"], "left").crossJoin(size)
-    table = table.select("gram", "language", F.log((F.coalesce("n", F.lit(0)) + 1) / (F.col("total") + F.col("v"))).alias("lp"))
-    per_gram = table.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("language", "lp"))).alias("lps"))
-    grams = texts.select("id", F.explode(ngrams(F.col("text"), n, head)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("c"))
-    sums = grams.join(F.broadcast(per_gram), "gram").select("id", "c", F.explode("lps").alias("x"))
-    scores = sums.groupBy("id", F.col("x.language").alias("language")).agg(F.sum(F.col("c") * F.col("x.lp")).alias("s"))
-    own = Window.partitionBy("id")
-    scores = scores.withColumn("e", F.exp(F.col("s") - F.max("s").over(own))).withColumn("p", F.col("e") / F.sum("e").over(own))
-    return from_scores(texts, scores.select("id", "language", "p"), name)
-
-
-def ngram_rank(texts: DataFrame, model: DataFrame, n: int = 3, head: int | None = None, profile: int = 300, name: str = "ngram_rank") -> DataFrame:
-    """Out-of-place distance between a text's n-gram ranks and each language's profile; confidence 1 - distance."""
-    counts = texts.select("id", F.explode(ngrams(F.col("text"), n, head)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("c"))
-    ranks = counts.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "gram"))).filter(F.col("place") <= profile)
-    held = model.filter(F.col("rank") <= profile).groupBy("gram").agg(F.collect_list(F.struct("language", "rank")).alias("ranks"))
-    sizes = ranks.groupBy("id").agg(F.count("*").alias("kinds"))
-    met = ranks.join(F.broadcast(held), "gram").select("id", "place", F.explode("ranks").alias("x"))
-    near = met.groupBy("id", F.col("x.language").alias("language")).agg(F.sum(F.lit(profile) - F.least(F.abs(F.col("place") - F.col("x.rank")), F.lit(profile))).alias("near"))
-    scores = near.join(sizes, "id").select("id", "language", (F.col("near") / (F.col("kinds") * profile)).alias("p"))
-    return from_scores(texts, scores, name)
+    held, languages = _held(texts, model)
+    return texts.select("id", "text").mapInArrow(G.results(name, lambda own: held.value.bayes(own), languages, RELIABLE), RESULT)
 
 
-def script(texts: DataFrame, name: str = "script") -> DataFrame:
-    """The languages of a text's script, the script's share dealt among them."""
-    found = texts.select("id", detect_script(F.col("text")).alias("s")).withColumn("langs", script_languages(F.col("s.script"))).filter(F.size("langs") > 0)
-    scores = found.select("id", F.explode("langs").alias("language"), (F.col("s.proportion") / F.size("langs")).alias("p"))
-    return from_scores(texts, scores, name)
+def ngram_rank(texts: DataFrame, model: DataFrame | G.Model | None = None, profile: int = 300, name: str = "ngram_rank") -> DataFrame:
+    """Out-of-place distance between a text's n-gram ranks and each language's profile; confidence 1 - distance."""
+    held, languages = _held(texts, model)
+    return texts.select("id", "text").mapInArrow(G.results(name, lambda own: held.value.ranked(own, profile), languages, RELIABLE), RESULT)
 
 
 # --- backends of one's own ---------------------------------------------------------------------------------------
@@ -160,7 +190,9 @@ class Backend(ABC):
 
 Scorer = Callable[[DataFrame], DataFrame]
 _registry: dict[str, tuple[Scorer | type[Backend], int]] = {}
-BUILT_IN: dict[str, Scorer] = {"lexicon": lexicon, "script": script}
+BUILT_IN: dict[str, Scorer] = {"lexicon": lexicon, "ngram_nb": ngram_nb, "ngram_rank": ngram_rank, "script": script}
+#: Backends that are a Column of the text alone.
+COLUMNS: dict[str, Callable[[Column], Column]] = {"lexicon": lexicon_result, "script": script_result}
 
 
 class BackendUnavailable(RuntimeError):
@@ -193,8 +225,11 @@ def unregister_backend(name: str) -> bool:
 
 
 def list_backends() -> list[str]:
-    """All names that can be created, by falling reliability, then by name."""
-    known = {n: RELIABILITY[n] for n in BUILT_IN} | {n: r for n, (_, r) in _registry.items()}
+    """All names that can be created here, by falling reliability, then by name; other libraries' only where they are installed."""
+    from .adapters import LIBRARIES
+
+    there = [n for n, c in LIBRARIES.items() if c().is_available()]
+    known = {n: RELIABILITY[n] for n in [*BUILT_IN, *there]} | {n: r for n, (_, r) in _registry.items()}
     return sorted(known, key=lambda n: (-known[n], n))
 
 
@@ -225,8 +260,10 @@ def row_wise(make: Callable[[], Backend], name: str) -> Scorer:
 def create_backend(name: str) -> Scorer:
     if name in BUILT_IN:
         return BUILT_IN[name]
-    if name in _registry:
-        scorer = _registry[name][0]
+    from .adapters import LIBRARIES
+
+    if name in _registry or name in LIBRARIES:
+        scorer = _registry[name][0] if name in _registry else LIBRARIES[name]
         if isinstance(scorer, type):
             if not scorer().is_available():
                 raise BackendUnavailable(name)

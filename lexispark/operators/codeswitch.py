@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD
-from .backends import Scorer
+from .backends import BUILT_IN, COLUMNS, Scorer, create_backend
 
-MIN_LENGTH, MIN_CONFIDENCE, MIXED = 3, 0.6, 0.15
+MIN_LENGTH, MIN_CONFIDENCE, MIXED, SALTS = 3, 0.6, 0.15, 16
 SEGMENTS = r"[.!?;,][\s\p{Z}]*|[\s\p{Z}]+(?:and|but|or|y|et|und|e)[\s\p{Z}]+"
 
 # Patterns of mixed speech by pair of languages, in order; matched without regard to case. The borders
@@ -56,12 +56,38 @@ def segments(texts: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     return rows.withColumn("end", (F.col("start") + F.char_length("text")).cast("int"))
 
 
-def detect_spans(spans: DataFrame, scorer: Scorer, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Spans with language and confidence. Each distinct text is detected once."""
+def detect_spans(spans: DataFrame, scorer: Scorer | str, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Spans with language and confidence. A backend that is a Column reads each span where it is; others detect each
+    distinct text once, and the spans of frequent texts are dealt over SALTS tasks when they meet their result."""
+    name = scorer if isinstance(scorer, str) else next((n for n, f in BUILT_IN.items() if f is scorer), None)
+    if name in COLUMNS:
+        found = spans.withColumn("r", COLUMNS[name](F.col("text")))
+        found = found.select("id", "i", "text", "r.language", "r.confidence", "start", "end")
+        return found.filter((F.col("confidence") >= min_confidence) & (F.col("language") != "unknown"))
+    run = create_backend(scorer) if isinstance(scorer, str) else scorer
     distinct = spans.select("text").distinct().withColumn("id", F.xxhash64("text"))
-    found = scorer(distinct).filter((F.col("confidence") >= min_confidence) & (F.col("language") != "unknown"))
+    found = run(distinct).filter((F.col("confidence") >= min_confidence) & (F.col("language") != "unknown"))
     named = distinct.join(found.select("id", "language", "confidence"), "id").drop("id")
-    return spans.join(named, "text").select("id", "i", "text", "language", "confidence", "start", "end")
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = spans.withColumn("salt", F.pmod(F.xxhash64("id", "i"), F.lit(SALTS)).cast("int"))
+    return salted.join(named, ["text", "salt"]).select("id", "i", "text", "language", "confidence", "start", "end")
+
+
+def language_spans(texts: DataFrame, scorer: Scorer | str, level: str = "word", min_length: int = MIN_LENGTH, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(id, start, end, text, language, confidence) in order of place."""
+    spans = word_spans(texts, min_length) if level == "word" else segments(texts, min_length)
+    return detect_spans(spans, scorer, min_confidence).select("id", "start", "end", "text", "language", "confidence")
+
+
+def languages(summary: DataFrame) -> DataFrame:
+    """``summary`` with languages: the primary one and then the others; none of an undetermined text."""
+    primary = F.when(F.col("primary_language") != "und", F.array("primary_language")).otherwise(F.array().cast("array<string>"))
+    return summary.withColumn("languages", F.concat(primary, "secondary_languages"))
+
+
+def is_code_switched(texts: DataFrame, scorer: Scorer | str, **options) -> DataFrame:
+    """(id, is_mixed)."""
+    return detect(texts, scorer, **options).select("id", "is_mixed")
 
 
 def summarize(texts: DataFrame, spans: DataFrame, by_length: bool = False) -> DataFrame:
@@ -84,6 +110,6 @@ def summarize(texts: DataFrame, spans: DataFrame, by_length: bool = False) -> Da
     )
 
 
-def detect(texts: DataFrame, scorer: Scorer, level: str = "word", min_length: int = MIN_LENGTH, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def detect(texts: DataFrame, scorer: Scorer | str, level: str = "word", min_length: int = MIN_LENGTH, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     spans = word_spans(texts, min_length) if level == "word" else segments(texts, min_length)
     return summarize(texts, detect_spans(spans, scorer, min_confidence), by_length=level != "word")

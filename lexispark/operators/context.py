@@ -32,7 +32,10 @@ def weights(window: Column, decay: float = DECAY) -> Column:
 
 def distribution(window: Column, decay: float = DECAY) -> Column:
     """array<struct<lang, share>> in alphabetical order; shares add up to 1; empty where nothing has weight."""
-    own = weights(window, decay)
+    return _let(weights(window, decay), _shares)
+
+
+def _shares(own: Column) -> Column:
     total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x["w"])
     langs = F.array_sort(F.array_distinct(F.transform(own, lambda x: x["lang"])))
     share = lambda lang: F.aggregate(F.filter(own, lambda x: x["lang"] == lang), F.lit(0.0), lambda a, x: a + x["w"]) / total
@@ -55,12 +58,20 @@ def streak(window: Column) -> Column:
 
 def boost(window: Column, lang: Column, decay: float = DECAY) -> Column:
     """What the context adds to a language: its share, and a bonus while it is on a streak; 0 to 0.3."""
-    share = F.get(F.filter(distribution(window, decay), lambda x: x["lang"] == lang), F.lit(0))["share"]
-    run = streak(window)
+    return _boost(distribution(window, decay), streak(window), lang)
+
+
+def _boost(dist: Column, run: Column, lang: Column) -> Column:
+    share = F.get(F.filter(dist, lambda x: x["lang"] == lang), F.lit(0))["share"]
     bonus = F.when((run["lang"] == lang) & (run["n"] >= 2), F.least(run["n"] * STREAK_BOOST, F.lit(STREAK_CAP))).otherwise(0.0)
     return F.when(share.isNull(), 0.0).otherwise(F.least(share * SHARE_BOOST + F.coalesce(bonus, F.lit(0.0)), F.lit(BOOST_CAP)))
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def context_table(turns: DataFrame, max_turns: int = MAX_TURNS, decay: float = DECAY, before: bool = False) -> DataFrame:
     """(conv_id, turn, lang, share, streak, boost) for each language of the context at each turn."""
     rows = with_window(turns, max_turns, before)
@@ -107,14 +118,23 @@ def fold(scored: DataFrame, max_turns: int = MAX_TURNS, decay: float = DECAY, we
     start = F.struct(F.array().cast(f"array<{turn_type}>").alias("window"), F.array().cast("array<struct<turn:bigint,lang:string,confidence:double>>").alias("out"))
 
     def step(state: Column, turn: Column) -> Column:
-        boosted = F.transform(turn["scores"], lambda s: F.struct((s["score"] + boost(state["window"], s["lang"], decay) * weight).alias("score"), s["lang"].alias("lang")))
-        top = F.array_max(F.transform(boosted, lambda s: s["score"]))
-        lang = F.array_min(F.transform(F.filter(boosted, lambda s: s["score"] == top), lambda s: s["lang"]))
-        good = F.coalesce(top > F.lit(float(threshold)), F.lit(False))
-        result = F.struct(F.when(good, lang).otherwise("und").alias("lang"), F.coalesce(top, F.lit(0.0)).alias("confidence"))
-        longer = F.concat(state["window"], F.array(result))
-        kept = F.slice(longer, F.greatest(F.size(longer) - (max_turns - 1), F.lit(1)), max_turns)
-        return F.struct(kept.alias("window"), F.concat(state["out"], F.array(F.struct(turn["turn"].cast("long").alias("turn"), result["lang"].alias("lang"), result["confidence"].alias("confidence")))).alias("out"))
+        def scored_by(context: Column) -> Column:
+            return F.transform(turn["scores"], lambda s: F.struct((s["score"] + _boost(context["dist"], context["run"], s["lang"]) * weight).alias("score"), s["lang"].alias("lang")))
+
+        def chosen(boosted: Column) -> Column:
+            top = F.array_max(F.transform(boosted, lambda s: s["score"]))
+            lang = F.array_min(F.transform(F.filter(boosted, lambda s: s["score"] == top), lambda s: s["lang"]))
+            good = F.coalesce(top > F.lit(float(threshold)), F.lit(False))
+            return F.struct(F.when(good, lang).otherwise("und").alias("lang"), F.coalesce(top, F.lit(0.0)).alias("confidence"))
+
+        def appended(result: Column) -> Column:
+            longer = F.concat(state["window"], F.array(result))
+            kept = F.slice(longer, F.greatest(F.size(longer) - (max_turns - 1), F.lit(1)), max_turns)
+            return F.struct(kept.alias("window"), F.concat(state["out"], F.array(F.struct(turn["turn"].cast("long").alias("turn"), result["lang"].alias("lang"), result["confidence"].alias("confidence")))).alias("out"))
+
+        # The context is looked at once for each turn, and not for each language of it.
+        context = F.struct(distribution(state["window"], decay).alias("dist"), streak(state["window"]).alias("run"))
+        return _let(context, lambda c: _let(scored_by(c), lambda boosted: _let(chosen(boosted), appended)))
 
     folded = scored.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.explode(F.aggregate("turns", start, step)["out"]).alias("x"))
     return folded.select("conv_id", "x.turn", "x.lang", "x.confidence")

@@ -9,6 +9,8 @@ from ..functions.stats import DISAGREEMENT, LOW_CONFIDENCE
 from ..functions.text import normalize_tag
 
 HINT_WEIGHT, CONTEXT_WEIGHT, SHORT_TEXT = 0.3, 0.2, 5
+#: Rows of one text that go to one task, and the texts with most rows that are dealt over several.
+COPIES, MOST_COPIED = 10_000, 10_000
 
 
 def hint_factor(text: Column, mode: str | None, weight: float = HINT_WEIGHT) -> Column:
@@ -81,8 +83,16 @@ def with_missing(texts: DataFrame, decided: DataFrame, label: str = "und") -> Da
 
 
 def once_per_text(texts: DataFrame, detect, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Detects each distinct text once and joins the results back to all rows with it (what a result cache saves)."""
-    distinct = texts.groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("id"))
-    found = detect(distinct.select("id", "text")).join(distinct.withColumnRenamed("text", "_text"), "id").drop("id")
+    """Detects each distinct text once, by the row with the smallest id, and gives its result to all rows with that text (what a result
+    cache saves). Texts are told apart by 128 bits of hash; they travel once, to be dropped where another row stands for them."""
     rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.join(found, F.col("text").eqNullSafe(F.col("_text"))).drop("text", "_text")
+    named = rows.select("id", F.coalesce(F.md5("text"), F.lit("null")).alias("hash"))
+    first = named.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    distinct = rows.join(first.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    found = detect(distinct).withColumnRenamed("id", "first")
+    # Most hashes are of one row; the rows of others are dealt by hash and a salt, so that no text's copies meet in one task.
+    salts = F.ceil(F.col("n") / COPIES).cast("int")
+    held = first.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    salted = named.join(F.broadcast(first.filter(F.col("n") > COPIES).orderBy(F.desc("n")).limit(MOST_COPIED).select("hash", salts.alias("k"))), "hash", "left")
+    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("k")), F.lit(0)).cast("int"))
+    return salted.select("id", "hash", "salt").join(held, ["hash", "salt"]).select("id", "first").join(found, "first").drop("first")

@@ -39,7 +39,7 @@ class Config:
     """Immutable; ``with_*`` methods of Builder return changed copies."""
 
     mode: str = "default"
-    backends: tuple = ("lexicon", "script")
+    backends: tuple = ("lexicon", "ngram_nb", "ngram_rank", "script")
     backend_weights: dict[str, float] = field(default_factory=dict)
     voting: str | Callable = "weighted"
     allowed: tuple[str, ...] = ()
@@ -56,7 +56,7 @@ class Config:
     normalize: str = "max"
     resolve_confusion: bool = False
     compose: bool = True
-    once_per_text: bool = True
+    once_per_text: bool = False
 
     def __post_init__(self):
         if self.mode not in ("short", "default", "long"):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import ship
+from ..plans.keep import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -25,8 +26,10 @@ def query(sql: str | None = None):
     return put
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table; with ``columns`` only these, dealt over all cores if the table is small."""
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(frame.select(*columns)) if columns else frame
 
 
 def all_queries() -> dict[str, Query]:

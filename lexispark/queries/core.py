@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ PLAIN = Config(backends=("lexicon",), filter_proper_nouns=False)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
 
 
 #: Detection with the lexicon alone: normalise, gate, share of function words, threshold after normalising by the greatest.
@@ -41,10 +43,16 @@ def src01_detect(spark, sf_dir):
     return detect(_docs(spark, sf_dir), PLAIN).select("id", "lang", "confidence", "reliable", "reason")
 
 
+@query(_DETECT + " SELECT id, lang, confidence, reliable, reason FROM det")
+def fus13_once_per_text(spark, sf_dir):
+    """The same with each distinct text detected once."""
+    return detect(_docs(spark, sf_dir), replace(PLAIN, once_per_text=True)).select("id", "lang", "confidence", "reliable", "reason")
+
+
 @query()
 def src05_ensemble(spark, sf_dir):
-    """The whole plan with defaults: nouns filtered, several backends, weighted vote, three candidates."""
-    out = detect(_docs(spark, sf_dir), Config(backends=("lexicon", "script")), hints=spark.createDataFrame(HINTS, "word string, lang string"), top_k=3)
+    """The whole plan with defaults: nouns filtered, all built-in backends, weighted vote, three candidates."""
+    out = detect(_docs(spark, sf_dir), Config(), hints=spark.createDataFrame(HINTS, "word string, lang string"), top_k=3)
     return out.select("id", "lang", "confidence", "reliable", "script", "backend", "reason", F.size("candidates").alias("n_candidates"))
 
 
@@ -165,8 +173,22 @@ def cnf05_07_similarity(spark, sf_dir):
     return pairs.select("a", "b", C.are_related(F.col("a"), F.col("b")).alias("related"), C.similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
-@query(f"SELECT group_id, lang, count(*) AS features, sum(w)::BIGINT AS listed FROM (SELECT group_id, lang, feature, count(*) AS w FROM {values([(i, lang, f) for i, g in enumerate(C.GROUPS) for lang, own in g.items() for f in own.split(',')], 'x(group_id, lang, feature)')} GROUP BY ALL) GROUP BY group_id, lang")
+_ALL = values([(i, lang, f) for i, g in enumerate(C.GROUPS) for lang, own in g.items() for f in own.split(',')], 'x(group_id, lang, feature)')
+
+
+@query(f"""WITH p AS (SELECT a.lang AS a, b.lang AS b FROM {_LANGS.replace('l(', 'a(')}, {_LANGS.replace('l(', 'b(')}), g AS (SELECT * FROM {_GROUP}), two AS (SELECT group_id FROM g GROUP BY group_id HAVING count(*) = 2),
+n AS (SELECT group_id, lang, count(*) AS n FROM {_ALL} GROUP BY group_id, lang), k AS (SELECT p.a, p.b, min(x.group_id) AS group_id FROM p JOIN g x ON x.lang = p.a JOIN g y ON y.lang = p.b AND y.group_id = x.group_id GROUP BY p.a, p.b)
+SELECT p.a, p.b, k.group_id, CASE WHEN p.a <> p.b AND two.group_id IS NOT NULL THEN na.n END AS features_a, CASE WHEN p.a <> p.b AND two.group_id IS NOT NULL THEN nb.n END AS features_b
+FROM p LEFT JOIN k ON k.a = p.a AND k.b = p.b LEFT JOIN two ON two.group_id = k.group_id LEFT JOIN n na ON na.group_id = k.group_id AND na.lang = p.a LEFT JOIN n nb ON nb.group_id = k.group_id AND nb.lang = p.b""")
 def cnf01_03_features(spark, sf_dir):
+    """The confused group of each pair of languages, and how many features tell the two apart where they are a group by themselves."""
+    rows = [(a, b, *(map(len, C.discriminating_features(a, b) or ((), ())))) for a in _PAIRS for b in _PAIRS]
+    pairs = spark.createDataFrame([(a, b, n or None, m or None) for a, b, n, m in rows], "a string, b string, features_a long, features_b long")
+    return pairs.select("a", "b", C.confused_group(F.array("a", "b")).alias("group_id"), "features_a", "features_b")
+
+
+@query(f"SELECT group_id, lang, count(*) AS features, sum(w)::BIGINT AS listed FROM (SELECT group_id, lang, feature, count(*) AS w FROM {_ALL} GROUP BY ALL) GROUP BY group_id, lang")
+def cnf_feature_table(spark, sf_dir):
     return C.features(spark).groupBy("group_id", "lang").agg(F.count("*").alias("features"), F.sum("weight").alias("listed"))
 
 

@@ -14,7 +14,7 @@ SAMPLES = [(-1, "Привет, как дела?"), (-2, "こんにちは世界")
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
     return docs.unionByName(spark.createDataFrame(SAMPLES, "id long, text string"))
 
 
@@ -39,7 +39,7 @@ def nrm01_nfc(spark, sf_dir):
 @query(f"SELECT page_id, md5({normal_sql('html')}) AS clean_md5, md5({normal_sql('html', False)}) AS spaced_md5, length({normal_sql('html')}) AS n FROM pages")
 def nrm02_07_normalize(spark, sf_dir):
     html = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.normalize_text(html)).alias("clean_md5"), F.md5(text.normalize_text(html, strip_noise=False)).alias("spaced_md5"), F.char_length(text.normalize_text(html)).alias("n"))
+    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.md5(text.normalize_text(html)).alias("clean_md5"), F.md5(text.normalize_text(html, strip_noise=False)).alias("spaced_md5"), F.char_length(text.normalize_text(html)).alias("n"))
 
 
 _TAGS = [("zh-CN",), ("zh-tw",), ("zh-Hans-SG",), ("zh-hk-traditional",), ("zho",), ("cmn",), ("yue",), (" EN ",), ("por",), ("spa",), ("deu",), ("en-US",), ("ceb",), ("x",), ("",), ("unknown",), (None,), ("und",), ("zh",)]
@@ -121,12 +121,19 @@ def _counts_sql() -> str:
 
 
 _LANGS = "CASE s " + " ".join(f"WHEN '{s}' THEN [{', '.join(map(quoted, v.split()))}]" for s, v in stats.SCRIPT_LANGUAGES.items() if v) + " END"
-_SCRIPTED = rf"""WITH t AS (SELECT id, text, {LETTERS} AS l FROM {TEXTS}), c AS (SELECT id, text, {_counts_sql()} AS c FROM t),
-d AS (SELECT id, text, c, list_sum(list_transform(c, lambda x: x.n)) AS total, list_max(list_transform(c, lambda x: x.n)) AS top, len(list_filter(c, lambda x: x.n > 0)) AS kinds FROM c),
-e AS (SELECT *, CASE WHEN total = 0 THEN 'Unknown' WHEN top / total < 0.7 AND kinds > 1 THEN 'Mixed' ELSE list_filter(c, lambda x: x.n = top)[1].s END AS s, CASE WHEN total = 0 THEN 0 ELSE top / total END AS p FROM d)
+
+
+def scripted_sql(texts: str = TEXTS, p: str = "") -> str:
+    """Common tables up to e (id, script s, its proportion p); their names begin with ``p``."""
+    return rf"""{p}t AS (SELECT id, text, {LETTERS} AS l FROM {texts}), {p}c AS (SELECT id, text, {_counts_sql()} AS c FROM {p}t),
+{p}d AS (SELECT id, text, c, list_sum(list_transform(c, lambda x: x.n)) AS total, list_max(list_transform(c, lambda x: x.n)) AS top, len(list_filter(c, lambda x: x.n > 0)) AS kinds FROM {p}c),
+{p}e AS (SELECT *, CASE WHEN total = 0 THEN 'Unknown' WHEN top / total < 0.7 AND kinds > 1 THEN 'Mixed' ELSE list_filter(c, lambda x: x.n = top)[1].s END AS s, CASE WHEN total = 0 THEN 0 ELSE top / total END AS p FROM {p}d)
 """
 
 
+_SCRIPTED = "WITH " + scripted_sql()
+
+
 @query(_SCRIPTED + "SELECT id, s AS script, round(p, 6) AS proportion FROM e")
 def scr02_detect_script(spark, sf_dir):
     found = _texts(spark, sf_dir).select("id", stats.detect_script(F.col("text")).alias("s"))
@@ -187,7 +194,7 @@ def _nouns_sql(mask: str) -> str:
 @query(f"SELECT doc_id, {_nouns_sql('NULL')} AS removed_md5, {_nouns_sql(quoted(nouns.MASK))} AS masked_md5, md5(text) AS none_md5 FROM documents")
 def pnf02_04_filter_nouns(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", *(F.md5(nouns.filter_nouns(t, s)).alias(n) for s, n in (("remove", "removed_md5"), ("mask", "masked_md5"), ("none", "none_md5"))))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", *(F.md5(nouns.filter_nouns(t, s)).alias(n) for s, n in (("remove", "removed_md5"), ("mask", "masked_md5"), ("none", "none_md5"))))
 
 
 @query(rf"""WITH t AS (SELECT turn, conv_id, text, list_filter(regexp_split_to_array(text, '{_BLANK}'), lambda w: w <> '') AS w FROM conversations)

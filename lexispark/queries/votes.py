@@ -1,44 +1,61 @@
-"""Queries on backends, voting, tie-breaking and fusion.
-
-The votes are cast by three backends of one kind: function words among every third token, each from another start.
-"""
+"""Queries on backends, voting, tie-breaking and fusion. The votes are cast by the built-in backends on whole texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import backends as B
 from ..operators import fusion
 from ..operators import voting as V
 from . import query, table, values
-from .scalars import W
+from .scalars import _LANGS, W, scripted_sql
 
-NAMES = ["fasttext", "lingua", "langdetect"]
+NAMES = ["lexicon", "ngram_nb", "ngram_rank", "script"]
 _LEX = sorted({(w, lang) for lang, own in B.LEXICON.items() for w in own.split()})
 LEX = values(_LEX, "lex(word, language)")
 REL = values(sorted(B.RELIABILITY.items()), "rel(backend_name, r)")
 
+
+def _cut(text: str) -> str:
+    """The trigrams of a text that has a blank at either end."""
+    return f"unnest(list_transform(range(1, greatest(length({text}) - 2, 1) + 1), lambda i: substr({text}, i, 3)))"
+
+
+#: Words of the lexicon give the n-gram backends' model (mo); gr are the documents' trigrams.
+_MODEL = f"""mw AS (SELECT language, ' ' || word || ' ' AS p FROM (SELECT DISTINCT language, word, rep FROM {values(sorted((w, lang, i) for lang, own in B.LEXICON.items() for i, w in enumerate(own.split())), "lw(word, language, rep)")})),
+mo AS (SELECT language, gram, count(*) AS n, row_number() OVER (PARTITION BY language ORDER BY count(*) DESC, gram) AS rank FROM (SELECT language, {_cut('p')} AS gram FROM mw) GROUP BY language, gram)"""
+_GRAMS = rf"gp AS (SELECT doc_id AS id, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '\P{{L}}+', ' ', 'g')) || ' ' AS p FROM documents), gr AS (SELECT id, {_cut('p')} AS gram FROM gp)"
+
+
+def _bayes_sql(p: str) -> str:
+    """{p}pr (id, lang, p, rn) by naive Bayes over gr with the model mo."""
+    return f"""{p}t AS (SELECT v.gram, t.language, ln((coalesce(mo.n, 0) + 1) / (t.total + (SELECT count(DISTINCT gram) FROM mo))) AS lp FROM (SELECT DISTINCT gram FROM mo) v CROSS JOIN (SELECT language, sum(n) AS total FROM mo GROUP BY language) t LEFT JOIN mo ON mo.gram = v.gram AND mo.language = t.language),
+{p}s AS (SELECT id, language, sum(lp) AS s FROM gr JOIN {p}t ON {p}t.gram = gr.gram GROUP BY ALL), {p}e AS (SELECT id, language, exp(s - max(s) OVER (PARTITION BY id)) AS e, s FROM {p}s),
+{p}pr AS (SELECT id, language AS lang, e / sum(e) OVER (PARTITION BY id) AS p, row_number() OVER (PARTITION BY id ORDER BY s DESC, language) AS rn FROM {p}e)"""
+
+
+def _rank_sql(p: str) -> str:
+    """{p}pr (id, lang, p, rn) by out-of-place distance of the 300 most frequent."""
+    return f"""{p}o AS (SELECT id, gram, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, gram) AS place FROM gr GROUP BY id, gram QUALIFY place <= 300), {p}z AS (SELECT id, count(*) AS kinds FROM {p}o GROUP BY id),
+{p}n AS (SELECT {p}o.id, mo.language, sum(300 - least(abs({p}o.place - mo.rank), 300)) AS near FROM {p}o JOIN mo ON mo.gram = {p}o.gram AND mo.rank <= 300 GROUP BY ALL),
+{p}pr AS (SELECT {p}n.id, language AS lang, near / (kinds * 300) AS p, row_number() OVER (PARTITION BY {p}n.id ORDER BY near DESC, language) AS rn FROM {p}n JOIN {p}z ON {p}z.id = {p}n.id)"""
+
+
 #: Common tables of the SQL forms: br has a row per document and backend, pr a row per language with a probability.
-VOTES = rf"""WITH tk AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[{W}]+') AS ws FROM documents),
-tok AS (SELECT id, unnest(ws) AS word, unnest(range(0, len(ws))) % 3 AS k FROM tk),
-hit AS (SELECT id, k, language, count(*) AS n FROM tok JOIN {LEX} ON lex.word = tok.word GROUP BY ALL),
-pr AS (SELECT id, k, language AS lang, n / sum(n) OVER (PARTITION BY id, k) AS p, row_number() OVER (PARTITION BY id, k ORDER BY n DESC, language) AS rn FROM hit),
+VOTES = rf"""WITH tk AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[{W}]+')) AS word FROM documents),
+hit AS (SELECT id, language, count(*) AS n FROM tk JOIN {LEX} ON lex.word = tk.word GROUP BY ALL),
+{_MODEL}, {_GRAMS}, {_bayes_sql('nb')}, {_rank_sql('rk0')}, {scripted_sql('(SELECT doc_id AS id, text FROM documents)', 'sc0')},
+sl AS (SELECT id, p, list_sort({_LANGS}) AS langs FROM sc0e),
+pr AS (SELECT id, 0 AS k, language AS lang, n / sum(n) OVER (PARTITION BY id) AS p, row_number() OVER (PARTITION BY id ORDER BY n DESC, language) AS rn FROM hit
+  UNION ALL SELECT id, 1, lang, p, rn FROM nbpr UNION ALL SELECT id, 2, lang, p, rn FROM rk0pr
+  UNION ALL SELECT id, 3, unnest(langs), p / len(langs), unnest(range(1, len(langs) + 1)) FROM sl WHERE len(langs) > 0),
 br AS (SELECT d.doc_id AS id, b.k, b.backend_name, coalesce(pr.lang, 'unknown') AS language, coalesce(pr.p, 0) AS confidence, coalesce(pr.p, 0) > 0.5 AS is_reliable
-  FROM documents d CROSS JOIN (VALUES (0, 'fasttext'), (1, 'lingua'), (2, 'langdetect')) AS b(k, backend_name) LEFT JOIN pr ON pr.id = d.doc_id AND pr.k = b.k AND pr.rn = 1)"""
+  FROM documents d CROSS JOIN {values(list(enumerate(NAMES)), 'b(k, backend_name)')} LEFT JOIN pr ON pr.id = d.doc_id AND pr.k = b.k AND pr.rn = 1)"""
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    lexicon = spark.createDataFrame(_LEX, "word string, language string")
-    tokens = docs.select("id", F.posexplode(B.words(F.col("text"))).alias("pos", "word"))
-    hits = tokens.join(F.broadcast(lexicon), "word").groupBy("id", (F.col("pos") % 3).alias("k"), "language").agg(F.count("*").alias("n"))
-    probs = hits.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("id", "k")))
-    best = probs.groupBy("id", "k").agg(F.max_by("language", F.struct("p", B._descending("language"))).alias("language"), F.max("p").alias("confidence"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "p")))).alias("probs"))
-    each = docs.select("id", F.posexplode(F.array(*map(F.lit, NAMES))).alias("k", "backend_name"))
-    out = each.join(best, ["id", "k"], "left")
-    confidence = F.coalesce("confidence", F.lit(0.0))
-    return out.select("id", "backend_name", F.coalesce("language", F.lit("unknown")).alias("language"), confidence.alias("confidence"), F.coalesce("probs", F.create_map().cast("map<string,double>")).alias("all_probabilities"), (confidence > 0.5).alias("is_reliable"))
+    return B.run_backends(table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text"), NAMES)
 
 
 def _rounded(scores: DataFrame) -> DataFrame:
@@ -50,47 +67,46 @@ def bkd13_run_all(spark, sf_dir):
     return votes(spark, sf_dir).select("id", "backend_name", "language", F.round("confidence", 6).alias("confidence"), "is_reliable")
 
 
-@query(VOTES.replace("% 3 AS k", "* 0 AS k") + " SELECT d.doc_id AS id, 'lexicon' AS backend_name, coalesce(pr.lang, 'unknown') AS language, round(coalesce(pr.p, 0), 6) AS confidence, coalesce(pr.p, 0) > 0.5 AS is_reliable FROM documents d LEFT JOIN pr ON pr.id = d.doc_id AND pr.rn = 1")
+@query(rf"""WITH tk AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[{W}]+')) AS word FROM documents), hit AS (SELECT id, language, count(*) AS n FROM tk JOIN {LEX} ON lex.word = tk.word GROUP BY ALL),
+pr AS (SELECT id, language AS lang, n / sum(n) OVER (PARTITION BY id) AS p FROM hit QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, language) = 1)
+SELECT d.doc_id AS id, 'lexicon' AS backend_name, coalesce(pr.lang, 'unknown') AS language, round(coalesce(pr.p, 0), 6) AS confidence, coalesce(pr.p, 0) > 0.5 AS is_reliable FROM documents d LEFT JOIN pr ON pr.id = d.doc_id""")
 def bkd_lexicon(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
     return B.lexicon(docs).select("id", "backend_name", "language", F.round("confidence", 6).alias("confidence"), "is_reliable")
 
 
-#: Trigrams of the first 500 code points, which is the backends' parameter HEAD; a fifth of the texts is kept out by a hash of the text.
-_GRAMS = rf"""WITH d AS (SELECT doc_id AS id, lang, ' ' || trim(regexp_replace(lower(substr(text, 1, {B.HEAD})), '\P{{L}}+', ' ', 'g')) || ' ' AS p, ('0x' || substr(md5(text), 1, 6))::BIGINT % 5 AS fold FROM documents),
-g AS (SELECT id, lang, fold, unnest(list_transform(range(1, greatest(length(p) - 2, 1) + 1), lambda i: substr(p, i, 3))) AS gram FROM d),
-c AS (SELECT lang AS language, gram, count(*) AS n FROM g WHERE fold <> 0 GROUP BY ALL),
-m AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY n DESC, gram) AS rank FROM c QUALIFY rank <= 2000),
-tot AS (SELECT language, sum(n) AS total FROM m GROUP BY language), voc AS (SELECT DISTINCT gram FROM m)"""
+#: A model trained on whole texts; a fifth of them is kept out by a hash of the text.
+_TRAINED = f"""WITH {_GRAMS}, fo AS (SELECT doc_id AS id, lang AS language FROM documents WHERE ('0x' || substr(md5(text), 1, 6))::BIGINT % 5 <> 0 AND lang IS NOT NULL),
+mo AS (SELECT language, gram, count(*) AS n, row_number() OVER (PARTITION BY language ORDER BY count(*) DESC, gram) AS rank FROM gr JOIN fo ON fo.id = gr.id GROUP BY language, gram QUALIFY rank <= 2000)"""
 
 
 def _folded(spark: SparkSession, sf_dir: str):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     fold = F.conv(F.substring(F.md5("text"), 1, 6), 16, 10).cast("long") % 5
     texts = docs.select(F.col("doc_id").alias("id"), "text", "lang", fold.alias("fold"))
     return texts, B.train_ngrams(texts.filter("fold <> 0"))
 
 
-@query(_GRAMS + """, t AS (SELECT voc.gram, tot.language, ln((coalesce(m.n, 0) + 1) / (tot.total + (SELECT count(*) FROM voc))) AS lp FROM voc CROSS JOIN tot LEFT JOIN m ON m.gram = voc.gram AND m.language = tot.language),
-s AS (SELECT id, language, sum(lp) AS s FROM g JOIN t ON t.gram = g.gram GROUP BY ALL),
-e AS (SELECT id, language, exp(s - max(s) OVER (PARTITION BY id)) AS e, s FROM s),
-r AS (SELECT id, language, e / sum(e) OVER (PARTITION BY id) AS p, row_number() OVER (PARTITION BY id ORDER BY s DESC, language) AS rn FROM e)
-SELECT doc_id AS id, coalesce(r.language, 'unknown') AS language, round(coalesce(r.p, 0), 4) AS confidence FROM documents d LEFT JOIN r ON r.id = d.doc_id AND r.rn = 1""")
+@query(f"{_TRAINED}, {_bayes_sql('nb')} SELECT doc_id AS id, coalesce(lang_, 'unknown') AS language, round(coalesce(p, 0), 4) AS confidence FROM documents d LEFT JOIN (SELECT id, lang AS lang_, p FROM nbpr WHERE rn = 1) r ON r.id = d.doc_id")
 def bkd_ngram_nb(spark, sf_dir):
     texts, model = _folded(spark, sf_dir)
     return B.ngram_nb(texts, model).select("id", "language", F.round("confidence", 4).alias("confidence"))
 
 
-@query(_GRAMS + """, k AS (SELECT id, gram, count(*) AS c FROM g GROUP BY ALL), o AS (SELECT id, gram, row_number() OVER (PARTITION BY id ORDER BY c DESC, gram) AS place FROM k QUALIFY place <= 300),
-z AS (SELECT id, count(*) AS kinds FROM o GROUP BY id),
-n AS (SELECT o.id, m.language, sum(300 - least(abs(o.place - m.rank), 300)) AS near FROM o JOIN m ON m.gram = o.gram AND m.rank <= 300 GROUP BY ALL),
-r AS (SELECT n.id, language, near / (kinds * 300) AS p, row_number() OVER (PARTITION BY n.id ORDER BY near DESC, language) AS rn FROM n JOIN z ON z.id = n.id)
-SELECT doc_id AS id, coalesce(r.language, 'unknown') AS language, round(coalesce(r.p, 0), 6) AS confidence FROM documents d LEFT JOIN r ON r.id = d.doc_id AND r.rn = 1""")
+@query(f"{_TRAINED}, {_rank_sql('rk')} SELECT doc_id AS id, coalesce(lang_, 'unknown') AS language, round(coalesce(p, 0), 6) AS confidence FROM documents d LEFT JOIN (SELECT id, lang AS lang_, p FROM rkpr WHERE rn = 1) r ON r.id = d.doc_id")
 def bkd_ngram_rank(spark, sf_dir):
     texts, model = _folded(spark, sf_dir)
     return B.ngram_rank(texts, model).select("id", "language", F.round("confidence", 6).alias("confidence"))
 
 
+@query(f"WITH {scripted_sql()}, l AS (SELECT id, p, list_sort({_LANGS}) AS langs FROM e) SELECT id, CASE WHEN len(langs) > 0 THEN langs[1] ELSE 'unknown' END AS language, CASE WHEN len(langs) > 0 THEN round(p / len(langs), 6) ELSE 0 END AS confidence FROM l")
+def bkd_script(spark, sf_dir):
+    """Documents, and texts in other scripts."""
+    from .scalars import _texts
+
+    return B.script(_texts(spark, sf_dir)).select("id", "language", F.round("confidence", 6).alias("confidence"))
+
+
 @query(VOTES + f" SELECT br.id, br.backend_name, rel.r AS reliability FROM br JOIN {REL} ON rel.backend_name = br.backend_name WHERE br.language <> 'unknown'")
 def bkd12_reliability(spark, sf_dir):
     rows = votes(spark, sf_dir).filter("language <> 'unknown'")
@@ -119,8 +135,8 @@ def vot01_hard(spark, sf_dir):
     return _rounded(V.hard_vote(votes(spark, sf_dir)))
 
 
-_WEIGHTS = {"fasttext": 3.0, "lingua": 1.0}
-_W = "CASE backend_name WHEN 'fasttext' THEN 3.0 WHEN 'lingua' THEN 1.0 ELSE 1.0 END"
+_WEIGHTS = {"lexicon": 3.0, "ngram_nb": 1.0}
+_W = "CASE backend_name WHEN 'lexicon' THEN 3.0 WHEN 'ngram_nb' THEN 1.0 ELSE 1.0 END"
 
 
 @query(_hard(_W))
@@ -128,12 +144,12 @@ def vot02_hard_weighted(spark, sf_dir):
     return _rounded(V.hard_vote(votes(spark, sf_dir), _WEIGHTS))
 
 
-@query(VOTES + " SELECT id, lang, round(sum(p) / 3, 6) AS score FROM pr GROUP BY id, lang")
+@query(VOTES + " SELECT id, lang, round(sum(p) / 4, 6) AS score FROM pr GROUP BY id, lang")
 def vot03_soft(spark, sf_dir):
     return _rounded(V.soft_vote(votes(spark, sf_dir)))
 
 
-@query(VOTES + " SELECT id, lang, round(sum(p * CASE k WHEN 0 THEN 3.0 ELSE 1.0 END) / 5, 6) AS score FROM pr GROUP BY id, lang")
+@query(VOTES + " SELECT id, lang, round(sum(p * CASE k WHEN 0 THEN 3.0 ELSE 1.0 END) / 6, 6) AS score FROM pr GROUP BY id, lang")
 def vot04_soft_weighted(spark, sf_dir):
     return _rounded(V.soft_vote(votes(spark, sf_dir), _WEIGHTS))
 
@@ -154,12 +170,12 @@ def vot06_weighted_linear(spark, sf_dir):
 
 
 @query(VOTES + """, s AS (SELECT id, language AS lang, count(*) AS n FROM br WHERE language <> 'unknown' GROUP BY ALL HAVING count(*) >= 3)
-SELECT id, lang, round(n / 3, 6) AS score FROM s UNION ALL SELECT id, lang, round(sum(p) / 3, 6) FROM pr WHERE id NOT IN (SELECT id FROM s) GROUP BY id, lang""")
+SELECT id, lang, round(n / 4, 6) AS score FROM s UNION ALL SELECT id, lang, round(sum(p) / 4, 6) FROM pr WHERE id NOT IN (SELECT id FROM s) GROUP BY id, lang""")
 def vot07_08_consensus(spark, sf_dir):
     return _rounded(V.consensus_vote(votes(spark, sf_dir), min_agreement=3))
 
 
-_TIE = f"""SELECT id, language AS lang, count(*) / 3 * 0.3 + avg(confidence) * 0.25 + count(*) FILTER (is_reliable) / count(*) * 0.2 + max(r) / 5 * 0.15 AS s
+_TIE = f"""SELECT id, language AS lang, count(*) / 4 * 0.3 + avg(confidence) * 0.25 + count(*) FILTER (is_reliable) / count(*) * 0.2 + max(r) / 5 * 0.15 AS s
   FROM br JOIN {REL} ON rel.backend_name = br.backend_name WHERE language <> 'unknown' GROUP BY id, language"""
 
 
@@ -168,7 +184,7 @@ def vot09_tie_break(spark, sf_dir):
     return _rounded(V.tie_break(votes(spark, sf_dir), allowed=["en", "fr"]))
 
 
-_SOFT = "sc AS (SELECT id, lang, sum(p) / 3 AS score FROM pr GROUP BY id, lang)"
+_SOFT = "sc AS (SELECT id, lang, sum(p) / 4 AS score FROM pr GROUP BY id, lang)"
 
 
 @query(VOTES + f", {_SOFT}, o AS (SELECT id, round(score - lead(score) OVER (PARTITION BY id ORDER BY score DESC, lang), 9) AS gap, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS rn FROM sc) SELECT id FROM o WHERE rn = 1 AND gap < 0.01")
@@ -205,7 +221,7 @@ hh AS (SELECT id, lang, count(*) AS n FROM ht JOIN {_HINTS} ON h.word = lower(to
 def fus02_hint_boost(spark, sf_dir):
     from ..operators import hints as H
 
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
     found = H.lookup_all(docs, spark.createDataFrame(HINTS, "word string, lang string"))
     return _rounded(fusion.boost_hints(V.soft_vote(votes(spark, sf_dir)), found, docs, mode="short"))
 

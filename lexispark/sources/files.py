@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truncated
@@ -14,18 +14,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): lines with their number over the whole file, in order of file and place.
+    """(n, value): lines with their number over all files, in order of file name and place.
 
-    Counts of lines before a partition come from one small aggregate; lines themselves stay where they are read.
+    Splits of files are put in order by name and start, whichever partitions they were packed in; only their counts are
+    gathered for that, lines stay where they are read.
     """
-    rows = spark.read.text(path).withColumn("_row", F.monotonically_increasing_id())
-    rows = rows.withColumn("_part", F.shiftright("_row", 33)).withColumn("_at", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = sorted((r["_part"], r["count"]) for r in rows.groupBy("_part").count().collect())
-    start, total = {}, 0
-    for part, n in sizes:
-        start[part], total = total, total + n
-    offsets = spark.createDataFrame(list(start.items()) or [(0, 0)], "_part long, _start long")
-    return rows.join(F.broadcast(offsets), "_part").select((F.col("_start") + F.col("_at")).alias("n"), "value")
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    splits = rows.groupBy("file", "start").agg(F.min("row").alias("first"), F.count("*").alias("lines"))
+    before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    return rows.join(splits, ["file", "start"]).select((F.col("before") + F.col("row") - F.col("first")).alias("n"), "value")
 
 
 def read_pairs(spark: SparkSession, texts: str, labels: str) -> DataFrame:

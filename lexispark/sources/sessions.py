@@ -1,18 +1,23 @@
 """Session snapshots: a versioned Parquet table (session_id, history, expires_at) with upserts and time to live.
 
-A save writes a new version beside the old one and then points to it, so readers never see half of one. For
+A change writes a new snapshot beside the old one and publishes it under the next version by a rename that fails if that
+version exists: readers see the old or the new one, never half of one, and of two writers one starts again from what the other
+has published, so that no update is lost. The last KEPT snapshots stay for readers that have begun; older ones are deleted. For
 streams there is the stateful form in ``streaming``.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.context import HISTORY_TURNS
 
+#: Snapshots that stay for readers.
+KEPT = 3
 SCHEMA = "session_id string, history array<struct<lang:string,confidence:double>>, expires_at timestamp"
 
 
@@ -24,39 +29,74 @@ class SessionStore:
         jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
 
-    def _version(self) -> str | None:
-        fs, pointer = self._fs(f"{self.path}/CURRENT")
-        if not fs.exists(pointer):
-            return None
-        stream = fs.open(pointer)
+    def _versions(self) -> list[int]:
+        fs, folder = self._fs(f"{self.path}/versions")
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n[1:]) for n in names if n.startswith("v"))
+
+    def _snapshot(self, version: int) -> str:
+        fs, file = self._fs(self._name(version))
+        stream = fs.open(file)
         try:
             return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
 
+    def _name(self, version: int) -> str:
+        return f"{self.path}/versions/v{version:020d}"
+
+    def _at(self, version: int) -> DataFrame:
+        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{self._snapshot(version)}") if version else self.spark.createDataFrame([], SCHEMA)
+        return rows.filter(F.col("expires_at").isNull() | (F.col("expires_at") > F.current_timestamp()))
+
     def sessions(self) -> DataFrame:
         """Those that have not expired."""
-        version = self._version()
-        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{version}") if version else self.spark.createDataFrame([], SCHEMA)
-        return rows.filter(F.col("expires_at").isNull() | (F.col("expires_at") > F.current_timestamp()))
+        return self._at((self._versions() or [0])[-1])
 
-    def _replace(self, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/{version}")
-        fs, pointer = self._fs(f"{self.path}/CURRENT")
-        out = fs.create(pointer, True)
-        out.write(bytearray(version.encode()))
+    def _publish(self, version: int, snapshot: str) -> bool:
+        """Whether ``snapshot`` became the version; False if another writer was first."""
+        fs, temporary = self._fs(f"{self.path}/versions/_{uuid.uuid4().hex}")
+        out = fs.create(temporary, False)
+        out.write(bytearray(snapshot.encode()))
         out.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        target = jvm.org.apache.hadoop.fs.Path(self._name(version))
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(temporary, target, gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception:
+            fs.delete(temporary, False)
+            if fs.exists(target):
+                return False
+            raise
+        return True
+
+    def _change(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Publishes ``change`` of the newest sessions, again from the start where another writer was first."""
+        while True:
+            version, snapshot = (self._versions() or [0])[-1], uuid.uuid4().hex
+            change(self._at(version)).write.parquet(f"{self.path}/{snapshot}")
+            if self._publish(version + 1, snapshot):
+                break
+            fs, folder = self._fs(f"{self.path}/{snapshot}")
+            fs.delete(folder, True)
+        for old in self._versions()[:-KEPT]:
+            fs, folder = self._fs(f"{self.path}/{self._snapshot(old)}")
+            fs.delete(folder, True)
+            fs.delete(self._fs(self._name(old))[1], False)
 
     def save(self, turns: DataFrame) -> None:
         """turns: (session_id, turn, lang, confidence), joined to the stored histories; the last ``max_turns`` with a language stay."""
         fresh = turns.filter(F.coalesce("lang", F.lit("")) != "").groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "lang", "confidence"))), lambda t: F.struct(t["lang"].alias("lang"), t["confidence"].alias("confidence"))).alias("fresh"))
-        both = self.sessions().join(fresh, "session_id", "full_outer")
+        self._change(lambda sessions: self._joined(sessions, fresh))
+
+    def _joined(self, sessions: DataFrame, fresh: DataFrame) -> DataFrame:
+        both = sessions.join(fresh, "session_id", "full_outer")
         none = F.array().cast("array<struct<lang:string,confidence:double>>")
         history = F.concat(F.coalesce("history", none), F.coalesce("fresh", none))
         history = F.slice(history, F.greatest(F.size(history) - (self.max_turns - 1), F.lit(1)), self.max_turns)
         until = F.timestamp_seconds(F.unix_timestamp(F.current_timestamp()) + self.ttl) if self.ttl else F.lit(None).cast("timestamp")
-        self._replace(both.select("session_id", history.alias("history"), F.when(F.col("fresh").isNotNull(), until).otherwise(F.col("expires_at")).alias("expires_at")))
+        return both.select("session_id", history.alias("history"), F.when(F.col("fresh").isNotNull(), until).otherwise(F.col("expires_at")).alias("expires_at"))
 
     def load(self, session_id: str) -> list[tuple[str, float]] | None:
         row = self.sessions().filter(F.col("session_id") == session_id).first()
@@ -66,4 +106,9 @@ class SessionStore:
         return self.load(session_id) is not None
 
     def delete(self, session_id: str) -> None:
-        self._replace(self.sessions().filter(F.col("session_id") != session_id))
+        self._change(lambda sessions: sessions.filter(F.col("session_id") != session_id))
+
+    def clear(self, session_id: str) -> None:
+        """Forgets the session's turns; the session itself and its time to live stay."""
+        empty = F.array().cast("array<struct<lang:string,confidence:double>>")
+        self._change(lambda sessions: sessions.withColumn("history", F.when(F.col("session_id") == session_id, empty).otherwise(F.col("history"))))

@@ -41,7 +41,10 @@ def summary(history: list[tuple[str, float]], decay: float = DECAY) -> tuple[str
 
 
 def track_sessions(turns: DataFrame, max_turns: int = HISTORY_TURNS, decay: float = DECAY, ttl_ms: int = 3_600_000) -> DataFrame:
-    """For each turn of a stream (session_id, turn, lang, confidence) the context that includes it."""
+    """For each turn of a stream (session_id, turn, lang, confidence) the context that includes it.
+
+    A column ``clear`` (boolean), where there is one, starts a session's context anew with the turn that has it set.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -50,8 +53,9 @@ def track_sessions(turns: DataFrame, max_turns: int = HISTORY_TURNS, decay: floa
         history = list(zip(*state.get, strict=True)) if state.exists else []
         rows = pd.concat(list(frames)).sort_values("turn", kind="stable")
         out = []
-        for turn, lang, confidence in zip(rows["turn"], rows["lang"], rows["confidence"], strict=True):
-            history = [*history, (lang, float(confidence))][-max_turns:]
+        clear = rows["clear"].fillna(False).astype(bool) if "clear" in rows else [False] * len(rows)
+        for turn, lang, confidence, anew in zip(rows["turn"], rows["lang"], rows["confidence"], clear, strict=True):
+            history = [*([] if anew else history), (lang, float(confidence))][-max_turns:]
             out.append((key[0], int(turn), lang, *summary(history, decay)))
         state.update(([h[0] for h in history], [h[1] for h in history]))
         state.setTimeoutDuration(ttl_ms)

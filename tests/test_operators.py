@@ -172,3 +172,90 @@ def test_ngram_backends_take_whole_texts(spark):
     plain = " " + " ".join("".join(c if c.isalpha() else " " for c in long.lower()).split()) + " "
     out = spark.createDataFrame([(long,), ("",)], "text string").select(B.ngrams(F.col("text")).alias("g")).collect()
     assert out[0]["g"] == [plain[i : i + 3] for i in range(len(plain) - 2)] and out[1]["g"] == ["  "]
+
+
+def test_ngram_kernels_equal_the_columns(spark):
+    """The packed n-grams, and the counts of training, are those of the Column expression."""
+    from lexispark.operators import grams as G
+
+    texts = ["Ab\U00010400c 9é, xyz", "", "...", "a", "Über-Maß", "x" * 5]
+    keys, owner = G.grams(texts)
+    got = [[G.unpacked(k) for k in keys[owner == i].tolist()] for i in range(len(texts))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", B.ngrams(F.col("text")).alias("g")).orderBy("id").collect()
+    assert got == [[g for g in r["g"] if len(g) == 3] for r in rows]
+    frame = spark.createDataFrame([(t, "xx") for t in texts] + [(None, "yy"), ("abc", None)], "text string, lang string")
+    counts = {r["gram"]: r["n"] for r in B.train_ngrams(frame).collect()}
+    assert counts == {g: sum(x.count(g) for x in got) for own in got for g in own}
+
+
+def test_adapters_of_other_libraries(spark, monkeypatch):
+    """Without the library they are unavailable; with it they give its answer."""
+    import sys
+    import types
+
+    from lexispark.operators.adapters import LIBRARIES
+
+    assert set(LIBRARIES) == {"fasttext", "fastlangid", "lingua", "pycld3", "langdetect", "langid"}
+    for name in LIBRARIES:
+        if not LIBRARIES[name]().is_available():
+            assert name not in B.list_backends()
+            with pytest.raises(B.BackendUnavailable):
+                B.create_backend(name)
+    value = types.SimpleNamespace
+    fakes = {
+        "fasttext": ("ftlangdetect", {"detect": lambda t: {"lang": "en", "score": 0.9}}, ("en", 0.9, {}, True)),
+        "fastlangid": ("fastlangid.langid", {"LID": lambda: value(predict=lambda t, prob: ("fr", 0.4))}, ("fr", 0.4, {}, False)),
+        "pycld3": ("cld3", {"get_language": lambda t: value(language="de", probability=0.7, is_reliable=False), "get_frequent_languages": lambda t, num_langs: [value(language="de", probability=0.7)]}, ("de", 0.7, {"de": 0.7}, False)),
+        "langdetect": ("langdetect", {"DetectorFactory": value(seed=None), "detect_langs": lambda t: [value(lang="es", prob=0.6), value(lang="pt", prob=0.4)]}, ("es", 0.6, {"es": 0.6, "pt": 0.4}, True)),
+        "langid": ("langid", {"classify": lambda t: ("it", -0.1)}, ("it", 0.9048374180359595, {}, True)),
+    }
+    code = lambda x: value(iso_code_639_1=value(name=x))
+    builder = value(from_all_languages=lambda: value(build=lambda: value(compute_language_confidence_values=lambda t: [value(language=code("EN"), value=0.8), value(language=code("FR"), value=0.2)])))
+    fakes["lingua"] = ("lingua", {"LanguageDetectorBuilder": builder}, ("en", 0.8, {"en": 0.8, "fr": 0.2}, True))
+    for name, (module, content, want) in fakes.items():
+        fake = types.ModuleType(module)
+        fake.__dict__.update(content)
+        monkeypatch.setitem(sys.modules, module, fake)
+        backend = LIBRARIES[name]()
+        assert backend.detect("a  text\nof lines") == want, name
+        assert backend.detect(" \n")[0] == "unknown"
+
+
+def test_names_and_entities(spark):
+    from lexispark.operators import names
+
+    texts = spark.createDataFrame([(1, "Ada Lovelace met  Charles in London."), (2, None), (3, "nobody")], "id long, text string")
+    make = lambda: lambda text: [(m, m + len(w), k) for w, k in (("Ada Lovelace", "PERSON"), ("London", "GPE"), ("met", "VERB")) if (m := text.find(w)) >= 0]
+    out = {r["id"]: (r["filtered"], r["names"]) for r in names.filter_tagged(texts, make).collect()}
+    assert out == {1: ("met Charles in .", ["Ada Lovelace", "London"]), 2: (None, []), 3: ("nobody", [])}
+    masked = names.filter_tagged(texts, make, ("PERSON",), "mask").filter("id = 1").first()
+    assert masked["filtered"] == "[NAME] met Charles in London."
+    if names.spacy_tagger() is None:
+        assert names.filter_entities(texts).filter("not filtered <=> text").count() == 0
+    if names.person_tagger() is None:
+        assert names.filter_names(texts).filter("not filtered <=> text or size(names) > 0").count() == 0
+
+
+def test_codeswitch_views(spark):
+    texts = spark.createDataFrame([(1, "the house und die Katze"), (2, "")], "id long, text string")
+    out = {r["id"]: r["languages"] for r in codeswitch.languages(codeswitch.detect(texts, "lexicon")).collect()}
+    assert out == {1: ["de", "en"], 2: []}
+    assert {r["id"]: r["is_mixed"] for r in codeswitch.is_code_switched(texts, B.lexicon).collect()} == {1: True, 2: False}
+    spans = codeswitch.language_spans(texts, "lexicon").orderBy("start").collect()
+    assert [(r["text"], r["language"]) for r in spans] == [("the", "en"), ("und", "de"), ("die", "de")]
+    through_table = codeswitch.language_spans(texts, lambda t: B.lexicon(t)).orderBy("start").collect()
+    assert through_table == spans
+
+
+def test_once_per_text(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "COPIES", 3)
+    rows = [(i, "same") for i in range(20)] + [(50, "other"), (51, None), (52, None), (53, "")]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    seen = []
+
+    def detect(distinct):
+        seen.append(distinct.count())
+        return distinct.select("id", F.coalesce("text", F.lit("null")).alias("lang"))
+
+    out = {r["id"]: r["lang"] for r in fusion.once_per_text(texts, detect).collect()}
+    assert out == {i: "null" if t is None else t for i, t in rows} and seen == [4]

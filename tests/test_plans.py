@@ -49,6 +49,86 @@ def test_sessions(spark, tmp_path):
     assert not expired.exists("c")
 
 
+def test_sessions_of_two_writers(spark, tmp_path, monkeypatch):
+    """Neither update is lost, readers always see a whole version, old snapshots go."""
+    from lexispark.sources import sessions
+
+    store, other = (SessionStore(spark, str(tmp_path / "s")) for _ in range(2))
+    turns = lambda s, lang: spark.createDataFrame([(s, 0, lang, 0.5)], "session_id string, turn int, lang string, confidence double")
+    publish, raced = store._publish, []
+
+    def slow(version, snapshot):
+        if not raced:
+            raced.append(version)
+            other.save(turns("b", "fr"))
+        return publish(version, snapshot)
+
+    monkeypatch.setattr(store, "_publish", slow)
+    store.save(turns("a", "en"))
+    assert store.load("a") == [("en", 0.5)] and store.load("b") == [("fr", 0.5)]
+    store.clear("a")
+    assert store.exists("a") and store.load("a") == [] and store.load("b") == [("fr", 0.5)]
+    for i in range(4):
+        store.save(turns("c", "de"))
+    folders = [p for p in (tmp_path / "s").iterdir() if p.name != "versions"]
+    assert len(folders) == sessions.KEPT and len(store.load("c")) == 4
+
+
+def test_numbered_lines_of_many_files(spark, tmp_path):
+    from lexispark.sources.files import numbered
+
+    (tmp_path / "d").mkdir()
+    want = []
+    for i in range(7):
+        own = [f"{i} {k}" for k in range((i * 37) % 11 * 50)]
+        (tmp_path / "d" / f"f{i}.txt").write_text("".join(x + "\n" for x in own))
+        want += own
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500b")
+    try:
+        assert [r["value"] for r in numbered(spark, str(tmp_path / "d")).orderBy("n").collect()] == want
+        assert sorted(r["n"] for r in numbered(spark, str(tmp_path / "d")).collect()) == list(range(len(want)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_front_doors(spark):
+    import lexispark
+    from lexispark.plans.detect import Result
+
+    lexispark.reset_default()
+    one = lexispark.detect("The cat was in the house and it is not there")
+    assert one == "en" and str(one) == "en" and one == Result(lang="en") and one != "fr" and {one} == {Result(lang="en")}
+    assert lexispark.default_detector() is lexispark.default_detector()
+    first = lexispark.default_detector()
+    lexispark.reset_default()
+    assert lexispark.default_detector() is not first
+    assert [str(r) for r in lexispark.detect_batch(["Der Hund und die Katze sind nicht im Haus", "", None], mode="default")] == ["de", "und", "und"]
+    assert lexispark.ensemble("Le chat est dans la maison avec les enfants", backends=["lexicon", "ngram_nb"], weights={"lexicon": 2.0}, strategy="soft", top_k=2)["candidates"][0]["lang"] == "fr"
+    detector = Detector(spark, Config(backends=("lexicon",)))
+    detector.set_languages("de")
+    assert detector.detect("the house und der Hund") == "de" and detector.detect("the house und der Hund", allowed=["en"]) == "und"
+    with pytest.raises(AttributeError):
+        lexispark.nothing
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lexispark.cli import main, shown
+
+    assert shown("x" * 120, Result_(), "table").splitlines()[0].endswith("x...")
+    (tmp_path / "t.txt").write_text("The cat was in the house and it is not there\nDer Hund und die Katze sind nicht im Haus\n")
+    for form, start in (("json", "{"), ("array", "[{"), ("table", "The cat")):
+        main(["batch", str(tmp_path / "t.txt"), "--format", form])
+        assert capsys.readouterr().out.startswith(start)
+    main(["The cat was in the house and it is not there", "--format", "pretty"])
+    assert '"lang": "en"' in capsys.readouterr().out
+
+
+def Result_():
+    from lexispark.plans.detect import Result
+
+    return Result(lang="en", confidence=1.0, reason=None)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     """The stateful form gives for each turn what the window form gives."""
     from pyspark.sql import functions as F
