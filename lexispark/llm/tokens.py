@@ -40,6 +40,11 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_piece = self._splits_alike(spec)
+        #: For each id whether a word ends with it, where the model marks that in its tokens.
+        suffix, vocabulary = spec["model"].get("end_of_word_suffix"), spec["model"].get("vocab", {})
+        self.ends = np.zeros(1 + max(vocabulary.values(), default=0), bool) if suffix else None
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
         # Characters on which both sides agree; the separators U+001C to U+001F, U+0085 and U+00A0 are left out.
         self.plain = re.compile("[\x00-\x1b\x20-\x7f\u00a1-\u012f\u0132-\u017f\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
@@ -60,28 +65,40 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: set[str]) -> None:
         """Puts the pieces' ids into the cache; pieces that aren't words only are put together from the words in them."""
-        mixed = [(p, self.words(p)) for p in pieces if not p.isalpha()]
-        new = {p for p in pieces if p.isalpha()}.union(*(w for _, w in mixed)).difference(self.held)
-        alphabetic = [w for w in new if w.isalpha()]
-        for at in range(0, len(alphabetic), 20_000):
-            self._learn_words(alphabetic[at : at + 20_000])
-        others = [w for w in new if not w.isalpha()]
+        held, mixed, alphabetic = self.held, [], []
+        for piece in pieces:
+            if piece.isalpha():
+                alphabetic.append(piece)
+            else:
+                mixed.append((piece, self.words(piece)))
+        more = {w for _, words in mixed for w in words if w not in held and w not in pieces}
+        # A piece of one word that isn't all letters (a mark, a number) is also a word.
+        more |= {piece for piece, words in mixed if len(words) == 1 and words[0] == piece}
+        others = [w for w in more if not w.isalpha()]
+        alphabetic += [w for w in more if w.isalpha()]
+        for at in range(0, len(alphabetic), 4000):
+            self._learn_words(alphabetic[at : at + 4000])
         for word, coded in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.held[word] = np.array(coded.ids, "<u4").tobytes()
-        get = self.held.__getitem__
-        self.held.update([(piece, b"".join(map(get, words))) for piece, words in mixed])
+            held[word] = np.array(coded.ids, "<u4").tobytes()
+        get = held.__getitem__
+        held.update([(piece, b"".join(map(get, words))) for piece, words in mixed])
 
     def _learn_words(self, words: list[str]) -> None:
         """Words of letters alone are one piece each of the tokenizer's split, so that many are encoded as one text."""
-        coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        of = np.array(coded.word_ids, np.int64)
-        ends = np.flatnonzero(np.append(of[1:] != of[:-1], True)) + 1
+        text = " ".join(words)
+        if self.ends is not None:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+        if self.ends is None or len(ends) != len(words) or ends[-1] != len(ids):  # e.g. unknown letters
+            coded = self.tokenizer.encode(text, add_special_tokens=False)
+            ids, of = np.array(coded.ids, "<u4"), np.array(coded.word_ids, np.int64)
+            ends = np.flatnonzero(np.append(of[1:] != of[:-1], True)) + 1
         if len(ends) != len(words):
             raise ValueError("the tokenizer splits words of letters")
-        data, ends = np.array(coded.ids, "<u4").tobytes(), (4 * ends).tolist()
-        self.held.update([(word, data[start:end]) for word, start, end in zip(words, [0, *ends[:-1]], ends, strict=True)])
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        self.held.update(zip(words, [data[start:end] for start, end in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         pieces: list[list[str] | None] = []
@@ -92,15 +109,17 @@ class Encoder:
                 pieces.append(text.lower().split())
             else:
                 pieces.append(None)
-        new = set().union(*(p for p in pieces if p)).difference(self.held)
-        if len(self.held) + len(new) > CACHE:
-            self.held.clear()
+        held = self.held
+        new = {w for own in pieces if own for w in own if w not in held}
+        if len(held) + len(new) > CACHE:
+            held.clear()
             new = set().union(*(p for p in pieces if p))
-        self._learn(list(new))
-        get = self.held.__getitem__
+        if new:
+            self._learn(new)
+        get = held.__getitem__
         return [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces, strict=True)]
 
-    def batches(self, column: pa.Array, most: int = 1 << 20):
+    def batches(self, column: pa.Array, most: int = 1 << 18):
         """(first row, ids as bytes of each text) in runs of about ``most`` characters."""
         texts, row, size, start = column.to_pylist() if len(column) <= 256 else None, 0, 0, 0
         if texts is None:
