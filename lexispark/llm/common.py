@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
+#: Share of its limit up to which the driver's heap may grow before it is collected, and bytes that a task reads of a checkpoint of many small parts.
+HEAP, PART_BYTES = 0.5, 4 << 20
+
 #: Rows of a join's key up to which it is left whole, and the most keys that are split.
 SPLIT, HOT_KEYS = 1000, 50_000
 
@@ -41,7 +45,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by files in the shared folder; they go when nothing refers to them any more."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    give_back(df.sparkSession)
+    return out
+
+
+def give_back(spark: SparkSession) -> None:
+    """Returns memory that the driver's JVM holds but does not use. Its heap grows with the events of many short tasks and
+    would keep that size; a collection shrinks it to a few times what is alive. Nothing is done up to HEAP of the heap's limit."""
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP * runtime.maxMemory():
+        jvm.java.lang.System.gc()
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, and read again by no more tasks than its measured bytes and the cores ask for.
+
+    What a large shuffle leaves may be little: hundreds of tasks for it would only burden the driver. Neighbouring
+    partitions are read together, up to PART_BYTES in a task on average; no row moves.
+    """
+    out = checkpoint(df)
+    rdd = out._jdf.queryExecution().logical().rdd()
+    fs, path = hadoop_fs(df.sparkSession, rdd.getCheckpointFile().get())
+    least = df.sparkSession.sparkContext.defaultParallelism
+    n = max(least, math.ceil(fs.getContentSummary(path).getLength() / PART_BYTES))
+    return out.coalesce(n) if n < rdd.getNumPartitions() else out
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:

@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, hot_join, join_checked, small
+from .common import fresh, gathered, hot_join, join_checked, small
 
 LEAD = 3
 #: Words of the shingles by which near-copies are told, and the share of tokens that these share in lines at least.
@@ -155,13 +155,13 @@ def _by_rounds(held: DataFrame, similarity: float) -> DataFrame:
     rows than templates have blocks.
     """
     none = F.lit(None).cast(held.schema["rank"].dataType)
-    blocks = checkpoint(held.select("leaf", "tmpl", "rank", none.alias("best"), F.posexplode(_blocks(similarity)).alias("b", "h")))
+    blocks = gathered(held.select("leaf", "tmpl", "rank", none.alias("best"), F.posexplode(_blocks(similarity)).alias("b", "h")))
     own = held.select("leaf", "tmpl", "tokens")
     rounds = [held.select("leaf", "tmpl", none.alias("found")).filter("false")]
     while True:
         tops = blocks.groupBy("leaf", "b", "h").agg(F.max(F.when(F.col("best").isNull(), F.col("rank"))).alias("top"), F.count("*").alias("n")).filter("top is not null and n > 1")
         met = hot_join(blocks, tops.drop("n"), ["leaf", "b", "h"], ["tmpl"], counts=tops)
-        met = checkpoint(met.filter("best is null or top > best"))
+        met = gathered(met.filter("best is null or top > best"))
         if met.isEmpty():
             return reduce(DataFrame.unionByName, rounds).groupBy("leaf", "tmpl").agg(F.max("found")["tmpl"].alias("into"))
         seen = met.filter("best is null").groupBy("leaf", "tmpl").agg(F.bool_and(F.col("top.tmpl") == F.col("tmpl")).alias("leads"))
@@ -170,24 +170,24 @@ def _by_rounds(held: DataFrame, similarity: float) -> DataFrame:
         shared = pairs.groupBy("leaf", "into").agg(F.count("*").alias("n"))
         into = held.join(leads, ["leaf", "tmpl"]).select("leaf", F.col("tmpl").alias("into"), F.col("tokens").alias("others"), "rank")
         pairs = hot_join(pairs.distinct(), into, ["leaf", "into"], ["tmpl"], counts=shared).join(own, ["leaf", "tmpl"]).filter(_alike("tokens", "others", similarity))
-        found = checkpoint(pairs.groupBy("leaf", "tmpl").agg(F.max("rank").alias("found")))
+        found = gathered(pairs.groupBy("leaf", "tmpl").agg(F.max("rank").alias("found")))
         rounds.append(found)
         left = met.join(leads, ["leaf", "tmpl"], "left_anti").join(found, ["leaf", "tmpl"], "left")
         best = F.greatest("best", "found")
-        blocks = checkpoint(left.select("leaf", "tmpl", "rank", best.alias("best"), "b", "h", "top").filter("best is null or top > best").drop("top"))
+        blocks = gathered(left.select("leaf", "tmpl", "rank", best.alias("best"), "b", "h", "top").filter("best is null or top > best").drop("top"))
 
 
 def recurring(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_docs: int, similarity: float) -> DataFrame:
     """(leaf, tmpl, first, n): templates that recur, as themselves or by what they generalise to, with the first document
     and the number of documents that hold the template itself."""
     per_doc = lines.groupBy("leaf", "tmpl", "doc").agg(F.min("pos").alias("pos"))
-    found = checkpoint(per_doc.groupBy("leaf", "tmpl").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("pos")))
+    found = gathered(per_doc.groupBy("leaf", "tmpl").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("pos")))
 
     # Leaves with several templates, the leading ones of each, and those that are like them.
     mixed = found.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
     several = hot_join(found, mixed.select("leaf", F.col("n").alias("of")), ["leaf"], ["tmpl"], counts=mixed)
-    held = checkpoint(template_tokens(docs, checkpoint(several), id_col, text_col))
-    merged = checkpoint(generalised(held, similarity))
+    held = gathered(template_tokens(docs, gathered(several), id_col, text_col))
+    merged = gathered(generalised(held, similarity))
     members = merged.unionByName(merged.select("leaf", F.col("into").alias("tmpl"), "into").distinct())
 
     least = max(2, min_docs)
@@ -199,7 +199,7 @@ def recurring(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min
         counted = lines.select("leaf", "tmpl", "doc").join(rare, ["leaf", "tmpl"]).groupBy("leaf", "into").agg(F.countDistinct("doc").alias("docs"), F.min("doc").alias("first"))
         sure = sure.select("leaf", "into", "first").unionByName(counted.filter(F.col("docs") >= least).select("leaf", "into", "first"))
     united = members.join(sure.select("leaf", "into", "first"), ["leaf", "into"]).join(found.select("leaf", "tmpl", F.col("docs").alias("n")), ["leaf", "tmpl"])
-    return checkpoint(alone.unionByName(united.select("leaf", "tmpl", "first", "n")))
+    return gathered(alone.unionByName(united.select("leaf", "tmpl", "first", "n")))
 
 
 def _shingles(text: Column) -> Column:
@@ -218,13 +218,13 @@ def _near_copies(docs: DataFrame, lines: DataFrame, hit: DataFrame, id_col: str,
     """(doc, key) of documents like the one that keeps most of their lines, by the shingles of whole texts."""
     shared = hit.groupBy("doc", "key", "first").agg(F.sum("n").alias("s")).groupBy("doc", "key").agg(F.max_by("first", "s").alias("first"), F.max("s").alias("s"))
     tokens = lines.groupBy("doc", "key").agg(F.sum("n").alias("tokens"))
-    pairs = checkpoint(shared.join(tokens, ["doc", "key"]).filter(F.col("s") >= COPIED * F.col("tokens")))
+    pairs = gathered(shared.join(tokens, ["doc", "key"]).filter(F.col("s") >= COPIED * F.col("tokens")))
     others = tokens.select(F.col("doc").alias("first"), F.col("key").alias("other"), F.col("tokens").alias("theirs"))
-    pairs = checkpoint(hot_join(pairs, others, ["first"], ["doc", "key"]).filter(F.col("s") >= COPIED * F.col("theirs")).select("doc", "key", "first", "other"))
+    pairs = gathered(hot_join(pairs, others, ["first"], ["doc", "key"]).filter(F.col("s") >= COPIED * F.col("theirs")).select("doc", "key", "first", "other"))
     wanted = pairs.select("doc", "key").unionByName(pairs.select(F.col("first").alias("doc"), F.col("other").alias("key"))).distinct()
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     texts = join_checked(texts, wanted, ["doc", "key"], "left_semi", 32)
-    sets = checkpoint(texts.select("doc", "key", _shingles(F.col("text")).alias("a")))
+    sets = gathered(texts.select("doc", "key", _shingles(F.col("text")).alias("a")))
     both = pairs.join(sets, ["doc", "key"])
     both = hot_join(both, sets.select(F.col("doc").alias("first"), F.col("key").alias("other"), F.col("a").alias("b")), ["first", "other"], ["doc", "key"], counts=pairs.groupBy("first", "other").agg(F.count("*").alias("n")))
     both = both.withColumn("same", F.size(F.array_intersect("a", "b")))
@@ -236,7 +236,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     copies: documents at least so similar to the one that keeps their lines are left whole (None: all are deduplicated).
     """
-    lines = checkpoint(template_lines(docs, id_col, text_col, max(1, min_tokens)))
+    lines = gathered(template_lines(docs, id_col, text_col, max(1, min_tokens)))
     again = recurring(docs, lines, id_col, text_col, min_docs, similarity)
     held = F.broadcast(again.drop("n")) if small(again, 40) else None
     hit = lines.join(held, ["leaf", "tmpl"]) if held is not None else hot_join(lines, again.drop("n"), ["leaf", "tmpl"], ["doc", "pos"], counts=again)
