@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hot_join
+from .common import gathered, hot_join
 
 #: Distinct edges up to which one task unites them.
 LOCAL = 250_000
@@ -66,7 +66,7 @@ def components(edges: DataFrame, max_rounds: int = 60, local: int = LOCAL) -> Da
 
     edges: columns u, v (any order; loops, nulls and repeats are ignored).
     """
-    edges = checkpoint(
+    edges = gathered(
         edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -76,7 +76,7 @@ def components(edges: DataFrame, max_rounds: int = 60, local: int = LOCAL) -> Da
     for _ in range(max_rounds):
         if not last[0]:
             break
-        edges = checkpoint(_star(_star(edges, True), False))
+        edges = gathered(_star(_star(edges, True), False))
         now = sign(edges)
         if now == last:
             break

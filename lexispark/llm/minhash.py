@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hot_join, join_checked
+from .common import gathered, hot_join, join_checked
 from .graph import components
 from .kernels import U, common, mix, text_sets
 
@@ -140,11 +140,11 @@ def _meet(k: int, percent: int):
 
 def _text_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified pairs (a, b). The text of the hub side a meets its pairs last, once for each salt of a large hub."""
-    pairs = checkpoint(pairs)
+    pairs = gathered(pairs)
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
     hubs = pairs.groupBy("a").agg(F.count("*").alias("n"))
     both = hot_join(both, texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), ["a"], ["b"], counts=hubs)
-    return checkpoint(both.select("a", "b", "a_text", "b_text").mapInArrow(_verify(k, percent), "u long, v long"))
+    return gathered(both.select("a", "b", "a_text", "b_text").mapInArrow(_verify(k, percent), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -153,17 +153,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable over links, itself included; kept says whether that is the id itself.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = checkpoint(plain.mapInArrow(_sign(k), "id long, n_shingles long, f1 long, f2 long, bands array<long>"))
+    signed = gathered(plain.mapInArrow(_sign(k), "id long, n_shingles long, f1 long, f2 long, bands array<long>"))
     sets = signed.filter("n_shingles > 0 and id is not null")
 
     # Texts with equal sets become one class, named by its smallest id.
-    classes = checkpoint(sets.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("cls"), F.max("id").alias("most"), F.first("bands").alias("bands")))
+    classes = gathered(sets.groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("cls"), F.max("id").alias("most"), F.first("bands").alias("bands")))
     copies = sets.select("id", "f1", "f2", "n_shingles").join(classes.filter("most > cls").select("f1", "f2", "n_shingles", "cls"), ["f1", "f2", "n_shingles"])
-    links = checkpoint(copies.filter("id <> cls").select(F.col("id").alias("u"), F.col("cls").alias("v")))
+    links = gathered(copies.filter("id <> cls").select(F.col("id").alias("u"), F.col("cls").alias("v")))
 
     banded = classes.select("cls", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min(F.struct("cls", "size")).alias("a"), F.max(F.struct("cls", "size")).alias("z"), F.count("*").alias("n")).filter("a.cls < z.cls")
-    members = checkpoint(hot_join(banded, shared.drop("n"), ["band"], ["cls"], counts=shared).select("band", "cls", "size", "a", "z"))
+    members = gathered(hot_join(banded, shared.drop("n"), ["band"], ["cls"], counts=shared).select("band", "cls", "size", "a", "z"))
     near = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
     wanted = members.select(F.col("cls").alias("id")).distinct()
     texts = join_checked(plain, wanted, ["id"], "left_semi", 16)
@@ -191,9 +191,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
     """The rows of bands that hold more than one component so far, with their component; whether there are any."""
     comps = components(links).select(F.col("node").alias("cls"), F.col("component_id").alias("comp"))
-    named = checkpoint(members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    named = gathered(members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
     apart = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    out = checkpoint(hot_join(named, apart.select("band"), ["band"], ["cls"], counts=apart))
+    out = gathered(hot_join(named, apart.select("band"), ["band"], ["cls"], counts=apart))
     return out, not out.isEmpty()
 
 
@@ -208,17 +208,17 @@ def _dealt(labelled: DataFrame, percent: int) -> DataFrame:
     sizes = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"))
     leads = sizes.groupBy("band").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("lead"), F.sum("n").alias("n"))
     rows = hot_join(labelled, leads.drop("n"), ["band"], ["cls"], counts=leads).select("lead", "cls", "comp", "size").distinct()
-    rows = checkpoint(rows)
+    rows = gathered(rows)
     groups = rows.groupBy("lead").agg(F.count("*").alias("n"), ((F.count("*") <= BLOCK) & (F.sum("size") <= BLOCK_SHINGLES)).alias("whole"))
     rows = hot_join(rows, groups.drop("n"), ["lead"], ["cls"], counts=groups).withColumn("lone", F.col("comp") != F.col("lead"))
-    rows = checkpoint(rows.withColumn("at", F.floor(F.log("size") / (math.log(max(100 / percent, 1.01)) * 1.000001)).cast("int")))
+    rows = gathered(rows.withColumn("at", F.floor(F.log("size") / (math.log(max(100 / percent, 1.01)) * 1.000001)).cast("int")))
     zero = F.lit(0)
     small = rows.filter("whole").select("lead", zero.alias("bucket"), zero.alias("i"), zero.alias("j"), F.when(F.col("lone"), 2).otherwise(1).alias("side"), "cls", "comp")
     rows = rows.filter("not whole")
     lone = rows.filter("lone").withColumn("bucket", F.explode(F.array(*(F.col("at") + i for i in (-1, 0, 1)))))
     both = lone.withColumn("side", F.lit(0)).unionByName(rows.withColumn("bucket", F.col("at")).withColumn("side", F.lit(1)))
     blocks = lambda side: F.ceil(F.greatest(F.count_if(F.col("side") == side) / BLOCK, F.sum(F.when(F.col("side") == side, F.col("size"))) / BLOCK_SHINGLES)).cast("int")
-    cells = checkpoint(both.groupBy("lead", "bucket").agg(blocks(0).alias("left"), blocks(1).alias("right"), F.count("*").alias("n")).filter("left > 0 and right > 0"))
+    cells = gathered(both.groupBy("lead", "bucket").agg(blocks(0).alias("left"), blocks(1).alias("right"), F.count("*").alias("n")).filter("left > 0 and right > 0"))
     both = hot_join(both, cells.drop("n"), ["lead", "bucket"], ["cls", "side"], counts=cells)
     own = F.pmod(F.xxhash64("cls"), F.when(F.col("side") == 0, F.col("left")).otherwise(F.col("right"))).cast("int")
     all_of = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("right")).otherwise(F.col("left")) - 1))
@@ -230,4 +230,4 @@ def _dealt(labelled: DataFrame, percent: int) -> DataFrame:
 def _exact(labelled: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between components that share a band."""
     met = _dealt(labelled, percent).join(texts.withColumnRenamed("id", "cls"), "cls")
-    return checkpoint(met.groupBy("lead", "bucket", "i", "j").applyInArrow(_meet(k, percent), "u long, v long").distinct())
+    return gathered(met.groupBy("lead", "bucket", "i", "j").applyInArrow(_meet(k, percent), "u long, v long").distinct())

@@ -58,3 +58,9 @@ def test_heap_is_given_back(spark, monkeypatch, share, collected):
     before = full()
     common.checkpoint(spark.range(10))
     assert (full() > before) == collected
+
+
+def test_line_dedup_of_the_pipeline_tasks(spark, many_parts):
+    got, tasks = _tasks(spark, lambda: lines.dedup_lines(_docs(spark), copies=0.8).orderBy("doc_id").collect())
+    assert len(got) == 61
+    assert tasks < 3200  # 4338 when every step read all parts of the one before
