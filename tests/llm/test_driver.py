@@ -4,7 +4,7 @@ import uuid
 
 import pytest
 
-from lexispark.llm import common, lines
+from lexispark.llm import common, lines, minhash
 
 
 @pytest.fixture
@@ -64,3 +64,12 @@ def test_line_dedup_of_the_pipeline_tasks(spark, many_parts):
     got, tasks = _tasks(spark, lambda: lines.dedup_lines(_docs(spark), copies=0.8).orderBy("doc_id").collect())
     assert len(got) == 61
     assert tasks < 3200  # 4338 when every step read all parts of the one before
+
+
+def test_near_duplicates_tasks(spark, many_parts):
+    base = " ".join(f"w{j}" for j in range(60))
+    rows = [(i, f"{base} {i}" if i < 20 else f"{base[: 100 + i]} z{i} " + " ".join(f"v{(i * 7 + j) % 90}" for j in range(30))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, tasks = _tasks(spark, lambda: minhash.near_duplicates(docs).orderBy("doc_id").collect())
+    assert all((r.component_id == 0) == (r.doc_id < 20) for r in got)
+    assert tasks < 4700  # 6266 when every step read all parts of the one before
