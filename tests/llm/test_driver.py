@@ -1,6 +1,9 @@
 """What the driver has to keep track of: tasks of little data, and heap that is not used."""
 
+import gc
+import time
 import uuid
+from pathlib import Path
 
 import pytest
 
@@ -73,3 +76,20 @@ def test_near_duplicates_tasks(spark, many_parts):
     got, tasks = _tasks(spark, lambda: minhash.near_duplicates(docs).orderBy("doc_id").collect())
     assert all((r.component_id == 0) == (r.doc_id < 20) for r in got)
     assert tasks < 4700  # 6266 when every step read all parts of the one before
+
+
+def test_freed_memory_is_given_back(spark):
+    """The C library would keep freed blocks below one that is still in use."""
+    jvm = spark._jvm
+    held = lambda: int(Path("/proc", jvm.java.io.File("/proc/self").getCanonicalFile().getName(), "statm").read_text().split()[1]) * 4096
+    blocks = [jvm.java.nio.ByteBuffer.allocateDirect(64 << 10) for _ in range(2000)]
+    kept, full = blocks[::50], held()
+    del blocks
+    for _ in range(3):
+        gc.collect()
+        jvm.java.lang.System.gc()
+        time.sleep(0.3)
+    freed = held()
+    common.checkpoint(spark.range(10))
+    assert len(kept) == 40
+    assert held() < full - (80 << 20), (full, freed, held())
