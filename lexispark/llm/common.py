@@ -53,15 +53,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def give_back(spark: SparkSession) -> None:
     """Returns memory that the driver's JVM holds but does not use. Its heap grows with the events of many short tasks and
-    would keep that size; a collection shrinks it to a few times what is alive. Nothing is done up to HEAP of the heap's limit.
+    would keep that size; a collection shrinks it to twice what is alive. Nothing is done up to HEAP of the heap's limit.
     What it has freed outside of the heap goes back each time."""
-    jvm = spark.sparkContext._jvm
-    runtime = jvm.java.lang.Runtime.getRuntime()
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
     if runtime.totalMemory() > HEAP * runtime.maxMemory():
-        jvm.java.lang.System.gc()
+        collect(spark)
     trim(spark)
 
 
+def collect(spark: SparkSession) -> None:
+    """Collects the driver's heap and leaves the least share of it free that the JVM allows (40 % by default, else up to 70 %)."""
+    lang = spark.sparkContext._jvm.java.lang
+    try:
+        flags = lang.management.ManagementFactory.getPlatformMXBean(lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+        least, most = (flags.getVMOption(f"{x}HeapFreeRatio").getValue() for x in ("Min", "Max"))
+        flags.setVMOption("MaxHeapFreeRatio", least)
+    except Py4JError:  # another JVM
+        lang.System.gc()
+        return
+    try:
+        lang.System.gc()
+    finally:
+        flags.setVMOption("MaxHeapFreeRatio", most)
+
+
 def trim(spark: SparkSession) -> str:
     """Returns freed memory of the JVM's C heap to the system, and what the JVM says to that.
 

@@ -93,3 +93,14 @@ def test_freed_memory_is_given_back(spark):
     common.checkpoint(spark.range(10))
     assert len(kept) == 40
     assert held() < full - (80 << 20), (full, freed, held())
+
+
+def test_collected_heap_is_small(spark):
+    lang = spark._jvm.java.lang
+    runtime = lang.Runtime.getRuntime()
+    flag = lambda: lang.management.ManagementFactory.getPlatformMXBean(lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")).getVMOption("MaxHeapFreeRatio").getValue()
+    lang.System.gc()
+    plain, before = runtime.totalMemory(), flag()
+    common.collect(spark)
+    assert runtime.totalMemory() < 0.75 * plain
+    assert flag() == before
