@@ -104,3 +104,13 @@ def test_collected_heap_is_small(spark):
     common.collect(spark)
     assert runtime.totalMemory() < 0.75 * plain
     assert flag() == before
+
+
+def test_near_duplicates_gives_back(spark, monkeypatch):
+    said, trim = [], common.trim
+    monkeypatch.setattr(common, "trim", lambda s: said.append(trim(s)))
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i j {i // 2}") for i in range(6)], "doc_id long, text string")
+    got = minhash.near_duplicates(docs, k=4).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == [0, 0, 2, 2, 4, 4]
+    assert len(said) >= 5
+    assert all("Trim native heap" in x for x in said)
