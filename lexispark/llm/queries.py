@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import decontaminate, embeddings, langid, licenses, lines, sharding, tokenfiles, warc
+from . import decontaminate, embeddings, langid, licenses, lines, pieces, sharding, tokenfiles, turns, warc, whitening
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack
@@ -71,8 +71,37 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_warc, op2_decontamination, op3_sharding, op4_embedding_neardup, op5_minhash, op6_token_counts, op7_language_id, op8_line_dedup, op9_license_scan, op10_best_fit_packing]
+    own = [
+        op1_warc,
+        op2_decontamination,
+        op3_sharding,
+        op4_embedding_neardup,
+        op5_minhash,
+        op6_token_counts,
+        op7_language_id,
+        op8_line_dedup,
+        op9_license_scan,
+        op10_best_fit_packing,
+        op11_sentencepiece,
+        op12_conversation_repair,
+        op13_embedding_whitening,
+    ]
     return {f.__name__: _shipped(f) for f in own}
 
 
@@ -157,5 +186,52 @@ FROM d LEFT JOIN z ON z.doc_id = d.doc_id
 """
 
 
+#: CRC-32 bit by bit; the cheapest edits by recursion over the turns, keeping the best of each state.
+OP12_SQL = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda c: [ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384::UBIGINT ELSE 0 END)), 4294967295::UBIGINT) % 20 AS kind
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, role[1:1] AS i FROM d),
+s AS (SELECT *, t = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 AS seen, lag(i) OVER (PARTITION BY conv_id ORDER BY rn) AS ahead FROM o),
+f AS (
+  SELECT *, NOT blank AND seen AS duplicate, NOT blank AND NOT seen AND t[-1:] NOT IN ('.', '!', '?') AS truncated, ahead IS NOT NULL AND (ahead || i) NOT IN ('su', 'ua', 'au') AS illegal FROM s),
+p AS (
+  SELECT conv_id, rn, role, text, i, blank OR duplicate AS must, CASE WHEN truncated THEN 3 ELSE 0 END AS pay FROM f),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS rows FROM f GROUP BY conv_id),
+-- One row for each conversation, number of turns read and state (0 nothing, 1 after s, 2 after u, 3 after a): least cost and audit, with the lines so far.
+w AS (
+  SELECT conv_id, 0::BIGINT AS rn, x.st, x.cost, x.audit, x.lines FROM n, (VALUES (0, 0, '', []::VARCHAR[]), (2, 3, 'I', ['user:']), (3, 6, 'II', ['user:', 'assistant:'])) x(st, cost, audit, lines)
+  UNION ALL
+  SELECT conv_id, rn, st, cost, audit, lines FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) AS place FROM (
+      SELECT conv_id, rn, unnest(
+        [{st: st, cost: cost, audit: audit, lines: lines}] ||
+        CASE WHEN st <> 2 THEN [{st: 2, cost: cost + 3, audit: audit || 'I', lines: lines || ['user:']}, {st: 3, cost: cost + 6, audit: audit || 'II', lines: lines || ['user:', 'assistant:']}]
+          ELSE [{st: 3, cost: cost + 3, audit: audit || 'I', lines: lines || ['assistant:']}] END, recursive := true)
+      FROM (
+        SELECT w.conv_id, p.rn, unnest(
+          [{st: w.st, cost: w.cost + 4, audit: w.audit || 'D', lines: w.lines}] ||
+          CASE WHEN NOT p.must AND p.i = 's' AND w.st = 0 THEN [{st: 1, cost: w.cost + p.pay, audit: w.audit || 'K', lines: w.lines || [p.role || ':' || p.text]}] ELSE [] END ||
+          CASE WHEN NOT p.must THEN [{st: CASE WHEN w.st = 2 THEN 3 ELSE 2 END,
+            cost: w.cost + p.pay + CASE WHEN p.i = CASE WHEN w.st = 2 THEN 'a' ELSE 'u' END THEN 0 ELSE 3 END,
+            audit: w.audit || CASE WHEN p.i = CASE WHEN w.st = 2 THEN 'a' ELSE 'u' END THEN 'K' ELSE 'R' END,
+            lines: w.lines || [CASE WHEN p.i = CASE WHEN w.st = 2 THEN 'a' ELSE 'u' END THEN p.role WHEN w.st = 2 THEN 'assistant' ELSE 'user' END || ':' || p.text]}] ELSE [] END, recursive := true)
+        FROM w JOIN p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.rn = w.rn + 1))) WHERE place = 1),
+b AS (
+  SELECT w.conv_id, w.cost, w.audit, w.lines, row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost, w.audit) AS place
+  FROM w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.rows = w.rn WHERE w.st IN (0, 3))
+SELECT c.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal,
+  coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.place = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": OP3_SQL, "op8_line_dedup": OP8_SQL, "op1_warc": OP1_SQL, "op4_embedding_neardup": OP4_SQL, "op5_minhash": OP5_SQL}
+    return {"op12_conversation_repair": OP12_SQL, "op3_sharding": OP3_SQL, "op8_line_dedup": OP8_SQL, "op1_warc": OP1_SQL, "op4_embedding_neardup": OP4_SQL, "op5_minhash": OP5_SQL}
