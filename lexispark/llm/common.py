@@ -6,7 +6,6 @@ import math
 import tempfile
 import uuid
 
-from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
-#: Share of its limit up to which the driver's heap may grow before it is collected, and bytes that a task reads of a checkpoint of many small parts.
-HEAP, PART_BYTES = 0.5, 4 << 20
+#: Bytes that a task reads of a checkpoint of many small parts.
+PART_BYTES = 4 << 20
 
 #: Rows of a join's key up to which it is left whole, and the most keys that are split.
 SPLIT, HOT_KEYS = 1000, 50_000
@@ -46,61 +45,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by files in the shared folder; they go when nothing refers to them any more."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint()
-    give_back(df.sparkSession)
-    return out
-
-
-def give_back(spark: SparkSession) -> None:
-    """Returns memory that the driver's JVM holds but does not use. Its heap grows with the events of many short tasks and
-    would keep that size; a collection shrinks it to twice what is alive. Nothing is done up to HEAP of the heap's limit.
-    What it has freed outside of the heap goes back each time."""
-    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
-    if runtime.totalMemory() > HEAP * runtime.maxMemory():
-        collect(spark)
-    trim(spark)
-
-
-def collect(spark: SparkSession) -> None:
-    """Collects the driver's heap and leaves the least share of it free that the JVM allows (40 % by default, else up to 70 %)."""
-    lang = spark.sparkContext._jvm.java.lang
-    try:
-        flags = lang.management.ManagementFactory.getPlatformMXBean(lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
-        least, most = (flags.getVMOption(f"{x}HeapFreeRatio").getValue() for x in ("Min", "Max"))
-        flags.setVMOption("MaxHeapFreeRatio", least)
-    except Py4JError:  # another JVM
-        lang.System.gc()
-        return
-    try:
-        lang.System.gc()
-    finally:
-        flags.setVMOption("MaxHeapFreeRatio", most)
-
-
-def trim(spark: SparkSession) -> str:
-    """Returns freed memory of the JVM's C heap to the system, and what the JVM says to that.
-
-    The C library keeps it by threads, of which a driver has hundreds (exchanges, broadcasts, block manager): some 200 MB
-    after one query. Nothing happens in a JVM that has no such command (before Java 17.0.9, or not on Linux).
-    """
-    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
-    lang = jvm.java.lang
-
-    def array(kind, *values):
-        out = gateway.new_array(kind, len(values))
-        for i, v in enumerate(values):
-            out[i] = v
-        return out
-
-    try:
-        server = lang.management.ManagementFactory.getPlatformMBeanServer()
-        named = [lang.Class.forName(c) for c in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
-        # By the interface: the server's own class is not open to reflection.
-        invoke = lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(lang.Class, *named))
-        bean = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
-        return invoke.invoke(server, array(lang.Object, bean, "systemTrimNativeHeap", None, None))
-    except Py4JError:
-        return ""
+    return df.checkpoint()
 
 
 def gathered(df: DataFrame) -> DataFrame:
@@ -155,6 +100,13 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], ho
     return salted.join(repeated, [*on, salt], how).drop(salt)
 
 
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], row_bytes: int, counts: DataFrame) -> DataFrame:
+    """``hot_join``, but ``right`` is broadcast where its counted size allows that. ``right`` should be a checkpoint, as it is counted."""
+    if small(right, row_bytes):
+        return left.join(F.broadcast(right), on)
+    return hot_join(left, right, on, by, counts=counts)
+
+
 def hadoop_fs(spark: SparkSession, path: str):
     """Hadoop's file system and Path for ``path``."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
 from .kernels import U, mix
 
 ORDER = 4
@@ -301,7 +302,7 @@ ADDED = {"lang_pred": T.StringType(), "score": T.DoubleType(), "cross_entropy":
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) and lang_pred, score, cross_entropy, rejected."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, t) for c, t in ADDED.items())])
     at = -1 if text_col not in keep else keep.index(text_col)
@@ -325,6 +326,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the models don't reject, with the columns as they are, whatever their names."""
+    apart = {c: fresh(f"_own_{c}", docs) for c in docs.columns if c.lower() in ADDED}
+    text = apart.get(text_col, text_col)
+    rows = identify(docs.withColumnsRenamed(apart), model, text).filter("not rejected")
+    return rows.select(*(F.col(apart.get(c, c)).alias(c) for c in docs.columns))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a row is kept out of the fit: crc32 of its id as text is 2 modulo 4 (a row without an id is not)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

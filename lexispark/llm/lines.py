@@ -15,7 +15,7 @@ broadcast. Counts are aggregated map-side, lines are never gathered by template,
 salted. Within a leaf 64-bit hashes stand for templates.
 
 With ``copies``, a document is left whole if it is a near-copy (by the Jaccard similarity of its sets of five-word
-shingles) of the document that keeps most of its lines, so that a near-duplicate stage that follows sees it as it
+shingles) of a document that keeps lines of it, so that a near-duplicate stage that follows sees it as it
 is; only documents that share COPIED of their tokens in lines are compared.
 
 Defined cases: a null or empty text and a row with a null id pass through unchanged; lines of fewer than
@@ -29,16 +29,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import fresh, gathered, hot_join, join_checked, small
+from .common import fresh, gathered, hot_join, join_checked, sized_join, small
 
 LEAD = 3
 #: Words of the shingles by which near-copies are told, and the share of tokens that these share in lines at least.
 SHINGLE, COPIED = 5, 0.2
 #: Comparisons of tokens (templates squared, by tokens) up to which a leaf's templates are compared as one array.
-WORK = 2_000_000
+WORK = 300_000_000
 FIELD = "<*>"
 #: White space within a line, all read as a blank.
 _BLANKS = "\t\r\f\x0b"
@@ -84,19 +85,20 @@ def template_lines(docs: DataFrame, id_col: str, text_col: str, min_tokens: int)
 
 
 def template_tokens(docs: DataFrame, held: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``held`` (leaf, tmpl, first, pos) with the hashes of the tokens after the first LEAD, read at its first line.
+    """``held`` (leaf, tmpl, first, pos, ...) with the hashes of the tokens after the first LEAD, read at its first line.
 
-    Texts of one id are told apart by what stands at the position.
+    Texts of one id are told apart by what stands at the position; where several hold the template, the row repeats.
     """
     wanted = held.groupBy(F.col("first").alias("doc")).agg(F.collect_set("pos").alias("wanted"))
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(wanted) if small(held, 32) else wanted, "doc")
     taken = lambda parts: F.transform("wanted", lambda i: F.get(parts, i))
-    rows = rows.select(F.explode(_let(F.split("text", "\n"), taken)).alias("line")).select(F.get(_masked(F.col("line")), F.lit(0)).alias("masked"))
+    rows = rows.select(F.explode(_let(F.split("text", "\n"), taken)).alias("line"))
+    rows = rows.select(F.get(_masked(F.col("line")), F.lit(0)).alias("masked"))
     rows = _coded(rows.withColumn("n", _n_tokens(F.col("masked"))))
     rest = F.split(F.expr("substring(masked, length(lead) + 2)"), " ")
-    rows = rows.select("leaf", "tmpl", F.transform(rest, lambda t: F.xxhash64(t)).alias("tokens")).dropDuplicates(["leaf", "tmpl"])
-    return held.join(rows, ["leaf", "tmpl"])
+    rows = rows.select("leaf", "tmpl", F.transform(rest, lambda t: F.xxhash64(t)).alias("tokens"))
+    return join_checked(rows, held, ["leaf", "tmpl"], "inner", 64)
 
 
 def _alike(a: Column | str, b: Column | str, similarity: float) -> Column:
@@ -109,97 +111,111 @@ def _needed(tokens: Column | str, similarity: float) -> Column:
     return F.ceil(F.lit(similarity) * F.size(tokens) - 1e-9).cast("int")
 
 
-def _blocks(similarity: float) -> Column:
+def _blocks(tokens: Column, similarity: float) -> Column:
     """Hashes of runs of tokens, one run more than tokens may differ: templates that are alike agree in one at least."""
-    size, needed = F.size("tokens"), _needed("tokens", similarity)
+    size, needed = F.size(tokens), _needed(tokens, similarity)
     n = size - needed + 1
     edge = lambda i: F.floor(i * size / n).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.slice("tokens", edge(i) + 1, edge(i + 1) - edge(i))))
+    runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.slice(tokens, edge(i) + 1, edge(i + 1) - edge(i))))
     return F.when(needed > 0, runs).otherwise(F.array(F.lit(0).cast("long")))
 
 
-def generalised(held: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, tmpl, into): each template that is like a leading one of its leaf, with the first of those.
+def _lead() -> Column:
+    """What is kept of a template: its rank (by falling documents, then first line), and the documents that hold it."""
+    rank = F.struct("docs", (-F.col("first")).alias("d"), (-F.col("pos")).alias("p"), "tmpl")
+    return F.struct(rank.alias("rank"), "tmpl", "docs", "first", "last", "tokens")
 
-    held: (leaf, of, tmpl, docs, first, pos, tokens); of is the number of the leaf's templates. By falling rank, a template
-    leads unless it is like a leading one before it. Leaves of bounded size are worked on as one array, larger ones by
-    rounds over all of them; both give the same.
-    """
-    held = held.withColumn("rank", F.struct("docs", (-F.col("first")).alias("d"), (-F.col("pos")).alias("p"), "tmpl"))
-    few = F.col("of") * F.col("of") * F.size("tokens") <= WORK
-    return _within_arrays(held.filter(few), similarity).unionByName(_by_rounds(held.filter(~few), similarity))
 
+def _plain(x: Column) -> Column:
+    return F.struct(*(x[c].alias(c) for c in ("tmpl", "docs", "first", "last")))
 
-def _within_arrays(held: DataFrame, similarity: float) -> DataFrame:
-    own = held.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("rank", "tokens")), asc=False).alias("own"))
-    start = F.struct(F.array().cast("array<struct<tmpl:bigint,tokens:array<bigint>>>").alias("leads"), F.array().cast("array<struct<tmpl:bigint,into:bigint>>").alias("out"))
 
-    def step(held: Column, x: Column) -> Column:
-        tmpl = x["rank"]["tmpl"]
-
-        def placed(alike: Column) -> Column:
-            new = F.size(alike) == 0
-            leads = F.when(new, F.concat(held["leads"], F.array(F.struct(tmpl.alias("tmpl"), x["tokens"].alias("tokens"))))).otherwise(held["leads"])
-            out = F.when(new, held["out"]).otherwise(F.concat(held["out"], F.array(F.struct(tmpl.alias("tmpl"), F.get(alike, F.lit(0))["tmpl"].alias("into")))))
-            return F.struct(leads.alias("leads"), out.alias("out"))
-
-        return _let(F.filter(held["leads"], lambda lead: _alike(lead["tokens"], x["tokens"], similarity)), placed)
+def generalised(held: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, own, into): each template that is like a leading one of its leaf, with the first of those; both are (tmpl,
+    docs, first, last).
+
+    held: (leaf, of, tmpl, docs, first, last, pos, tokens); of is the number of the leaf's templates. By falling rank, a
+    template leads unless it is like a leading one before it. The first templates of each leaf, as many as make WORK
+    comparisons, are worked on as one array. In larger leaves the others then meet the leading ones found, in runs of
+    tokens that they share; those that are like none are the next array. So rounds are templates of a leaf that are like
+    none before their block, by the size of an array.
+    """
+    few = F.col("of") * F.col("of") * F.size("tokens") <= WORK
+    rows = held.select("leaf", _lead().alias("x"), few.alias("few"))
+    merged = _folded(rows.filter("few"), similarity).select("leaf", F.explode("out").alias("m"))
+    left = rows.filter(~F.col("few")).select("leaf", "x")
+    if left.isEmpty():
+        return merged.select("leaf", "m.own", "m.into")
+    parts = [merged]
+    place = F.dense_rank().over(Window.partitionBy("leaf").orderBy(F.col("x.rank").desc()))
+    while not left.isEmpty():
+        numbered = left.withColumn("place", place)
+        most = F.greatest(F.sqrt(F.lit(WORK) / F.greatest(F.size("x.tokens"), F.lit(1))), F.lit(1))
+        numbered = gathered(numbered.select("leaf", "x", (F.col("place") <= most).alias("now")))
+        folded = gathered(_folded(numbered.filter("now"), similarity))
+        rest = numbered.filter(~F.col("now"))
+        runs = lambda rows: rows.select("leaf", "x", F.posexplode(_blocks(F.col("x.tokens"), similarity)).alias("b", "h"))
+        leads = runs(folded.select("leaf", F.explode("leads").alias("x"))).groupBy("leaf", "b", "h").agg(F.collect_list("x").alias("leads"))
+        met = hot_join(runs(rest), leads, ["leaf", "b", "h"], ["x"])
+        alike = F.filter("leads", lambda lead: _alike(lead["tokens"], F.col("x.tokens"), similarity))
+        met = met.select("leaf", "x", F.array_max(alike).alias("into")).filter("into is not null")
+        found = gathered(met.groupBy("leaf", "x.tmpl").agg(F.struct(F.first(_plain(F.col("x"))).alias("own"), _plain(F.max("into")).alias("into")).alias("m")))
+        parts += [folded.select("leaf", F.explode("out").alias("m")), found.select("leaf", "m")]
+        gone = found.select("leaf", F.col("m.own.tmpl").alias("tmpl"))
+        left = gathered(rest.withColumn("tmpl", F.col("x.tmpl")).join(gone, ["leaf", "tmpl"], "left_anti").select("leaf", "x"))
+    return reduce(DataFrame.unionByName, parts).select("leaf", "m.own", "m.into")
+
+
+def _folded(rows: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, leads, out) of rows (leaf, x): the leading templates, and (own, into) of the others."""
+    kind = rows.schema["x"].dataType
+    slim = StructType([f for f in kind.fields if f.name in ("tmpl", "docs", "first", "last")])
+    none = StructType([StructField("own", slim), StructField("into", slim)])
+    start = F.struct(F.array().cast(ArrayType(kind)).alias("leads"), F.array().cast(ArrayType(none)).alias("out"))
 
-    return own.select("leaf", F.explode(F.aggregate("own", start, step)["out"]).alias("x")).select("leaf", "x.tmpl", "x.into")
+    def step(held: Column, x: Column) -> Column:
+        def placed(lead: Column) -> Column:
+            new = lead.isNull()
+            out = F.concat(held["out"], F.array(F.struct(_plain(x).alias("own"), _plain(lead).alias("into"))))
+            return F.struct(F.when(new, F.concat(held["leads"], F.array(x))).otherwise(held["leads"]).alias("leads"), F.when(new, held["out"]).otherwise(out).alias("out"))
 
+        return _let(F.get(F.filter(held["leads"], lambda lead: _alike(lead["tokens"], x["tokens"], similarity)), F.lit(0)), placed)
 
-def _by_rounds(held: DataFrame, similarity: float) -> DataFrame:
-    """As those that are alike share a block, a template that comes first in all its blocks leads; each round compares all
-    of these with the templates in their blocks and takes them out. A template that is like one no longer comes first anywhere; it stays in those blocks where one
-    before its best so far may still lead. Pairs are made with leading templates only, so that no round has more
-    rows than templates have blocks.
-    """
-    none = F.lit(None).cast(held.schema["rank"].dataType)
-    blocks = gathered(held.select("leaf", "tmpl", "rank", none.alias("best"), F.posexplode(_blocks(similarity)).alias("b", "h")))
-    own = held.select("leaf", "tmpl", "tokens")
-    rounds = [held.select("leaf", "tmpl", none.alias("found")).filter("false")]
-    while True:
-        tops = blocks.groupBy("leaf", "b", "h").agg(F.max(F.when(F.col("best").isNull(), F.col("rank"))).alias("top"), F.count("*").alias("n")).filter("top is not null and n > 1")
-        met = hot_join(blocks, tops.drop("n"), ["leaf", "b", "h"], ["tmpl"], counts=tops)
-        met = gathered(met.filter("best is null or top > best"))
-        if met.isEmpty():
-            return reduce(DataFrame.unionByName, rounds).groupBy("leaf", "tmpl").agg(F.max("found")["tmpl"].alias("into"))
-        seen = met.filter("best is null").groupBy("leaf", "tmpl").agg(F.bool_and(F.col("top.tmpl") == F.col("tmpl")).alias("leads"))
-        leads = seen.filter("leads").select("leaf", "tmpl")
-        pairs = met.filter("top.tmpl <> tmpl").select("leaf", "tmpl", F.col("top.tmpl").alias("into"))
-        shared = pairs.groupBy("leaf", "into").agg(F.count("*").alias("n"))
-        into = held.join(leads, ["leaf", "tmpl"]).select("leaf", F.col("tmpl").alias("into"), F.col("tokens").alias("others"), "rank")
-        pairs = hot_join(pairs.distinct(), into, ["leaf", "into"], ["tmpl"], counts=shared).join(own, ["leaf", "tmpl"]).filter(_alike("tokens", "others", similarity))
-        found = gathered(pairs.groupBy("leaf", "tmpl").agg(F.max("rank").alias("found")))
-        rounds.append(found)
-        left = met.join(leads, ["leaf", "tmpl"], "left_anti").join(found, ["leaf", "tmpl"], "left")
-        best = F.greatest("best", "found")
-        blocks = gathered(left.select("leaf", "tmpl", "rank", best.alias("best"), "b", "h", "top").filter("best is null or top > best").drop("top"))
+    # Rows repeat where one id has several texts.
+    own = rows.groupBy("leaf").agg(F.sort_array(F.collect_set("x"), asc=False).alias("own"))
+    return own.select("leaf", F.aggregate("own", start, step).alias("all")).select("leaf", "all.leads", "all.out")
 
 
 def recurring(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_docs: int, similarity: float) -> DataFrame:
     """(leaf, tmpl, first, n): templates that recur, as themselves or by what they generalise to, with the first document
     and the number of documents that hold the template itself."""
     per_doc = lines.groupBy("leaf", "tmpl", "doc").agg(F.min("pos").alias("pos"))
-    found = gathered(per_doc.groupBy("leaf", "tmpl").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("pos")))
+    told = [F.count("*").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("pos")]
+    found = gathered(per_doc.groupBy("leaf", "tmpl").agg(*told))
 
-    # Leaves with several templates, the leading ones of each, and those that are like them.
-    mixed = found.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
-    several = hot_join(found, mixed.select("leaf", F.col("n").alias("of")), ["leaf"], ["tmpl"], counts=mixed)
+    # Leaves with several templates, and those that are like leading ones.
+    mixed = gathered(found.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1"))
+    several = sized_join(found, mixed.select("leaf", F.col("n").alias("of")), ["leaf"], ["tmpl"], 24, counts=mixed)
     held = gathered(template_tokens(docs, gathered(several), id_col, text_col))
     merged = gathered(generalised(held, similarity))
-    members = merged.unionByName(merged.select("leaf", F.col("into").alias("tmpl"), "into").distinct())
 
     least = max(2, min_docs)
-    alone = join_checked(found.filter(F.col("docs") >= least).select("leaf", "tmpl", "first", F.col("docs").alias("n")), members.select("leaf", "tmpl"), ["leaf", "tmpl"], "left_anti", 32)
-    groups = found.join(members, ["leaf", "tmpl"]).groupBy("leaf", "into").agg(F.max("docs").alias("most"), F.min("first").alias("first"), F.max("last").alias("last"))
-    sure = groups.filter((F.col("most") >= least) | (F.lit(least == 2) & (F.col("first") < F.col("last"))))
+    ends = [F.min(F.least("own.first", "into.first")).alias("first"), F.max(F.greatest("own.last", "into.last")).alias("last")]
+    groups = gathered(merged.groupBy("leaf", "into").agg(F.max(F.greatest("own.docs", "into.docs")).alias("most"), *ends, F.count("*").alias("n")))
+    sure = groups.filter((F.col("most") >= least) | (F.lit(least == 2) & (F.col("first") < F.col("last")))).select("leaf", "into", "first", "n")
+    members = merged.select("leaf", F.col("own.tmpl").alias("tmpl"), "into", F.col("own.docs").alias("docs"))
+    leads = groups.select("leaf", F.col("into.tmpl").alias("tmpl"), "into", F.col("into.docs").alias("docs"))
     if least > 2:  # of templates that all have fewer documents the different ones are counted
-        rare = members.join(groups.filter(F.col("most") < least).select("leaf", "into"), ["leaf", "into"])
+        rare = members.unionByName(leads).join(groups.filter(F.col("most") < least).select("leaf", "into"), ["leaf", "into"])
         counted = lines.select("leaf", "tmpl", "doc").join(rare, ["leaf", "tmpl"]).groupBy("leaf", "into").agg(F.countDistinct("doc").alias("docs"), F.min("doc").alias("first"))
-        sure = sure.select("leaf", "into", "first").unionByName(counted.filter(F.col("docs") >= least).select("leaf", "into", "first"))
-    united = members.join(sure.select("leaf", "into", "first"), ["leaf", "into"]).join(found.select("leaf", "tmpl", F.col("docs").alias("n")), ["leaf", "tmpl"])
-    return gathered(alone.unionByName(united.select("leaf", "tmpl", "first", "n")))
+        counted = counted.filter(F.col("docs") >= least).join(groups.select("leaf", "into", "n"), ["leaf", "into"])
+        sure = gathered(sure.unionByName(counted.select("leaf", "into", "first", "n")))
+    taken = members.select("leaf", "tmpl").unionByName(leads.select("leaf", "tmpl"))
+    alone = found.filter(F.col("docs") >= least).select("leaf", "tmpl", "first", F.col("docs").alias("n"))
+    alone = alone.join(F.broadcast(taken) if small(merged, 16) else taken, ["leaf", "tmpl"], "left_anti")
+    united = sized_join(members, sure.drop("n"), ["leaf", "into"], ["tmpl"], 64, counts=sure)
+    firsts = sure.select("leaf", F.col("into.tmpl").alias("tmpl"), "first", F.col("into.docs").alias("n"))
+    return gathered(alone.unionByName(united.select("leaf", "tmpl", "first", F.col("docs").alias("n"))).unionByName(firsts))
 
 
 def _shingles(text: Column) -> Column:
@@ -215,20 +231,26 @@ def _shingles(text: Column) -> Column:
 
 
 def _near_copies(docs: DataFrame, lines: DataFrame, hit: DataFrame, id_col: str, text_col: str, copies: float) -> DataFrame:
-    """(doc, key) of documents like the one that keeps most of their lines, by the shingles of whole texts."""
-    shared = hit.groupBy("doc", "key", "first").agg(F.sum("n").alias("s")).groupBy("doc", "key").agg(F.max_by("first", "s").alias("first"), F.max("s").alias("s"))
-    tokens = lines.groupBy("doc", "key").agg(F.sum("n").alias("tokens"))
+    """(doc, key) of documents like one that keeps lines of theirs, by the shingles of whole texts.
+
+    A document is compared with each keeper of at least COPIED of its tokens, of which there are 1 / COPIED at most.
+    """
+    shared = hit.groupBy("doc", "key", "first").agg(F.sum("n").alias("s"))
+    tokens = gathered(lines.groupBy("doc", "key").agg(F.sum("n").alias("tokens")))
     pairs = gathered(shared.join(tokens, ["doc", "key"]).filter(F.col("s") >= COPIED * F.col("tokens")))
     others = tokens.select(F.col("doc").alias("first"), F.col("key").alias("other"), F.col("tokens").alias("theirs"))
-    pairs = gathered(hot_join(pairs, others, ["first"], ["doc", "key"]).filter(F.col("s") >= COPIED * F.col("theirs")).select("doc", "key", "first", "other"))
+    pairs = hot_join(pairs, others, ["first"], ["doc", "key"]).filter(F.col("s") >= COPIED * F.col("theirs"))
+    pairs = gathered(pairs.select("doc", "key", "first", "other"))
     wanted = pairs.select("doc", "key").unionByName(pairs.select(F.col("first").alias("doc"), F.col("other").alias("key"))).distinct()
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = join_checked(texts, wanted, ["doc", "key"], "left_semi", 32)
+    texts = join_checked(texts, gathered(wanted), ["doc", "key"], "left_semi", 32)
     sets = gathered(texts.select("doc", "key", _shingles(F.col("text")).alias("a")))
     both = pairs.join(sets, ["doc", "key"])
-    both = hot_join(both, sets.select(F.col("doc").alias("first"), F.col("key").alias("other"), F.col("a").alias("b")), ["first", "other"], ["doc", "key"], counts=pairs.groupBy("first", "other").agg(F.count("*").alias("n")))
+    theirs = sets.select(F.col("doc").alias("first"), F.col("key").alias("other"), F.col("a").alias("b"))
+    both = hot_join(both, theirs, ["first", "other"], ["doc", "key"], counts=pairs.groupBy("first", "other").agg(F.count("*").alias("n")))
     both = both.withColumn("same", F.size(F.array_intersect("a", "b")))
-    return both.filter(F.col("same") >= F.lit(copies) * (F.size("a") + F.size("b") - F.col("same")) - 1e-9).select("doc", "key").distinct()
+    alike = F.col("same") >= F.lit(copies) * (F.size("a") + F.size("b") - F.col("same")) - 1e-9
+    return both.filter(alike).select("doc", "key").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_tokens: int = 4, min_docs: int = 2, similarity: float = 0.7, copies: float | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, hot_join, join_checked
+from .common import gathered, hot_join, join_checked, sized_join
 from .graph import components
 from .kernels import U, common, mix, text_sets
 
@@ -139,8 +139,7 @@ def _meet(k: int, percent: int):
 
 
 def _text_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified pairs (a, b). The text of the hub side a meets its pairs last, once for each salt of a large hub."""
-    pairs = gathered(pairs)
+    """Verified pairs (a, b) of a checkpoint of pairs. The text of the hub side a meets its pairs last, once for each salt of a large hub."""
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
     hubs = pairs.groupBy("a").agg(F.count("*").alias("n"))
     both = hot_join(both, texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), ["a"], ["b"], counts=hubs)
@@ -163,37 +162,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     banded = classes.select("cls", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min(F.struct("cls", "size")).alias("a"), F.max(F.struct("cls", "size")).alias("z"), F.count("*").alias("n")).filter("a.cls < z.cls")
-    members = gathered(hot_join(banded, shared.drop("n"), ["band"], ["cls"], counts=shared).select("band", "cls", "size", "a", "z"))
+    shared = gathered(shared)
+    members = gathered(sized_join(banded, shared.drop("n"), ["band"], ["cls"], 64, counts=shared).select("band", "cls", "size", "a", "z"))
     near = lambda x, y: (F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-    wanted = members.select(F.col("cls").alias("id")).distinct()
+    wanted = gathered(members.select(F.col("cls").alias("id")).distinct())
     texts = join_checked(plain, wanted, ["id"], "left_semi", 16)
 
     # Alike sets differ in size by 100 / percent at most. First against the smallest text of each band; then, where a band still falls apart, against its largest.
-    first = members.filter((F.col("a.cls") != F.col("cls")) & near(F.col("a.size"), F.col("size"))).select(F.col("a.cls").alias("a"), F.col("cls").alias("b")).distinct()
+    first = members.filter((F.col("a.cls") != F.col("cls")) & near(F.col("a.size"), F.col("size")))
+    first = gathered(first.select(F.col("a.cls").alias("a"), F.col("cls").alias("b")).distinct())
     links = links.unionByName(_text_pairs(first, texts, k, percent))
     labelled, is_open = _labelled(members, links)
     if is_open:
-        heads = labelled.groupBy("band").agg(F.max_by("comp", "cls").alias("z_comp"), F.count("*").alias("n"))
-        tried = hot_join(labelled, heads.drop("n"), ["band"], ["cls"], counts=heads).filter((F.col("z_comp") != F.col("comp")) & near(F.col("z.size"), F.col("size"))).select(F.col("z.cls").alias("a"), F.col("cls").alias("b")).distinct()
-        tried = tried.join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        heads = gathered(labelled.groupBy("band").agg(F.max_by("comp", "cls").alias("z_comp"), F.count("*").alias("n")))
+        tried = sized_join(labelled, heads.drop("n"), ["band"], ["cls"], 32, counts=heads)
+        tried = tried.filter((F.col("z_comp") != F.col("comp")) & near(F.col("z.size"), F.col("size"))).select(F.col("z.cls").alias("a"), F.col("cls").alias("b")).distinct()
+        tried = gathered(join_checked(tried, first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti", 16))
         links = links.unionByName(_text_pairs(tried, texts, k, percent))
         labelled, is_open = _labelled(members, links)
     if is_open:
         links = links.unionByName(_exact(labelled, texts, k, percent))
-    found = components(links)
+    found = gathered(components(links))
 
     ids = signed.filter("id is not null").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
-    out = ids.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    out = join_checked(ids, found.withColumnRenamed("node", "id"), ["id"], "left", 16).withColumn("component_id", F.coalesce("component_id", "id"))
     out = out.unionByName(signed.filter("id is null").select("id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
     """The rows of bands that hold more than one component so far, with their component; whether there are any."""
-    comps = components(links).select(F.col("node").alias("cls"), F.col("component_id").alias("comp"))
-    named = gathered(members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
-    apart = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    out = gathered(hot_join(named, apart.select("band"), ["band"], ["cls"], counts=apart))
+    comps = gathered(components(links).select(F.col("node").alias("cls"), F.col("component_id").alias("comp")))
+    named = gathered(join_checked(members, comps, ["cls"], "left", 16).withColumn("comp", F.coalesce("comp", "cls")))
+    apart = gathered(named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi"))
+    out = gathered(sized_join(named, apart.select("band"), ["band"], ["cls"], 16, counts=apart))
     return out, not out.isEmpty()
 
 

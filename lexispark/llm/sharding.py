@@ -9,6 +9,10 @@ deleted only when asked for.
 
 Only listings and sizes of files pass through the driver, never rows.
 
+Each run keeps its schema in the manifest, and a store is read and compacted with the united one: columns that an arrival
+lacks are null, whole numbers widen to the longest, float to double (names ignore case, the first spelling stays); an arrival whose types
+can't be united with those that are there is refused before it is committed.
+
 Defined cases: an empty arrival commits no shard; repeated rows, nulls and any columns are kept as they are; reading a
 store without a manifest gives an error; compaction with nothing to do commits nothing, and one whose runs another
 compaction has taken starts again. The rename must be atomic where the store is kept (HDFS, local and most shared file
@@ -23,17 +27,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh, hadoop_fs, shared_path
 
 #: Bytes of a shard that compaction aims at, runs of a tier that start it, and the size ratio between tiers.
 TARGET, FAN_IN, RATIO = 128 << 20, 4, 4
+#: Times that a commit starts again after another writer's.
+ATTEMPTS = 100
+#: Types that widen to the last one of those met.
+_WIDER = [[T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()], [T.FloatType(), T.DoubleType()]]
 
 
 class Conflict(RuntimeError):
     """Another writer has committed the version."""
 
 
+def united(schemas: list[T.StructType]) -> T.StructType:
+    """The columns of all schemas, each nullable; raises TypeError where the types of a column can't be united."""
+    out: dict[str, T.StructField] = {}
+    for field in (f for s in schemas for f in s.fields):
+        old = out.setdefault(field.name.lower(), T.StructField(field.name, field.dataType))
+        if old.dataType != field.dataType:
+            row = next((w for w in _WIDER if old.dataType in w and field.dataType in w), None)
+            if row is None:
+                raise TypeError(f"column {field.name} is {old.dataType.simpleString()} in one arrival and {field.dataType.simpleString()} in another")
+            out[field.name.lower()] = T.StructField(old.name, max(old.dataType, field.dataType, key=row.index))
+    return T.StructType(list(out.values()))
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET, fan_in: int = FAN_IN):
         self.spark, self.path, self.target, self.fan_in = spark, path.rstrip("/"), target_bytes, fan_in
@@ -81,7 +103,7 @@ class ShardStore:
         return new
 
     def _retry(self, change) -> dict:
-        while True:
+        for _ in range(ATTEMPTS):
             base = self.manifest()
             runs = change(base["runs"])
             if runs is None:
@@ -90,6 +112,24 @@ class ShardStore:
                 return self.commit(base, runs)
             except Conflict:
                 continue
+        raise Conflict(f"other writers committed {ATTEMPTS} times in between")
+
+    def _added(self, run: dict | None):
+        """The change that appends ``run``; raises TypeError if its columns don't go with those that are there."""
+
+        def change(runs: list[dict]) -> list[dict] | None:
+            if run:
+                united([T.StructType.fromJson(r["schema"]) for r in [*runs, run] if "schema" in r])
+            return [*runs, run] if run else None
+
+        return change
+
+    def _rows(self, runs: list[dict]) -> DataFrame:
+        """The rows of ``runs`` in their united schema (read from the files where a manifest has none)."""
+        files = [f"{self.path}/{f['path']}" for r in runs for f in r["files"]]
+        if all("schema" in r for r in runs):
+            return self.spark.read.schema(united([T.StructType.fromJson(r["schema"]) for r in runs])).parquet(*files)
+        return self.spark.read.option("mergeSchema", "true").parquet(*files)
 
     # shards
 
@@ -105,8 +145,7 @@ class ShardStore:
         """Writes one arrival as a run of the shards its partitions make, and commits it."""
         name = uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/data/{name}")
-        run = self._run(name, f"data/{name}", tags or {})
-        return self._retry(lambda runs: [*runs, run] if run else None)
+        return self._retry(self._added(self._run(name, f"data/{name}", {**(tags or {}), "schema": rows.schema.jsonValue()})))
 
     def append_batches(self, rows: DataFrame, batch_col: str) -> dict:
         """Writes all arrivals (values of ``batch_col``; null is one of them) in one job; each becomes a run and a version of its own, in order."""
@@ -118,8 +157,8 @@ class ShardStore:
         batches = sorted((s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()), key=lambda x: (len(x), x))
         made = self.manifest()
         for batch in batches:
-            run = self._run(f"{name}-{batch}", f"data/{name}/{batch}", {"batch": batch.partition("=")[2]})
-            made = self._retry(lambda runs, run=run: [*runs, run] if run else None)
+            run = self._run(f"{name}-{batch}", f"data/{name}/{batch}", {"batch": batch.partition("=")[2], "schema": rows.schema.jsonValue()})
+            made = self._retry(self._added(run))
         return made
 
     def tier(self, size: int) -> int:
@@ -150,10 +189,9 @@ class ShardStore:
 
     def _merge(self, runs: list[dict]) -> dict:
         name, total = uuid.uuid4().hex, sum(r["bytes"] for r in runs)
-        files = [f"{self.path}/{f['path']}" for r in runs for f in r["files"]]
-        rows = self.spark.read.parquet(*files)
+        rows = self._rows(runs)
         rows.coalesce(max(1, round(total / self.target))).write.parquet(f"{self.path}/data/{name}")
-        return self._run(name, f"data/{name}", {"merged": [r["name"] for r in runs]})
+        return self._run(name, f"data/{name}", {"merged": [r["name"] for r in runs], "schema": rows.schema.jsonValue()})
 
     def vacuum(self) -> int:
         """Deletes shards that the newest manifest does not list (readers of older versions must be done); their number."""
@@ -169,10 +207,10 @@ class ShardStore:
         return n
 
     def read(self, version: int | None = None) -> DataFrame:
-        files = [f"{self.path}/{f['path']}" for r in self.manifest(version)["runs"] for f in r["files"]]
-        if not files:
+        runs = self.manifest(version)["runs"]
+        if not runs:
             raise FileNotFoundError(f"{self.path} has no shard")
-        return self.spark.read.parquet(*files)
+        return self._rows(runs)
 
 
 def shard_round_trip(docs: DataFrame, batch_col: str, target_bytes: int = TARGET) -> DataFrame:

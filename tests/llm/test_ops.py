@@ -351,7 +351,7 @@ def test_line_dedup_compares_tokens(spark):
     assert out == {1: [], 2: [0], 3: [0], 4: []}
 
 
-@pytest.mark.parametrize("work", [0, lines.WORK])
+@pytest.mark.parametrize("work", [3000, lines.WORK])
 def test_line_dedup_keeps_several_groups_of_a_leaf(spark, monkeypatch, work):
     monkeypatch.setattr(lines, "WORK", work)
     rng, head = random.Random(3), "one two three "
@@ -400,7 +400,7 @@ def test_line_dedup_clashing_columns_ties_and_short_lines(spark):
     assert [r["dropped"] for r in lines.dedup_lines(many, min_docs=6, similarity=0.5).orderBy("doc_id").collect()] == [[]] + [[0]] * 5
 
 
-@pytest.mark.parametrize("work", [0, lines.WORK])
+@pytest.mark.parametrize("work", [3000, lines.WORK])
 def test_line_dedup_of_a_template_that_is_like_several(spark, monkeypatch, work):
     """It belongs to the first of them, whenever that is found to lead."""
     monkeypatch.setattr(lines, "WORK", work)
@@ -627,3 +627,43 @@ def test_files_are_not_local(tmp_path):
     for path in (str(tmp_path), f"file://{tmp_path}"):
         fs, inner = warc.open_fs(path)
         assert fs.get_file_info(inner).path == str(Path(tmp_path))
+
+
+@pytest.mark.parametrize("wide_first", [True, False])
+def test_shards_of_arrivals_with_different_columns(spark, tmp_path, wide_first):
+    wide = spark.createDataFrame([(2, "y", "z")], "id int, A string, b string")
+    slim = spark.createDataFrame([(1, "x", 1.5)], "id long, a string, c float")
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), fan_in=2)
+    for rows in (wide, slim) if wide_first else (slim, wide):
+        store.append(rows)
+    want = [(1, "x", None, 1.5), (2, "y", "z", None)]
+    told = lambda: sorted(map(tuple, store.read().select("id", "a", "b", "c").collect()))
+    assert told() == want
+    store.compact()
+    assert store.vacuum() >= 2 and len(store.manifest()["runs"]) == 1
+    assert told() == want
+    with pytest.raises(TypeError, match="column a"):
+        store.append(spark.createDataFrame([(3, 4)], "id int, a int"))
+    assert told() == want
+
+
+def test_shards_give_up_under_contention(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"))
+
+    def taken(base, runs):
+        raise sharding.Conflict("taken")
+
+    monkeypatch.setattr(store, "commit", taken)
+    with pytest.raises(sharding.Conflict, match="in between"):
+        store.append(spark.range(1))
+
+
+def test_language_id_keeps_columns_named_like_its_own(spark):
+    rows = [(i, "the cat sat on the mat and looked" if i % 2 else "le chat est sur le tapis et regarde", "en" if i % 2 else "fr", i * 1.5, "mine") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (99, "123", "en", 9.0, "mine")], "doc_id long, text string, lang string, SCORE double, Rejected string")
+    model = langid.train(docs)
+    out = langid.accepted(docs, model)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == sorted(rows)
+    replaced = langid.identify(docs, model)
+    assert replaced.columns == ["doc_id", "text", "lang", "lang_pred", "score", "cross_entropy", "rejected"]
