@@ -17,7 +17,7 @@ SIMILAR = 80
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models reject go."""
     model = langid.train(docs, usable=~langid.held_out())
-    return langid.identify(docs, model).filter("not rejected").select(*docs.columns)
+    return langid.accepted(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
