@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import json
 import tomllib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .backends import _descending, words
 
 CONFIDENCE, PER_HIT, MOST_EXTRA, FUZZY = 0.8, 0.05, 0.15, 0.7
+#: Likeness in percent from which a word counts as a hint.
+RATIO = 80
 #: Rows of a hint table up to which it is broadcast.
 BROADCAST_ROWS = 200_000
+#: Entries of a table of letters' places.
+TABLE = 4_000_000
 
 
 def _joinable(hints: DataFrame) -> DataFrame:
@@ -153,8 +159,103 @@ def fuzzy_matches(found: DataFrame, hints: DataFrame) -> DataFrame:
     return met.groupBy(F.col("w").alias("word")).agg(F.min_by("lang", "h").alias("lang"))
 
 
-def lookup(texts: DataFrame, hints: DataFrame, fuzzy: bool = True, confidence: float = CONFIDENCE) -> DataFrame:
-    """(id, lang, confidence, kind): the language with most exact hits, else with most fuzzy ones; ties go to the first alphabetically."""
+def common_letters(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The length of the longest common subsequence of each two words, bit-parallel over the first one's letters.
+
+    All pairs of a batch go together, a letter of the second words at a time: a table has the places of each letter in
+    each distinct first word. First words of over 64 letters, which a number can't hold, go one by one.
+    """
+    for a, b in pairs:
+        (of_a, firsts), (of_b, seconds) = pd.factorize(a), pd.factorize(b)
+        out = np.zeros(len(a), np.int32)
+        size = np.array([len(w) for w in firsts], np.int64)
+        codes, letters = np.unique(np.frombuffer("".join([*firsts, *seconds]).encode("utf-32-le"), "<u4"), return_inverse=True)
+        length = np.array([len(w) for w in seconds], np.int64)
+        after = np.zeros((len(seconds), max(length, default=0)), np.int64)  # 0 behind the end
+        row = np.repeat(np.arange(len(seconds)), length)
+        after[row, np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)] = letters[size.sum() :] + 1
+        for i in np.flatnonzero(size[of_a] > 64):
+            out[i] = _common_of_long(firsts[of_a[i]], seconds[of_b[i]])
+        starts, step = np.cumsum(size) - size, max(1, TABLE // (len(codes) + 1))
+        for low in range(0, len(firsts), step):
+            own = np.flatnonzero(size[low : low + step] <= 64) + low
+            places = np.zeros((min(step, len(firsts) - low), len(codes) + 1), np.uint64)
+            at = np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
+            np.bitwise_or.at(places, (np.repeat(own - low, size[own]), letters[np.repeat(starts[own], size[own]) + at] + 1), np.uint64(1) << at.astype(np.uint64))
+            rows = np.flatnonzero((of_a >= low) & (of_a < low + step) & (size[of_a] <= 64))
+            free = np.full(len(rows), ~np.uint64(0))
+            for letter in after[of_b[rows]].T:
+                same = places[of_a[rows] - low, letter]
+                free = (free + (free & same)) | (free & ~same)
+            n = size[of_a[rows]].astype(np.uint64)
+            out[rows] = np.bitwise_count(~free & (~np.uint64(0) >> (np.uint64(64) - np.maximum(n, np.uint64(1)))))
+        yield pd.Series(out)
+
+
+def _common_of_long(a: str, b: str) -> int:
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    free = every = (1 << len(a)) - 1
+    for c in b:
+        same = where.get(c, 0)
+        free = ((free + (free & same)) | (free & ~same)) & every
+    return len(a) - free.bit_count()
+
+
+def _share(x: Column, i: Column, n: Column) -> Column:
+    """The i-th of n borders that cut ``x`` letters evenly."""
+    return F.floor(i * x / n).cast("int")
+
+
+def ratio_matches(found: DataFrame, hints: DataFrame, percent: int = RATIO) -> DataFrame:
+    """(word, hint, lang, ratio): for each distinct ``word`` of at least 3 letters the hint most like it, of those at or above
+    ``percent``; ties go to the first hint alphabetically.
+
+    The ratio is 200 times the longest common subsequence by the sum of the lengths, so alike words differ by at most
+    D = (100 - percent) % of that sum in letters put in or taken out. Of D + 1 pieces of the hint one stands in the word
+    unchanged, with at most as many differences before it as there are pieces before it, and likewise behind. Each
+    word therefore offers, for each length that a hint may have, its substrings at those places, and pairs meet by
+    equal hashes of (length, D, piece, letters): an equi-join that loses no pair, whose candidates are then checked.
+    """
+    w, a, h = F.col("w"), F.char_length("w"), F.char_length("h")
+    slack = lambda a, b: F.floor((100 - percent) * (a + b) / 100 + 1e-9).cast("int")
+    # Of alike words the common letters are percent / 200 of the sum, and at most the shorter one's.
+    span = lambda n: (F.ceil(n * percent / (200 - percent) - 1e-9).cast("int"), F.floor(n * (200 - percent) / percent + 1e-9).cast("int"))
+    key = lambda b, d, i, text: F.xxhash64(b, d, i, text)
+
+    def offered(b: Column) -> Column:
+        d = slack(a, b)
+
+        def piece(i: Column) -> Column:
+            start, size = _share(b, i, d + 1), _share(b, i + 1, d + 1) - _share(b, i, d + 1)
+            low = F.greatest(start - i, start + (a - b) - (d - i), F.lit(0))
+            high = F.least(start + i, start + (a - b) + (d - i), a - size)
+            places = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda at: key(b, d, i, F.substring(w, at + 1, size)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), d), piece))
+
+    def kept(d: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), d), lambda i: key(h, d, i, F.substring(F.col("h"), _share(h, i, d + 1) + 1, _share(h, i + 1, d + 1) - _share(h, i, d + 1))))
+
+    left = found.select(F.col("word").alias("w")).distinct().filter(a >= 3)
+    left = left.select("w", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(*span(a)), offered)))).alias("key"))
+    right = hints.filter("word <> ''").groupBy(F.col("word").alias("h")).agg(F.min("lang").alias("lang"))
+    least, most = span(h)
+    right = right.select("h", "lang", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(slack(h, least), slack(h, most)), kept)))).alias("key"))
+    met = left.join(_joinable(right), "key").select("w", "h", "lang").distinct()
+    common = F.pandas_udf("int")(common_letters)
+    met = met.withColumn("common", common("w", "h")).filter(200 * F.col("common") >= percent * (a + h))
+    best = met.groupBy("w").agg(F.min(F.struct((-200 * F.col("common") / (a + h)).alias("less"), F.col("h").alias("hint"), "lang")).alias("m"))
+    return best.select(F.col("w").alias("word"), "m.hint", "m.lang", (-F.col("m.less")).alias("ratio"))
+
+
+def lookup(texts: DataFrame, hints: DataFrame, fuzzy: bool | str = True, confidence: float = CONFIDENCE) -> DataFrame:
+    """(id, lang, confidence, kind): the language with most exact hits, else with most fuzzy ones; ties go to the first alphabetically.
+
+    fuzzy: "ratio" matches words by ``ratio_matches``, True or "edit" by one edit, False not at all.
+    """
     found = tokens(texts)
     exact = found.join(_joinable(hints), "word").groupBy("id", "lang").agg(F.count("*").alias("n"))
     best = lambda rows: rows.groupBy("id").agg(F.max_by("lang", F.struct("n", _descending("lang"))).alias("lang"), F.max("n").alias("n"))
@@ -162,5 +263,6 @@ def lookup(texts: DataFrame, hints: DataFrame, fuzzy: bool = True, confidence: f
     if not fuzzy:
         return out
     rest = found.join(out.select("id"), "id", "left_anti")
-    near = rest.join(fuzzy_matches(rest, hints), "word").groupBy("id", "lang").agg(F.count("*").alias("n"))
+    matches = ratio_matches(rest, hints) if fuzzy == "ratio" else fuzzy_matches(rest, hints)
+    near = rest.join(matches, "word").groupBy("id", "lang").agg(F.count("*").alias("n"))
     return out.unionByName(best(near).select("id", "lang", F.lit(confidence * FUZZY).alias("confidence"), F.lit("fuzzy").alias("kind")))

@@ -132,6 +132,23 @@ def hnt05_08_lookup(spark, sf_dir):
     return out.select("id", "lang", F.round("confidence", 6).alias("confidence"), "kind")
 
 
+#: Common letters bit by bit: bits of the first word that no letter of the second has used yet stay set.
+@query(rf"""WITH wd AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[{W}]+')) AS word FROM conversations),
+hd AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[{W}]+')) AS hint FROM benchmark),
+ws AS (SELECT word, length(word) AS a, list_transform(string_split(word, ''), lambda c, i: {{'c': c, 'i': i}}) AS cs FROM wd WHERE length(word) >= 3),
+wm AS (SELECT word, a, (1::HUGEINT << a) - 1 AS every, map_from_entries(list_transform(list_distinct(list_transform(cs, lambda x: x.c)),
+  lambda c: {{'k': c, 'v': list_sum(list_transform(cs, lambda x: CASE WHEN x.c = c THEN 1::HUGEINT << (x.i - 1) ELSE 0 END))::HUGEINT}})) AS masks FROM ws),
+pr AS (SELECT word, hint, a, length(hint) AS b, every, list_prepend(every, list_transform(string_split(hint, ''), lambda c: coalesce(masks[c], 0::HUGEINT))) AS steps
+  FROM wm, hd WHERE 5 * least(a, length(hint)) >= 2 * (a + length(hint))),
+sc AS (SELECT word, hint, a, b, a - bit_count(list_reduce(steps, lambda v, m: ((v + (v & m)) | (v & (every - m))) & every)) AS common FROM pr)
+SELECT word, hint, round(200 * common / (a + b), 6) AS ratio FROM sc WHERE 5 * common >= 2 * (a + b) QUALIFY row_number() OVER (PARTITION BY word ORDER BY common / (a + b) DESC, hint) = 1""")
+def hnt07_ratio(spark, sf_dir):
+    """The words of conversations, each with the word of benchmark texts that is most like it."""
+    distinct = lambda name: table(spark, sf_dir, name, "text").select(F.explode(B.words(F.col("text"))).alias("word")).distinct()
+    found = H.ratio_matches(distinct("conversations"), distinct("benchmark").withColumn("lang", F.lit("en")))
+    return found.select("word", "hint", F.round("ratio", 6).alias("ratio"))
+
+
 _MORE = [("the", "xx"), ("neu", "de")]
 
 

@@ -100,6 +100,46 @@ def test_fuzzy_is_complete(spark):
     assert found == {w: min(h for h in hints if near(w, h)) for w in words if any(near(w, h) for h in hints)}
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_ratio_is_complete(spark, percent):
+    """All pairs at or above the threshold are met, those at exactly it included; one word is longer than 64 letters."""
+    import random
+
+    rng = random.Random(1)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    hints = sorted({word("abcé", rng.randrange(1, 14)) for _ in range(150)} | {"ab" * 40, "abcde", "😀bcd"})
+    words = {word("abcé", rng.randrange(1, 14)) for _ in range(150)} | {"ab" * 41, "abcxe", "😀bce", "ab", "q" * 80}
+    for h in hints:  # a few letters off
+        own = list(h)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own)) : rng.randrange(len(own) + 1)] = rng.choice(["", "z", "a"])
+            own = own or ["z"]
+        words.add("".join(own))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+            row = new
+        return row[-1]
+
+    want, exact = {}, 0
+    for w in (w for w in words if len(w) >= 3):
+        like = [(-200 * common(w, h) / (len(w) + len(h)), h) for h in hints if 200 * common(w, h) >= percent * (len(w) + len(h))]
+        exact += any(x == -percent for x, _ in like)
+        if like:
+            want[w] = (min(like)[1], -min(like)[0])
+    table = spark.createDataFrame([(h, "x" + h) for h in [*hints, ""]], "word string, lang string")
+    found = spark.createDataFrame([(w,) for w in words for _ in range(2)], "word string")
+    got = {r["word"]: (r["hint"], r["ratio"]) for r in H.ratio_matches(found, table, percent).collect()}
+    assert exact and got == want
+    texts = spark.createDataFrame([(1, "abcxe"), (2, "zzz"), (3, None)], "id long, text string")
+    assert [(r["id"], r["lang"], r["kind"]) for r in H.lookup(texts, table.filter("word = 'abcde'"), fuzzy="ratio").collect()] == [(1, "xabcde", "fuzzy")]
+    assert H.ratio_matches(found, table.limit(0)).count() == 0
+
+
 def test_fusion(spark):
     base = spark.createDataFrame([(1, "en", 0.4), (1, "fr", 0.2), (2, "de", 0.0)], "id long, lang string, score double")
     texts = spark.createDataFrame([(1, "hola"), (2, "a longer text"), (3, "none")], "id long, text string")
