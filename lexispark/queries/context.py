@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import backends as B
 from ..operators import context as X
+from ..operators import scan
+from ..plans.keep import keep, shared_path
+from ..streaming import sessions
 from . import query, table
 from .scalars import W
 from .votes import LEX
@@ -88,7 +91,7 @@ def src14_snk07_state(spark, sf_dir):
 
 
 
-@query(_TURNS.replace("WITH tk", "WITH RECURSIVE tk", 1) + """, nm AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+_FOLD = _TURNS.replace("WITH tk", "WITH RECURSIVE tk", 1) + """, nm AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
 sc AS (SELECT nm.conv_id, nm.turn, nm.i, coalesce(list({'l': pr.language, 'p': pr.p}) FILTER (pr.language IS NOT NULL), []) AS s FROM nm LEFT JOIN pr ON pr.conv_id = nm.conv_id AND pr.turn = nm.turn GROUP BY ALL),
 fo AS (SELECT conv_id, 0::BIGINT AS i, NULL::BIGINT AS turn, NULL::VARCHAR AS l1, NULL::DOUBLE AS c1, NULL::VARCHAR AS l2, NULL::DOUBLE AS c2 FROM (SELECT DISTINCT conv_id FROM conversations)
  UNION ALL SELECT z.conv_id, z.i, z.turn, z.l2, z.c2, CASE WHEN len(z.b) = 0 OR round(z.b[1].s, 9) <= 0 THEN 'und' ELSE z.b[1].l END, CASE WHEN len(z.b) = 0 THEN 0 ELSE -z.b[1].k END FROM (
@@ -96,10 +99,36 @@ fo AS (SELECT conv_id, 0::BIGINT AS i, NULL::BIGINT AS turn, NULL::VARCHAR AS l1
     CASE WHEN (CASE WHEN fo.l1 = x.l OR fo.l2 = x.l THEN 1 END) IS NULL OR coalesce(0.9 * fo.c1, 0) + coalesce(fo.c2, 0) <= 0 THEN 0
     ELSE (CASE WHEN fo.l1 = x.l THEN 0.9 * fo.c1 ELSE 0 END + CASE WHEN fo.l2 = x.l THEN fo.c2 ELSE 0 END) / (coalesce(0.9 * fo.c1, 0) + coalesce(fo.c2, 0)) * 0.15 + CASE WHEN fo.l1 = fo.l2 AND fo.l2 = x.l THEN 0.04 ELSE 0 END END, 0.3), 0)}), lambda y: {'k': -y.s, 'l': y.l, 's': y.s})) AS b
   FROM fo JOIN sc ON sc.conv_id = fo.conv_id AND sc.i = fo.i + 1) z)
-SELECT conv_id, turn, l2 AS lang, round(c2, 6) AS confidence FROM fo WHERE turn IS NOT NULL""")
-def ctx08_fold(spark, sf_dir):
-    """Detection in which each result feeds the context of the next turn."""
+SELECT conv_id, turn, l2 AS lang, round(c2, 6) AS confidence FROM fo WHERE turn IS NOT NULL"""
+
+
+def _scores_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _scored(spark, sf_dir).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct(F.col("language").alias("lang"), F.col("p").alias("score")))).alias("scores"))
     none = F.array().cast("array<struct<lang:string,score:double>>")
-    every = table(spark, sf_dir, "conversations").select("conv_id", "turn").join(scores, ["conv_id", "turn"], "left").withColumn("scores", F.coalesce("scores", none))
-    return X.fold(every).withColumn("confidence", F.round("confidence", 6))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn").join(scores, ["conv_id", "turn"], "left").withColumn("scores", F.coalesce("scores", none))
+
+
+@query(_FOLD)
+def ctx08_fold(spark, sf_dir):
+    """Detection in which each result feeds the context of the next turn."""
+    return X.fold(_scores_of(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(_FOLD)
+def ctx08_scan(spark, sf_dir):
+    """The same by a sorted scan that carries the context over the borders of tasks."""
+    return scan.fold_any_length(_scores_of(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(_FOLD)
+def ctx09_sessions(spark, sf_dir):
+    """The same as a stream: the first turns of all conversations, a stop, and the rest from the checkpoint."""
+    source, out, checkpoint = (shared_path(spark, f"ctx09-{n}") for n in ("source", "out", "checkpoint"))
+    scored = keep(_scores_of(spark, sf_dir).withColumnRenamed("conv_id", "session_id"))
+    own = spark.newSession()
+    for name, value in sessions.settings().items():
+        own.conf.set(name, value)
+    for part in (scored.filter("turn < 3"), scored.filter("turn >= 3 OR turn IS NULL")):
+        part.write.mode("append").parquet(source)
+        sessions.run_to_end(own.readStream.schema(scored.schema).parquet(source), out, checkpoint)
+    return spark.read.parquet(out).select(F.col("session_id").cast("long").alias("conv_id"), "turn", "lang", F.round("confidence", 6).alias("confidence"))
