@@ -50,28 +50,50 @@ def test_sessions(spark, tmp_path):
 
 
 def test_sessions_of_two_writers(spark, tmp_path, monkeypatch):
-    """Neither update is lost, readers always see a whole version, old snapshots go."""
+    """Of two writers of one bucket neither update is lost; compaction keeps what is there, and old lists and entries go."""
     from lexispark.sources import sessions
 
-    store, other = (SessionStore(spark, str(tmp_path / "s")) for _ in range(2))
+    monkeypatch.setattr(sessions, "MOST", 2)
+    store, other = (SessionStore(spark, str(tmp_path / "s"), buckets=1) for _ in range(2))
     turns = lambda s, lang: spark.createDataFrame([(s, 0, lang, 0.5)], "session_id string, turn int, lang string, confidence double")
     publish, raced = store._publish, []
 
-    def slow(version, snapshot):
-        if not raced:
-            raced.append(version)
+    def slow(path, text):
+        if "/lists/" in path and not raced:
+            raced.append(path)
             other.save(turns("b", "fr"))
-        return publish(version, snapshot)
+        return publish(path, text)
 
     monkeypatch.setattr(store, "_publish", slow)
     store.save(turns("a", "en"))
     assert store.load("a") == [("en", 0.5)] and store.load("b") == [("fr", 0.5)]
     store.clear("a")
-    assert store.exists("a") and store.load("a") == [] and store.load("b") == [("fr", 0.5)]
+    store.clear("nobody")
+    assert store.exists("a") and store.load("a") == [] and store.load("b") == [("fr", 0.5)] and not store.exists("nobody")
     for i in range(4):
         store.save(turns("c", "de"))
-    folders = [p for p in (tmp_path / "s").iterdir() if p.name != "versions"]
-    assert len(folders) == sessions.KEPT and len(store.load("c")) == 4
+    assert len(store.load("c")) == 4 and store.sessions().count() == 3
+    versions = store._versions(0)
+    assert len(versions) == sessions.KEPT
+    needed = {e for v in versions for e in store._list(0, v)}
+    there = {p.parent.name for p in (tmp_path / "s" / "data").glob("*/bucket=0")}
+    assert there == needed and len(store._list(0, versions[-1])) <= 3
+
+
+def test_sessions_write_what_they_touch(spark, tmp_path):
+    """A save of one session among thousands writes its bucket only, and no more than that session."""
+    store = SessionStore(spark, str(tmp_path / "s"), buckets=8)
+    many = spark.range(5000).selectExpr("concat('s', id) AS session_id", "0 AS turn", "'en' AS lang", "0.5D AS confidence")
+    store.save(many.unionByName(spark.createDataFrame([(None, 0, "en", 0.5)], "session_id string, turn int, lang string, confidence double")))
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "s" / "data").rglob("*.parquet"))
+    full, before = size(), [store._versions(b) for b in range(8)]
+    store.save(many.filter("session_id = 's7'"))
+    assert size() - full < full / 10
+    assert sum(store._versions(b) != v for b, v in enumerate(before)) == 1
+    assert store.load("s7") == [("en", 0.5)] * 2 and store.sessions().count() == 5000
+    store.compact()
+    assert {len(store._list(b, store._versions(b)[-1])) for b in range(8)} == {1}
+    assert store.load("s7") == [("en", 0.5)] * 2 and store.sessions().count() == 5000
 
 
 def test_numbered_lines_of_many_files(spark, tmp_path):
