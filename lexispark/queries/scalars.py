@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nouns, stats, text
+from ..operators.ranges import interval_join
 from . import query, quoted, table, values
 
 S, W = r"[\s\x1c-\x1f\x85\p{Z}]+", r"\p{L}\p{N}_"
@@ -107,11 +108,11 @@ _RANGES = [(int(a, 16), int(b, 16), s) for s, own in stats.SCRIPT_RANGES.items()
 SELECT ch, n.n, coalesce(r.script, CASE WHEN regexp_matches(ch, '[a-zA-Z\p{{Latin}}]') THEN 'Latin' ELSE 'Unknown' END) AS script
 FROM n LEFT JOIN {values(_RANGES, 'r(a, b, script)')} ON unicode(ch) BETWEEN r.a AND r.b""")
 def scr01_char_scripts(spark, sf_dir):
-    """A range join of code points with the scripts' intervals."""
+    """The letters, counted before they meet the scripts' intervals."""
     letters = F.split(F.regexp_replace("text", r"\P{L}", ""), "")
     chars = _texts(spark, sf_dir).select(F.explode(letters).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
     ranges = spark.createDataFrame(_RANGES, "a int, b int, script string")
-    joined = chars.withColumn("cp", F.ascii("ch")).join(F.broadcast(ranges), F.col("cp").between(F.col("a"), F.col("b")), "left")
+    joined = interval_join(chars.withColumn("cp", F.ascii("ch")), "cp", ranges, "a", "b", 256, "left")
     return joined.select("ch", "n", F.coalesce("script", F.when(F.col("ch").rlike(r"[a-zA-Z\p{IsLatin}]"), "Latin").otherwise("Unknown")).alias("script"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,5 +56,36 @@ def write_jsonl(records: DataFrame, path: str) -> None:
 
 
 def json_array(records: DataFrame) -> DataFrame:
-    """All records as one JSON array (a report for a person: its rows end up in one value)."""
+    """All records as one JSON array in one value, for a report to a person; ``write_json_array`` writes tables of any size."""
     return records.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]), ","), F.lit("]")).alias("value"))
+
+
+def write_json_array(records: DataFrame, path: str, order: str = "id") -> None:
+    """Writes the column ``value`` of all records, in ``order``, as one file that holds one JSON array.
+
+    Tasks write sorted parts beside ``path``, each record with a comma before it; these are then copied one after another as
+    streams, so that neither a task nor the driver holds the table. The file appears under its name when it is whole.
+    """
+    spark = records.sparkSession
+    parts, whole = (f"{path}._{uuid.uuid4().hex}-{n}" for n in ("parts", "whole"))
+    by = F.col(order).asc_nulls_first()
+    rows = records.filter("value is not null").repartitionByRange(by).sortWithinPartitions(by)
+    rows.select(F.concat(F.lit(","), "value").alias("value")).write.text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(path).getFileSystem(conf)
+    files = sorted((f.getPath() for f in fs.listStatus(place(parts)) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getName())
+    out = fs.create(place(whole), True)
+    out.write(bytearray(b"["))
+    for i, file in enumerate(files):
+        part = fs.open(file)
+        if i == 0:
+            part.skip(1)  # nothing is before the first record
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+        part.close()
+    out.write(bytearray(b"]"))
+    out.close()
+    fs.delete(place(parts), True)
+    fs.delete(place(path), False)
+    if not fs.rename(place(whole), place(path)):
+        raise OSError(f"{path} could not be written")
