@@ -167,7 +167,7 @@ def _by_arrays(rows: DataFrame) -> DataFrame:
     """Repair of conversations of bounded size: one shuffle by conversation."""
     same = Window.partitionBy("conv", "live", "role", "h", "text").orderBy(F.col("turn").asc_nulls_first())
     line = Window.partitionBy("conv").orderBy(F.col("live").desc(), F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("seen", F.row_number().over(same) > 1).drop("h")
+    rows = rows.repartition("conv").withColumn("h", F.xxhash64("text")).withColumn("seen", F.row_number().over(same) > 1).drop("h")
     rows = _told(rows)
     rows = rows.withColumns({"ahead": F.lag("initial").over(line), "turn_ahead": F.lag("turn").over(line)})
     new_turn = F.col("turn").isNotNull() & (F.col("turn_ahead").isNull() | (F.col("turn_ahead") != F.col("turn")))
