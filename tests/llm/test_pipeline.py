@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from test_near import shingles, union
 from test_ops import plain_tiles
 
-from lexispark.llm import langid
+from lexispark.llm import langid, lines
 from lexispark.llm.tokens import encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _doc string, copies int"
@@ -152,3 +152,26 @@ def test_run_is_the_stages_one_after_another(spark, tmp_path):
         frame = stage(spark, frame, str(tmp_path))
     plain = lambda f: sorted(map(tuple, f.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("offset")).collect()), key=str)
     assert plain(out) == plain(frame)
+
+
+def _words(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(6)) for _ in range(n))
+
+
+def test_near_copies_stay_whole_beside_a_line_of_a_third(spark):
+    """A line that a third document keeps doesn't hide the one that keeps the rest; pairs that are not alike lose their lines."""
+    rng = random.Random(2)
+    shared, other, body = _words(rng, 14), _words(rng, 10), _words(rng, 27)
+    changed = body.split()
+    changed[20] = "zzzzzz"
+    rows = [(0, f"{shared}\n{_words(rng, 30)}"), (1, f"{shared}\n{other}\n{body}"), (2, f"{shared}\n{other}\n{' '.join(changed)}"), (3, f"{_words(rng, 40)}\n{other}")]
+    dropped = lambda own: {r["doc_id"]: r["dropped"] for r in lines.dedup_lines(spark.createDataFrame(own, "doc_id long, text string"), copies=0.8).collect()}
+    assert dropped(rows) == {0: [], 1: [0], 2: [], 3: [1]}
+    assert dropped(rows[1:]) == {1: [], 2: [], 3: [1]}
+
+
+def test_stages_do_not_depend_on_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
+        one, two = (sorted(map(str, stage(spark, docs.repartition(n, "n_chars"), sf_dir).collect())) for n in (2, 9))
+        assert one == two
