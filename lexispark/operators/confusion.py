@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,18 +72,57 @@ def discriminating_features(a: str, b: str) -> tuple[list[str], list[str]] | Non
     return group and (group[a].split(","), group[b].split(","))
 
 
+@functools.cache
+def _automaton(group: int):
+    """All features of a group as one automaton; its values are the features' numbers in ``_weights``."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for i, feature in enumerate(_weights(group)):
+        out.add_word(feature, i)
+    out.make_automaton()
+    return out
+
+
+@functools.cache
+def _weights(group: int) -> dict[str, dict[str, int]]:
+    """For each feature of a group how often each language lists it."""
+    out: dict[str, dict[str, int]] = {}
+    for lang, own in GROUPS[group].items():
+        for feature in own.split(","):
+            out.setdefault(feature, {}).setdefault(lang, 0)
+            out[feature][lang] += 1
+    return out
+
+
+def feature_hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """For (lower-cased text, group) the weight of the features that the text holds, by language; each text is gone through once."""
+    for texts, groups in batches:
+        out = []
+        for text, group in zip(texts, groups, strict=True):
+            weights = list(_weights(int(group)).values())
+            hits = dict.fromkeys(GROUPS[int(group)], 0)
+            for i in {i for _, i in _automaton(int(group)).iter(text)} if text else ():
+                for lang, weight in weights[i].items():
+                    hits[lang] += weight
+            out.append([{"lang": lang, "hits": n} for lang, n in hits.items()])
+        yield pd.Series(out)
+
+
 def resolve(scores: DataFrame, texts: DataFrame, top_n: int = 2, gap: float = GAP, factor: float = BOOST) -> DataFrame:
     """(id, lang, score): where the first languages are one confused group and close, features of the text add to the scores.
 
-    Features are matched as substrings of the lower-cased text, only for texts that need it.
+    Features are matched as substrings of the lower-cased text, only for texts that need it: all features of the group in
+    one pass. A null text holds none.
     """
-    spark = scores.sparkSession
     order = Window.partitionBy("id").orderBy(F.desc("score"), "lang")
     ranked = scores.withColumn("rn", F.row_number().over(order))
     tops = ranked.groupBy("id").agg(F.collect_set(F.when(F.col("rn") <= top_n, F.col("lang"))).alias("langs"), F.count("*").alias("n"), F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("s2"))
     close = tops.filter((F.col("n") >= 2) & (F.col("s1") - F.col("s2") <= gap)).select("id", confused_group(F.col("langs")).alias("group_id")).filter("group_id is not null")
-    asked = close.join(texts.select("id", F.lower("text").alias("t")), "id").join(F.broadcast(features(spark)), "group_id").join(scores.select("id", "lang"), ["id", "lang"])
-    hits = asked.groupBy("id", "lang").agg(F.sum(F.when(F.col("t").contains(F.col("feature")), F.col("weight")).otherwise(0)).alias("hits"))
+    found = F.pandas_udf("array<struct<lang:string,hits:bigint>>")(feature_hits)
+    asked = texts.select("id", F.lower("text").alias("t")).join(close, "id").select("id", F.explode(found("t", "group_id")).alias("x"))
+    asked = asked.select("id", "x.lang", "x.hits").join(scores.select("id", "lang"), ["id", "lang"])
+    hits = asked.groupBy("id", "lang").agg(F.sum("hits").alias("hits"))
     boosts = hits.withColumn("all", F.sum("hits").over(Window.partitionBy("id"))).filter("all > 0").select("id", "lang", (F.col("hits") / F.col("all") * factor).alias("boost"))
     out = scores.join(boosts, ["id", "lang"], "left")
     return out.select("id", "lang", F.when(F.col("boost").isNull(), F.col("score")).otherwise(F.least(F.col("score") + F.col("boost"), F.lit(1.0))).alias("score"))
