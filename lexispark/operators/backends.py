@@ -238,17 +238,38 @@ def clear_backends() -> None:
 
 
 def row_wise(make: Callable[[], Backend], name: str) -> Scorer:
-    """A scorer that runs a Backend in Arrow batches; a text on which it raises gets no row."""
+    """A scorer that runs a Backend in Arrow batches; a text on which it raises gets no row.
+
+    A batch goes to ``detect_batch`` whole where the class has one of its own; if that raises, its texts go one by one.
+    """
+
+    def one_by_one(detector: Backend, texts: list[str]) -> Iterator[tuple | None]:
+        for text in texts:
+            try:
+                yield detector.detect(text)
+            except Exception:  # noqa: BLE001 - a backend that fails on a text has no vote on it
+                yield None
+
+    def results(detector: Backend, texts: list[str]) -> list[tuple | None]:
+        if type(detector).detect_batch is Backend.detect_batch:
+            return list(one_by_one(detector, texts))
+        try:
+            found = list(detector.detect_batch(texts))
+        except Exception:  # noqa: BLE001 - some text of the batch
+            return list(one_by_one(detector, texts))
+        if len(found) != len(texts):
+            raise ValueError(f"{name}: detect_batch gave {len(found)} results for {len(texts)} texts")
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = make()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    language, confidence, probs, reliable = detector.detect(text or "")
-                except Exception:  # noqa: BLE001, S112 - a backend that fails on a text has no vote on it
+            told = results(detector, [text or "" for text in batch.column(1).to_pylist()])
+            for key, result in zip(batch.column(0).to_pylist(), told, strict=True):
+                if result is None:
                     continue
+                language, confidence, probs, reliable = result
                 for column, value in zip(out, (key, name, language, float(confidence), list((probs or {}).items()), bool(reliable)), strict=True):
                     column.append(value)
             types = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.map_(pa.string(), pa.float64()), pa.bool_()]

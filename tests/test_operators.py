@@ -204,6 +204,25 @@ def test_confusion_features_in_one_pass(spark):
     assert "contains" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_backends_get_whole_batches(spark):
+    class Whole(B.Backend):
+        name = "whole"
+
+        def detect(self, text):
+            if text == "bad":
+                raise ValueError(text)
+            return ("en", 0.5, None, True)
+
+        def detect_batch(self, texts):
+            if "bad" in texts:
+                raise ValueError("bad")
+            return [("fr", 1 / len(texts), None, True) for _ in texts]
+
+    told = lambda rows: sorted((r["id"], r["language"], r["confidence"]) for r in B.row_wise(Whole, "whole")(spark.createDataFrame(rows, "id long, text string").coalesce(1)).collect())
+    assert told([(1, "a"), (2, "b"), (3, None), (4, "c")]) == [(i, "fr", 0.25) for i in (1, 2, 3, 4)]
+    assert told([(1, "a"), (2, "bad"), (3, "b")]) == [(1, "en", 0.5), (3, "en", 0.5)]
+
+
 def test_codeswitch(spark):
     texts = spark.createDataFrame([(1, "the house und die Katze"), (2, ""), (3, "l'été, ok; the end and nicht gut")], "id long, text string")
     spans = codeswitch.word_spans(texts).filter("id = 1").orderBy("start").collect()
