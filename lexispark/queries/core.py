@@ -149,64 +149,90 @@ def hnt07_ratio(spark, sf_dir):
     return found.select("word", "hint", F.round("ratio", 6).alias("ratio"))
 
 
-_MORE = [("the", "xx"), ("neu", "de")]
+_WORDS = "unnest(regexp_extract_all(lower(text), '[" + W + "]+'))"
 
 
-@query(f"WITH a AS (SELECT * FROM {_HINTS}), b AS (SELECT * FROM {values(_MORE, 'm(word, lang)')}) SELECT word, lang FROM b UNION ALL SELECT word, lang FROM a WHERE word NOT IN (SELECT word FROM b)")
+@query(f"""WITH c AS (SELECT word, lang, count(*) AS n FROM (SELECT lang, {_WORDS} AS word FROM documents WHERE lang IS NOT NULL) GROUP BY ALL),
+a AS (SELECT word, lang FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, lang) = 1), b AS (SELECT DISTINCT {_WORDS} AS word, 'en' AS lang FROM benchmark)
+SELECT word, lang FROM b UNION ALL SELECT word, lang FROM a WHERE word NOT IN (SELECT word FROM b)""")
 def hnt09_merge(spark, sf_dir):
-    return H.merge_tables(spark.createDataFrame(HINTS, "word string, lang string"), spark.createDataFrame(_MORE, "word string, lang string")).select("word", "lang")
+    """The words of documents, each with the language in whose documents it is most frequent, and those of the benchmark, which win."""
+    docs = table(spark, sf_dir, "documents", "lang", "text").filter("lang is not null")
+    counted = docs.select("lang", F.explode(B.words(F.col("text"))).alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n"))
+    learned = counted.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("n"), "lang"))["lang"].alias("lang"))
+    more = table(spark, sf_dir, "benchmark", "text").select(F.explode(B.words(F.col("text"))).alias("word")).distinct().withColumn("lang", F.lit("en"))
+    return H.merge_tables(learned, more).select("word", "lang")
 
 
-@query(f"SELECT lang, count(*) AS n, string_agg(word, ' ' ORDER BY word) AS words FROM {_HINTS} GROUP BY lang")
+@query(f"SELECT lang, count(*) AS n, string_agg(word, ' ' ORDER BY word) AS words FROM {_HINTS} WHERE word IN (SELECT {_WORDS} FROM documents) GROUP BY lang")
 def hnt10_items(spark, sf_dir):
-    hints = H.Hints(dict(HINTS)).dataframe(spark)
+    """The hints whose words occur in documents, by language."""
+    there = _docs(spark, sf_dir).select(F.explode(B.words(F.col("text"))).alias("word")).distinct()
+    hints = H.Hints(dict(HINTS)).dataframe(spark).join(there, "word", "left_semi")
     return hints.groupBy("lang").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words"))
 
 
 _PAIRS = sorted({lang for own in C.FAMILIES.values() for lang in own.split()} | {"hu", "en"})
 _FAM = values([(i, f, lang) for i, (f, own) in enumerate(C.FAMILIES.items()) for lang in own.split()], "f(ord, family, lang)")
-_LANGS = values([(x,) for x in _PAIRS], "l(lang)")
+_KNOWN = values(list(enumerate(_PAIRS)), "k(i, known)")
 _GROUP = values([(i, lang) for i, g in enumerate(C.GROUPS) for lang in g], "g(group_id, lang)")
+#: Two languages of each document: its label, or one of all known ones if its id is odd, and another of all known ones.
+_TWO = f"""tw AS (SELECT CASE WHEN doc_id % 2 = 0 THEN lang ELSE x.known END AS a, y.known AS b FROM documents JOIN {_KNOWN.replace('k(', 'x(')} ON x.i = (doc_id // {len(_PAIRS)}) % {len(_PAIRS)} JOIN {_KNOWN.replace('k(', 'y(')} ON y.i = doc_id % {len(_PAIRS)}),
+p AS (SELECT a, b, count(*) AS n FROM tw WHERE a IS NOT NULL GROUP BY a, b)"""
 
 
-@query(f"SELECT l.lang, arg_min(f.family, f.ord) AS family FROM {_LANGS} LEFT JOIN {_FAM} ON f.lang = l.lang GROUP BY l.lang")
+def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, n): the pairs of languages of documents and how many documents have them."""
+    known, size, key = F.array(*map(F.lit, _PAIRS)), len(_PAIRS), F.col("doc_id")
+    other = F.get(known, (F.floor(key / size) % size).cast("int"))
+    pairs = table(spark, sf_dir, "documents").select(F.when(key % 2 == 0, F.col("lang")).otherwise(other).alias("a"), F.get(known, (key % size).cast("int")).alias("b"))
+    return pairs.filter("a is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_TWO}, l AS (SELECT b AS lang, sum(n)::BIGINT AS n FROM p GROUP BY b) SELECT l.lang, l.n, arg_min(f.family, f.ord) AS family FROM l LEFT JOIN {_FAM} ON f.lang = l.lang GROUP BY l.lang, l.n")
 def cnf04_family(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in _PAIRS], "lang string").select("lang", C.family(F.col("lang")).alias("family"))
+    langs = _two(spark, sf_dir).groupBy(F.col("b").alias("lang")).agg(F.sum("n").alias("n"))
+    return langs.select("lang", "n", C.family(F.col("lang")).alias("family"))
 
 
-@query(f"SELECT DISTINCT a.lang, b.lang AS related FROM {_FAM.replace('f(', 'a(')} JOIN {_FAM.replace('f(', 'b(')} ON a.family = b.family AND a.lang <> b.lang WHERE a.lang IN (SELECT lang FROM {_LANGS})")
+@query(f"WITH {_TWO} SELECT DISTINCT a.lang, b.lang AS related FROM {_FAM.replace('f(', 'a(')} JOIN {_FAM.replace('f(', 'b(')} ON a.family = b.family AND a.lang <> b.lang WHERE a.lang IN (SELECT b FROM p)")
 def cnf06_related(spark, sf_dir):
-    return C.related_languages(spark.createDataFrame([(x,) for x in _PAIRS], "lang string"))
+    return C.related_languages(_two(spark, sf_dir).select(F.col("b").alias("lang")))
 
 
-@query(f"""WITH p AS (SELECT a.lang AS a, b.lang AS b FROM {_LANGS.replace('l(', 'a(')}, {_LANGS.replace('l(', 'b(')}),
-r AS (SELECT DISTINCT x.lang AS a, y.lang AS b FROM {_FAM.replace('f(', 'x(')} JOIN {_FAM.replace('f(', 'y(')} ON x.family = y.family),
+@query(f"""WITH {_TWO}, r AS (SELECT DISTINCT x.lang AS a, y.lang AS b FROM {_FAM.replace('f(', 'x(')} JOIN {_FAM.replace('f(', 'y(')} ON x.family = y.family),
 k AS (SELECT x.lang AS a, y.lang AS b FROM {_GROUP.replace('g(', 'x(')} JOIN {_GROUP.replace('g(', 'y(')} ON x.group_id = y.group_id AND x.lang <> y.lang WHERE x.group_id IN (SELECT group_id FROM {_GROUP} GROUP BY group_id HAVING count(*) = 2))
-SELECT p.a, p.b, r.a IS NOT NULL AS related, (CASE WHEN p.a = p.b THEN 1.0 WHEN k.a IS NOT NULL THEN 0.9 WHEN r.a IS NOT NULL THEN 0.6 ELSE 0.0 END)::DOUBLE AS similarity
+SELECT p.a, p.b, p.n, r.a IS NOT NULL AS related, (CASE WHEN p.a = p.b THEN 1.0 WHEN k.a IS NOT NULL THEN 0.9 WHEN r.a IS NOT NULL THEN 0.6 ELSE 0.0 END)::DOUBLE AS similarity
 FROM p LEFT JOIN r ON r.a = p.a AND r.b = p.b LEFT JOIN k ON k.a = p.a AND k.b = p.b""")
 def cnf05_07_similarity(spark, sf_dir):
-    a = spark.createDataFrame([(x,) for x in _PAIRS], "a string")
-    pairs = a.crossJoin(a.withColumnRenamed("a", "b"))  # of a fixed list of languages
-    return pairs.select("a", "b", C.are_related(F.col("a"), F.col("b")).alias("related"), C.similarity(F.col("a"), F.col("b")).alias("similarity"))
+    a, b = F.col("a"), F.col("b")
+    return _two(spark, sf_dir).select("a", "b", "n", C.are_related(a, b).alias("related"), C.similarity(a, b).alias("similarity"))
 
 
 _ALL = values([(i, lang, f) for i, g in enumerate(C.GROUPS) for lang, own in g.items() for f in own.split(',')], 'x(group_id, lang, feature)')
 
 
-@query(f"""WITH p AS (SELECT a.lang AS a, b.lang AS b FROM {_LANGS.replace('l(', 'a(')}, {_LANGS.replace('l(', 'b(')}), g AS (SELECT * FROM {_GROUP}), two AS (SELECT group_id FROM g GROUP BY group_id HAVING count(*) = 2),
+@query(f"""WITH {_TWO}, g AS (SELECT * FROM {_GROUP}), two AS (SELECT group_id FROM g GROUP BY group_id HAVING count(*) = 2),
 n AS (SELECT group_id, lang, count(*) AS n FROM {_ALL} GROUP BY group_id, lang), k AS (SELECT p.a, p.b, min(x.group_id) AS group_id FROM p JOIN g x ON x.lang = p.a JOIN g y ON y.lang = p.b AND y.group_id = x.group_id GROUP BY p.a, p.b)
 SELECT p.a, p.b, k.group_id, CASE WHEN p.a <> p.b AND two.group_id IS NOT NULL THEN na.n END AS features_a, CASE WHEN p.a <> p.b AND two.group_id IS NOT NULL THEN nb.n END AS features_b
 FROM p LEFT JOIN k ON k.a = p.a AND k.b = p.b LEFT JOIN two ON two.group_id = k.group_id LEFT JOIN n na ON na.group_id = k.group_id AND na.lang = p.a LEFT JOIN n nb ON nb.group_id = k.group_id AND nb.lang = p.b""")
 def cnf01_03_features(spark, sf_dir):
     """The confused group of each pair of languages, and how many features tell the two apart where they are a group by themselves."""
-    rows = [(a, b, *(map(len, C.discriminating_features(a, b) or ((), ())))) for a in _PAIRS for b in _PAIRS]
-    pairs = spark.createDataFrame([(a, b, n or None, m or None) for a, b, n, m in rows], "a string, b string, features_a long, features_b long")
+    told = [(a, b, *map(len, C.discriminating_features(a, b))) for g in C.GROUPS if len(g) == 2 for a in g for b in g if a != b]
+    told = spark.createDataFrame(told, "a string, b string, features_a long, features_b long")
+    pairs = _two(spark, sf_dir).join(F.broadcast(told), ["a", "b"], "left")
     return pairs.select("a", "b", C.confused_group(F.array("a", "b")).alias("group_id"), "features_a", "features_b")
 
 
-@query(f"SELECT group_id, lang, count(*) AS features, sum(w)::BIGINT AS listed FROM (SELECT group_id, lang, feature, count(*) AS w FROM {_ALL} GROUP BY ALL) GROUP BY group_id, lang")
+@query(f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT {_WORDS} AS word FROM documents) GROUP BY word), f AS (SELECT group_id, lang, feature, count(*) AS w FROM {_ALL} GROUP BY ALL)
+SELECT group_id, lang, count(*) AS features, sum(w)::BIGINT AS listed, coalesce(sum(w.n), 0)::BIGINT AS found FROM f LEFT JOIN w ON w.word = f.feature GROUP BY group_id, lang""")
 def cnf_feature_table(spark, sf_dir):
-    return C.features(spark).groupBy("group_id", "lang").agg(F.count("*").alias("features"), F.sum("weight").alias("listed"))
+    """The features of each language of the confused groups, and how many words of documents are one of them."""
+    words = _docs(spark, sf_dir).select(F.explode(B.words(F.col("text"))).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+    rows = C.features(spark)
+    found = words.join(F.broadcast(rows), "feature").groupBy("group_id", "lang", "feature").agg(F.sum("n").alias("n"))
+    rows = rows.join(found, ["group_id", "lang", "feature"], "left")
+    return rows.groupBy("group_id", "lang").agg(F.count("*").alias("features"), F.sum("weight").alias("listed"), F.coalesce(F.sum("n"), F.lit(0)).alias("found"))
 
 
 _FEATURES = values([(lang, f) for lang, own in C.GROUPS[0].items() for f in own.split(",")], "x(lang, feature)")

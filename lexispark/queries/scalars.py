@@ -47,11 +47,18 @@ _TAGS = [("zh-CN",), ("zh-tw",), ("zh-Hans-SG",), ("zh-hk-traditional",), ("zho"
 _CASES = " ".join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in text.TAGS.items())
 
 
-@query(f"""WITH t AS (SELECT tag, lower(trim(coalesce(tag, ''))) AS p FROM {values(_TAGS, 's(tag)')})
-SELECT tag, coalesce(CASE p {_CASES} END, CASE WHEN p LIKE 'zh%' AND regexp_matches(p, 'hans|cn|simplified') THEN 'zh-Hans' WHEN p LIKE 'zh%' AND regexp_matches(p, 'hant|tw|traditional') THEN 'zh-Hant'
+_TAG = values(list(enumerate(x for (x,) in _TAGS)), "s(i, known)")
+
+
+@query(f"""WITH t AS (SELECT doc_id, tag, lower(trim(coalesce(tag, ''))) AS p FROM (SELECT doc_id, CASE WHEN s.i IS NULL THEN lang || '-' || source ELSE known END AS tag FROM documents LEFT JOIN {_TAG} ON s.i = doc_id % {len(_TAGS) + 1}))
+SELECT doc_id, tag, coalesce(CASE p {_CASES} END, CASE WHEN p LIKE 'zh%' AND regexp_matches(p, 'hans|cn|simplified') THEN 'zh-Hans' WHEN p LIKE 'zh%' AND regexp_matches(p, 'hant|tw|traditional') THEN 'zh-Hant'
   WHEN p LIKE 'zh%' THEN 'zh' WHEN length(p) >= 2 THEN substr(p, 1, 2) ELSE 'und' END) AS lang FROM t""")
 def nrm08_tags(spark, sf_dir):
-    return spark.createDataFrame(_TAGS, "tag string").select("tag", text.normalize_tag(F.col("tag")).alias("lang"))
+    """Each document gets one of some tags, or one made of its language and source."""
+    docs, at = table(spark, sf_dir, "documents"), (F.col("doc_id") % (len(_TAGS) + 1)).cast("int")
+    own = F.concat("lang", F.lit("-"), "source")
+    tagged = docs.select("doc_id", F.when(at == len(_TAGS), own).otherwise(F.get(F.array(*(F.lit(x) for (x,) in _TAGS)), at)).alias("tag"))
+    return tagged.select("doc_id", "tag", text.normalize_tag(F.col("tag")).alias("lang"))
 
 
 #: All labels of the tables, and some that go by their first letters.

@@ -113,15 +113,16 @@ def bkd12_reliability(spark, sf_dir):
     return rows.join(F.broadcast(B.backend_dimension(spark)), "backend_name").select("id", "backend_name", "reliability")
 
 
-_RAW = [(1, "x", "EN", 0.9, None), (2, "x", "", 0.1, None), (3, "x", None, 0.2, "fr"), (4, "x", "De ", 0.7, "de")]
-
-
-@query("SELECT id, language, own::DOUBLE AS own FROM (VALUES (1, 'en', 0.9), (2, 'unknown', NULL), (3, 'unknown', NULL), (4, 'de', 0.25)) AS t(id, language, own)")
+@query("""WITH r AS (SELECT doc_id, lang, CASE doc_id % 4 WHEN 0 THEN upper(lang) WHEN 1 THEN '' WHEN 2 THEN NULL ELSE lang || ' ' END AS raw, (doc_id % 10) / 10.0 AS c, doc_id % 3 = 0 AND lang IS NOT NULL AS told FROM documents),
+n AS (SELECT *, coalesce(nullif(lower(trim(raw)), ''), 'unknown') AS language FROM r)
+SELECT doc_id AS id, language, (CASE WHEN language = 'unknown' THEN NULL WHEN told THEN 0.25 ELSE c END)::DOUBLE AS own, (told OR language <> 'unknown')::INT AS n_probabilities FROM n""")
 def bkd02_normalized(spark, sf_dir):
-    rows = spark.createDataFrame(_RAW, "id int, backend_name string, language string, confidence double, other string")
-    probs = F.when(F.col("other").isNotNull(), F.create_map(F.col("other"), F.lit(0.25)))
-    out = B.normalized(rows.withColumn("all_probabilities", probs).drop("other"))
-    return out.select("id", "language", F.try_element_at("all_probabilities", F.col("language")).alias("own"))
+    """The documents' labels as a backend would give them: in capitals, empty, null, with a blank; a third with a probability."""
+    way, lang = F.col("doc_id") % 4, F.col("lang")
+    raw = F.when(way == 0, F.upper(lang)).when(way == 1, "").when(way == 3, F.concat(lang, F.lit(" ")))
+    probs = F.when((F.col("doc_id") % 3 == 0) & lang.isNotNull(), F.create_map(lang, F.lit(0.25)))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("x").alias("backend_name"), raw.alias("language"), (F.col("doc_id") % 10 / 10.0).alias("confidence"), probs.alias("all_probabilities"))
+    return B.normalized(rows).select("id", "language", F.try_element_at("all_probabilities", F.col("language")).alias("own"), F.size("all_probabilities").alias("n_probabilities"))
 
 
 def _hard(weight: str) -> str:
