@@ -38,3 +38,40 @@ def report(rows: DataFrame) -> DataFrame:
     """The report as one JSON row: totals and accuracy by language."""
     langs = per_language(rows, 1, None).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("expected", F.struct("accuracy", "total"))))).alias("per_language"))
     return accuracy(rows).crossJoin(langs).select(F.to_json(F.struct("samples", "evaluated", "correct", "accuracy", "unknown_count", "per_language")).alias("value"))
+
+
+#: Size of a quantile sketch: at 4,096 the rank of a percentile is off by at most 0.1 % of the timings (99 % of the time), at
+#: 200 by 1.3 %. A sketch of any number of timings takes some 3 * SKETCH doubles.
+SKETCH = 4096
+RANK_ERROR = 0.001
+
+
+def latency_sketches(timings: DataFrame, *by: str, size: int = SKETCH) -> DataFrame:
+    """(by, texts, total_ms, sketch) of a table of (by, ms): what is kept of each run, to be combined over runs.
+
+    Tasks sketch their own rows and sketches are merged, so that no group's timings meet in one task. Null and NaN timings are left
+    out; a group of such alone has no texts and no sketch.
+    """
+    ms = F.when(~F.isnan("ms"), F.col("ms").cast("double"))
+    sketch = F.kll_sketch_agg_double(ms, F.lit(size))
+    return timings.groupBy(*by).agg(F.count(ms).alias("texts"), F.sum(ms).alias("total_ms"), sketch.alias("s")).withColumn("sketch", F.when(F.col("texts") > 0, F.col("s"))).drop("s")
+
+
+def merged_sketches(sketches: DataFrame, *by: str, size: int = SKETCH) -> DataFrame:
+    """The same of sketches of several runs, one row for each ``by``."""
+    merged = F.kll_merge_agg_double("sketch", F.lit(size))
+    return sketches.filter("texts > 0").groupBy(*by).agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"), F.sum("total_ms").alias("total_ms"), merged.alias("sketch"))
+
+
+def sketched_latency(sketches: DataFrame, *by: str) -> DataFrame:
+    """(by, texts, avg_ms, p50_ms, p90_ms, p99_ms, texts_per_s) of sketches; null where there are no texts."""
+    at = lambda q: F.when(F.col("texts") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+    return sketches.select(
+        *by,
+        "texts",
+        (F.col("total_ms") / F.col("texts")).alias("avg_ms"),
+        at(0.5).alias("p50_ms"),
+        at(0.9).alias("p90_ms"),
+        at(0.99).alias("p99_ms"),
+        F.when(F.col("total_ms") > 0, F.col("texts") / F.col("total_ms") * 1000).alias("texts_per_s"),
+    )

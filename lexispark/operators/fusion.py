@@ -82,17 +82,30 @@ def with_missing(texts: DataFrame, decided: DataFrame, label: str = "und") -> Da
     return out.select("id", F.coalesce("lang", F.lit(label)).alias("lang"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("raw_score", F.lit(0.0)).alias("raw_score"), F.coalesce("reliable", F.lit(False)).alias("reliable"), F.when(none, LOW_CONFIDENCE).otherwise(F.col("reason")).alias("reason"))
 
 
+def text_hash(text: Column) -> Column:
+    """128 bits by which texts are told apart."""
+    return F.coalesce(F.md5(text), F.lit("null"))
+
+
+def to_copies(named: DataFrame, held: DataFrame) -> DataFrame:
+    """named (id, hash) with the other columns of ``held`` (hash, n, ...), n being how many rows of ``named`` have the hash.
+
+    Most hashes are of one row; the rows of others are dealt by hash and a salt, so that no text's copies meet in one task.
+    """
+    salts = F.ceil(F.col("n") / COPIES).cast("int")
+    often = held.filter(F.col("n") > COPIES).orderBy(F.desc("n")).limit(MOST_COPIED).select("hash", salts.alias("k"))
+    dealt = held.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    salted = named.select("id", "hash").join(F.broadcast(often), "hash", "left")
+    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("k")), F.lit(0)).cast("int"))
+    return salted.select("id", "hash", "salt").join(dealt, ["hash", "salt"]).drop("hash", "salt")
+
+
 def once_per_text(texts: DataFrame, detect, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Detects each distinct text once, by the row with the smallest id, and gives its result to all rows with that text (what a result
     cache saves). Texts are told apart by 128 bits of hash; they travel once, to be dropped where another row stands for them."""
     rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    named = rows.select("id", F.coalesce(F.md5("text"), F.lit("null")).alias("hash"))
+    named = rows.select("id", text_hash(F.col("text")).alias("hash"))
     first = named.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     distinct = rows.join(first.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     found = detect(distinct).withColumnRenamed("id", "first")
-    # Most hashes are of one row; the rows of others are dealt by hash and a salt, so that no text's copies meet in one task.
-    salts = F.ceil(F.col("n") / COPIES).cast("int")
-    held = first.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    salted = named.join(F.broadcast(first.filter(F.col("n") > COPIES).orderBy(F.desc("n")).limit(MOST_COPIED).select("hash", salts.alias("k"))), "hash", "left")
-    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("k")), F.lit(0)).cast("int"))
-    return salted.select("id", "hash", "salt").join(held, ["hash", "salt"]).select("id", "first").join(found, "first").drop("first")
+    return to_copies(named, first).join(found, "first").drop("first")

@@ -12,8 +12,10 @@ from ..operators import codeswitch as CS
 from ..operators import confusion as C
 from ..operators import evaluate as E
 from ..operators import hints as H
+from ..plans.cache import ResultCache
 from ..plans.config import Config
 from ..plans.detect import detect
+from ..plans.keep import shared_path
 from ..sources import files
 from . import query, quoted, table, values
 from .scalars import W, _gate_sql, normal_sql
@@ -49,6 +51,19 @@ def fus13_once_per_text(spark, sf_dir):
     return detect(_docs(spark, sf_dir), replace(PLAIN, once_per_text=True)).select("id", "lang", "confidence", "reliable", "reason")
 
 
+_BOTH = "(SELECT doc_id, text, lang, source FROM documents UNION ALL SELECT -1 - item_id, text, NULL, NULL FROM benchmark)"
+
+
+@query(_DETECT.replace("FROM documents)", f"FROM {_BOTH})", 1) + f" SELECT det.id, det.lang, confidence, reliable, reason, b.text IN (SELECT text FROM documents) AS cached FROM det JOIN {_BOTH} b ON b.doc_id = det.id")
+def fus13_result_cache(spark, sf_dir):
+    """A second run over documents and benchmark texts detects only those that no document is; the first has kept the others' results."""
+    docs = _docs(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark", "item_id", "text").select((-1 - F.col("item_id")).alias("id"), "text")
+    cache = ResultCache(spark, shared_path(spark, "results"))
+    cache.detect(docs, PLAIN)
+    return cache.detect(docs.unionByName(items), PLAIN).select("id", "lang", "confidence", "reliable", "reason", "cached")
+
+
 @query()
 def src05_ensemble(spark, sf_dir):
     """The whole plan with defaults: nouns filtered, all built-in backends, weighted vote, three candidates."""
@@ -84,6 +99,27 @@ def evl07_histogram(spark, sf_dir):
     return E.histogram(_evaluated(spark, sf_dir), "source")
 
 
+@query()
+def evl01_default_accuracy(spark, sf_dir):
+    """The default plan (all built-in backends, nouns filtered, weighted vote) against the labels, by language."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("expected"))
+    found = detect(_docs(spark, sf_dir), Config()).select("id", "lang").join(docs, "id")
+    return E.accuracy(found, "expected").withColumn("accuracy", F.round("accuracy", 4))
+
+
+@query("SELECT event_type, count(value) AS texts, round(avg(value), 4) AS avg_ms, true AS p50_ok, true AS p90_ok, true AS p99_ok FROM events GROUP BY event_type")
+def evl06_latency(spark, sf_dir):
+    """Percentiles of the events' values by type, from sketches kept of each day; whether each has its rank, within the stated error."""
+    events = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), F.col("value").alias("ms"))
+    told = E.sketched_latency(E.merged_sketches(E.latency_sketches(events, "event_type", "day"), "event_type"), "event_type")
+    at = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    ms = F.col("ms")
+    ranks = [agg.alias(f"{p}_{n}") for p in at for n, agg in (("lo", F.count_if(ms < F.col(f"{p}_ms"))), ("hi", F.count_if(ms <= F.col(f"{p}_ms"))))]
+    out = events.join(told, "event_type").groupBy("event_type", "texts", "avg_ms").agg(*ranks)
+    ok = lambda p, q: (F.col(f"{p}_lo") <= (q + E.RANK_ERROR) * F.col("texts") + 1) & (F.col(f"{p}_hi") >= (q - E.RANK_ERROR) * F.col("texts") - 1)
+    return out.select("event_type", "texts", F.round("avg_ms", 4).alias("avg_ms"), *(ok(p, q).alias(f"{p}_ok") for p, q in at.items()))
+
+
 @query(_DETECT + " SELECT expected, lang, count(*) AS n FROM det GROUP BY ALL")
 def evl_confusion_matrix(spark, sf_dir):
     return E.confusion_matrix(_evaluated(spark, sf_dir))

@@ -334,3 +334,22 @@ def test_once_per_text(spark, monkeypatch):
 
     out = {r["id"]: r["lang"] for r in fusion.once_per_text(texts, detect).collect()}
     assert out == {i: "null" if t is None else t for i, t in rows} and seen == [4]
+
+
+def test_latency_sketches(spark):
+    """Percentiles of merged sketches have their rank within the stated error; nulls, NaN and empty tables."""
+    from lexispark.operators import evaluate as E
+
+    timings = spark.range(200_000).selectExpr("id % 7 AS run", "pow(pmod(hash(id), 1000003) / 1e3, 2) AS ms")
+    odd = spark.sql("SELECT 9L AS run, CAST(NULL AS double) AS ms UNION ALL SELECT 9L, double('nan') UNION ALL SELECT 3L, NULL")
+    kept = E.latency_sketches(timings.union(odd), "run")
+    assert {r["run"]: r["texts"] for r in kept.collect()}[9] == 0
+    got = E.sketched_latency(E.merged_sketches(kept)).first()
+    values = sorted(r["ms"] for r in timings.collect())
+    assert got["texts"] == len(values) and abs(got["avg_ms"] - sum(values) / len(values)) < 1e-6 * got["avg_ms"]
+    for name, q in (("p50_ms", 0.5), ("p90_ms", 0.9), ("p99_ms", 0.99)):
+        rank = sum(v <= got[name] for v in values) / len(values)
+        assert abs(rank - q) <= 2 * E.RANK_ERROR
+    assert {r["run"] for r in E.sketched_latency(kept, "run").filter("p50_ms IS NULL").collect()} == {9}
+    empty = E.sketched_latency(E.merged_sketches(E.latency_sketches(timings.filter("false")))).first()
+    assert (empty["texts"], empty["avg_ms"], empty["p50_ms"]) == (0, None, None)
