@@ -10,8 +10,9 @@ windows of those are enumerated; the pairs found are counted on, and given up as
 Groups (label values) are of any size: equal vectors are collapsed first; a group is then cut at the medians of its
 projections, those that spread widest first, each side also taking the vectors within half a window of the cut, so that
 a pair that collides there shares a side. A group is cut as far as its size asks for and only where a cut lessens the
-pairs (two sides of share s have 2 s^2 of them): a dense cluster, which no cut divides, stays whole. What is left is
-dealt over tasks as pairs of blocks; a dense cluster of n vectors is sent n / BLOCK times. A pair that several
+pairs (two sides of share s have 2 s^2 of them): a dense cluster, which no cut divides, stays whole. Of such a cell the core,
+all vectors within half the threshold's angle of the cell's mean, needs no comparison: any two of it are linked. What is left is
+dealt over tasks as pairs of blocks; m vectors out of the core send the n of the cell m / BLOCK times. A pair that several
 cells share is counted in the first. Tasks return degrees and spanning edges only, never pairs.
 
 Defined cases: null or zero vectors, vectors with null or non-finite components, and vectors without a label link with
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hot_join
+from .common import checkpoint, hot_join, sized_join, small
 from .graph import components
 
 #: Projections that are counted; each of them may cut a group.
@@ -184,13 +185,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = signed.groupBy(*key).agg(F.min("id").alias("cls"), F.countDistinct("id").alias("copies"), F.first("proj").alias("proj"))
     classes = checkpoint(classes)
     cells = checkpoint(_cells(classes, threshold))
-    per_cell = cells.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("n") * F.col("dim") * 8 / BLOCK_BYTES)).cast("int")
-    blocked = hot_join(cells, per_cell.select("label", "dim", "cell", blocks.alias("blocks")), ["label", "dim", "cell"], ["cls"], counts=per_cell)
-    blocked = blocked.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    dealt = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "dim", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "copies", "unit", "also")
-    met = checkpoint(dealt.groupBy("label", "dim", "cell", "i", "j").applyInArrow(_compare(threshold), "u long, v long, n long"))
+    blocked = _blocked(_cored(cells, threshold))
+    met = checkpoint(_dealt(blocked).groupBy(*_CELL, "i", "j").applyInArrow(_compare(threshold), "u long, v long, n long").unionByName(_core_links(blocked)))
 
     copied = hot_join(signed.drop("proj"), classes.select(*key, "cls", "copies"), key, ["id"], counts=classes.withColumnRenamed("copies", "n")).select("id", "cls", "copies").distinct()
     degrees = met.filter("v is null").groupBy("u").agg(F.sum("n").alias("n"))
@@ -204,6 +200,103 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
+#: What a cell is named by.
+_CELL = ["label", "dim", "cell"]
+#: Angle by which a core is narrower than the bound, far above what rounding adds to an angle and far below what matters.
+SLACK = 1e-6
+
+
+def _matrix(units: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(units.to_pylist()), np.float64).reshape(len(units), dim)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, dim, cell, unit) to the sum of the units of each cell of a batch."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for (label, dim, cell), rows in _by_cell(table):
+            total = _matrix(table.column("unit").take(pa.array(rows)), dim).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([dim], pa.int32()), pa.array([cell], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=[*_CELL, "total"])
+
+
+def _by_cell(table: pa.Table) -> Iterator[tuple[tuple, list[int]]]:
+    places: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*(table.column(c).to_pylist() for c in _CELL), strict=True)):
+        places.setdefault(key, []).append(i)
+    yield from places.items()
+
+
+def _inside(threshold: float):
+    """Adds whether a vector is in its cell's core; also = 0 keeps to vectors whose pairs all count in this cell."""
+    limit = math.cos(max(math.acos(min(threshold, 1.0)) / 2 - SLACK, 0.0)) if threshold < 1 else 2.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table, core = pa.Table.from_batches([batch]), np.zeros(batch.num_rows, bool)
+            also = table.column("also").to_numpy()
+            for (_, dim, _), rows in _by_cell(table):
+                centre = np.array(table.column("centre")[rows[0]].as_py())
+                size = np.linalg.norm(centre)
+                if size > 0:
+                    core[rows] = _matrix(table.column("unit").take(pa.array(rows)), dim) @ (centre / size) >= limit
+            columns = [c for c in batch.schema.names if c != "centre"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(core & (also == 0))], names=[*columns, "core"])
+
+    return run
+
+
+def _cored(cells: DataFrame, threshold: float) -> DataFrame:
+    """``cells`` and whether a vector belongs to its cell's core: it is at most half the threshold's angle from the mean of the cell.
+
+    Any two vectors of a core are linked, by the triangle inequality of angles, so that they need not be compared. Only cells of
+    more than one block have a core.
+    """
+    per_cell = cells.groupBy(*_CELL).agg(F.count("*").alias("n"))
+    large = checkpoint(per_cell.filter(F.col("n") > BLOCK))
+    widest = large.agg(F.max("dim")).first()[0]
+    if widest is None:
+        return cells.withColumn("core", F.lit(False))
+    inside = sized_join(cells, large.select(*_CELL), _CELL, ["cls"], 64, large)
+    total = inside.filter("also = 0").select(*_CELL, "unit").mapInArrow(_sums, "label string, dim int, cell long, total array<double>")
+    total = total.select(*_CELL, F.posexplode("total").alias("at", "s")).groupBy(*_CELL, "at").agg(F.sum("s").alias("s"))
+    centres = total.groupBy(*_CELL).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("centre"))
+    centres = checkpoint(centres)
+    kept = ", ".join(f"{n} {t}" for n, t in cells.dtypes)
+    judged = sized_join(inside, centres, _CELL, ["cls"], 64 + 8 * widest, large).select(*cells.columns, "centre").mapInArrow(_inside(threshold), f"{kept}, core boolean")
+    # Cells without a centre (all of their vectors count in another cell first, too) and small ones have no core.
+    rest = cells.join(F.broadcast(centres.select(*_CELL)) if small(centres.select(*_CELL), 64) else centres.select(*_CELL), _CELL, "left_anti")
+    return checkpoint(judged.unionByName(rest.withColumn("core", F.lit(False))))
+
+
+def _blocked(cells: DataFrame) -> DataFrame:
+    """Each vector of a cell with its block: ``outer`` blocks of vectors out of the core, then those of the core.
+
+    core_copies and core_first: how many vectors the core holds, copies counted, and the smallest class of it.
+    """
+    core = F.col("core")
+    blocks = lambda n: F.ceil(F.greatest(n / BLOCK, n * F.col("dim") * 8 / BLOCK_BYTES)).cast("int")
+    per_cell = checkpoint(cells.groupBy(*_CELL).agg(F.count("*").alias("n"), F.count_if(core).alias("k"), F.sum(F.when(core, F.col("copies"))).alias("core_copies"), F.min(F.when(core, F.col("cls"))).alias("core_first")))
+    told = per_cell.select(*_CELL, blocks(F.col("n") - F.col("k")).alias("outer"), blocks(F.col("k")).alias("inner"), "core_copies", "core_first")
+    out = hot_join(cells, told, _CELL, ["cls"], counts=per_cell)
+    dealt = lambda n: F.pmod(F.xxhash64("cls"), F.greatest(n, F.lit(1))).cast("int")
+    return out.withColumn("own", F.when(core, F.col("outer") + dealt(F.col("inner"))).otherwise(dealt(F.col("outer"))))
+
+
+def _dealt(blocked: DataFrame) -> DataFrame:
+    """The vectors by pairs of blocks i <= j that are to be compared: all but those of two blocks of the core."""
+    outer, every = F.col("outer"), F.col("outer") + F.col("inner")
+    others = F.when(~F.col("core"), F.sequence(F.lit(0), every - 1)).when(outer > 0, F.sequence(F.lit(0), F.greatest(outer, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    dealt = blocked.withColumn("other", F.explode(others))
+    return dealt.select(*_CELL, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "copies", "unit", "also")
+
+
+def _core_links(blocked: DataFrame) -> DataFrame:
+    """(u, v, n) of the vectors of cores, as ``_compare`` tells them: links with all others of the core, and an edge to its first."""
+    core = blocked.filter("core")
+    links = core.select(F.col("cls").alias("u"), F.lit(None).cast("long").alias("v"), (F.col("core_copies") - F.col("copies")).alias("n")).filter("n > 0")
+    return links.unionByName(core.filter("cls <> core_first").select(F.col("cls").alias("u"), F.col("core_first").alias("v"), F.lit(0).cast("long").alias("n")))
+
+
 def _cells(classes: DataFrame, threshold: float) -> DataFrame:
     """Each class with the cells it falls in, and the cuts (bits) at which it also stands on the side that comes first."""
     own = ["label", "dim"]

@@ -186,5 +186,48 @@ def test_cuts_stop_where_they_do_not_divide(spark, monkeypatch, dense):
     assert {i: r["component_id"] for i, r in out.items()} == want
 
 
+@pytest.mark.parametrize("cell", [4096, 64])
+def test_a_dense_core_is_linked_without_comparing(spark, monkeypatch, cell):
+    """A tight cluster with vectors around it, copies, a second label and far vectors: links are those of brute force."""
+    monkeypatch.setattr(embeddings, "CELL", cell)
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=24)
+    size = np.linalg.norm(centre)
+    around = lambda n, angle: centre + rng.normal(size=(n, 24)) * angle * size / np.sqrt(24)
+    vectors = np.concatenate([around(250, 0.03), around(150, 0.1), around(100, 0.2), rng.normal(size=(60, 24))])
+    vectors = np.concatenate([vectors, vectors[:20], vectors[260:265], around(90, 0.05)])
+    label = [1] * 585 + [2] * 90
+    table = spark.createDataFrame([(i, v.tolist(), x) for i, (v, x) in enumerate(zip(vectors, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    compared = []
+    monkeypatch.setattr(embeddings, "_dealt", lambda b, real=embeddings._dealt: compared.append(b) or real(b))
+    out = {r["vec_id"]: r for r in embeddings.near_duplicates(table).collect()}
+    core = {(r["label"], r["n"]) for r in compared[0].filter("core").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert len(core) == 2 and max(n for _, n in core) > 200
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    assert np.abs(cosine - 0.98).min() > 1e-9
+    links = (cosine >= 0.98) & ~np.eye(len(unit), dtype=bool) & (np.array(label)[:, None] == np.array(label)[None, :])
+    assert [out[i]["n_links"] for i in range(len(unit))] == links.sum(axis=1).tolist()
+    assert {i: r["component_id"] for i, r in out.items()} == union(np.argwhere(np.triu(links)).tolist(), range(len(unit)))
+
+
+def test_a_dense_cluster_is_sent_a_linear_number_of_times(spark):
+    """20,000 vectors of one tight cluster and a few far ones: each goes to as many tasks as the few make blocks."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=16)
+    unit = np.concatenate([centre + rng.normal(size=(20_000, 16)) * 0.02, rng.normal(size=(30, 16))])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    rows = [("1", 16, i, 1, bytearray(v.tobytes()), 0, 0) for i, v in enumerate(unit)]
+    cells = spark.createDataFrame(rows, "label string, dim int, cls long, copies long, unit binary, cell long, also long")
+    blocked = embeddings._blocked(embeddings._cored(cells, 0.98))
+    assert blocked.filter("core").count() == 20_000
+    dealt = embeddings._dealt(blocked)
+    assert dealt.count() < 20_000 + 30 * 30 + 1 and dealt.groupBy("i", "j").count().agg(F.max("count")).first()[0] < 4 * embeddings.BLOCK
+    links = embeddings._core_links(blocked)
+    assert links.filter("v is null").agg(F.count("*"), F.min("n"), F.max("n")).first()[:] == (20_000, 19_999, 19_999)
+    assert links.filter("v = 0").count() == 19_999
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
