@@ -206,17 +206,22 @@ _CELL = ["label", "dim", "cell"]
 SLACK = 1e-6
 
 
+#: Length of the mean of a cell's units below which no core is looked for: it would be a small share of the cell. Results do not
+#: hang on it, as vectors out of cores are compared.
+LEAN = 0.25
+
+
 def _matrix(units: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(units.to_pylist()), np.float64).reshape(len(units), dim)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, dim, cell, unit) to the sum of the units of each cell of a batch."""
+    """(label, dim, cell, unit) to the sum of the units of each cell of a batch, with their number as one more entry."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
         for (label, dim, cell), rows in _by_cell(table):
             total = _matrix(table.column("unit").take(pa.array(rows)), dim).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([dim], pa.int32()), pa.array([cell], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=[*_CELL, "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([dim], pa.int32()), pa.array([cell], pa.int64()), pa.array([[*total.tolist(), float(len(rows))]], pa.list_(pa.float64()))], names=[*_CELL, "total"])
 
 
 def _by_cell(table: pa.Table) -> Iterator[tuple[tuple, list[int]]]:
@@ -235,7 +240,7 @@ def _inside(threshold: float):
             table, core = pa.Table.from_batches([batch]), np.zeros(batch.num_rows, bool)
             also = table.column("also").to_numpy()
             for (_, dim, _), rows in _by_cell(table):
-                centre = np.array(table.column("centre")[rows[0]].as_py())
+                centre = np.array(table.column("centre")[rows[0]].as_py()[:-1])
                 size = np.linalg.norm(centre)
                 if size > 0:
                     core[rows] = _matrix(table.column("unit").take(pa.array(rows)), dim) @ (centre / size) >= limit
@@ -260,10 +265,13 @@ def _cored(cells: DataFrame, threshold: float) -> DataFrame:
     total = inside.filter("also = 0").select(*_CELL, "unit").mapInArrow(_sums, "label string, dim int, cell long, total array<double>")
     total = total.select(*_CELL, F.posexplode("total").alias("at", "s")).groupBy(*_CELL, "at").agg(F.sum("s").alias("s"))
     centres = total.groupBy(*_CELL).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("centre"))
-    centres = checkpoint(centres)
+    length = F.sqrt(F.aggregate(F.slice("centre", 1, F.size("centre") - 1), F.lit(0.0), lambda a, x: a + x * x))
+    centres = checkpoint(centres.filter(length >= LEAN * F.element_at("centre", -1)))
+    if centres.isEmpty():
+        return cells.withColumn("core", F.lit(False))
     kept = ", ".join(f"{n} {t}" for n, t in cells.dtypes)
     judged = sized_join(inside, centres, _CELL, ["cls"], 64 + 8 * widest, large).select(*cells.columns, "centre").mapInArrow(_inside(threshold), f"{kept}, core boolean")
-    # Cells without a centre (all of their vectors count in another cell first, too) and small ones have no core.
+    # Small and spread cells have no core, nor have those whose vectors all count in another cell first, too.
     rest = cells.join(F.broadcast(centres.select(*_CELL)) if small(centres.select(*_CELL), 64) else centres.select(*_CELL), _CELL, "left_anti")
     return checkpoint(judged.unionByName(rest.withColumn("core", F.lit(False))))
 
