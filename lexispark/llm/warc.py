@@ -85,11 +85,11 @@ class _Input:
     """Bytes of one file: plain, or the inflated gzip members one after another; ``skip`` passes over what isn't wanted.
 
     Members and records need not coincide: a member may hold many records (a file compressed as a whole), and a
-    record may go on in the next member.
+    record may go on in the next member. What is read stays in ``out`` until more is needed; ``at`` is the place in it.
     """
 
     def __init__(self, stream, gzipped: bool):
-        self.stream, self.gzipped, self.raw, self.out, self.inflate = stream, gzipped, b"", b"", None
+        self.stream, self.gzipped, self.raw, self.out, self.at, self.inflate = stream, gzipped, b"", b"", 0, None
         # Of the member: its place in the file, and its compressed and plain size if it tells.
         self.start, self.jump, self.plain, self.taken = 0, None, 0, 0
 
@@ -110,66 +110,75 @@ class _Input:
     def _more(self) -> bool:
         """Adds to ``out``; False at the end of the file."""
         if not self.gzipped:
-            data = self.stream.read(BLOCK)
-            self.out += data
-            return bool(data)
+            return self._add(self.stream.read(BLOCK))
         if (self.inflate is None or self.inflate.eof) and not self._member():
             return False
         data = self.raw or self.stream.read(1 << 16)
         if not data:
             raise ValueError("a gzip member ends too early")
-        self.out += self.inflate.decompress(data, BLOCK)
+        self._add(self.inflate.decompress(data, BLOCK))
         self.raw = self.inflate.unconsumed_tail or self.inflate.unused_data
         return True
 
+    def _add(self, data: bytes) -> bool:
+        """``out`` without what was taken, and ``data``: what is left is copied once a read, not once a record."""
+        self.out, self.at = self.out[self.at :] + data, 0
+        return bool(data)
+
+    def _left(self) -> int:
+        return len(self.out) - self.at
+
     def begin(self) -> bool:
         """At the next record; False at the end of the file."""
         while True:
-            self._drop(len(self.out) - len(self.out.lstrip(b"\r\n")))
-            if self.out:
+            end = self.at
+            while self.out[end : end + 1] in (b"\r", b"\n"):
+                end += 1
+            self._pass(end - self.at)
+            if self._left():
                 return True
             if not self._more():
                 return False
 
-    def _drop(self, n: int) -> None:
-        self.out = self.out[n:]
+    def _pass(self, n: int) -> None:
+        self.at += n
         self.taken += n
 
     def until(self, mark: bytes) -> bytes:
-        while (at := self.out.find(mark)) < 0:
+        while (end := self.out.find(mark, self.at)) < 0:
             if not self._more():
                 raise ValueError("a record's headers end too early")
-        data = self.out[:at]
-        self._drop(at + len(mark))
+        data = self.out[self.at : end]
+        self._pass(end - self.at + len(mark))
         return data
 
     def take(self, n: int) -> bytes:
-        parts, have = [self.out], len(self.out)
-        while have < n:
-            self.out = b""
+        parts, missing = [], n
+        while missing > self._left():
+            parts.append(self.out[self.at :])
+            missing -= len(parts[-1])
+            self.out, self.at = b"", 0
             if not self._more():
                 raise ValueError("a record's block ends too early")
-            parts.append(self.out)
-            have += len(self.out)
-        data = b"".join(parts)
-        self.out = data[n:]
+        parts.append(self.out[self.at : self.at + missing])
+        self.at += missing
         self.taken += n
-        return data[:n]
+        return b"".join(parts)
 
     def skip(self, n: int) -> None:
         if self.gzipped and self.jump and self.taken + n + 4 == self.plain:  # the member's one record: straight to the next member
             self.stream.seek(self.start + self.jump)
-            self.raw, self.out, self.inflate = b"", b"", None
+            self.raw, self.out, self.at, self.inflate = b"", b"", 0, None
             return
-        while n > len(self.out):
-            n -= len(self.out)
-            self.out = b""
+        while n > self._left():
+            n -= self._left()
+            self.out, self.at = b"", 0
             if not self.gzipped:
                 self.stream.seek(n, 1)
                 return
             if not self._more():
                 raise ValueError("a record's block ends too early")
-        self._drop(n)
+        self._pass(n)
 
 
 def read_records(stream, gzipped: bool, wanted, payload: str) -> Iterator[tuple]:
