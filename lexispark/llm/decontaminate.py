@@ -8,7 +8,8 @@ any order, so passages that were reordered or interrupted are found. A document
 tiles cover at least ``coverage`` of the item's words.
 
 The seeds of a benchmark of at most BENCHMARK_BYTES are broadcast and documents are tested where they are read, with
-no shuffle; those of a larger one are joined with the documents' seeds. Both ways give the same pairs.
+no shuffle; those of a larger one are joined with the documents' seeds, of which only those travel that pass a filter of
+fixed size (2 ** FILTER_BITS bits, 8 MB) over the benchmark's. Both ways give the same pairs.
 
 Defined cases: null or empty texts and items of fewer than ``least`` words match nothing; rows that repeat give a
 finding each; a null id is reported as null; ties between equally long matches go to the earlier place in the item,
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, join_checked
+from .common import checkpoint, fresh, hot_join, join_checked
 from .kernels import PUNCTUATION, U, blanked, mix, runs, word_hashes
 from .kernels import _power_table as powers
 from .langid import Hashes
@@ -38,8 +39,8 @@ LEAST, COVERAGE = 5, 0.5
 FOUND = "doc_id long, key long, item_id long, item_words long, matched long, coverage double, tiles array<struct<item_at:int,doc_at:int,words:int>>"
 #: Pairs of equal windows that are looked at together.
 PAIRS = 1 << 20
-#: Ways in which the join of a large benchmark with all documents is dealt for each key.
-SALTS = 16
+#: Logarithm of the bits in the filter over a large benchmark's seeds, which is broadcast.
+FILTER_BITS = 26
 _TILES = pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("words", pa.int32())]))
 _FIELDS = [("doc_id", pa.int64()), ("key", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64()), ("tiles", _TILES)]
 
@@ -203,12 +204,31 @@ def _broadcast_way(plain: DataFrame, items: DataFrame, least: int, coverage: flo
     return plain.mapInArrow(run, FOUND)
 
 
-def _seeds(least: int):
+def _bits(seeds: DataFrame) -> np.ndarray:
+    """A filter over ``seeds``: 64 bits in a number, one of them set for the first FILTER_BITS bits of each seed."""
+    bit = F.shiftrightunsigned("seed", 64 - FILTER_BITS).alias("bit")
+    words = seeds.select(bit).selectExpr("shiftright(bit, 6) AS word", "shiftleft(1L, CAST(bit & 63 AS INT)) AS bits")
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), U)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(U)
+    return out
+
+
+def _passing(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Those of ``seeds`` whose bit is set."""
+    at = seeds >> U(64 - FILTER_BITS)
+    return seeds[(bits[at >> U(6)] >> (at & U(63))) & U(1) == 1]
+
+
+def _seeds(least: int, bits=None):
+    """(row, seed) of texts; with ``bits``, a broadcast filter, only of seeds that pass it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, hashes, offsets in words_of(batch.column(1)):
                 for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                    own = np.unique(windows(hashes[a:b], least)).view(np.int64)
+                    own = windows(hashes[a:b], least)
+                    own = np.unique(own if bits is None else _passing(own, bits.value)).view(np.int64)
                     if len(own):
                         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0)[row + i].as_py(), len(own))), pa.array(own)], names=["row", "seed"])
 
@@ -219,12 +239,12 @@ def _joined_way(plain: DataFrame, items: DataFrame, least: int, coverage: float)
     """Seeds of both sides meet by their hash; candidate pairs then fetch their texts, which are equal for equal keys."""
     items = items.withColumn("item_key", F.xxhash64("item_text"))
     texts, item_texts = plain.select("key", "text").dropDuplicates(["key"]), items.select("item_key", "item_text").dropDuplicates(["item_key"])
-    mine = texts.select("key", "text").mapInArrow(_seeds(least), "row long, seed long").withColumnRenamed("row", "key")
-    theirs = item_texts.select("item_key", "item_text").mapInArrow(_seeds(least), "row long, seed long").withColumnRenamed("row", "item_key")
-    # A passage or an item that a large share of the documents has is dealt over SALTS tasks; the benchmark's side is repeated.
-    salt, salts = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    pairs = checkpoint(mine.withColumn("salt", salt).join(theirs.withColumn("salt", salts), ["seed", "salt"]).select("key", "item_key").distinct())
-    both = pairs.withColumn("salt", salt).join(item_texts.withColumn("salt", salts), ["item_key", "salt"]).join(texts, "key").select("key", "item_key", "text", "item_text")
+    theirs = checkpoint(item_texts.select("item_key", "item_text").mapInArrow(_seeds(least), "row long, seed long").withColumnRenamed("row", "item_key"))
+    bits = plain.sparkSession.sparkContext.broadcast(_bits(theirs))
+    mine = checkpoint(texts.select("key", "text").mapInArrow(_seeds(least, bits), "row long, seed long").withColumnRenamed("row", "key"))
+    # A passage or an item that many documents have is dealt over tasks by their number.
+    pairs = checkpoint(hot_join(mine, theirs, ["seed"], ["key"]).select("key", "item_key").distinct())
+    both = hot_join(pairs, item_texts, ["item_key"], ["key"]).join(texts, "key").select("key", "item_key", "text", "item_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "item_key", "item_words", "matched", "coverage", "tiles"]

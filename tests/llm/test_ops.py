@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -54,6 +55,26 @@ def test_warc_foreign_files(spark, tmp_path, payload):
         assert {r["payload_bytes"] for r in rows} == {0, 10, 20, 30}
 
 
+def test_warc_small_records_are_not_copied_again(tmp_path):
+    """A buffer is cut once for each read, however many records it holds."""
+    data = b"".join(warc.record([("WARC-Type", "resource"), ("WARC-Record-ID", f"<urn:x:{i}>")], b"x" * (i % 7)) for i in range(3000))
+    for gzipped in (False, True):
+        source = warc._Input(io.BytesIO(gzip.compress(data) if gzipped else data), gzipped)
+        cuts, add = [], source._add
+        source._add = lambda more, cuts=cuts, add=add: cuts.append(1) or add(more)
+        seen = 0
+        while source.begin():
+            headers = dict(h.split(": ", 1) for h in source.until(b"\r\n\r\n").decode().split("\r\n")[1:])
+            n = int(headers["Content-Length"])
+            assert headers["WARC-Record-ID"] == f"<urn:x:{seen}>" and n == seen % 7
+            if seen % 2:
+                source.skip(n)
+            else:
+                assert source.take(n) == b"x" * n
+            seen += 1
+        assert seen == 3000 and len(cuts) < 20
+
+
 def test_warc_empty(spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w")).count() == 0
 
@@ -122,6 +143,32 @@ def test_decontamination_of_typographic_copies_and_clashing_columns(spark):
         assert decontaminate.drop_contaminated(table.limit(0), bench, limit=limit).count() == 0
 
 
+def test_seeds_of_a_large_benchmark(spark, monkeypatch):
+    """A passage in all documents is dealt over tasks; what the benchmark has not does not travel; the result is the broadcast way's."""
+    rng = random.Random(5)
+    common_item, rare_item = " ".join(f"c{i}" for i in range(12)), " ".join(f"r{i}" for i in range(12))
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    docs = spark.createDataFrame([(i, f"{own(60)} {common_item} {own(60)}" + (f" {rare_item}" if i % 40 == 0 else "")) for i in range(120)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, common_item), (2, rare_item), (3, own(20))], "item_id long, text string")
+    bits = np.zeros(1 << (decontaminate.FILTER_BITS - 6), np.uint64)
+    seeds = np.array([0, 5, 1 << 63, (1 << 64) - 1], np.uint64)
+    for s in seeds[1:].tolist():
+        bits[(s >> (64 - decontaminate.FILTER_BITS)) >> 6] |= np.uint64(1 << ((s >> (64 - decontaminate.FILTER_BITS)) & 63))
+    made = decontaminate._bits(spark.createDataFrame([(s,) for s in seeds[1:].view(np.int64).tolist()], "seed long"))
+    assert (made == bits).all() and decontaminate._passing(np.array([5, 7 << 40, 1 << 63, (1 << 64) - 1], np.uint64), made).tolist() == [5, 1 << 63, (1 << 64) - 1]
+    told = lambda limit: sorted((r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.contaminated(docs, bench, limit=limit).collect())
+    want, travelled, plain = told(1 << 20), [], decontaminate.hot_join
+
+    def watched(left, right, *rest, **named):
+        travelled.append(left.count())
+        return plain(left, right, *rest, **named)
+
+    monkeypatch.setattr(decontaminate, "hot_join", watched)
+    monkeypatch.setattr("lexispark.llm.common.SPLIT", 10)
+    assert told(0) == want and len(want) == 123
+    assert 120 * 8 <= travelled[0] <= 123 * 8 + 5  # of some 130 seeds of a document only those of the items
+
+
 def test_tiles_of_repeated_words_are_found_in_bounded_memory(monkeypatch):
     monkeypatch.setattr(decontaminate, "PAIRS", 50)
     rng = np.random.default_rng(1)
