@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Accumulator, SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import detect_script, script_languages
@@ -145,25 +146,26 @@ def word_model() -> G.Model:
     return G.Model(rows)
 
 
-def _held(texts: DataFrame, model: DataFrame | G.Model | None):
+def held_model(spark: SparkSession, model: DataFrame | G.Model | None):
+    """(broadcast model, its languages); the built-in one for None. A table of more than MODEL_ROWS rows is refused."""
     if isinstance(model, DataFrame):
         rows = model.select("language", "gram", "n", "rank").limit(MODEL_ROWS + 1).collect()
         if len(rows) > MODEL_ROWS:
             raise ValueError(f"an n-gram model of more than {MODEL_ROWS} rows is not broadcast; train it with a smaller top")
         model = G.Model([tuple(r) for r in rows])
     model = model or word_model()
-    return texts.sparkSession.sparkContext.broadcast(model), model.languages
+    return spark.sparkContext.broadcast(model), model.languages
 
 
 def ngram_nb(texts: DataFrame, model: DataFrame | G.Model | None = None, name: str = "ngram_nb") -> DataFrame:
     """Multinomial naive Bayes over n-grams that the model knows, smoothed by one; posterior of each language."""
-    held, languages = _held(texts, model)
+    held, languages = held_model(texts.sparkSession, model)
     return texts.select("id", "text").mapInArrow(G.results(name, lambda own: held.value.bayes(own), languages, RELIABLE), RESULT)
 
 
 def ngram_rank(texts: DataFrame, model: DataFrame | G.Model | None = None, profile: int = 300, name: str = "ngram_rank") -> DataFrame:
     """Out-of-place distance between a text's n-gram ranks and each language's profile; confidence 1 - distance."""
-    held, languages = _held(texts, model)
+    held, languages = held_model(texts.sparkSession, model)
     return texts.select("id", "text").mapInArrow(G.results(name, lambda own: held.value.ranked(own, profile), languages, RELIABLE), RESULT)
 
 
@@ -237,35 +239,46 @@ def clear_backends() -> None:
     _registry.clear()
 
 
+#: Counts of failures by backend, and the application that each belongs to.
+_failed: dict[str, Accumulator] = {}
+_counting: dict[str, SparkContext] = {}
+
+
+def failed_texts(name: str) -> int:
+    """Texts on which the backend raised, over the jobs so far of this application (a task that ran again counts again)."""
+    return _failed[name].value if name in _failed else 0
+
+
 def row_wise(make: Callable[[], Backend], name: str) -> Scorer:
-    """A scorer that runs a Backend in Arrow batches; a text on which it raises gets no row.
+    """A scorer that runs a Backend in Arrow batches; a text on which it raises gets no row and is counted (``failed_texts``).
 
     A batch goes to ``detect_batch`` whole where the class has one of its own; if that raises, its texts go one by one.
     """
 
-    def one_by_one(detector: Backend, texts: list[str]) -> Iterator[tuple | None]:
+    def one_by_one(detector: Backend, texts: list[str], failed: Accumulator) -> Iterator[tuple | None]:
         for text in texts:
             try:
                 yield detector.detect(text)
             except Exception:  # noqa: BLE001 - a backend that fails on a text has no vote on it
+                failed.add(1)
                 yield None
 
-    def results(detector: Backend, texts: list[str]) -> list[tuple | None]:
+    def results(detector: Backend, texts: list[str], failed: Accumulator) -> list[tuple | None]:
         if type(detector).detect_batch is Backend.detect_batch:
-            return list(one_by_one(detector, texts))
+            return list(one_by_one(detector, texts, failed))
         try:
             found = list(detector.detect_batch(texts))
         except Exception:  # noqa: BLE001 - some text of the batch
-            return list(one_by_one(detector, texts))
+            return list(one_by_one(detector, texts, failed))
         if len(found) != len(texts):
             raise ValueError(f"{name}: detect_batch gave {len(found)} results for {len(texts)} texts")
         return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], failed: Accumulator) -> Iterator[pa.RecordBatch]:
         detector = make()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            told = results(detector, [text or "" for text in batch.column(1).to_pylist()])
+            told = results(detector, [text or "" for text in batch.column(1).to_pylist()], failed)
             for key, result in zip(batch.column(0).to_pylist(), told, strict=True):
                 if result is None:
                     continue
@@ -275,7 +288,14 @@ def row_wise(make: Callable[[], Backend], name: str) -> Scorer:
             types = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.map_(pa.string(), pa.float64()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[f.split()[0] for f in RESULT.split(", ")])
 
-    return lambda texts: normalized(texts.select("id", "text").mapInArrow(run, RESULT))
+    def scored(texts: DataFrame) -> DataFrame:
+        context = texts.sparkSession.sparkContext
+        if name not in _failed or _counting.get(name) is not context:
+            _failed[name], _counting[name] = context.accumulator(0), context
+        failed = _failed[name]
+        return normalized(texts.select("id", "text").mapInArrow(lambda batches: run(batches, failed), RESULT))
+
+    return scored
 
 
 def create_backend(name: str) -> Scorer:

@@ -24,10 +24,10 @@ def with_window(turns: DataFrame, max_turns: int = MAX_TURNS, before: bool = Fal
 
 
 def weights(window: Column, decay: float = DECAY) -> Column:
-    """array<struct<lang, w>>: confidences with decay by age; turns without a language have age but no weight."""
+    """array<struct<lang, w>>: confidences with decay by age; turns without a language or a confidence (null, NaN) have age but no weight."""
     n = F.size(window)
     weighed = F.transform(window, lambda t, i: F.struct(t["lang"].alias("lang"), (F.pow(F.lit(float(decay)), n - 1 - i) * t["confidence"]).alias("w")))
-    return F.filter(weighed, lambda x: x["lang"].isNotNull() & (x["lang"] != "") & (x["lang"] != UNKNOWN))
+    return F.filter(weighed, lambda x: x["lang"].isNotNull() & (x["lang"] != "") & (x["lang"] != UNKNOWN) & x["w"].isNotNull() & ~F.isnan(x["w"]))
 
 
 def distribution(window: Column, decay: float = DECAY) -> Column:

@@ -61,8 +61,6 @@ def detect(texts: DataFrame, config: Config | None = None, hints: DataFrame | No
     hints: (word, lang). boosts: (id, lang, boost) of a conversation's context.
     """
     config = config or Config()
-    # Unions of branches with different partitionings are zipped wrongly when Spark 4.1 keeps their partitioning.
-    texts.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     if config.once_per_text and boosts is None:
         return fusion.once_per_text(texts, lambda t: _detect(t, config, hints, None, top_k)).select(*RESULT)
     return _detect(texts, config, hints, boosts, top_k)

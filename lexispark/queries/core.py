@@ -16,6 +16,7 @@ from ..plans.cache import ResultCache
 from ..plans.config import Config
 from ..plans.detect import detect
 from ..plans.keep import shared_path
+from ..plans.sql import detected
 from ..sources import files
 from . import query, quoted, table, values
 from .scalars import W, _gate_sql, normal_sql
@@ -64,6 +65,17 @@ def fus13_result_cache(spark, sf_dir):
     return cache.detect(docs.unionByName(items), PLAIN).select("id", "lang", "confidence", "reliable", "reason", "cached")
 
 
+@query(_DETECT + " SELECT source, lang, reason, count(*) AS n, round(avg(confidence), 6) AS confidence FROM det GROUP BY source, lang, reason")
+def sql_detected(spark, sf_dir):
+    """The same plan from SQL text: a view of the detection, joined with the table and grouped."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("sql_documents")
+    detected(spark, "sql_documents", id="doc_id", config=PLAIN)
+    return spark.sql(
+        """SELECT d.source, r.lang, r.reason, count(*) AS n, round(avg(r.confidence), 6) AS confidence
+        FROM sql_documents d JOIN sql_documents_detected r ON r.id = d.doc_id GROUP BY d.source, r.lang, r.reason"""
+    )
+
+
 @query()
 def src05_ensemble(spark, sf_dir):
     """The whole plan with defaults: nouns filtered, all built-in backends, weighted vote, three candidates."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import backends as B
 from ..operators import fusion
 from ..operators import voting as V
+from ..plans import sql
 from . import query, table, values
 from .scalars import _LANGS, W, scripted_sql
 
@@ -93,6 +94,15 @@ def bkd_ngram_nb(spark, sf_dir):
     return B.ngram_nb(texts, model).select("id", "language", F.round("confidence", 4).alias("confidence"))
 
 
+@query(f"{_TRAINED}, {_bayes_sql('nb')} SELECT coalesce(p, 0) > 0.5 AS is_reliable, coalesce(lang_, 'unknown') AS language, count(*) AS n FROM documents d LEFT JOIN (SELECT id, lang AS lang_, p FROM nbpr WHERE rn = 1) r ON r.id = d.doc_id GROUP BY ALL")
+def sql_table_function(spark, sf_dir):
+    """The trained model as a table function in SQL text, over the whole table."""
+    texts, model = _folded(spark, sf_dir)
+    texts.createOrReplaceTempView("sql_texts")
+    sql.register(spark, {"trained_nb": model})
+    return spark.sql("SELECT is_reliable, language, count(*) AS n FROM trained_nb(TABLE(SELECT id, text FROM sql_texts)) GROUP BY is_reliable, language")
+
+
 @query(f"{_TRAINED}, {_rank_sql('rk')} SELECT doc_id AS id, coalesce(lang_, 'unknown') AS language, round(coalesce(p, 0), 6) AS confidence FROM documents d LEFT JOIN (SELECT id, lang AS lang_, p FROM rkpr WHERE rn = 1) r ON r.id = d.doc_id")
 def bkd_ngram_rank(spark, sf_dir):
     texts, model = _folded(spark, sf_dir)

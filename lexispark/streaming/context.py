@@ -7,6 +7,7 @@ spark.sql.streaming.noDataMicroBatches.enabled off, since timeouts by processing
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,10 +21,13 @@ STATE = "langs array<string>, confidences array<double>"
 
 
 def summary(history: list[tuple[str, float]], decay: float = DECAY) -> tuple[str | None, float, int, float]:
-    """(dominant language, its share, streak of the last language, boost of the dominant language)."""
+    """(dominant language, its share, streak of the last language, boost of the dominant language).
+
+    As in the batch form, turns without a language or a confidence (which arrives as NaN) have age but no weight.
+    """
     weights: dict[str, float] = {}
     for age, (lang, confidence) in enumerate(reversed(history)):
-        if lang and lang != UNKNOWN:
+        if lang and lang != UNKNOWN and not math.isnan(confidence):
             weights[lang] = weights.get(lang, 0.0) + decay**age * confidence
     last = history[-1][0] if history else None
     run = 0
