@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from .text import WORD
 
 # Words that are kept even if capitalised; words that no name holds.
-COMMON = "the a an in on at to for of with is are was were be been being have has had do does did will would could should may might must shall can need dare ought used i you he she it we they what which who whom this that these those am and or but if then else when where why how all each every both few more most other some such no nor not only own same so than too very just also now here there der die das und oder le la les et ou el los las y o il lo gli e".split()
-NAMELESS = "the a an is are was were be and or but in on at to for".split()
+COMMON = [
+    "the", "a", "an", "in", "on", "at", "to", "for", "of", "with", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do",
+    "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "need", "dare", "ought", "used", "i", "you", "he",
+    "she", "it", "we", "they", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "and", "or", "but", "if", "then", "else",
+    "when", "where", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own",
+    "same", "so", "than", "too", "very", "just", "also", "now", "here", "there", "der", "die", "das", "und", "oder", "le", "la", "les", "et", "ou",
+    "el", "los", "las", "y", "o", "il", "lo", "gli", "e",
+]
+NAMELESS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "and", "or", "but", "in", "on", "at", "to", "for",
+]
 MASK = "[NAME]"
 _BLANK = r"[\s\p{Z}]+"
 

@@ -120,8 +120,43 @@ def gate(text: Column, mode: Column | str = "default") -> Column:
 
 
 # Languages by script, and the scripts' code point ranges, for the finer script filter.
-SCRIPT_LANGUAGES = {"Cyrillic": "ru uk bg sr mk be kk ky mn tg uz", "Arabic": "ar fa ur ps sd ug ku", "Hebrew": "he yi", "Greek": "el", "Devanagari": "hi mr ne sa", "Bengali": "bn as", "Tamil": "ta", "Telugu": "te", "Thai": "th", "Georgian": "ka", "Armenian": "hy", "Ethiopic": "am ti", "Hangul": "ko", "Hiragana": "ja", "Katakana": "ja", "Han": "zh ja", "Latin": ""}
-SCRIPT_RANGES = {"Cyrillic": "0400-04FF 0500-052F", "Arabic": "0600-06FF 0750-077F 08A0-08FF", "Hebrew": "0590-05FF", "Greek": "0370-03FF 1F00-1FFF", "Devanagari": "0900-097F", "Bengali": "0980-09FF", "Tamil": "0B80-0BFF", "Telugu": "0C00-0C7F", "Thai": "0E00-0E7F", "Georgian": "10A0-10FF", "Armenian": "0530-058F", "Ethiopic": "1200-137F", "Hangul": "AC00-D7AF 1100-11FF 3130-318F", "Hiragana": "3040-309F", "Katakana": "30A0-30FF 31F0-31FF", "Han": "4E00-9FFF 3400-4DBF 20000-2A6DF"}
+SCRIPT_LANGUAGES = {
+    "Cyrillic": ["ru", "uk", "bg", "sr", "mk", "be", "kk", "ky", "mn", "tg", "uz"],
+    "Arabic": ["ar", "fa", "ur", "ps", "sd", "ug", "ku"],
+    "Hebrew": ["he", "yi"],
+    "Greek": ["el"],
+    "Devanagari": ["hi", "mr", "ne", "sa"],
+    "Bengali": ["bn", "as"],
+    "Tamil": ["ta"],
+    "Telugu": ["te"],
+    "Thai": ["th"],
+    "Georgian": ["ka"],
+    "Armenian": ["hy"],
+    "Ethiopic": ["am", "ti"],
+    "Hangul": ["ko"],
+    "Hiragana": ["ja"],
+    "Katakana": ["ja"],
+    "Han": ["zh", "ja"],
+    "Latin": [],
+}
+SCRIPT_RANGES = {
+    "Cyrillic": [(0x0400, 0x04FF), (0x0500, 0x052F)],
+    "Arabic": [(0x0600, 0x06FF), (0x0750, 0x077F), (0x08A0, 0x08FF)],
+    "Hebrew": [(0x0590, 0x05FF)],
+    "Greek": [(0x0370, 0x03FF), (0x1F00, 0x1FFF)],
+    "Devanagari": [(0x0900, 0x097F)],
+    "Bengali": [(0x0980, 0x09FF)],
+    "Tamil": [(0x0B80, 0x0BFF)],
+    "Telugu": [(0x0C00, 0x0C7F)],
+    "Thai": [(0x0E00, 0x0E7F)],
+    "Georgian": [(0x10A0, 0x10FF)],
+    "Armenian": [(0x0530, 0x058F)],
+    "Ethiopic": [(0x1200, 0x137F)],
+    "Hangul": [(0xAC00, 0xD7AF), (0x1100, 0x11FF), (0x3130, 0x318F)],
+    "Hiragana": [(0x3040, 0x309F)],
+    "Katakana": [(0x30A0, 0x30FF), (0x31F0, 0x31FF)],
+    "Han": [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF)],
+}
 DOMINANT, HINT_SHARE = 0.7, 0.2
 
 
@@ -129,7 +164,7 @@ def range_class(script: str) -> str:
     """A regex class of the script's ranges (for Java and RE2)."""
     if script == "Latin":
         return r"[a-zA-Z\p{IsLatin}]"
-    return "[" + "".join("-".join(rf"\x{{{x}}}" for x in r.split("-")) for r in SCRIPT_RANGES[script].split()) + "]"
+    return "[" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in SCRIPT_RANGES[script]) + "]"
 
 
 def _let(value: Column, then) -> Column:
@@ -168,7 +203,7 @@ def script_languages(script: Column) -> Column:
     out = F.when(script == "Latin", F.array().cast("array<string>"))
     for s, langs in SCRIPT_LANGUAGES.items():
         if langs:
-            out = out.when(script == s, F.array(*map(F.lit, langs.split())))
+            out = out.when(script == s, F.array(*map(F.lit, langs)))
     return out
 
 

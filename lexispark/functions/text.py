@@ -60,21 +60,32 @@ def normalize_tag(tag: Column) -> Column:
     return out.when(plain.startswith("zh"), "zh").when(F.char_length(plain) >= 2, F.substring(plain, 1, 2)).otherwise("und")
 
 
-# ISO 639-3 codes whose two-letter code isn't their first two letters, by that code.
+# ISO 639-3 codes whose two-letter code isn't their first two letters, with that code.
 ISO3 = {
-    "an": "arg", "ar": "aao acm acw acx aeb ajp apc apd ayl", "bg": "bul", "bn": "ben", "bs": "bos", "cs": "ces", "cv": "chv", "dv": "div", "es": "spa", "et": "est", "fa": "glk pes prs", "fo": "fao", "fy": "fry",
-    "ga": "gle", "gd": "gla", "gv": "glv", "ht": "hat", "id": "ind", "ig": "ibo", "iu": "iku", "ja": "jpn", "jv": "jav", "ka": "lzz xmf", "kg": "kon", "kk": "kaz", "km": "khm", "kn": "kan", "ku": "ckb kmr sdh", "kv": "kpv", "kw": "cor",
-    "lb": "ltz", "lg": "lug", "ln": "lin", "lo": "lao", "lt": "lit", "lv": "lav", "ml": "mal", "mn": "bxr khk mon mvf", "mr": "mar", "ms": "zlm zsm", "mt": "mlt", "nv": "nav", "om": "orm", "pa": "pnb", "pl": "pol", "ps": "pus", "pt": "por",
-    "rm": "roh", "rn": "run", "rw": "kin", "sc": "srd", "se": "sme", "sk": "slk", "st": "sot", "sv": "swe", "tk": "tuk", "tl": "tgl", "tn": "tsn", "tr": "tur", "tt": "tat", "ug": "uig", "uk": "rue", "wa": "wln",
-    "zh": "cdo cjy cmn cpx csp czh gan hak hsn ltc lzh mnp nan och wuu yue",
+    "aao": "ar", "acm": "ar", "acw": "ar", "acx": "ar", "aeb": "ar", "ajp": "ar", "apc": "ar", "apd": "ar", "arg": "an", "ayl": "ar", "ben": "bn",
+    "bos": "bs", "bul": "bg", "bxr": "mn", "cdo": "zh", "ces": "cs", "chv": "cv", "cjy": "zh", "ckb": "ku", "cmn": "zh", "cor": "kw", "cpx": "zh",
+    "csp": "zh", "czh": "zh", "div": "dv", "est": "et", "fao": "fo", "fry": "fy", "gan": "zh", "gla": "gd", "gle": "ga", "glk": "fa", "glv": "gv",
+    "hak": "zh", "hat": "ht", "hsn": "zh", "ibo": "ig", "iku": "iu", "ind": "id", "jav": "jv", "jpn": "ja", "kan": "kn", "kaz": "kk", "khk": "mn",
+    "khm": "km", "kin": "rw", "kmr": "ku", "kon": "kg", "kpv": "kv", "lao": "lo", "lav": "lv", "lin": "ln", "lit": "lt", "ltc": "zh", "ltz": "lb",
+    "lug": "lg", "lzh": "zh", "lzz": "ka", "mal": "ml", "mar": "mr", "mlt": "mt", "mnp": "zh", "mon": "mn", "mvf": "mn", "nan": "zh", "nav": "nv",
+    "och": "zh", "orm": "om", "pes": "fa", "pnb": "pa", "pol": "pl", "por": "pt", "prs": "fa", "pus": "ps", "roh": "rm", "rue": "uk", "run": "rn",
+    "sdh": "ku", "slk": "sk", "sme": "se", "sot": "st", "spa": "es", "srd": "sc", "swe": "sv", "tat": "tt", "tgl": "tl", "tsn": "tn", "tuk": "tk",
+    "tur": "tr", "uig": "ug", "wln": "wa", "wuu": "zh", "xmf": "ka", "yue": "zh", "zlm": "ms", "zsm": "ms",
 }
 # ISO 639-3 codes that are kept, since there is no two-letter code.
-ISO3_KEPT = "ace ale ang ast ban bar bcl bjn bug cbk ceb chp cho chr cjs ckt crh dgr dlm dsb als ems eml enm ess esu eve evn ext frm fro frp frr fur gag gcf gmh goh gor gsw gwi hil hsb hup ilo itl izh kca ket kjh koi krc krl ksh kum lad liv lld lmo mak mdf mhr min mns moh mrj mus mwl myv mzn nap nds neg nio nog non nrf nso oaa olo osx pag pap pcd pfl pms rgn rup sah sas scn sco sel sgs sma smj smn sms stq szl tyv udm ulc vec vep vot vro war wym xal yrk".split()
+ISO3_KEPT = [
+    "ace", "ale", "als", "ang", "ast", "ban", "bar", "bcl", "bjn", "bug", "cbk", "ceb", "cho", "chp", "chr", "cjs", "ckt", "crh", "dgr", "dlm", "dsb",
+    "eml", "ems", "enm", "ess", "esu", "eve", "evn", "ext", "frm", "fro", "frp", "frr", "fur", "gag", "gcf", "gmh", "goh", "gor", "gsw", "gwi", "hil",
+    "hsb", "hup", "ilo", "itl", "izh", "kca", "ket", "kjh", "koi", "krc", "krl", "ksh", "kum", "lad", "liv", "lld", "lmo", "mak", "mdf", "mhr", "min",
+    "mns", "moh", "mrj", "mus", "mwl", "myv", "mzn", "nap", "nds", "neg", "nio", "nog", "non", "nrf", "nso", "oaa", "olo", "osx", "pag", "pap", "pcd",
+    "pfl", "pms", "rgn", "rup", "sah", "sas", "scn", "sco", "sel", "sgs", "sma", "smj", "smn", "sms", "stq", "szl", "tyv", "udm", "ulc", "vec", "vep",
+    "vot", "vro", "war", "wym", "xal", "yrk",
+]
 
 
 def label_code(label: Column, mapping: dict[str, str] | None = None) -> Column:
     """The code of an ISO 639-3 label or a variant's label: by the tables above (and ``mapping``), else the first two letters, lower-cased."""
-    known = {old: new for new, own in ISO3.items() for old in own.split()} | {c: c for c in ISO3_KEPT} | (mapping or {})
+    known = ISO3 | {c: c for c in ISO3_KEPT} | (mapping or {})
     table = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair))
     return F.coalesce(F.try_element_at(table, label), F.lower(F.substring(label, 1, 2)))
 

@@ -11,51 +11,112 @@ from pyspark.sql import functions as F
 
 GAP, BOOST = 0.15, 0.2
 
-# Groups of confused languages and what tells them apart; features are separated by commas, and one
-# that is listed twice counts twice.
-GROUPS: list[dict[str, str]] = [
+# Groups of confused languages and what tells them apart; a feature that is listed
+# twice counts twice.
+GROUPS: list[dict[str, list[str]]] = [
     {
-        "es": "pero,porque,cuando,donde,como,este,esta,tiene,puede,hace,muy,siempre,nunca,también,ahora,después,antes,sobre,bajo,entre,ñ,ll",
-        "pt": "mas,porque,quando,onde,como,este,esta,tem,pode,faz,muito,sempre,nunca,também,agora,depois,antes,sobre,baixo,entre,ão,ões,ção,lh,nh,você,vocês,é,são",
+        "es": [
+            "pero", "porque", "cuando", "donde", "como", "este", "esta", "tiene", "puede", "hace", "muy", "siempre", "nunca", "también", "ahora",
+            "después", "antes", "sobre", "bajo", "entre", "ñ", "ll",
+        ],
+        "pt": [
+            "mas", "porque", "quando", "onde", "como", "este", "esta", "tem", "pode", "faz", "muito", "sempre", "nunca", "também", "agora", "depois",
+            "antes", "sobre", "baixo", "entre", "ão", "ões", "ção", "lh", "nh", "você", "vocês", "é", "são",
+        ],
     },
     {
-        "no": "jeg,ikke,det,og,på,er,en,av,å,være,har,kan,vil,skal,må,hva,hvor,når,hvorfor,hvem,også,bare,aldri,alltid",
-        "da": "jeg,ikke,det,og,på,er,en,af,at,være,har,kan,vil,skal,må,hvad,hvor,hvornår,hvorfor,hvem,også,bare,aldrig,altid,ø,æ",
-        "sv": "jag,inte,det,och,på,är,en,av,att,vara,har,kan,vill,ska,måste,vad,var,när,varför,vem,också,bara,aldrig,alltid,ä,ö",
+        "no": [
+            "jeg", "ikke", "det", "og", "på", "er", "en", "av", "å", "være", "har", "kan", "vil", "skal", "må", "hva", "hvor", "når", "hvorfor",
+            "hvem", "også", "bare", "aldri", "alltid",
+        ],
+        "da": [
+            "jeg", "ikke", "det", "og", "på", "er", "en", "af", "at", "være", "har", "kan", "vil", "skal", "må", "hvad", "hvor", "hvornår", "hvorfor",
+            "hvem", "også", "bare", "aldrig", "altid", "ø", "æ",
+        ],
+        "sv": [
+            "jag", "inte", "det", "och", "på", "är", "en", "av", "att", "vara", "har", "kan", "vill", "ska", "måste", "vad", "var", "när", "varför",
+            "vem", "också", "bara", "aldrig", "alltid", "ä", "ö",
+        ],
     },
     {
-        "cs": "být,mít,dělat,říct,jít,vědět,chtít,já,ty,on,ona,my,vy,oni,ano,ne,proč,jak,kdy,kde,ř,ě,ů",
-        "sk": "byť,mať,robiť,povedať,ísť,vedieť,chcieť,ja,ty,on,ona,my,vy,oni,áno,nie,prečo,ako,kedy,kde,ä,ô,ĺ,ŕ",
+        "cs": [
+            "být", "mít", "dělat", "říct", "jít", "vědět", "chtít", "já", "ty", "on", "ona", "my", "vy", "oni", "ano", "ne", "proč", "jak", "kdy",
+            "kde", "ř", "ě", "ů",
+        ],
+        "sk": [
+            "byť", "mať", "robiť", "povedať", "ísť", "vedieť", "chcieť", "ja", "ty", "on", "ona", "my", "vy", "oni", "áno", "nie", "prečo", "ako",
+            "kedy", "kde", "ä", "ô", "ĺ", "ŕ",
+        ],
     },
     {
-        "hr": "tko,što,zašto,gdje,kako,kada,samo,već,još,sada,ovdje,tamo,trebati,moći,htjeti,znati",
-        "sr": "ко,шта,зашто,где,како,када,ko,šta,zašto,gde,kako,kada,само,већ,још,сада,овде,тамо",
-        "bs": "ko,šta,zašto,gdje,kako,kada,samo,već,još,sada,ovdje,tamo",
+        "hr": [
+            "tko", "što", "zašto", "gdje", "kako", "kada", "samo", "već", "još", "sada", "ovdje", "tamo", "trebati", "moći", "htjeti", "znati",
+        ],
+        "sr": [
+            "ко", "шта", "зашто", "где", "како", "када", "ko", "šta", "zašto", "gde", "kako", "kada", "само", "већ", "још", "сада", "овде", "тамо",
+        ],
+        "bs": [
+            "ko", "šta", "zašto", "gdje", "kako", "kada", "samo", "već", "još", "sada", "ovdje", "tamo",
+        ],
     },
     {
-        "id": "tidak,bukan,dengan,yang,untuk,dari,adalah,akan,telah,sedang,sudah,saya,anda,mereka,kami,kita,apa,siapa,mengapa,bagaimana,dimana",
-        "ms": "tidak,bukan,dengan,yang,untuk,dari,ialah,akan,telah,sedang,sudah,saya,anda,mereka,kami,kita,apa,siapa,kenapa,macam mana,di mana",
+        "id": [
+            "tidak", "bukan", "dengan", "yang", "untuk", "dari", "adalah", "akan", "telah", "sedang", "sudah", "saya", "anda", "mereka", "kami",
+            "kita", "apa", "siapa", "mengapa", "bagaimana", "dimana",
+        ],
+        "ms": [
+            "tidak", "bukan", "dengan", "yang", "untuk", "dari", "ialah", "akan", "telah", "sedang", "sudah", "saya", "anda", "mereka", "kami",
+            "kita", "apa", "siapa", "kenapa", "macam mana", "di mana",
+        ],
     },
     {
-        "ru": "что,как,это,он,она,они,мы,вы,быть,есть,был,была,были,будет,и,в,не,на,с,по,для,от",
-        "uk": "що,як,це,він,вона,вони,ми,ви,бути,є,був,була,були,буде,і,в,не,на,з,по,для,від,ї,і,є",
-        "be": "што,як,гэта,ён,яна,яны,мы,вы,быць,ёсць,быў,была,былі,будзе,і,у,не,на,з,па,для,ад,ў,і",
+        "ru": [
+            "что", "как", "это", "он", "она", "они", "мы", "вы", "быть", "есть", "был", "была", "были", "будет", "и", "в", "не", "на", "с", "по",
+            "для", "от",
+        ],
+        "uk": [
+            "що", "як", "це", "він", "вона", "вони", "ми", "ви", "бути", "є", "був", "була", "були", "буде", "і", "в", "не", "на", "з", "по", "для",
+            "від", "ї", "і", "є",
+        ],
+        "be": [
+            "што", "як", "гэта", "ён", "яна", "яны", "мы", "вы", "быць", "ёсць", "быў", "была", "былі", "будзе", "і", "у", "не", "на", "з", "па",
+            "для", "ад", "ў", "і",
+        ],
+    },
+    {
+        "hi": [
+            "है", "हैं", "था", "थे", "और", "का", "की", "के", "को", "में", "से", "पर", "यह", "वह", "क्या",
+        ],
+        "ur": [
+            "ہے", "ہیں", "تھا", "تھے", "اور", "کا", "کی", "کے", "کو", "میں", "سے", "پر", "یہ", "وہ", "کیا",
+        ],
     },
-    {"hi": "है,हैं,था,थे,और,का,की,के,को,में,से,पर,यह,वह,क्या", "ur": "ہے,ہیں,تھا,تھے,اور,کا,کی,کے,کو,میں,سے,پر,یہ,وہ,کیا"},
 ]
 # Language families, in order.
-FAMILIES = {"romance": "es pt fr it ro ca gl", "germanic": "en de nl sv da no is", "slavic": "ru uk be pl cs sk hr sr bs bg sl", "scandinavian": "sv da no is", "south_slavic": "hr sr bs bg sl mk", "east_slavic": "ru uk be", "west_slavic": "pl cs sk", "cjk": "zh ja ko", "semitic": "ar he", "indic": "hi ur bn pa mr gu", "austronesian": "id ms tl"}
+FAMILIES = {
+    "romance": ["es", "pt", "fr", "it", "ro", "ca", "gl"],
+    "germanic": ["en", "de", "nl", "sv", "da", "no", "is"],
+    "slavic": ["ru", "uk", "be", "pl", "cs", "sk", "hr", "sr", "bs", "bg", "sl"],
+    "scandinavian": ["sv", "da", "no", "is"],
+    "south_slavic": ["hr", "sr", "bs", "bg", "sl", "mk"],
+    "east_slavic": ["ru", "uk", "be"],
+    "west_slavic": ["pl", "cs", "sk"],
+    "cjk": ["zh", "ja", "ko"],
+    "semitic": ["ar", "he"],
+    "indic": ["hi", "ur", "bn", "pa", "mr", "gu"],
+    "austronesian": ["id", "ms", "tl"],
+}
 
 
 def features(spark: SparkSession) -> DataFrame:
     """(group_id, lang, feature, weight): weight is how often it is listed."""
-    rows = [(i, lang, f) for i, group in enumerate(GROUPS) for lang, own in group.items() for f in own.split(",")]
+    rows = [(i, lang, f) for i, group in enumerate(GROUPS) for lang, own in group.items() for f in own]
     return spark.createDataFrame(rows, "group_id int, lang string, feature string").groupBy("group_id", "lang", "feature").agg(F.count("*").cast("int").alias("weight"))
 
 
 def families(spark: SparkSession) -> DataFrame:
     """(ord, family, lang)."""
-    return spark.createDataFrame([(i, f, lang) for i, (f, own) in enumerate(FAMILIES.items()) for lang in own.split()], "ord int, family string, lang string")
+    return spark.createDataFrame([(i, f, lang) for i, (f, own) in enumerate(FAMILIES.items()) for lang in own], "ord int, family string, lang string")
 
 
 def confused_group(langs: Column) -> Column:
@@ -69,7 +130,7 @@ def confused_group(langs: Column) -> Column:
 def discriminating_features(a: str, b: str) -> tuple[list[str], list[str]] | None:
     """Only for two languages that are a group by themselves."""
     group = next((g for g in GROUPS if set(g) == {a, b}), None)
-    return group and (group[a].split(","), group[b].split(","))
+    return group and (group[a], group[b])
 
 
 @functools.cache
@@ -89,7 +150,7 @@ def _weights(group: int) -> dict[str, dict[str, int]]:
     """For each feature of a group how often each language lists it."""
     out: dict[str, dict[str, int]] = {}
     for lang, own in GROUPS[group].items():
-        for feature in own.split(","):
+        for feature in own:
             out.setdefault(feature, {}).setdefault(lang, 0)
             out[feature][lang] += 1
     return out
@@ -131,14 +192,14 @@ def resolve(scores: DataFrame, texts: DataFrame, top_n: int = 2, gap: float = GA
 def family(lang: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, own in reversed(list(FAMILIES.items())):
-        out = F.when(lang.isin(own.split()), name).otherwise(out)
+        out = F.when(lang.isin(own), name).otherwise(out)
     return out
 
 
 def are_related(a: Column, b: Column) -> Column:
     out = F.lit(False)
     for own in FAMILIES.values():
-        out = out | (a.isin(own.split()) & b.isin(own.split()))
+        out = out | (a.isin(own) & b.isin(own))
     return out
 
 

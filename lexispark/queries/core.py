@@ -220,8 +220,8 @@ def hnt10_items(spark, sf_dir):
     return hints.groupBy("lang").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words"))
 
 
-_PAIRS = sorted({lang for own in C.FAMILIES.values() for lang in own.split()} | {"hu", "en"})
-_FAM = values([(i, f, lang) for i, (f, own) in enumerate(C.FAMILIES.items()) for lang in own.split()], "f(ord, family, lang)")
+_PAIRS = sorted({lang for own in C.FAMILIES.values() for lang in own} | {"hu", "en"})
+_FAM = values([(i, f, lang) for i, (f, own) in enumerate(C.FAMILIES.items()) for lang in own], "f(ord, family, lang)")
 _KNOWN = values(list(enumerate(_PAIRS)), "k(i, known)")
 _GROUP = values([(i, lang) for i, g in enumerate(C.GROUPS) for lang in g], "g(group_id, lang)")
 #: Two languages of each document: its label, or one of all known ones if its id is odd, and another of all known ones.
@@ -257,7 +257,7 @@ def cnf05_07_similarity(spark, sf_dir):
     return _two(spark, sf_dir).select("a", "b", "n", C.are_related(a, b).alias("related"), C.similarity(a, b).alias("similarity"))
 
 
-_ALL = values([(i, lang, f) for i, g in enumerate(C.GROUPS) for lang, own in g.items() for f in own.split(',')], 'x(group_id, lang, feature)')
+_ALL = values([(i, lang, f) for i, g in enumerate(C.GROUPS) for lang, own in g.items() for f in own], 'x(group_id, lang, feature)')
 
 
 @query(f"""WITH {_TWO}, g AS (SELECT * FROM {_GROUP}), two AS (SELECT group_id FROM g GROUP BY group_id HAVING count(*) = 2),
@@ -283,7 +283,7 @@ def cnf_feature_table(spark, sf_dir):
     return rows.groupBy("group_id", "lang").agg(F.count("*").alias("features"), F.sum("weight").alias("listed"), F.coalesce(F.sum("n"), F.lit(0)).alias("found"))
 
 
-_FEATURES = values([(lang, f) for lang, own in C.GROUPS[0].items() for f in own.split(",")], "x(lang, feature)")
+_FEATURES = values([(lang, f) for lang, own in C.GROUPS[0].items() for f in own], "x(lang, feature)")
 #: Scores of Spanish and Portuguese that are close together for two thirds of the documents.
 _CLOSE = "cs AS (SELECT doc_id AS id, 'es' AS lang, 0.45 AS score FROM documents UNION ALL SELECT doc_id, 'pt', 0.45 - (doc_id % 3) * 0.1 FROM documents)"
 

@@ -62,7 +62,7 @@ def nrm08_tags(spark, sf_dir):
 
 
 #: All labels of the tables, and some that go by their first letters.
-_LABELS = sorted({old: new for new, own in text.ISO3.items() for old in own.split()}.items()) + [(c, c) for c in text.ISO3_KEPT] + [("eng", "en"), ("fra", "fr"), ("deu", "de"), ("zh-min-nan", "zh"), ("pt-br", "pt"), ("sr-cyrl", "sr"), ("XYZ", "xy"), ("q", "q")]
+_LABELS = sorted(text.ISO3.items()) + [(c, c) for c in text.ISO3_KEPT] + [("eng", "en"), ("fra", "fr"), ("deu", "de"), ("zh-min-nan", "zh"), ("pt-br", "pt"), ("sr-cyrl", "sr"), ("XYZ", "xy"), ("q", "q")]
 _ISO = values([(i, a, b) for i, (a, b) in enumerate(_LABELS)], "c(i, label, code)")
 
 
@@ -108,7 +108,7 @@ def gat01_05_gates(spark, sf_dir):
     return plain.select("id", *(stats.gate(F.col("p"), m).alias(f"{m}_reason") for m in ("short", "default", "long")))
 
 
-_RANGES = [(int(a, 16), int(b, 16), s) for s, own in stats.SCRIPT_RANGES.items() for a, b in (r.split("-") for r in own.split())]
+_RANGES = [(a, b, s) for s, own in stats.SCRIPT_RANGES.items() for a, b in own]
 
 
 @query(rf"""WITH c AS (SELECT unnest(string_split({LETTERS}, '')) AS ch FROM {TEXTS}), n AS (SELECT ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ch)
@@ -128,7 +128,7 @@ def _counts_sql() -> str:
     return "[" + ", ".join(f"{{'n': length(l) - length(regexp_replace(l, '{cls(s)}', '', 'g')), 's': '{s}'}}" for s in stats.SCRIPT_LANGUAGES) + "]"
 
 
-_LANGS = "CASE s " + " ".join(f"WHEN '{s}' THEN [{', '.join(map(quoted, v.split()))}]" for s, v in stats.SCRIPT_LANGUAGES.items() if v) + " END"
+_LANGS = "CASE s " + " ".join(f"WHEN '{s}' THEN [{', '.join(map(quoted, v))}]" for s, v in stats.SCRIPT_LANGUAGES.items() if v) + " END"
 
 
 def scripted_sql(texts: str = TEXTS, p: str = "") -> str:

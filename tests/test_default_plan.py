@@ -83,7 +83,7 @@ def range_script(c):
         if script == "Latin":
             if regex.match(r"\p{Script=Latin}", c):
                 return script
-        elif any(int(r.split("-")[0], 16) <= ord(c) <= int(r.split("-")[1], 16) for r in SCRIPT_RANGES[script].split()):
+        elif any(a <= ord(c) <= b for a, b in SCRIPT_RANGES[script]):
             return script
     return None
 
@@ -98,7 +98,7 @@ def script_share(text):
     share = counts[top] / sum(counts.values())
     if share < 0.7 and len(counts) > 1:
         return [], share
-    return SCRIPT_LANGUAGES[top].split(), share
+    return SCRIPT_LANGUAGES[top], share
 
 
 def trigrams(text):

@@ -194,12 +194,12 @@ def test_confusion_features_in_one_pass(spark):
 
     rng, rows = random.Random(6), []
     for g, group in enumerate(confusion.GROUPS):
-        every = sorted({f for own in group.values() for f in own.split(",")})
+        every = sorted({f for own in group.values() for f in own})
         rows += [(10 * g + k, " ".join(rng.choice(every) + rng.choice(["", "x"]) for _ in range(rng.randrange(12))), g) for k in range(9)]
         rows.append((10 * g + 9, None, g))
     found = F.pandas_udf("array<struct<lang:string,hits:bigint>>")(confusion.feature_hits)
     got = {r["id"]: {x["lang"]: x["hits"] for x in r["hits"]} for r in spark.createDataFrame(rows, "id long, t string, g int").select("id", found("t", "g").alias("hits")).collect()}
-    assert got == {i: {lang: sum((t or "").count(f) > 0 for f in own.split(",")) for lang, own in confusion.GROUPS[g].items()} for i, t, g in rows}
+    assert got == {i: {lang: sum((t or "").count(f) > 0 for f in own) for lang, own in confusion.GROUPS[g].items()} for i, t, g in rows}
     plan = confusion.resolve(spark.createDataFrame([(1, "es", 0.4)], "id long, lang string, score double"), spark.createDataFrame([(1, "x")], "id long, text string"))
     assert "contains" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
 
