@@ -374,6 +374,15 @@ def test_language_id_held_out(spark, sf_dir):
     assert langid.identify(docs.limit(3), nothing).filter("lang_pred = 'und'").count() == 3
 
 
+def test_a_language_that_was_not_learned_is_rejected(spark):
+    """A language of the table is left out of the fit: its texts go, the others' stay (those kept out of the fit are counted)."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter(F.col("lang").isNotNull())
+    model = langid.train(docs.filter("lang <> 'fr'"), usable=~langid.held_out())
+    told = langid.identify(docs.filter(langid.held_out()), model).groupBy((F.col("lang") == "fr").alias("foreign")).agg(F.avg(F.col("rejected").cast("int")).alias("gone"))
+    gone = {r["foreign"]: r["gone"] for r in told.collect()}
+    assert gone[True] > 0.9 and gone[False] < 0.01
+
+
 def test_line_dedup(spark):
     long = "one two three four five six seven eight nine ten eleven twelve"
     docs = [(1, f"{long}\nunique line of document one"), (2, f"{long}\nanother line of document two"), (3, "Order 123 was sent to you today\nx"), (4, "Order 999 was sent to you today\ny"), (5, "short\nline"), (6, "short\nline"), (7, f"{long} thirteen"), (8, None), (9, ""), (None, long), (10, long.replace("seven", "7th")), (11, "same same same same\nsame same same same"), (12, f"  {long}\t")]
