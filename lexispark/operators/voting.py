@@ -61,7 +61,7 @@ def weighted_vote(results: DataFrame, weights: dict[str, float] | None = None, u
 
 
 def consensus_vote(results: DataFrame, weights: dict[str, float] | None = None, min_agreement: int = 2, fallback: Strategy = soft_vote) -> DataFrame:
-    """Languages that at least ``min_agreement`` backends name, by share of all; ids without one fall back."""
+    """Languages that at least ``min_agreement`` backends name, by share of all; ids without one fall back. ``results`` are read three times: kept ones are not worked out again."""
     rows = results.withColumn("of", F.count("*").over(Window.partitionBy("id"))).filter(F.col("language") != UNKNOWN)
     agreed = rows.groupBy("id", F.col("language").alias("lang")).agg(F.count("*").alias("n"), F.first("of").alias("of")).filter(F.col("n") >= min_agreement)
     scores = agreed.select("id", "lang", (F.col("n") / F.col("of")).alias("score"))

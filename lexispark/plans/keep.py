@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -35,6 +36,23 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of kept rows, as written (compressed), that ``dealt`` gives to a task.
+DEALT_BYTES = 4 << 20
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` kept, and dealt by ``by`` over as many partitions as its measured bytes ask for.
+
+    What sorts, windows, groups and joins by the same columns then hold in a task does not grow with the input, whatever the number of
+    shuffle partitions is, and none of them shuffles again.
+    """
+    out = keep(df)
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return out.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(size / DEALT_BYTES)), *by)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if it has fewer partitions than these: a small file is one task, however dear its rows are.
     Inputs with as many partitions, hence all large ones, stay as they are and are not shuffled."""

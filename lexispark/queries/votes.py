@@ -9,6 +9,7 @@ from ..operators import backends as B
 from ..operators import fusion
 from ..operators import voting as V
 from ..plans import sql
+from ..plans.keep import dealt
 from . import query, table, values
 from .scalars import _LANGS, W, scripted_sql
 
@@ -59,6 +60,11 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.run_backends(table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), "text"), NAMES)
 
 
+def kept_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for plans that read them several times: cast once, kept, dealt by text."""
+    return dealt(votes(spark, sf_dir), "id")
+
+
 def _rounded(scores: DataFrame) -> DataFrame:
     return scores.select("id", "lang", F.round("score", 6).alias("score"))
 
@@ -183,7 +189,7 @@ def vot06_weighted_linear(spark, sf_dir):
 @query(VOTES + """, s AS (SELECT id, language AS lang, count(*) AS n FROM br WHERE language <> 'unknown' GROUP BY ALL HAVING count(*) >= 3)
 SELECT id, lang, round(n / 4, 6) AS score FROM s UNION ALL SELECT id, lang, round(sum(p) / 4, 6) FROM pr WHERE id NOT IN (SELECT id FROM s) GROUP BY id, lang""")
 def vot07_08_consensus(spark, sf_dir):
-    return _rounded(V.consensus_vote(votes(spark, sf_dir), min_agreement=3))
+    return _rounded(V.consensus_vote(kept_votes(spark, sf_dir), min_agreement=3))
 
 
 _TIE = f"""SELECT id, language AS lang, count(*) / 4 * 0.3 + avg(confidence) * 0.25 + count(*) FILTER (is_reliable) / count(*) * 0.2 + max(r) / 5 * 0.15 AS s
@@ -246,20 +252,21 @@ def fus03_context_boost(spark, sf_dir):
 _RANKED = VOTES + f", {_SOFT}, al AS (SELECT * FROM sc WHERE lang IN ('en', 'fr', 'de')), no AS (SELECT id, lang, score AS raw, CASE WHEN max(score) OVER (PARTITION BY id) > 0 THEN least(score / max(score) OVER (PARTITION BY id), 1) ELSE score END AS score FROM al), rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, lang) AS rn, lead(score) OVER (PARTITION BY id ORDER BY round(score, 9) DESC, lang) AS nxt FROM no)"
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = fusion.normalize(fusion.allow(V.soft_vote(votes(spark, sf_dir)), ["en", "fr", "de"]))
+def _ranked(rows: DataFrame) -> DataFrame:
+    scores = fusion.normalize(fusion.allow(V.soft_vote(rows), ["en", "fr", "de"]))
     return fusion.rank(scores.withColumn("score", F.round("score", 9)))
 
 
 @query(_RANKED + " SELECT id, lang, round(round(score, 9), 6) AS score, round(raw, 6) AS raw_score, rn FROM rk")
 def fus04_06_rank(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("id", "lang", F.round("score", 6).alias("score"), F.round("raw_score", 6).alias("raw_score"), "rn")
+    return _ranked(votes(spark, sf_dir)).select("id", "lang", F.round("score", 6).alias("score"), F.round("raw_score", 6).alias("raw_score"), "rn")
 
 
 @query(_RANKED + """, v AS (SELECT id, language AS lang, string_agg(backend_name || '=' || printf('%.4f', round(confidence, 4)), ',' ORDER BY backend_name) AS votes FROM br GROUP BY ALL)
 SELECT rk.id, string_agg(rk.lang || ':' || printf('%.4f', round(score, 4)) || ':' || coalesce(votes, ''), ';' ORDER BY rn) AS candidates FROM rk LEFT JOIN v ON v.id = rk.id AND v.lang = rk.lang WHERE rn <= 2 GROUP BY rk.id""")
 def fus07_08_candidates(spark, sf_dir):
-    found = fusion.candidates(_ranked(spark, sf_dir), votes(spark, sf_dir), top_k=2)
+    rows = votes(spark, sf_dir)
+    found = fusion.candidates(_ranked(rows), rows, top_k=2)
     voted = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"]))), ",")
     shown = F.transform("candidates", lambda c: F.concat(c["lang"], F.lit(":"), F.format_string("%.4f", c["confidence"]), F.lit(":"), voted(c["backend_votes"])))
     return found.select("id", F.array_join(shown, ";").alias("candidates"))
@@ -274,7 +281,7 @@ SELECT d.doc_id AS id, CASE WHEN de.id IS NULL OR reason IS NOT NULL THEN 'und'
 @query(_RANKED + _decide_sql(0.5))
 def fus09_12_decide(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    out = fusion.with_missing(docs, fusion.decide(_ranked(spark, sf_dir), 0.5))
+    out = fusion.with_missing(docs, fusion.decide(_ranked(votes(spark, sf_dir)), 0.5))
     return out.select("id", "lang", "confidence", "reliable", "reason")
 
 
