@@ -211,7 +211,7 @@ def vot10_needs_tie_break(spark, sf_dir):
 
 @query(VOTES + f", {_SOFT}, o AS (SELECT id, round(score - lead(score) OVER (PARTITION BY id ORDER BY score DESC, lang), 9) AS gap, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS rn FROM sc), x AS (SELECT id FROM o WHERE rn = 1 AND gap < 0.01), t AS ({_TIE}) SELECT id, lang, round(score, 6) AS score FROM sc WHERE id NOT IN (SELECT id FROM x) UNION ALL SELECT id, lang, round(least(s, 1), 6) FROM t WHERE id IN (SELECT id FROM x)")
 def fus01_break_ties(spark, sf_dir):
-    rows = votes(spark, sf_dir)
+    rows = kept_votes(spark, sf_dir)
     return _rounded(V.break_ties(V.soft_vote(rows), rows))
 
 
