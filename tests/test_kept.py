@@ -7,7 +7,7 @@ import __spark_entry__
 from lexispark.plans import keep
 
 
-@pytest.mark.parametrize("name", ["vot07_08_consensus", "fus01_break_ties"])
+@pytest.mark.parametrize("name", ["vot07_08_consensus", "fus01_break_ties", "fus07_08_candidates"])
 def test_votes_are_cast_once(spark, sf_dir, name):
     plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "documents.parquet" not in plan
