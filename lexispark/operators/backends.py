@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark import Accumulator, SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType
 
 from ..functions.stats import detect_script, script_languages
 from ..functions.text import WORD
@@ -169,6 +170,24 @@ def ngram_rank(texts: DataFrame, model: DataFrame | G.Model | None = None, profi
     return texts.select("id", "text").mapInArrow(G.results(name, lambda own: held.value.ranked(own, profile), languages, RELIABLE), RESULT)
 
 
+#: Backends on n-grams with the built-in model, which may share a pass over the texts.
+GRAMS: dict[str, Callable] = {"ngram_nb": lambda held, texts, found: held.value.bayes(texts, found), "ngram_rank": lambda held, texts, found: held.value.ranked(texts, found=found)}
+
+
+def with_grams(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` without their last column, a text, and with ``grams``, an array of struct<backend_name, r> for the backends ``names`` of GRAMS."""
+    held, languages = held_model(rows.sparkSession, None)
+    rest = rows.columns[:-1]
+    columns = [(f"{n}_{part}", kind) for n in names for part, kind in (("language", StringType()), ("confidence", DoubleType()), ("probabilities", MapType(StringType(), DoubleType())))]
+    schema = rows.select(*rest).schema
+    for name, kind in columns:
+        schema = schema.add(name, kind)
+    scores = {n: partial(GRAMS[n], held) for n in names}
+    out = rows.mapInArrow(G.beside(scores, languages, [*rest, *(c for c, _ in columns)]), schema)
+    one = lambda n: F.struct(F.lit(n).alias("backend_name"), F.struct(F.col(f"{n}_language").alias("language"), F.col(f"{n}_confidence").alias("confidence"), F.col(f"{n}_probabilities").alias("all_probabilities")).alias("r"))
+    return out.select(*rest, F.array(*map(one, names)).alias("grams"))
+
+
 # --- backends of one's own ---------------------------------------------------------------------------------------
 
 

@@ -104,9 +104,9 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def bayes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) posteriors by naive Bayes over known n-grams, and which of them count."""
-        keys, owner = grams(texts)
+    def bayes(self, texts: list[str], found: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, languages) posteriors by naive Bayes over known n-grams, and which of them count. found: the texts' ``grams``."""
+        keys, owner = found or grams(texts)
         at = self.find(keys)
         at, owner = at[at >= 0], owner[at >= 0]
         sums = np.stack([np.bincount(owner, self.logs[at, j], len(texts)) for j in range(len(self.languages))], axis=1) if self.languages else np.zeros((len(texts), 0))
@@ -114,9 +114,9 @@ class Model:
         p = np.exp(sums - sums.max(axis=1, keepdims=True)) if self.languages else sums
         return p / p.sum(axis=1, keepdims=True), np.repeat(some[:, None], len(self.languages), axis=1)
 
-    def ranked(self, texts: list[str], profile: int) -> tuple[np.ndarray, np.ndarray]:
+    def ranked(self, texts: list[str], profile: int = 300, found: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) 1 - out-of-place distance of the ``profile`` most frequent n-grams, and languages that share any."""
-        keys, owner = grams(texts)
+        keys, owner = found or grams(texts)
         p, some = np.zeros((len(texts), len(self.languages))), np.zeros((len(texts), len(self.languages)), bool)
         edges = np.searchsorted(owner, np.arange(len(texts) + 1))
         for i in range(len(texts)):
@@ -132,25 +132,46 @@ class Model:
         return p, some
 
 
+def _judged(p: np.ndarray, some: np.ndarray, languages: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The languages, confidences and probabilities of scored texts."""
+    best = np.where(some, p, -1).argmax(axis=1).tolist() if languages else [0] * len(p)
+    known = some.any(axis=1).tolist()
+    confidence = [float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))]
+    probs = [[(languages[j], float(p[i, j])) for j in np.flatnonzero(some[i])] for i in range(len(p))]
+    language = pa.array([languages[b] if k else "unknown" for b, k in zip(best, known, strict=True)], pa.string())
+    return language, pa.array(confidence, pa.float64()), pa.array(probs, pa.map_(pa.string(), pa.float64()))
+
+
+def beside(scores: dict, languages: list[str], names: list[str]):
+    """A function for mapInArrow from rows whose last column is a text to ``names``: the other columns, and for each of ``scores``
+    ((texts, their n-grams) -> (probabilities, which count)) language, confidence and probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.columns[:-1]
+            for row, texts in runs(batch.columns[-1]):
+                found = grams(texts)
+                told = [c for score in scores.values() for c in _judged(*score(texts, found), languages)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(row, len(texts)) for c in rest), *told], names=names)
+
+    return run
+
+
 def results(name: str, score, languages: list[str], reliable: float):
     """A function for mapInArrow from (id, text) to backend result rows; score: texts -> (probabilities, which count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in runs(batch.column(1)):
-                p, some = score(texts)
-                best = np.where(some, p, -1).argmax(axis=1) if languages else np.zeros(len(texts), int)
-                known = some.any(axis=1)
-                confidence = [float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best.tolist(), known.tolist(), strict=True))]
-                probs = [[(languages[j], float(p[i, j])) for j in np.flatnonzero(some[i])] for i in range(len(texts))]
+                language, confidence, probs = _judged(*score(texts), languages)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, len(texts)),
                         pa.array([name] * len(texts), pa.string()),
-                        pa.array([languages[b] if k else "unknown" for b, k in zip(best.tolist(), known.tolist(), strict=True)], pa.string()),
-                        pa.array(confidence, pa.float64()),
-                        pa.array(probs, pa.map_(pa.string(), pa.float64())),
-                        pa.array([c > reliable for c in confidence], pa.bool_()),
+                        language,
+                        confidence,
+                        probs,
+                        pa.array([c > reliable for c in confidence.to_pylist()], pa.bool_()),
                     ],
                     names=["id", "backend_name", "language", "confidence", "all_probabilities", "is_reliable"],
                 )

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import WORD
 from .backends import _descending, words
 
 CONFIDENCE, PER_HIT, MOST_EXTRA, FUZZY = 0.8, 0.05, 0.15, 0.7
@@ -119,15 +120,34 @@ def merge_tables(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def tokens(texts: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """(id, pos, token, word): word is what hints are compared with."""
-    from ..functions.text import WORD
-
     found = texts.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"[{WORD}]+"), F.lit(0))).alias("pos", "token"))
     return found.withColumn("word", F.col("token") if case_sensitive else F.lower("token"))
 
 
 def lookup_all(texts: DataFrame, hints: DataFrame, confidence: float = CONFIDENCE, case_sensitive: bool = False) -> DataFrame:
     """(id, lang, score): each language's share of the hits, times the confidence."""
-    hits = tokens(texts, case_sensitive).join(_joinable(hints), "word").groupBy("id", "lang").agg(F.count("*").alias("n"))
+    return shares(tokens(texts, case_sensitive), hints, confidence)
+
+
+#: Hints up to which their words are looked for in the pass over the texts.
+FEW = 10_000
+
+
+def few_words(hints: DataFrame) -> list[str] | None:
+    """The words of a table of at most FEW hints."""
+    rows = hints.select("word").limit(FEW + 1).collect()
+    return sorted({r[0] for r in rows if r[0] is not None}) if len(rows) <= FEW else None
+
+
+def hit_words(text: Column, few: list[str]) -> Column:
+    """The words of a text, as ``tokens`` has them, that are among ``few``."""
+    found = F.regexp_extract_all(text, F.lit(rf"[{WORD}]+"), F.lit(0))
+    return F.filter(F.transform(found, lambda t: F.lower(t)), lambda w: w.isin(few))
+
+
+def shares(found: DataFrame, hints: DataFrame, confidence: float = CONFIDENCE) -> DataFrame:
+    """(id, lang, score) of words (id, word) of texts."""
+    hits = found.join(_joinable(hints), "word").groupBy("id", "lang").agg(F.count("*").alias("n"))
     return hits.select("id", "lang", (F.col("n") / F.sum("n").over(Window.partitionBy("id")) * confidence).alias("score"))
 
 

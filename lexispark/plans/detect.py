@@ -16,7 +16,7 @@ from ..functions import nouns, stats
 from ..functions.text import normalize_text
 from ..operators import confusion, fusion
 from ..operators import hints as hinting
-from ..operators.backends import COLUMNS, RELIABLE, create_backend, list_backends, run_backends
+from ..operators.backends import COLUMNS, GRAMS, RELIABLE, create_backend, list_backends, run_backends, with_grams
 from ..operators.voting import break_ties, voting_strategy
 from .config import Config
 from .keep import keep, spread
@@ -70,11 +70,18 @@ def _detect(texts: DataFrame, config: Config, hints: DataFrame | None, boosts: D
     rows = prepared(spread(texts.select("id", "text")), config)
     open_ = F.col("reason").isNull() & F.col("decided").isNull()
     inline = [b for b in config.backends if isinstance(b, str) and b in COLUMNS]
-    others = [b for b in config.backends if b not in inline]
+    counted = [b for b in config.backends if isinstance(b, str) and b in GRAMS]
+    others = [b for b in config.backends if b not in inline and b not in counted]
+    few = hinting.few_words(hints) if hints is not None and config.backends else None
     found = [F.struct(F.lit(b).alias("backend_name"), COLUMNS[b](F.col("detection_text")).alias("r")) for b in inline]
     none = F.lit(None).cast("array<struct<backend_name:string,r:struct<language:string,confidence:double,all_probabilities:map<string,double>>>>")
     head = F.substring(F.trim("text"), 1, fusion.SHORT_TEXT + 1).alias("text")  # all that a hint's weight asks of the raw text
-    info = keep(rows.select("id", head, "script", "reason", "decided", F.when(open_, stats.filter_languages(F.col("detection_text"))).alias("langs"), (F.when(open_, F.array(*found)) if found else none).alias("found")))
+    words = F.when(open_, hinting.hit_words(F.col("detection_text"), few)) if few else F.lit(None).cast("array<string>")
+    info = rows.select("id", head, "script", "reason", "decided", F.when(open_, stats.filter_languages(F.col("detection_text"))).alias("langs"), (F.when(open_, F.array(*found)) if found else none).alias("found"), words.alias("words"), F.when(open_, F.col("detection_text")).alias("seen"))
+    if counted:
+        info = with_grams(info, counted)
+        info = info.withColumn("found", F.when(open_, F.concat("found", "grams") if found else F.col("grams"))).drop("grams")
+    info = keep(info.drop("seen"))
 
     empty = F.lit(None).cast("array<struct<lang:string,confidence:double,backend_votes:map<string,double>>>")
     name = config.backends[0] if len(config.backends) == 1 and isinstance(config.backends[0], str) else "ensemble"
@@ -92,7 +99,8 @@ def _detect(texts: DataFrame, config: Config, hints: DataFrame | None, boosts: D
     script_langs = todo.select("id", "langs").filter("langs is not null")
     scores = break_ties(scores, results, script_langs, list(config.allowed) or None)
     if hints is not None:
-        hits = hinting.lookup_all(seen, hints, config.hint_confidence)
+        own = todo.select("id", F.explode("words").alias("word")) if few is not None else None
+        hits = hinting.lookup_all(seen, hints, config.hint_confidence) if own is None else hinting.shares(own, hints, config.hint_confidence)
         scores = fusion.boost_hints(scores, hits, todo.select("id", "text"), config.mode, config.hint_weight)
     if boosts is not None:
         scores = fusion.boost_context(scores, boosts, config.context_weight)

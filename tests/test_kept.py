@@ -20,3 +20,10 @@ def test_dealt_grows_with_the_bytes(spark, monkeypatch):
     monkeypatch.setattr(keep, "DEALT_BYTES", 4000)
     out = keep.dealt(rows, "id")
     assert out.rdd.getNumPartitions() > 10 * least and out.count() == 4000
+
+
+def test_the_default_plan_reads_a_text_once(spark, sf_dir):
+    """All built-in backends and the words of hints are found in the pass that is kept."""
+    for name in ("src05_ensemble",):
+        plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan and "regexp_extract_all" not in plan
