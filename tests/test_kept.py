@@ -24,6 +24,6 @@ def test_dealt_grows_with_the_bytes(spark, monkeypatch):
 
 def test_the_default_plan_reads_a_text_once(spark, sf_dir):
     """All built-in backends and the words of hints are found in the pass that is kept."""
-    for name in ("src05_ensemble",):
+    for name in ("src05_ensemble", "evl01_default_accuracy"):
         plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" not in plan and "regexp_extract_all" not in plan
