@@ -5,9 +5,9 @@ All strategies partition by id alone, so that a vote after a vote needs no furth
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,15 +99,44 @@ def break_ties(scores: DataFrame, results: DataFrame, script_langs: DataFrame |
     return scores.join(ids, "id", "left_anti").unionByName(tie_break(results.join(ids, "id", "left_semi"), script_langs, allowed))
 
 
+def _rows_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each text, of batches in which they stand together."""
+    own: list[dict] = []
+    for batch in batches:
+        columns = [[None if m is None else dict(m) for m in c.to_pylist()] if pa.types.is_map(c.type) else c.to_pylist() for c in batch.columns]
+        for values in zip(*columns, strict=True):
+            row = dict(zip(batch.schema.names, values, strict=True))
+            if own and own[0]["id"] != row["id"]:
+                yield own
+                own = []
+            own.append(row)
+    if own:
+        yield own
+
+
 def custom_vote(vote: Callable[[list[dict]], dict[str, float]]) -> Strategy:
-    """A strategy out of a function on the result rows of one text; groups are the backends of a text, hence small."""
+    """A strategy out of a function on the result rows of one text; groups are the backends of a text, hence small.
 
-    def run(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            scores = vote([dict(zip(pdf.columns, r, strict=True)) for r in pdf.itertuples(index=False)])
-            return pd.DataFrame({"id": pd.Series([pdf["id"].iloc[0]] * len(scores), dtype="int64"), "lang": pd.Series(list(scores), dtype=object), "score": pd.Series(list(scores.values()), dtype="float64")})
+    Texts go through Python in sorted batches, as a call of Spark's for each group costs more than the vote.
+    """
 
-        return results.groupBy("id").applyInPandas(one, "id long, lang string, score double")
+    def run(results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: tuple[list, list, list] = ([], [], [])
+
+            def batch() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.float64()), strict=True)], names=["id", "lang", "score"])
+
+            for rows in _rows_of_texts(batches):
+                for lang, score in vote(rows).items():
+                    for column, value in zip(out, (rows[0]["id"], lang, None if score is None else float(score)), strict=True):
+                        column.append(value)
+                if len(out[0]) >= 10_000:
+                    yield batch()
+                    out = ([], [], [])
+            yield batch()
+
+        return results.repartition("id").sortWithinPartitions("id").mapInArrow(scored, "id long, lang string, score double")
 
     return run
 

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from lexispark.operators import backends as B
+from lexispark.operators import voting as V
 from lexispark.plans import keep
 
 
@@ -27,3 +29,16 @@ def test_the_default_plan_reads_a_text_once(spark, sf_dir):
     for name in ("src05_ensemble", "evl01_default_accuracy"):
         plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" not in plan and "regexp_extract_all" not in plan
+
+
+def test_custom_vote_goes_by_batches(spark, monkeypatch):
+    """One call of Spark's for many texts, whose rows stay together over the borders of batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rows = [(i, f"b{j}", "en", j / 4, {"en": j / 4}, True) for j in range(4) for i in range(50)]
+        results = spark.createDataFrame(rows, B.RESULT)
+        out = V.custom_vote(lambda own: {"en": sum(r["all_probabilities"]["en"] for r in own), "n": len(own)})(results)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, out.collect())) == sorted([(i, "en", 1.5) for i in range(50)] + [(i, "n", 4.0) for i in range(50)])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
