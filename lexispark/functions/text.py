@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+#: What a run of white space is that is not a single blank already.
+UNEVEN = rf"{SPACE[:-2]}&&[^ ]]{SPACE[:-1]}*| {SPACE}"
 #: The steps of noise removal, in order; white space is single blanks by then.
 NOISE = [r"https?://[^ ]+", r"www\.[^ ]+", rf"[{WORD}][{WORD}.-]*@[{WORD}.-]+\.[{WORD}]+", rf"[@#][{WORD}]+"]
 
@@ -21,7 +23,7 @@ def nfc(text: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE, " ")
+    return F.regexp_replace(text, UNEVEN, " ")
 
 
 def strip_urls(text: Column) -> Column:
@@ -41,7 +43,9 @@ def normalize_text(text: Column, strip_noise: bool = True, compose: bool = True)
     """Composed (NFC), spaces collapsed, noise removed, trimmed; null becomes empty."""
     out = collapse_spaces(nfc(text) if compose else text)
     if strip_noise:
-        out = collapse_spaces(strip_mentions(strip_emails(strip_urls(out))))
+        noisy = lambda t: t.contains("http") | t.contains("www.") | t.contains("@") | t.contains("#")
+        cleaned = lambda t: F.when(noisy(t), collapse_spaces(strip_mentions(strip_emails(strip_urls(t))))).otherwise(t)
+        out = F.get(F.transform(F.array(out), cleaned), F.lit(0))  # of a text that is made once
     return F.coalesce(F.trim(out), F.lit(""))
 
 

@@ -42,3 +42,15 @@ def test_custom_vote_goes_by_batches(spark, monkeypatch):
         assert sorted(map(tuple, out.collect())) == sorted([(i, "en", 1.5) for i in range(50)] + [(i, "n", 4.0) for i in range(50)])
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_single_blanks_are_left_alone(spark):
+    """Only what is not a single blank is replaced; the result is that of the plain rule."""
+    from lexispark.functions import text as T
+
+    odd = ["a b c", "a  b", " a\t b\u00a0\u2003c \n", "\x1c\x85x", "", "   ", "see http://x.y z", "www. a", "@me hi  #tag x", "a@b.cd  e", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "id long, text string")
+    plain = lambda c: F.regexp_replace(c, T.SPACE, " ")
+    old = F.coalesce(F.trim(plain(T.strip_mentions(T.strip_emails(T.strip_urls(plain(F.col("text"))))))), F.lit(""))
+    assert rows.filter(~T.normalize_text(F.col("text")).eqNullSafe(old)).count() == 0
+    assert rows.select(F.lit("a b c").rlike(T.UNEVEN)).first()[0] is False
