@@ -4,7 +4,7 @@ Alternates the two star operations of Kiveris et al. (2014): the large star hang
 neighbours on its smallest one, the small star its smaller ones. Neighbourhood minima are aggregated map-side
 and joined back, a hub's edges dealt over several tasks; no neighbourhood is ever gathered. An edge list that was counted
 to be small (LOCAL edges, 4 MB) is united in one executor task instead, which saves dozens of small shuffles; the
-result is the same.
+result is the same. Between rounds edges are Parquet files, which go when the next round's are written.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, hot_join
+from .common import gathered, hadoop_fs, hot_join, shared_path
 
 #: Distinct edges up to which one task unites them.
 LOCAL = 250_000
@@ -61,6 +61,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u > v").distinct()
 
 
+def _stored(edges: DataFrame) -> tuple[DataFrame, str]:
+    """``edges`` as Parquet in the shared folder, and its path.
+
+    A checkpoint keeps the size that the optimizer estimates, which for a join is the product of its sides' sizes. Carried
+    from round to round that number's digits multiply, until it alone fills the driver; of files the size is read.
+    """
+    path = shared_path(edges.sparkSession, "edges")
+    edges.write.parquet(path)
+    return edges.sparkSession.read.schema(edges.schema).parquet(path), path
+
+
+def _removed(edges: DataFrame, path: str) -> None:
+    fs, jpath = hadoop_fs(edges.sparkSession, path)
+    fs.delete(jpath, True)
+
+
 def components(edges: DataFrame, max_rounds: int = 60, local: int = LOCAL) -> DataFrame:
     """(node, component_id): component_id is the smallest node reachable. Only nodes with an edge appear.
 
@@ -73,15 +89,21 @@ def components(edges: DataFrame, max_rounds: int = 60, local: int = LOCAL) -> Da
     last = sign(edges)
     if last[0] <= local:
         return edges.coalesce(1).mapInArrow(_unite, "node long, component_id long")
+    old = None
     for _ in range(max_rounds):
         if not last[0]:
             break
-        edges = gathered(_star(_star(edges, True), False))
-        now = sign(edges)
+        edges, path = _stored(_star(_star(edges, True), False))
+        if old:
+            _removed(edges, old)
+        now, old = sign(edges), path
         if now == last:
             break
         last = now
     else:
         raise RuntimeError("connected components did not settle")
+    if old:
+        edges = gathered(edges)
+        _removed(edges, old)
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component_id", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionByName(roots)

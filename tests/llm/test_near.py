@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import pairwise
 
 import numpy as np
 import pytest
@@ -35,6 +36,19 @@ def test_components(spark, local):
     assert found == union(real, {n for p in real for n in p})
 
 
+def test_components_estimate_does_not_grow_by_rounds(spark, monkeypatch, tmp_path):
+    """The estimated size of a join is the product of its sides'. Over checkpoints its digits doubled with each round at least (here to 1e618)."""
+    monkeypatch.setattr(common, "SPLIT", 3)
+    order = list(range(200))
+    random.Random(3).shuffle(order)
+    pairs = [*pairwise(order), *((1000, 1001 + i) for i in range(30))]
+    path = str(tmp_path / "edges")
+    spark.createDataFrame(pairs, "u long, v long").write.parquet(path)
+    out = components(spark.read.parquet(path), local=0)
+    assert "E+" not in out._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    assert {(r.node, r.component_id) for r in out.collect()} == {(i, 0) for i in range(200)} | {(1000 + i, 1000) for i in range(31)}
+
+
 def shingles(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())
