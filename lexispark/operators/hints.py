@@ -228,6 +228,13 @@ def _share(x: Column, i: Column, n: Column) -> Column:
     return F.floor(i * x / n).cast("int")
 
 
+def _letters(word: Column) -> Column:
+    """The letters of a word as bits of a long, by their code modulo 64."""
+    code = lambda i: F.ascii(F.substring(word, i, F.lit(1))) % 64
+    one = F.lit(1).cast("long")
+    return F.aggregate(F.sequence(F.lit(1), F.char_length(word)), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", one, code(i))))
+
+
 def ratio_matches(found: DataFrame, hints: DataFrame, percent: int = RATIO) -> DataFrame:
     """(word, hint, lang, ratio): for each distinct ``word`` of at least 3 letters the hint most like it, of those at or above
     ``percent``; ties go to the first hint alphabetically.
@@ -237,7 +244,12 @@ def ratio_matches(found: DataFrame, hints: DataFrame, percent: int = RATIO) -> D
     unchanged, with at most as many differences before it as there are pieces before it, and likewise behind. Each
     word therefore offers, for each length that a hint may have, its substrings at those places, and pairs meet by
     equal hashes of (length, D, piece, letters): an equi-join that loses no pair, whose candidates are then checked.
+
+    A letter that the other word lacks is not common, which by a number for each word leaves few candidates before they are made distinct.
+    Words are few bytes but much work: they are dealt over all tasks, and stay where they are from there on.
     """
+    spark = found.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     w, a, h = F.col("w"), F.char_length("w"), F.char_length("h")
     slack = lambda a, b: F.floor((100 - percent) * (a + b) / 100 + 1e-9).cast("int")
     # Of alike words the common letters are percent / 200 of the sum, and at most the shorter one's.
@@ -259,12 +271,15 @@ def ratio_matches(found: DataFrame, hints: DataFrame, percent: int = RATIO) -> D
     def kept(d: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), d), lambda i: key(h, d, i, F.substring(F.col("h"), _share(h, i, d + 1) + 1, _share(h, i + 1, d + 1) - _share(h, i, d + 1))))
 
-    left = found.select(F.col("word").alias("w")).distinct().filter(a >= 3)
-    left = left.select("w", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(*span(a)), offered)))).alias("key"))
-    right = hints.filter("word <> ''").groupBy(F.col("word").alias("h")).agg(F.min("lang").alias("lang"))
+    left = found.select(F.col("word").alias("w")).distinct().filter(a >= 3).repartition(tasks, "w").withColumn("own", _letters(w))
+    left = left.select("w", "own", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(*span(a)), offered)))).alias("key"))
+    right = hints.filter("word <> ''").groupBy(F.col("word").alias("h")).agg(F.min("lang").alias("lang")).withColumn("theirs", _letters(F.col("h")))
     least, most = span(h)
-    right = right.select("h", "lang", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(slack(h, least), slack(h, most)), kept)))).alias("key"))
-    met = left.join(_joinable(right), "key").select("w", "h", "lang").distinct()
+    right = right.select("h", "lang", "theirs", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(slack(h, least), slack(h, most)), kept)))).alias("key"))
+    at_most = lambda n, x, y: n - F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    own, theirs = F.col("own"), F.col("theirs")
+    met = left.join(_joinable(right), "key").filter(200 * F.least(at_most(a, own, theirs), at_most(h, theirs, own)) >= percent * (a + h))
+    met = met.select("w", "h", "lang").distinct()
     common = F.pandas_udf("int")(common_letters)
     met = met.withColumn("common", common("w", "h")).filter(200 * F.col("common") >= percent * (a + h))
     best = met.groupBy("w").agg(F.min(F.struct((-200 * F.col("common") / (a + h)).alias("less"), F.col("h").alias("hint"), "lang")).alias("m"))

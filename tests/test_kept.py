@@ -54,3 +54,17 @@ def test_single_blanks_are_left_alone(spark):
     old = F.coalesce(F.trim(plain(T.strip_mentions(T.strip_emails(T.strip_urls(plain(F.col("text"))))))), F.lit(""))
     assert rows.filter(~T.normalize_text(F.col("text")).eqNullSafe(old)).count() == 0
     assert rows.select(F.lit("a b c").rlike(T.UNEVEN)).first()[0] is False
+
+
+def test_ratio_leaves_few_candidates(spark):
+    """Letters leave candidates out before they are made distinct and go to Python; letters that share a bit, or are beyond 16 bits, lose none."""
+    from lexispark.operators import hints as H
+
+    words = ["straße", "strasse", "\U0001f600\U0001f601\U0001f602abc", "\U0001f600\U0001f601\U0001f602abd", "aaaaab", "bbbbba", "a!aaa", "zzzzz"]
+    found = spark.createDataFrame([(w,) for w in words], "word string")
+    out = H.ratio_matches(found, found.withColumn("lang", F.lit("x")), 80)
+    assert "bit_count" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.word: (r.hint, r.ratio) for r in out.collect()} == {w: (w, 100.0) for w in words}
+    others = found.filter(F.col("word").isin(words[1], words[3])).withColumn("lang", F.lit("x"))
+    got = {r.word: round(r.ratio, 4) for r in H.ratio_matches(found, others, 80).collect()}
+    assert got == {words[1]: 100.0, words[3]: 100.0, words[2]: round(1000 / 12, 4)}
