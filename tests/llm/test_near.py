@@ -37,7 +37,7 @@ def test_components(spark, local):
 
 
 def test_components_estimate_does_not_grow_by_rounds(spark, monkeypatch, tmp_path):
-    """The estimated size of a join is the product of its sides'. Over checkpoints its digits doubled with each round at least (here to 1e618)."""
+    """The estimated size of a join is the product of its sides'. Over checkpoints its digits doubled with each round at least (here to 5.62e591)."""
     monkeypatch.setattr(common, "SPLIT", 3)
     order = list(range(200))
     random.Random(3).shuffle(order)
