@@ -37,8 +37,21 @@ def _rest(text: Column, of: str) -> Column:
     return F.regexp_replace(text, of + "+", "")
 
 
+def letters_of(text: Column) -> Column:
+    """struct<n, others>: the number of letters, and those that are not Latin.
+
+    Runs of plain letters and blanks, most of a text, go first and at once; classes of Unicode are asked about the rest alone.
+    """
+
+    def told(rest: Column) -> Column:
+        plain = F.char_length(F.replace(text, F.lit(" "), F.lit(""))) - F.char_length(F.replace(rest, F.lit(" "), F.lit("")))
+        return _let(_rest(rest, r"\P{L}"), lambda own: F.struct((plain + F.char_length(own)).alias("n"), _rest(own, r"\p{IsLatin}").alias("others")))
+
+    return _let(_rest(text, f"[{ascii_letters} ]"), told)
+
+
 def n_letters(text: Column) -> Column:
-    return (F.char_length(text) - F.char_length(_rest(text, r"\p{L}"))).cast("int")
+    return letters_of(text)["n"]
 
 
 def letter_ratio(text: Column) -> Column:
@@ -72,10 +85,16 @@ def has_cjk(text: Column) -> Column:
 
 def dominant_script(text: Column) -> Column:
     """The script of most letters, ties to the one seen first; null without letters. A Latin majority settles it at once."""
-    return _let(_rest(text, r"\P{L}"), _dominant)
+    return _let(letters_of(text), lambda letters: dominant_of(text, letters))
+
 
+def dominant_of(text: Column, letters: Column) -> Column:
+    """The same with the text's ``letters_of``."""
+    latin = 2 * F.char_length(letters["others"]) < letters["n"]
+    return F.when(letters["n"] == 0, None).when(latin, "Latin").otherwise(_let(_rest(text, r"\P{L}"), _most_seen))
 
-def _dominant(letters: Column) -> Column:
+
+def _most_seen(letters: Column) -> Column:
     counted = [
         F.struct(
             F.regexp_count(letters, F.lit(java_class(names))).alias("n"),
@@ -84,8 +103,7 @@ def _dominant(letters: Column) -> Column:
         )
         for script, names in SCRIPTS.items()
     ]
-    best = _let(F.array_max(F.array(*counted)), lambda b: F.when(b["n"] > 0, b["script"]))
-    return F.when(letters == "", None).when(2 * F.char_length(_rest(letters, r"\p{IsLatin}")) < F.char_length(letters), "Latin").otherwise(best)
+    return _let(F.array_max(F.array(*counted)), lambda b: F.when(b["n"] > 0, b["script"]))
 
 
 def text_stats(text: Column) -> Column:
@@ -93,7 +111,7 @@ def text_stats(text: Column) -> Column:
 
     def counted(letters: Column) -> Column:
         n, chars = F.char_length(letters), F.char_length(text)
-        return F.struct(chars.alias("n_chars"), n.alias("n_letters"), _ratio(n, chars).alias("letter_ratio"), _unique(letters).alias("unique_letters"), _dominant(letters).alias("script"), is_mostly_ascii(text).alias("is_mostly_ascii"), has_cjk(text).alias("has_cjk"))
+        return F.struct(chars.alias("n_chars"), n.alias("n_letters"), _ratio(n, chars).alias("letter_ratio"), _unique(letters).alias("unique_letters"), dominant_script(letters).alias("script"), is_mostly_ascii(text).alias("is_mostly_ascii"), has_cjk(text).alias("has_cjk"))
 
     return _let(_rest(text, r"\P{L}"), counted)
 
@@ -108,15 +126,15 @@ def threshold(mode: Column | str) -> Column:
     return _by_mode(THRESHOLDS, mode)
 
 
-def gate(text: Column, mode: Column | str = "default") -> Column:
-    """Why a normalised text is not looked at further, or null."""
+def gate(text: Column, mode: Column | str = "default", letters: Column | None = None) -> Column:
+    """Why a normalised text is not looked at further, or null. letters: the text's ``letters_of``, where it is known."""
 
     def judged(letters: Column) -> Column:
         short = (F.char_length(text) < _by_mode(MIN_CHARS, mode)) | (letters < _by_mode(MIN_LETTERS, mode))
         bare = (letters == 0) | (letters / F.char_length(text) < MIN_RATIO)
         return F.when(F.trim(text) == "", EMPTY).when(short, TOO_LITTLE).when(bare, NON_LINGUISTIC)
 
-    return _let(n_letters(text), judged)
+    return _let(n_letters(text) if letters is None else letters["n"], judged)
 
 
 # Languages by script, and the scripts' code point ranges, for the finer script filter.
@@ -174,11 +192,12 @@ def _let(value: Column, then) -> Column:
 
 def script_counts(text: Column) -> Column:
     """array<struct<n, script>> of the letters of each script, in a fixed order. Latin letters are taken out first, so that the other scripts' classes run over what is left."""
+    return _let(letters_of(text), _counts)
 
-    def counted(letters: Column, rest: Column) -> Column:
-        return F.array(*(F.struct((F.char_length(letters) - F.char_length(rest) if s == "Latin" else F.regexp_count(rest, F.lit(range_class(s)))).alias("n"), F.lit(s).alias("script")) for s in SCRIPT_LANGUAGES))
 
-    return _let(_rest(text, r"\P{L}"), lambda letters: _let(_rest(letters, range_class("Latin")), lambda rest: counted(letters, rest)))
+def _counts(letters: Column) -> Column:
+    latin = letters["n"] - F.char_length(letters["others"])
+    return F.array(*(F.struct((latin if s == "Latin" else F.regexp_count(letters["others"], F.lit(range_class(s)))).alias("n"), F.lit(s).alias("script")) for s in SCRIPT_LANGUAGES))
 
 
 def _count(counts: Column, script: str) -> Column:
@@ -187,7 +206,15 @@ def _count(counts: Column, script: str) -> Column:
 
 def detect_script(text: Column) -> Column:
     """struct<script, proportion>: Unknown without letters of a known script, Mixed if several and none has the share."""
+    return _written(script_counts(text))
+
+
+def written_of(letters: Column) -> Column:
+    """The same of a text's ``letters_of``."""
+    return _written(_counts(letters))
 
+
+def _written(counts: Column) -> Column:
     def judged(counts: Column) -> Column:
         total = F.aggregate(counts, F.lit(0), lambda a, x: a + x["n"])
         top = F.array_max(F.transform(counts, lambda x: x["n"]))
@@ -196,7 +223,7 @@ def detect_script(text: Column) -> Column:
         script = F.when(total == 0, "Unknown").when((top / total < DOMINANT) & (kinds > 1), "Mixed").otherwise(name)
         return F.struct(script.alias("script"), F.when(total == 0, 0.0).otherwise(top / total).alias("proportion"))
 
-    return _let(script_counts(text), judged)
+    return _let(counts, judged)
 
 
 def script_languages(script: Column) -> Column:
@@ -209,10 +236,15 @@ def script_languages(script: Column) -> Column:
 
 def filter_languages(text: Column, candidates: Column | None = None) -> Column:
     """Languages of the text's script, of the candidates if some are; candidates (or null) where the script decides nothing."""
+    return languages_of(detect_script(text), candidates)
+
+
+def languages_of(found: Column, candidates: Column | None = None) -> Column:
+    """The same of a script that ``detect_script`` found."""
     none = F.array().cast("array<string>")
     if candidates is None:
-        return _let(script_languages(detect_script(text)["script"]), lambda langs: F.when(F.size(F.coalesce(langs, none)) > 0, langs))
-    both = _let(script_languages(detect_script(text)["script"]), lambda langs: F.array_intersect(F.coalesce(langs, none), candidates))
+        return _let(script_languages(found["script"]), lambda langs: F.when(F.size(F.coalesce(langs, none)) > 0, langs))
+    both = _let(script_languages(found["script"]), lambda langs: F.array_intersect(F.coalesce(langs, none), candidates))
     return _let(both, lambda b: F.when(F.size(b) == 0, candidates).otherwise(b))
 
 

@@ -12,6 +12,8 @@ WORD = r"\p{L}\p{N}_"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 #: What a run of white space is that is not a single blank already.
 UNEVEN = rf"{SPACE[:-2]}&&[^ ]]{SPACE[:-1]}*| {SPACE}"
+#: White space but the blank; most characters are told by the first test alone.
+ODD = rf"[[^ -~]&&{SPACE[:-1]}]+"
 #: The steps of noise removal, in order; white space is single blanks by then.
 NOISE = [r"https?://[^ ]+", r"www\.[^ ]+", rf"[{WORD}][{WORD}.-]*@[{WORD}.-]+\.[{WORD}]+", rf"[@#][{WORD}]+"]
 
@@ -19,15 +21,19 @@ NOISE = [r"https?://[^ ]+", r"www\.[^ ]+", rf"[{WORD}][{WORD}.-]*@[{WORD}.-]+\.[
 def nfc(text: Column) -> Column:
     """Canonical composition, by the Unicode library that comes with Spark. Texts of code points below U+0300 alone are composed already."""
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
-    return F.when(text.rlike("[^\\x{0}-\\x{2FF}]"), composed).otherwise(text)
+    beyond = (F.char_length(text) < F.octet_length(text)) & text.rlike("[^\\x{0}-\\x{2FF}]")
+    return F.when(beyond, composed).otherwise(text)
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.regexp_replace(text, UNEVEN, " ")
+    """Runs of white space as one blank. Only texts with blanks side by side, once other white space is blanks, are gone through for them."""
+    even = lambda t: F.when(t.contains("  "), F.regexp_replace(t, UNEVEN, " ")).otherwise(t)
+    return F.get(F.transform(F.array(F.regexp_replace(text, ODD, " ")), even), F.lit(0))
 
 
 def strip_urls(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, NOISE[0], " "), NOISE[1], " ")
+    some = text.contains("http") | text.contains("www.")
+    return F.when(some, F.regexp_replace(F.regexp_replace(text, NOISE[0], " "), NOISE[1], " ")).otherwise(text)
 
 
 def strip_emails(text: Column) -> Column:
@@ -44,7 +50,7 @@ def normalize_text(text: Column, strip_noise: bool = True, compose: bool = True)
     out = collapse_spaces(nfc(text) if compose else text)
     if strip_noise:
         noisy = lambda t: t.contains("http") | t.contains("www.") | t.contains("@") | t.contains("#")
-        cleaned = lambda t: F.when(noisy(t), collapse_spaces(strip_mentions(strip_emails(strip_urls(t))))).otherwise(t)
+        cleaned = lambda t: F.when(noisy(t), collapse_spaces(strip_mentions(F.get(F.transform(F.array(strip_urls(t)), strip_emails), F.lit(0))))).otherwise(t)
         out = F.get(F.transform(F.array(out), cleaned), F.lit(0))  # of a text that is made once
     return F.coalesce(F.trim(out), F.lit(""))
 

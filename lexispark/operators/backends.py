@@ -85,6 +85,11 @@ def lexicon_result(text: Column, model: dict[str, str] | None = None) -> Column:
 
 def script_result(text: Column) -> Column:
     """The same of the languages of the text's script, the script's share dealt among them."""
+    return written_result(detect_script(text))
+
+
+def written_result(found: Column) -> Column:
+    """The same of a script that ``detect_script`` found."""
 
     def judged(found: Column) -> Column:
         langs = F.array_sort(script_languages(found["script"]))
@@ -93,7 +98,7 @@ def script_result(text: Column) -> Column:
         none = F.struct(F.lit("unknown").alias("language"), F.lit(0.0).alias("confidence"), F.create_map().cast("map<string,double>").alias("all_probabilities"))
         return F.when(F.size(langs) > 0, some).otherwise(none)
 
-    return _let(detect_script(text), judged)
+    return _let(found, judged)
 
 
 def _projected(texts: DataFrame, result: Column, name: str) -> DataFrame:

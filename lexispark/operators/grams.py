@@ -6,6 +6,7 @@ packed in 64-bit integers that sort as the n-grams do. Texts are worked on in ru
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,31 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([unpacked(k) for k in found.tolist()], pa.string()), pa.array(n, pa.int64())], names=["language", "gram", "n"])
 
 
+class Kinds:
+    """The different n-grams of each text, sorted, with their number: ``keys``, ``n`` and the text each is of (``owner``)."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, owner: np.ndarray):
+        self.keys, self.n, self.owner = keys, n, owner
+        self._found: tuple[Model, np.ndarray] | None = None
+
+    def places(self, model: Model) -> np.ndarray:
+        """Places of the n-grams in the model, found once for all backends that share it."""
+        if self._found is None or self._found[0] is not model:
+            self._found = model, model.find(self.keys)
+        return self._found[1]
+
+
+def kinds(texts: list[str]) -> Kinds:
+    keys, owner = grams(texts)
+    edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for low, high in itertools.pairwise(edges.tolist()):
+        keys[low:high].sort()
+    first = np.ones(len(keys), bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(first)
+    return Kinds(keys[at], np.diff(at, append=len(keys)), owner[at])
+
+
 class Model:
     """n-grams by key, and for each language (in alphabetical order) a value beside them: log-probability and rank (0: none)."""
 
@@ -104,34 +130,42 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def bayes(self, texts: list[str], found: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) posteriors by naive Bayes over known n-grams, and which of them count. found: the texts' ``grams``."""
-        keys, owner = found or grams(texts)
-        at = self.find(keys)
-        at, owner = at[at >= 0], owner[at >= 0]
-        sums = np.stack([np.bincount(owner, self.logs[at, j], len(texts)) for j in range(len(self.languages))], axis=1) if self.languages else np.zeros((len(texts), 0))
+    def bayes(self, texts: list[str], found: Kinds | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, languages) posteriors by naive Bayes over known n-grams, and which of them count. found: the texts' ``kinds``."""
+        own = found or kinds(texts)
+        at = own.places(self)
+        at, owner, n = at[at >= 0], own.owner[at >= 0], own.n[at >= 0]
+        sums = np.stack([np.bincount(owner, n * self.logs[at, j], len(texts)) for j in range(len(self.languages))], axis=1) if self.languages else np.zeros((len(texts), 0))
         some = np.bincount(owner, minlength=len(texts)) > 0
         p = np.exp(sums - sums.max(axis=1, keepdims=True)) if self.languages else sums
         return p / p.sum(axis=1, keepdims=True), np.repeat(some[:, None], len(self.languages), axis=1)
 
-    def ranked(self, texts: list[str], profile: int = 300, found: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def ranked(self, texts: list[str], profile: int = 300, found: Kinds | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) 1 - out-of-place distance of the ``profile`` most frequent n-grams, and languages that share any."""
-        keys, owner = found or grams(texts)
+        own = found or kinds(texts)
+        at, edges = own.places(self), np.searchsorted(own.owner, np.arange(len(texts) + 1))
         p, some = np.zeros((len(texts), len(self.languages))), np.zeros((len(texts), len(self.languages)), bool)
-        edges = np.searchsorted(owner, np.arange(len(texts) + 1))
         for i in range(len(texts)):
-            found, n = np.unique(keys[edges[i] : edges[i + 1]], return_counts=True)
-            order = np.lexsort((found, -n))[:profile]
-            at = self.find(found[order])
-            place = np.flatnonzero(at >= 0) + 1
-            ranks = self.ranks[at[at >= 0]]
+            n, places = own.n[edges[i] : edges[i + 1]], at[edges[i] : edges[i + 1]]
+            places = places[_most(n, profile)]
+            place = np.flatnonzero(places >= 0) + 1
+            ranks = self.ranks[places[places >= 0]]
             known = (ranks > 0) & (ranks <= profile)
             near = np.where(known, profile - np.minimum(np.abs(place[:, None] - ranks), profile), 0)
-            p[i] = near.sum(axis=0) / (max(1, len(order)) * profile)
+            p[i] = near.sum(axis=0) / (max(1, len(places)) * profile)
             some[i] = known.any(axis=0)
         return p, some
 
 
+def _most(n: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` greatest numbers, falling; of equal ones the first come first."""
+    if len(n) > most:
+        least = np.partition(n, len(n) - most)[len(n) - most]
+        more, same = np.flatnonzero(n > least), np.flatnonzero(n == least)
+        return np.concatenate([more[np.argsort(-n[more], kind="stable")], same[: most - len(more)]])
+    return np.argsort(-n, kind="stable")
+
+
 def _judged(p: np.ndarray, some: np.ndarray, languages: list[str]) -> tuple[pa.Array, pa.Array, pa.Array]:
     """The languages, confidences and probabilities of scored texts."""
     best = np.where(some, p, -1).argmax(axis=1).tolist() if languages else [0] * len(p)
@@ -144,13 +178,13 @@ def _judged(p: np.ndarray, some: np.ndarray, languages: list[str]) -> tuple[pa.A
 
 def beside(scores: dict, languages: list[str], names: list[str]):
     """A function for mapInArrow from rows whose last column is a text to ``names``: the other columns, and for each of ``scores``
-    ((texts, their n-grams) -> (probabilities, which count)) language, confidence and probabilities."""
+    ((texts, their kinds of n-grams) -> (probabilities, which count)) language, confidence and probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = batch.columns[:-1]
             for row, texts in runs(batch.columns[-1]):
-                found = grams(texts)
+                found = kinds(texts)
                 told = [c for score in scores.values() for c in _judged(*score(texts, found), languages)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(row, len(texts)) for c in rest), *told], names=names)
 

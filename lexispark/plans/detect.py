@@ -16,7 +16,7 @@ from ..functions import nouns, stats
 from ..functions.text import normalize_text
 from ..operators import confusion, fusion
 from ..operators import hints as hinting
-from ..operators.backends import COLUMNS, GRAMS, RELIABLE, create_backend, list_backends, run_backends, with_grams
+from ..operators.backends import COLUMNS, GRAMS, RELIABLE, create_backend, list_backends, run_backends, with_grams, written_result
 from ..operators.voting import break_ties, voting_strategy
 from .config import Config
 from .keep import keep, spread
@@ -26,28 +26,36 @@ SHORT_CIRCUIT = 0.99
 
 
 def prepared(texts: DataFrame, config: Config) -> DataFrame:
-    """(id, text, plain, detection_text, script, reason, decided): what is known before any backend.
+    """(id, text, plain, detection_text, script, reason, decided, written): what is known before any backend.
 
     All in one expression, in which each step is evaluated once; as columns of their own, a filter on them would be pushed
-    down together with copies of what they are made of.
+    down together with copies of what they are made of. Letters are counted once, for all that is asked of them.
     """
     strategy = config.noun_strategy if config.filter_proper_nouns else "none"
     allowed = list(config.allowed) or None
 
-    def gated(plain: Column) -> Column:
+    def lettered(plain: Column) -> Column:
+        return _let(stats.letters_of(plain), lambda letters: gated(plain, letters))
+
+    def gated(plain: Column, letters: Column) -> Column:
         def searched(reason: Column) -> Column:
-            return _let(F.when(reason.isNull(), nouns.filter_nouns(plain, strategy)), lambda text: scripted(text, reason))
+            return _let(F.when(reason.isNull(), nouns.filter_nouns(plain, strategy, spaced=True)), lambda text: left(text, reason))
+
+        def left(text: Column, reason: Column) -> Column:
+            own = letters if strategy == "none" else F.when(text == plain, letters).otherwise(stats.letters_of(text))
+            return _let(F.when(reason.isNull(), own), lambda own: scripted(text, reason, own))
 
-        def scripted(text: Column, reason: Column) -> Column:
-            return _let(F.when(reason.isNull(), stats.dominant_script(text)), lambda script: known(text, reason, script))
+        def scripted(text: Column, reason: Column, own: Column) -> Column:
+            written = F.when(reason.isNull(), stats.written_of(own))
+            return _let(F.when(reason.isNull(), stats.dominant_of(text, own)), lambda script: known(text, reason, script, written))
 
-        def known(text: Column, reason: Column, script: Column) -> Column:
+        def known(text: Column, reason: Column, script: Column, written: Column) -> Column:
             decided = stats.short_circuit(script, allowed, config.strict_scripts) if config.short_circuit else F.lit(None).cast("string")
-            return F.struct(plain.alias("plain"), text.alias("detection_text"), script.alias("script"), reason.alias("reason"), decided.alias("decided"))
+            return F.struct(plain.alias("plain"), text.alias("detection_text"), script.alias("script"), reason.alias("reason"), decided.alias("decided"), written.alias("written"))
 
-        return _let(stats.gate(plain, config.mode), searched)
+        return _let(stats.gate(plain, config.mode, letters), searched)
 
-    return texts.select("id", "text", _let(normalize_text(F.col("text"), compose=config.compose), gated).alias("s")).select("id", "text", "s.*")
+    return texts.select("id", "text", _let(normalize_text(F.col("text"), compose=config.compose), lettered).alias("s")).select("id", "text", "s.*")
 
 
 def _let(value: Column, then) -> Column:
@@ -73,11 +81,11 @@ def _detect(texts: DataFrame, config: Config, hints: DataFrame | None, boosts: D
     counted = [b for b in config.backends if isinstance(b, str) and b in GRAMS]
     others = [b for b in config.backends if b not in inline and b not in counted]
     few = hinting.few_words(hints) if hints is not None and config.backends else None
-    found = [F.struct(F.lit(b).alias("backend_name"), COLUMNS[b](F.col("detection_text")).alias("r")) for b in inline]
+    found = [F.struct(F.lit(b).alias("backend_name"), (written_result(F.col("written")) if b == "script" else COLUMNS[b](F.col("detection_text"))).alias("r")) for b in inline]
     none = F.lit(None).cast("array<struct<backend_name:string,r:struct<language:string,confidence:double,all_probabilities:map<string,double>>>>")
     head = F.substring(F.trim("text"), 1, fusion.SHORT_TEXT + 1).alias("text")  # all that a hint's weight asks of the raw text
     words = F.when(open_, hinting.hit_words(F.col("detection_text"), few)) if few else F.lit(None).cast("array<string>")
-    info = rows.select("id", head, "script", "reason", "decided", F.when(open_, stats.filter_languages(F.col("detection_text"))).alias("langs"), (F.when(open_, F.array(*found)) if found else none).alias("found"), words.alias("words"), F.when(open_, F.col("detection_text")).alias("seen"))
+    info = rows.select("id", head, "script", "reason", "decided", F.when(open_, stats.languages_of(F.col("written"))).alias("langs"), (F.when(open_, F.array(*found)) if found else none).alias("found"), words.alias("words"), F.when(open_, F.col("detection_text")).alias("seen"))
     if counted:
         info = with_grams(info, counted)
         info = info.withColumn("found", F.when(open_, F.concat("found", "grams") if found else F.col("grams"))).drop("grams")

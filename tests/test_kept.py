@@ -1,5 +1,6 @@
 """Votes that a plan reads several times are cast once and dealt by their size."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,44 @@ def test_ratio_leaves_few_candidates(spark):
     others = found.filter(F.col("word").isin(words[1], words[3])).withColumn("lang", F.lit("x"))
     got = {r.word: round(r.ratio, 4) for r in H.ratio_matches(found, others, 80).collect()}
     assert got == {words[1]: 100.0, words[3]: 100.0, words[2]: round(1000 / 12, 4)}
+
+
+ODD = ["", None, " ", "a", "µ ª º", "Ελλάδα and the rest", "Привет, как дела", "日本語 の文 x", "été № 5", "ǅungla the Of", "\U00010400\U00010428 x", "A  b\tC D", "x. The End Of Berta's I R2D2 NASA É\U0001f600 Paris \U0001f600 Rome"]
+
+
+def test_default_plan_is_cheap_before_backends(spark):
+    """Letters are counted in runs and once for gate, scripts and backend; nouns are looked for at capitals behind blanks; results are those of the plain rules."""
+    from lexispark.functions import nouns, stats
+    from lexispark.functions.text import WORD
+    from lexispark.plans.config import Config
+    from lexispark.plans.detect import prepared
+
+    rows = spark.createDataFrame(list(enumerate(ODD)), "id long, text string")
+    plan = prepared(rows, Config())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ ]+") == 2  # of the text, and where nouns went from it
+    assert nouns._noun().startswith(" (?=[") and "[\\s\\p{Z}]+" not in plan
+
+    text = F.col("text")
+    letters = F.regexp_replace(text, r"\P{L}", "")
+    plain = F.struct(F.char_length(letters).alias("n"), F.regexp_replace(letters, r"\p{IsLatin}", "").alias("others"))
+    assert rows.filter(text.isNotNull() & ~stats.letters_of(text).eqNullSafe(plain)).count() == 0
+    common = "|".join(f"[^{WORD} ]*".join(w) for w in sorted(set(nouns.COMMON)))
+    noun = rf"(?<=[^.!? ]) (?!(?i:[^{WORD} ]*(?:{common})[^{WORD} ]*(?![^ ])))(?:[\p{{Lu}}\p{{Lt}}](?![^ ])|(?=[^ ]*[\p{{Ll}}\p{{Lt}}])[\p{{Lu}}\p{{Lt}}][^ \p{{Nd}}]*(?![^ ]))"
+    assert rows.filter(~F.regexp_replace(text, nouns._noun(), "").eqNullSafe(F.regexp_replace(text, noun, ""))).count() == 0
+
+
+def test_ngrams_are_scored_by_kind():
+    """Each different n-gram of a text is sought in the model once, with its number, for all backends of a pass."""
+    from lexispark.operators import grams as G
+
+    texts = ["the of the of and", "", "1 2", "\U00010400\U00010428 der die der", *("".join(chr(97 + i * j % 26) for j in range(900)) for i in range(1, 9))]
+    keys, owner = G.grams(texts)
+    found, sought = G.kinds(texts), []
+    for i in range(len(texts)):
+        own, n = np.unique(keys[owner == i], return_counts=True)
+        assert found.keys[found.owner == i].tolist() == own.tolist() and found.n[found.owner == i].tolist() == n.tolist()
+        assert G._most(n, 300).tolist() == np.lexsort((own, -n))[:300].tolist()
+    model = B.word_model()
+    model.find, find = lambda keys: sought.append(len(keys)) or find(keys), model.find
+    model.bayes(texts, found), model.ranked(texts, found=found)
+    assert sought == [len(found.keys)]
